@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelex.functions.timefn import as_column
 from tidelex.operators.scoring import LABELS, Scorer, classify, classify_with_model
-from tidelex.operators.text import TARGET_LANGUAGE, event_content, is_blank, preprocess, resolve_text
+from tidelex.operators.text import TARGET_LANGUAGE, is_blank, preprocess, with_event_text
 
 # Stage names and the message of the blank-text check.
 STAGE_INPUT = "preprocessing_input_validation"
@@ -27,18 +27,17 @@ def route_events(events: DataFrame, target: str = TARGET_LANGUAGE,
     Added columns: original_text, cleaned_text, language columns, label,
     confidence, p_*, model_version, score_error, route, stage, error_msg.
     """
-    content = F.col("content") if "content" in events.columns else F.lit(None).cast("string")
-    staged = events.withColumn("_content", event_content(content, F.col("payload")))
-    staged = staged.withColumn("original_text", resolve_text(F.col("_content"), F.col("payload"))).drop("_content")
-    staged = preprocess(staged, "original_text", target)
+    staged = events if "content" in events.columns else events.withColumn("content", F.lit(None).cast("string"))
+    staged = with_event_text(staged, "content", "payload", "original_text")
+    staged = preprocess(staged, "original_text", target, words_as="_cleaned_words")
     if make_scorer is None:
-        scored = classify(staged, "cleaned_text").withColumn("score_error", F.lit(None).cast("string"))
+        scored = classify(staged, "cleaned_text", words="_cleaned_words").withColumn("score_error", F.lit(None).cast("string"))
     else:
-        scored = classify_with_model(staged, "cleaned_text", make_scorer)
+        scored = classify_with_model(staged.drop("_cleaned_words"), "cleaned_text", make_scorer)
     blank = is_blank(F.col("original_text"))
     broken = F.col("occurred_at").isNull() | F.col("source_id").isNull()
     foreign = ~F.col("is_target_language")
-    return scored.withColumns({
+    return scored.drop("_cleaned_words").withColumns({
         "route": F.when(blank | (broken & ~foreign), F.lit(DEAD_LETTER_ROUTE))
         .when(foreign, F.lit(SKIP_ROUTE)).otherwise(F.lit(RESULT_ROUTE)),
         "stage": F.when(blank, F.lit(STAGE_INPUT)).when(broken & ~foreign, F.lit(STAGE_SAVE)),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.functions.wordlists import LEXICON
-from tidelex.operators.text import BLANK, is_blank, preprocess
+from tidelex.operators.text import among, is_blank, letter_runs, plain_blanks, preprocess
 
 LABELS = ("positive", "negative", "neutral")
 MODEL_VERSION = "lexicon-1"
@@ -20,35 +20,33 @@ BOUNDARY = 0.05
 COMPOUND_DAMPING = 15.0
 
 
-def lexicon_sums(text: Column, lexicon: dict[str, float] = LEXICON) -> tuple[Column, Column, Column]:
-    """(positive weight, negative weight, words) of a text.
+def with_weights(df: DataFrame, text: str, lexicon: dict[str, float] = LEXICON,
+                 words: str | None = None) -> DataFrame:
+    """Add _pos and _neg (summed weights of lexicon words) and _words (number of tokens).
 
-    Words are counted per distinct weight with one pattern each, so the sums stay
-    simple integer arithmetic inside generated code.
+    ``words`` names an array of lower-cased words to use in place of the text.
     """
-    lowered = F.lower(text)
+    weights = F.str_to_map(F.lit("|".join(f"{w}={v}" for w, v in lexicon.items())), F.lit("[|]"), F.lit("="))
+    if words is None:
+        runs = letter_runs(F.col(text))
+        count = F.size(F.filter(F.split(plain_blanks(F.col(text)), r"\s+"), lambda t: t != ""))
+    else:
+        runs = F.col(words)
+        count = F.coalesce(F.size(words), F.lit(0))
+    df = df.withColumns({"_words": count, "_found": among(runs, sorted(lexicon))})
+    df = df.withColumn("_found", F.transform("_found", lambda w: F.try_element_at(weights, w).cast("double")))
 
-    def weight(sign: int) -> Column:
-        by_size: dict[float, list[str]] = {}
-        for word, value in lexicon.items():
-            if value * sign > 0:
-                by_size.setdefault(abs(value), []).append(word)
-        total = F.lit(0.0)
-        for size, words in sorted(by_size.items()):
-            # A negated letter class around the word keeps "rest" out of "forest".
-            pattern = r"(?<!\p{L})(?:" + "|".join(sorted(words, key=len, reverse=True)) + r")(?!\p{L})"
-            total = total + F.regexp_count(lowered, F.lit(pattern)) * F.lit(size)
-        return total
+    def total(sign: int) -> Column:
+        return F.coalesce(F.aggregate("_found", F.lit(0.0), lambda acc, w: acc + F.greatest(w * sign, F.lit(0.0))),
+                          F.lit(0.0))
 
-    words = F.regexp_count(text, F.lit(f"[^{BLANK}]+"))
-    return weight(1), weight(-1), words
+    return df.withColumns({"_pos": total(1), "_neg": total(-1)}).drop("_found")
 
 
 def with_compound(df: DataFrame, text: str, lexicon: dict[str, float] = LEXICON,
                   boundary: float = BOUNDARY) -> DataFrame:
     """Compound score in -1..1, shares of positive, negative and other words, and the label."""
-    pos, neg, words = lexicon_sums(F.col(text), lexicon)
-    df = df.withColumns({"_pos": pos, "_neg": neg, "_words": words})
+    df = with_weights(df, text, lexicon)
     total = F.col("_pos") - F.col("_neg")
     df = df.withColumn("compound", total / F.sqrt(total * total + COMPOUND_DAMPING))
     mass = F.col("_pos") + F.col("_neg") + F.col("_words")
@@ -71,22 +69,24 @@ def with_softmax(df: DataFrame, logits: list[str], labels: tuple[str, ...] = LAB
     return df.withColumn("label", pick).drop(*[f"_e_{lab}" for lab in labels])
 
 
-def classify(df: DataFrame, text: str, lexicon: dict[str, float] = LEXICON) -> DataFrame:
+def classify(df: DataFrame, text: str, lexicon: dict[str, float] = LEXICON,
+             words: str | None = None) -> DataFrame:
     """Default classifier: label, confidence, one probability per label, model_version.
 
     The logits are the positive and the negative weight per square root of the
     word count, with 1 for neutral; blank text is neutral with confidence 1.
     """
     blank = is_blank(F.col(text))
-    pos, neg, words = lexicon_sums(F.col(text), lexicon)
-    scale = F.sqrt(F.greatest(words, F.lit(1)).cast("double"))
+    df = with_weights(df, text, lexicon, words)
+    scale = F.sqrt(F.greatest(F.col("_words"), F.lit(1)).cast("double"))
     # A blank text gets logits that leave all the mass on the neutral label.
     df = df.withColumns({
-        "_l_pos": F.when(blank, F.lit(-1e4)).otherwise(pos * 4 / scale),
-        "_l_neg": F.when(blank, F.lit(-1e4)).otherwise(neg * 4 / scale),
+        "_l_pos": F.when(blank, F.lit(-1e4)).otherwise(F.col("_pos") * 4 / scale),
+        "_l_neg": F.when(blank, F.lit(-1e4)).otherwise(F.col("_neg") * 4 / scale),
         "_l_neu": F.lit(1.0)})
     return with_softmax(df, ["_l_pos", "_l_neg", "_l_neu"]).withColumn(
-        "model_version", F.lit(MODEL_VERSION)).drop("_l_pos", "_l_neg", "_l_neu")
+        "model_version", F.lit(MODEL_VERSION)).drop(
+        "_l_pos", "_l_neg", "_l_neu", "_pos", "_neg", "_words")
 
 
 class Scorer(Protocol):

@@ -1,8 +1,9 @@
 """Text assembly, cleaning, language detection and token filtering.
 
 All steps are column expressions over the whole text; a row is never moved.
-Blanks and word characters are spelled out as Unicode classes, because the
-short forms of the Java patterns are limited to ASCII.
+Rare blanks are turned into spaces first, so that the patterns can use the
+short ASCII classes. Costly patterns run only on texts that hold the character
+they look for.
 """
 
 from __future__ import annotations
@@ -23,23 +24,47 @@ UNKNOWN_LANGUAGE = "unknown"
 # Payload keys that may hold text, in reading order.
 TEXT_KEYS = ("text", "title", "selftext", "body", "message")
 
+# Every blank Python's ``str.split`` knows, as a class body and as characters.
 BLANK = r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+RARE_BLANK = r"\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+RARE_BLANK_GATE = r"[\x1c-\x1f\x85\xa0\x{1680}-\x{3000}]"
+BLANK_CHARS = "".join(chr(c) for c in [
+    *range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b),
+    0x2028, 0x2029, 0x202f, 0x205f, 0x3000])
 WORD = r"\p{L}\p{N}_"
-URL_PATTERN = f"(?:http|www)[^{BLANK}]+"
-EMAIL_PATTERN = f"(?<![^{BLANK}])[^{BLANK}@]*@[^{BLANK}]*[{BLANK}]?"
+URL_PATTERN = r"(?:http|www)\S+"
+EMAIL_PATTERN = r"(?<!\S)[^\s@]*@\S*\s?"
 MENTION_PATTERN = f"@[{WORD}]+"
 HASHTAG_PATTERN = f"#[{WORD}]+"
 EMOJI_BLOCKS = ((0x2600, 0x27BF), (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1F9FF),
                 (0x1FA70, 0x1FAFF), (0x1F1E6, 0x1F1FF))
+EMOJI_GATE = r"[\x{2600}-\x{1FAFF}]"
 EMOJI_CLASS = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in EMOJI_BLOCKS) + "]"
 PREVIEW_CHARS = 100
 LENGTH_CAP = 5000
 
 
+def has_only_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def _replace_each(text: Column, chars: str) -> Column:
+    """Literal replacements by a space; a search for one byte is far cheaper than a pattern."""
+    for ch in chars:
+        text = F.replace(text, F.lit(ch), F.lit(" "))
+    return text
+
+
+def plain_blanks(text: Column) -> Column:
+    """Blanks outside ASCII (and separators) as plain spaces."""
+    wide = ~has_only_ascii(text) & text.rlike(RARE_BLANK_GATE)
+    return F.when(wide, F.regexp_replace(text, f"[{RARE_BLANK}]", " ")).otherwise(
+        _replace_each(text, "\x1c\x1d\x1e\x1f"))
+
+
 def strip_blank(text: Column) -> Column:
     """Remove blanks of any script from both ends."""
-    return F.regexp_replace(F.regexp_replace(text, f"^[{BLANK}]++", ""),
-                            f"(?<![{BLANK}])[{BLANK}]++$", "")
+    return F.trim(text, F.lit(BLANK_CHARS))
 
 
 def is_blank(text: Column) -> Column:
@@ -58,33 +83,40 @@ def assemble_text(payload: Column) -> Column:
     return F.when(joined != "", joined)
 
 
-def event_content(content: Column, payload: Column) -> Column:
-    """The given content, or the text assembled from the payload when it is blank."""
-    return F.when(is_blank(content), F.coalesce(assemble_text(payload), content)).otherwise(content)
+def with_event_text(df: DataFrame, content: str, payload: str, out: str) -> DataFrame:
+    """The text to analyse of an event.
 
-
-def resolve_text(content: Column, payload: Column) -> Column:
-    """Text to analyse: a JSON object's ``text``, else the content; if blank, the payload's ``text``."""
-    parsed = variant(content)
-    direct = F.when(is_object(parsed), F.coalesce(string_only(parsed, "text"), F.lit(""))).otherwise(content)
-    return F.when(is_blank(direct), F.coalesce(string_only(variant(payload), "text"), F.lit(""))).otherwise(direct)
+    The content, or, when it is blank, the text assembled from the payload. If
+    that is a JSON object, its ``text``; if the outcome is blank, the payload's
+    ``text``; at last the empty string. Only a text that opens a brace is parsed.
+    """
+    is_open = lambda c: F.coalesce(F.col(c).rlike(r"^\s*\{"), F.lit(False))
+    return (df.withColumn("_content", F.when(is_blank(F.col(content)), F.coalesce(
+                assemble_text(F.col(payload)), F.col(content))).otherwise(F.col(content)))
+            .withColumn("_object", F.when(is_open("_content"), variant(F.col("_content"))))
+            .withColumn("_direct", F.when(is_object(F.col("_object")), F.coalesce(
+                string_only(F.col("_object"), "text"), F.lit(""))).otherwise(F.col("_content")))
+            .withColumn(out, F.when(is_blank(F.col("_direct")), F.coalesce(
+                string_only(variant(F.col(payload)), "text"), F.lit(""))).otherwise(F.col("_direct")))
+            .drop("_content", "_object", "_direct"))
 
 
 def strip_urls(text: Column) -> Column:
-    return F.regexp_replace(text, URL_PATTERN, "")
+    return F.when(text.contains("http") | text.contains("www"),
+                  F.regexp_replace(text, URL_PATTERN, "")).otherwise(text)
 
 
 def strip_emails(text: Column) -> Column:
     """Drop each token with an at sign, and one blank after it."""
-    return F.regexp_replace(text, EMAIL_PATTERN, "")
+    return F.when(text.contains("@"), F.regexp_replace(text, EMAIL_PATTERN, "")).otherwise(text)
 
 
 def strip_mentions(text: Column) -> Column:
-    return F.regexp_replace(text, MENTION_PATTERN, "")
+    return F.when(text.contains("@"), F.regexp_replace(text, MENTION_PATTERN, "")).otherwise(text)
 
 
 def strip_hashtags(text: Column) -> Column:
-    return F.regexp_replace(text, HASHTAG_PATTERN, "")
+    return F.when(text.contains("#"), F.regexp_replace(text, HASHTAG_PATTERN, "")).otherwise(text)
 
 
 @lru_cache(maxsize=1)
@@ -101,72 +133,106 @@ def emoji_names() -> dict[str, str]:
 
 def emoji_to_name(text: Column) -> Column:
     """Write each emoji as `` :name: ``; texts without one are passed through."""
-    pairs = [F.lit(part) for item in emoji_names().items() for part in item]
-    table = F.create_map(*pairs)
-    named = F.transform(F.split(text, ""), lambda ch: F.when(
-        ch.rlike(EMOJI_CLASS), F.coalesce(
-            F.concat(F.lit(" :"), F.try_element_at(table, ch), F.lit(": ")), ch)).otherwise(ch))
-    return F.when(text.rlike(EMOJI_CLASS), F.array_join(named, "")).otherwise(text)
+    # One literal that the optimizer turns into a constant map.
+    table = F.str_to_map(F.lit("|".join(f"{ch}={name}" for ch, name in emoji_names().items())),
+                         F.lit("[|]"), F.lit("="))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(EMOJI_CLASS), F.lit(0)))
+    spaced = lambda ch: F.coalesce(F.concat(F.lit(" :"), F.try_element_at(table, ch), F.lit(": ")), ch)
+    named = F.aggregate(found, text, lambda acc, ch: F.replace(acc, ch, spaced(ch)))
+    wide = ~has_only_ascii(text) & text.rlike(EMOJI_GATE)
+    return F.when(wide, named).otherwise(text)
+
+
+def one_line(text: Column) -> Column:
+    """Line breaks and tabs as spaces."""
+    return _replace_each(text, "\t\n\x0b\f\r")
+
+
+def single_spaces(text: Column) -> Column:
+    """Runs of spaces to one, no space at the ends."""
+    return F.trim(F.when(text.contains("  "), F.regexp_replace(text, "  +", " ")).otherwise(text))
 
 
-def squeeze(text: Column) -> Column:
-    """Runs of blanks to one space, no blanks at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{BLANK}]+", " "))
+CLEANING_STEPS = (plain_blanks, strip_urls, strip_emails, strip_mentions, strip_hashtags, emoji_to_name,
+                  one_line, single_spaces)
 
 
-def basic_clean(text: Column) -> Column:
-    """URLs, e-mails, mentions and hashtags out, emoji to names, blanks squeezed."""
-    return squeeze(emoji_to_name(strip_hashtags(strip_mentions(strip_emails(strip_urls(text))))))
+def with_basic_clean(df: DataFrame, text: str, out: str) -> DataFrame:
+    """URLs, e-mails, mentions and hashtags out, emoji to names, blanks squeezed.
+
+    Each step is a projection of its own: it reads its input more than once, so
+    nesting the steps in one expression would repeat the inner ones.
+    """
+    df = df.withColumn(out, F.col(text))
+    for step in CLEANING_STEPS:
+        df = df.withColumn(out, step(F.col(out)))
+    return df
+
+
+def letter_runs(text: Column) -> Column:
+    """The lower-cased words of a text, a word being a run of letters."""
+    return F.split(F.lower(text), r"[^\p{L}]+")
+
+
+def among(tokens: Column, words: list[str]) -> Column:
+    """The tokens that are in a word list."""
+    return F.filter(tokens, lambda t: t.isin(words))
 
 
-def language_hits(text: Column) -> dict[str, Column]:
-    """Function words of each language in the text."""
-    lowered = F.lower(text)
-    return {
-        code: F.regexp_count(lowered, F.lit(
-            r"(?<!\p{L})(?:" + "|".join(sorted(words, key=len, reverse=True)) + r")(?!\p{L})"))
-        for code, words in LANGUAGE_WORDS.items()
-    }
+def tokens_of(text: Column) -> Column:
+    """Lower-cased tokens of a text whose blanks are single spaces."""
+    return F.split(F.lower(text), " ")
 
 
-def with_language(df: DataFrame, text: str, code: str = "language", confidence: str = "language_confidence") -> DataFrame:
-    """Language with the most function words and its share of all hits."""
-    hits = language_hits(F.col(text))
-    df = df.withColumns({f"_hits_{name}": col for name, col in hits.items()})
-    counts = {name: F.col(f"_hits_{name}") for name in hits}
+def with_language(df: DataFrame, tokens: str, code: str = "language", confidence: str = "language_confidence") -> DataFrame:
+    """Language with the most function words and its share of all hits.
+
+    ``tokens`` is an array of lower-cased words. Only the function words among
+    them are compared with the list of each language.
+    """
+    every = sorted({w for words in LANGUAGE_WORDS.values() for w in words})
+    df = df.withColumn("_hits", among(F.col(tokens), every))
+    counts = {}
+    for name, words in LANGUAGE_WORDS.items():
+        df = df.withColumn(f"_hits_{name}", F.size(among(F.col("_hits"), words)))
+        counts[name] = F.col(f"_hits_{name}")
     best = F.greatest(*counts.values())
     total = sum(counts.values(), F.lit(0))
     pick = F.coalesce(*[F.when(col == best, F.lit(name)) for name, col in counts.items()])
     return (df.withColumn(code, F.when(best > 0, pick).otherwise(F.lit(UNKNOWN_LANGUAGE)))
             .withColumn(confidence, F.when(best > 0, best / total))
-            .drop(*[f"_hits_{name}" for name in hits]))
+            .drop("_hits", *[f"_hits_{name}" for name in counts]))
 
 
-def filter_tokens(text: Column) -> Column:
-    """Lower-case tokens made of letters only, without stop words.
+def keep_words(tokens: Column) -> Column:
+    """Tokens made of letters only, without stop words.
 
     A token with punctuation on it is dropped, not trimmed.
     """
-    stops = "|".join(sorted(STOP_WORDS, key=len, reverse=True))
-    token = rf"(?<![^{BLANK}])(?!(?:{stops})(?![^{BLANK}]))\p{{L}}++(?![^{BLANK}])"
-    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(token), F.lit(0)), " ")
+    return F.filter(tokens, lambda t: ~t.isin(STOP_WORDS) & t.rlike(r"^\p{L}++$"))
+
+
+def filter_tokens(text: Column) -> Column:
+    """The kept words of a text, joined with spaces."""
+    return F.array_join(keep_words(tokens_of(text)), " ")
 
 
-def preprocess(df: DataFrame, text: str, target: str = TARGET_LANGUAGE) -> DataFrame:
+def preprocess(df: DataFrame, text: str, target: str = TARGET_LANGUAGE, words_as: str | None = None) -> DataFrame:
     """Add cleaned_text, detected_language_code, detected_language_confidence, is_target_language.
 
     A blank text counts as target and stays empty. Other languages are only
-    lower-cased.
+    lower-cased. ``words_as`` also keeps the cleaned words of target texts as an
+    array, so that a scorer need not cut the text again.
     """
     blank = is_blank(F.col(text))
-    df = df.withColumn("_basic", F.when(blank, F.lit("")).otherwise(basic_clean(F.col(text))))
-    df = with_language(df, "_basic", "_code", "detected_language_confidence")
-    on_target = F.col("_code") == target
-    return (df.withColumn("detected_language_code", F.col("_code"))
-            .withColumn("is_target_language", blank | on_target)
-            .withColumn("cleaned_text", F.when(blank, F.lit("")).when(
-                on_target, filter_tokens(F.col("_basic"))).otherwise(F.lower("_basic")))
-            .drop("_basic", "_code"))
+    df = with_basic_clean(df.withColumn("_in", F.when(blank, F.lit("")).otherwise(F.col(text))), "_in", "_basic")
+    df = df.withColumn("_tokens", tokens_of(F.col("_basic")))
+    df = with_language(df, "_tokens", "detected_language_code", "detected_language_confidence")
+    df = df.withColumn("is_target_language", blank | (F.col("detected_language_code") == target))
+    words = words_as or "_words"
+    df = df.withColumn(words, F.when(F.col("is_target_language"), keep_words(F.col("_tokens"))))
+    df = df.withColumn("cleaned_text", F.coalesce(F.array_join(words, " "), F.lower("_basic")))
+    return df.drop("_in", "_basic", "_tokens", *([] if words_as else ["_words"]))
 
 
 def preview(text: Column) -> Column:
