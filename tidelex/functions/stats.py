@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,7 +84,3 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str,
         aggs.append((low + (high - low) * pick(name, "lo", "frac")).alias(name))
     out = hits.groupBy(*group).agg(*aggs)
     return out if keys else out.drop("_all")
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -330,10 +330,9 @@ def threshold_alerts(buckets: DataFrame, rules: list[tuple[str, str]]) -> DataFr
     return buckets.withColumn("rule", F.explode(F.array_compact(F.array(*hits))))
 
 
-def word_counts(df: DataFrame, cleaned: str, top: int | None = None) -> DataFrame:
-    """Word frequencies of cleaned texts."""
-    words = df.select(F.explode(F.split(F.col(cleaned), " ")).alias("word")).where(F.col("word") != "")
-    counts = words.groupBy("word").agg(count_all().alias("n"))
+def word_counts(df: DataFrame, words: str, top: int | None = None) -> DataFrame:
+    """Word frequencies of cleaned texts, given as arrays of words."""
+    counts = df.select(F.explode(words).alias("word")).groupBy("word").agg(count_all().alias("n"))
     return counts if top is None else counts.orderBy(F.desc("n"), "word").limit(top)
 
 

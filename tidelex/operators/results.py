@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelex.functions.timefn import as_column
 from tidelex.operators.scoring import LABELS, Scorer, classify, classify_with_model
-from tidelex.operators.text import TARGET_LANGUAGE, is_blank, preprocess, with_event_text
+from tidelex.operators.text import TARGET_LANGUAGE, event_text, is_blank, preprocess
 
 # Stage names and the message of the blank-text check.
 STAGE_INPUT = "preprocessing_input_validation"
@@ -28,7 +28,7 @@ def route_events(events: DataFrame, target: str = TARGET_LANGUAGE,
     confidence, p_*, model_version, score_error, route, stage, error_msg.
     """
     staged = events if "content" in events.columns else events.withColumn("content", F.lit(None).cast("string"))
-    staged = with_event_text(staged, "content", "payload", "original_text")
+    staged = staged.withColumn("original_text", event_text(F.col("content"), F.col("payload")))
     staged = preprocess(staged, "original_text", target, words_as="_cleaned_words")
     if make_scorer is None:
         scored = classify(staged, "cleaned_text", words="_cleaned_words").withColumn("score_error", F.lit(None).cast("string"))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelex.functions.binding import let
 from tidelex.functions.wordlists import LEXICON
 from tidelex.operators.text import among, is_blank, letter_runs, plain_blanks, preprocess
 
@@ -33,14 +34,14 @@ def with_weights(df: DataFrame, text: str, lexicon: dict[str, float] = LEXICON,
     else:
         runs = F.col(words)
         count = F.coalesce(F.size(words), F.lit(0))
-    df = df.withColumns({"_words": count, "_found": among(runs, sorted(lexicon))})
-    df = df.withColumn("_found", F.transform("_found", lambda w: F.try_element_at(weights, w).cast("double")))
+    found = F.transform(among(runs, sorted(lexicon)), lambda w: F.try_element_at(weights, w).cast("double"))
 
-    def total(sign: int) -> Column:
-        return F.coalesce(F.aggregate("_found", F.lit(0.0), lambda acc, w: acc + F.greatest(w * sign, F.lit(0.0))),
-                          F.lit(0.0))
+    def total(values: Column, sign: int) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.greatest(v * sign, F.lit(0.0)))
 
-    return df.withColumns({"_pos": total(1), "_neg": total(-1)}).drop("_found")
+    sums = let(found, lambda values: F.struct(total(values, 1).alias("pos"), total(values, -1).alias("neg")))
+    return df.withColumns({"_words": count, "_sums": sums}).withColumns({
+        "_pos": F.coalesce("_sums.pos", F.lit(0.0)), "_neg": F.coalesce("_sums.neg", F.lit(0.0))}).drop("_sums")
 
 
 def with_compound(df: DataFrame, text: str, lexicon: dict[str, float] = LEXICON,
@@ -58,15 +59,20 @@ def with_compound(df: DataFrame, text: str, lexicon: dict[str, float] = LEXICON,
     return df.withColumn("compound_label", label).drop("_pos", "_neg", "_words")
 
 
-def with_softmax(df: DataFrame, logits: list[str], labels: tuple[str, ...] = LABELS) -> DataFrame:
-    """Probabilities over ``logits``; the first largest one gives label and confidence."""
-    top = F.greatest(*[F.col(c) for c in logits])
-    df = df.withColumns({f"_e_{lab}": F.exp(F.col(c) - top) for lab, c in zip(labels, logits)})
-    mass = sum((F.col(f"_e_{lab}") for lab in labels[1:]), F.col(f"_e_{labels[0]}"))
-    df = df.withColumns({f"p_{lab}": F.col(f"_e_{lab}") / mass for lab in labels})
-    df = df.withColumn("confidence", F.greatest(*[F.col(f"p_{lab}") for lab in labels]))
-    pick = F.coalesce(*[F.when(F.col(f"p_{lab}") == F.col("confidence"), F.lit(lab)) for lab in labels])
-    return df.withColumn("label", pick).drop(*[f"_e_{lab}" for lab in labels])
+def softmax(logits: Column) -> Column:
+    """Probabilities of an array of logits."""
+    shifted = let(logits, lambda values: let(F.array_max(values), lambda top: F.transform(
+        values, lambda v: F.exp(v - top))))
+    return let(shifted, lambda exps: let(
+        F.aggregate(exps, F.lit(0.0), lambda acc, e: acc + e), lambda mass: F.transform(exps, lambda e: e / mass)))
+
+
+def with_softmax(df: DataFrame, logits: Column, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """Add one probability per label, and the first largest one as label and confidence."""
+    names = F.array(*[F.lit(lab) for lab in labels])
+    df = df.withColumn("_p", softmax(logits)).withColumn("confidence", F.array_max("_p"))
+    df = df.withColumn("label", F.element_at(names, F.array_position(F.col("_p"), F.col("confidence")).cast("int")))
+    return df.withColumns({f"p_{lab}": F.col("_p")[i] for i, lab in enumerate(labels)}).drop("_p")
 
 
 def classify(df: DataFrame, text: str, lexicon: dict[str, float] = LEXICON,
@@ -80,13 +86,9 @@ def classify(df: DataFrame, text: str, lexicon: dict[str, float] = LEXICON,
     df = with_weights(df, text, lexicon, words)
     scale = F.sqrt(F.greatest(F.col("_words"), F.lit(1)).cast("double"))
     # A blank text gets logits that leave all the mass on the neutral label.
-    df = df.withColumns({
-        "_l_pos": F.when(blank, F.lit(-1e4)).otherwise(F.col("_pos") * 4 / scale),
-        "_l_neg": F.when(blank, F.lit(-1e4)).otherwise(F.col("_neg") * 4 / scale),
-        "_l_neu": F.lit(1.0)})
-    return with_softmax(df, ["_l_pos", "_l_neg", "_l_neu"]).withColumn(
-        "model_version", F.lit(MODEL_VERSION)).drop(
-        "_l_pos", "_l_neg", "_l_neu", "_pos", "_neg", "_words")
+    logit = lambda weight: F.when(blank, F.lit(-1e4)).otherwise(F.col(weight) * 4 / scale)
+    df = with_softmax(df, F.array(logit("_pos"), logit("_neg"), F.lit(1.0)))
+    return df.withColumn("model_version", F.lit(MODEL_VERSION)).drop("_pos", "_neg", "_words")
 
 
 class Scorer(Protocol):

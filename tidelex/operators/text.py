@@ -15,6 +15,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelex.functions.binding import let
 from tidelex.functions.jsonfn import is_object, string_only, variant
 from tidelex.functions.wordlists import LANGUAGE_WORDS, STOP_WORDS
 
@@ -72,33 +73,34 @@ def is_blank(text: Column) -> Column:
     return ~F.coalesce(text.rlike(f"[^{BLANK}]"), F.lit(False))
 
 
+def _assembled(parsed: Column) -> Column:
+    parts = [let(string_only(parsed, key), lambda v: F.when(~is_blank(v), strip_blank(v))) for key in TEXT_KEYS]
+    return F.nullif(F.concat_ws(" ", *parts), F.lit(""))
+
+
 def assemble_text(payload: Column) -> Column:
     """The non-blank string values of the text keys, trimmed and joined with one space."""
-    parsed = variant(payload)
-    parts = []
-    for key in TEXT_KEYS:
-        value = string_only(parsed, key)
-        parts.append(F.when(~is_blank(value), strip_blank(value)))
-    joined = F.concat_ws(" ", *parts)
-    return F.when(joined != "", joined)
+    return let(variant(payload), _assembled)
 
 
-def with_event_text(df: DataFrame, content: str, payload: str, out: str) -> DataFrame:
+def event_text(content: Column, payload: Column) -> Column:
     """The text to analyse of an event.
 
     The content, or, when it is blank, the text assembled from the payload. If
     that is a JSON object, its ``text``; if the outcome is blank, the payload's
     ``text``; at last the empty string. Only a text that opens a brace is parsed.
     """
-    is_open = lambda c: F.coalesce(F.col(c).rlike(r"^\s*\{"), F.lit(False))
-    return (df.withColumn("_content", F.when(is_blank(F.col(content)), F.coalesce(
-                assemble_text(F.col(payload)), F.col(content))).otherwise(F.col(content)))
-            .withColumn("_object", F.when(is_open("_content"), variant(F.col("_content"))))
-            .withColumn("_direct", F.when(is_object(F.col("_object")), F.coalesce(
-                string_only(F.col("_object"), "text"), F.lit(""))).otherwise(F.col("_content")))
-            .withColumn(out, F.when(is_blank(F.col("_direct")), F.coalesce(
-                string_only(variant(F.col(payload)), "text"), F.lit(""))).otherwise(F.col("_direct")))
-            .drop("_content", "_object", "_direct"))
+    given = F.when(is_blank(content), F.coalesce(assemble_text(payload), content)).otherwise(content)
+
+    def of_object(text: Column) -> Column:
+        opens = F.coalesce(text.rlike(r"^\s*\{"), F.lit(False))
+        return let(F.when(opens, variant(text)), lambda obj: F.when(
+            is_object(obj), F.coalesce(string_only(obj, "text"), F.lit(""))).otherwise(text))
+
+    def or_payload(text: Column) -> Column:
+        return F.when(is_blank(text), F.coalesce(string_only(variant(payload), "text"), F.lit(""))).otherwise(text)
+
+    return let(let(given, of_object), or_payload)
 
 
 def strip_urls(text: Column) -> Column:
@@ -157,16 +159,11 @@ CLEANING_STEPS = (plain_blanks, strip_urls, strip_emails, strip_mentions, strip_
                   one_line, single_spaces)
 
 
-def with_basic_clean(df: DataFrame, text: str, out: str) -> DataFrame:
-    """URLs, e-mails, mentions and hashtags out, emoji to names, blanks squeezed.
-
-    Each step is a projection of its own: it reads its input more than once, so
-    nesting the steps in one expression would repeat the inner ones.
-    """
-    df = df.withColumn(out, F.col(text))
+def basic_clean(text: Column) -> Column:
+    """URLs, e-mails, mentions and hashtags out, emoji to names, blanks squeezed."""
     for step in CLEANING_STEPS:
-        df = df.withColumn(out, step(F.col(out)))
-    return df
+        text = let(text, step)
+    return text
 
 
 def letter_runs(text: Column) -> Column:
@@ -184,24 +181,24 @@ def tokens_of(text: Column) -> Column:
     return F.split(F.lower(text), " ")
 
 
-def with_language(df: DataFrame, tokens: str, code: str = "language", confidence: str = "language_confidence") -> DataFrame:
-    """Language with the most function words and its share of all hits.
+def language(tokens: Column) -> Column:
+    """Struct (code, confidence): the language with the most function words, and its share of all hits.
 
     ``tokens`` is an array of lower-cased words. Only the function words among
     them are compared with the list of each language.
     """
+    codes = F.array(*[F.lit(code) for code in LANGUAGE_WORDS])
     every = sorted({w for words in LANGUAGE_WORDS.values() for w in words})
-    df = df.withColumn("_hits", among(F.col(tokens), every))
-    counts = {}
-    for name, words in LANGUAGE_WORDS.items():
-        df = df.withColumn(f"_hits_{name}", F.size(among(F.col("_hits"), words)))
-        counts[name] = F.col(f"_hits_{name}")
-    best = F.greatest(*counts.values())
-    total = sum(counts.values(), F.lit(0))
-    pick = F.coalesce(*[F.when(col == best, F.lit(name)) for name, col in counts.items()])
-    return (df.withColumn(code, F.when(best > 0, pick).otherwise(F.lit(UNKNOWN_LANGUAGE)))
-            .withColumn(confidence, F.when(best > 0, best / total))
-            .drop("_hits", *[f"_hits_{name}" for name in counts]))
+
+    def decide(counts: Column) -> Column:
+        best = F.array_max(counts)
+        total = F.aggregate(counts, F.lit(0), lambda acc, n: acc + n)
+        code = F.when(best > 0, F.element_at(codes, F.array_position(counts, best).cast("int"))).otherwise(
+            F.lit(UNKNOWN_LANGUAGE))
+        return F.struct(code.alias("code"), F.when(best > 0, best / total).alias("confidence"))
+
+    return let(among(tokens, every), lambda hits: let(
+        F.array(*[F.size(among(hits, words)) for words in LANGUAGE_WORDS.values()]), decide))
 
 
 def keep_words(tokens: Column) -> Column:
@@ -225,14 +222,16 @@ def preprocess(df: DataFrame, text: str, target: str = TARGET_LANGUAGE, words_as
     array, so that a scorer need not cut the text again.
     """
     blank = is_blank(F.col(text))
-    df = with_basic_clean(df.withColumn("_in", F.when(blank, F.lit("")).otherwise(F.col(text))), "_in", "_basic")
+    df = df.withColumn("_basic", basic_clean(F.when(blank, F.lit("")).otherwise(F.col(text))))
     df = df.withColumn("_tokens", tokens_of(F.col("_basic")))
-    df = with_language(df, "_tokens", "detected_language_code", "detected_language_confidence")
+    df = df.withColumn("_language", language(F.col("_tokens")))
+    df = df.withColumns({"detected_language_code": F.col("_language.code"),
+                         "detected_language_confidence": F.col("_language.confidence")})
     df = df.withColumn("is_target_language", blank | (F.col("detected_language_code") == target))
     words = words_as or "_words"
     df = df.withColumn(words, F.when(F.col("is_target_language"), keep_words(F.col("_tokens"))))
     df = df.withColumn("cleaned_text", F.coalesce(F.array_join(words, " "), F.lower("_basic")))
-    return df.drop("_in", "_basic", "_tokens", *([] if words_as else ["_words"]))
+    return df.drop("_basic", "_tokens", "_language", *([] if words_as else ["_words"]))
 
 
 def preview(text: Column) -> Column:

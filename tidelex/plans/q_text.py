@@ -82,8 +82,9 @@ def docs(spark, sf_dir):
 
 
 def with_lang(spark, sf_dir):
-    basic = TX.with_basic_clean(docs(spark, sf_dir), "text", "b")
-    return TX.with_language(basic.withColumn("tokens", TX.tokens_of(F.col("b"))), "tokens")
+    found = TX.language(TX.tokens_of(TX.basic_clean(F.col("text"))))
+    return docs(spark, sf_dir).withColumn("_l", found).select(
+        "doc_id", "lang", F.col("_l.code").alias("language"), F.col("_l.confidence").alias("language_confidence"))
 
 
 def text_query(name: str, column, sql_expr: str):
@@ -108,8 +109,7 @@ def txt2(spark, sf_dir):
     content = (F.when(F.col("role") == "user", F.to_json(F.struct("text", "turn")))
                .when(F.col("role") == "system", F.to_json(F.struct("turn"))).otherwise(F.col("text")))
     payload = F.to_json(F.struct(F.col("turn"), F.lit(1).alias("text")))
-    events = turns.select("conv_id", "turn", content.alias("content"), payload.alias("payload"))
-    return TX.with_event_text(events, "content", "payload", "resolved").select("conv_id", "turn", "resolved")
+    return turns.select("conv_id", "turn", TX.event_text(content, payload).alias("resolved"))
 
 
 query("txt3_blank_check", f"""WITH {V.V_DOC_EVENTS} SELECT id, text = '' AS is_blank FROM v_doc_events""")(
@@ -215,4 +215,4 @@ query("eva1_scoring_quality", f"""WITH {softmax_sql('documents', 'text')},
         "predicted", "actual"))
 query("doc5_word_counts", PREP + """ SELECT word, count(*) AS n FROM (SELECT unnest(string_split(cleaned, ' ')) AS word
   FROM prep WHERE code = 'en') WHERE word <> '' GROUP BY 1""")(
-    lambda s, d: M.word_counts(TX.preprocess(docs(s, d), "text").where("is_target_language"), "cleaned_text"))
+    lambda s, d: M.word_counts(TX.preprocess(docs(s, d), "text", words_as="words"), "words"))
