@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from tidelex.functions.binding import let
 from tidelex.functions.wordlists import LEXICON
 from tidelex.operators.text import among, is_blank, letter_runs, plain_blanks, preprocess
 
+# Workers get this module's functions and classes by value, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LABELS = ("positive", "negative", "neutral")
 MODEL_VERSION = "lexicon-1"
 # Label boundary and damping of the compound score.

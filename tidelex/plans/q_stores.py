@@ -10,7 +10,7 @@ from tidelex.operators import validate as VA
 from tidelex.plans import views as V
 from tidelex.plans.q_metrics import on_raw, on_results
 from tidelex.plans.registry import query
-from tidelex.session import materialize, scratch
+from tidelex.session import scratch
 from tidelex.sources import readers as RD
 from tidelex.sources import sinks as SK
 
@@ -55,10 +55,10 @@ on_stores("rec4_merge_conflicts", FILLED, lambda a, b: RC.merge_conflicts(a, b,
     "id", F.md5(F.get_json_object("payload", "$.selftext")).alias("body"),
     F.get_json_object("payload", "$.author").alias("author"),
     F.get_json_object("payload", "$.score").cast("long").alias("score"), "filled"))
-on_stores("rec5_report", f"""SELECT *, a_only AS inserted_b, b_only AS exported_a, 0 AS resolved, total_a + total_b - in_both AS unique_records,
+on_stores("rec5_report", f"""SELECT *, a_only AS inserted_b, b_only AS exported_a, CAST(0 AS BIGINT) AS resolved, total_a + total_b - in_both AS unique_records,
   100.0::DOUBLE AS coverage_pct, 0.0::DOUBLE AS resolution_pct, a_only > 0 AS a_to_b, b_only > 0 AS b_to_a, false AS merged FROM (SELECT {DIFF})""",
           lambda a, b: RC.report(RC.presence(a, b, prefix=PREFIX), F.col("a_only"), F.col("b_only")))
-on_stores("rec6_dry_run", f"""SELECT *, 0 AS inserted_b, 0 AS exported_a, 0 AS resolved, total_a + total_b - in_both AS unique_records,
+on_stores("rec6_dry_run", f"""SELECT *, CAST(0 AS BIGINT) AS inserted_b, CAST(0 AS BIGINT) AS exported_a, CAST(0 AS BIGINT) AS resolved, total_a + total_b - in_both AS unique_records,
   round(in_both * 100.0 / (a_only + b_only + in_both), 6)::DOUBLE AS coverage_pct, 0.0::DOUBLE AS resolution_pct, false AS a_to_b, false AS b_to_a,
   false AS merged FROM (SELECT {DIFF})""", lambda a, b: RC.report(RC.presence(a, b, prefix=PREFIX)))
 AGREE = " UNION ALL ".join(f"SELECT '{f}' AS field, avg(CASE WHEN a.{f} IS NOT DISTINCT FROM b.{f} THEN 1.0::DOUBLE ELSE 0 END) AS equal_share FROM j"
@@ -86,7 +86,7 @@ CHECKS = {
     "val2_time_agreement": (check_sql("time_agreement", BOTH, "SELECT count(*) FROM store_a a JOIN store_b b USING (id) WHERE abs(a.created_utc - b.created_utc) > 1"),
                             lambda a, b: VA.time_agreement(a, b, PREFIX)),
     "val3_completeness": (check_sql("completeness", A_ROWS, A_MISS), lambda a, b: VA.completeness(a, b, PREFIX)),
-    "val4_payload_keys": (check_sql("payload_keys", B_ROWS, "SELECT 0"), lambda a, b: VA.payload_keys(b)),
+    "val4_payload_keys": (check_sql("payload_keys", B_ROWS, "SELECT CAST(0 AS BIGINT)"), lambda a, b: VA.payload_keys(b)),
     "val5_both_way_sync": (check_sql("both_way_sync", f"SELECT ({BOTH}) + ({A_MISS}) + ({B_MISS})", f"SELECT ({A_MISS}) + ({B_MISS})"),
                            lambda a, b: VA.both_way_sync(a, b, PREFIX)),
 }
@@ -98,7 +98,7 @@ on_results("bld1_live_history_blend", """SELECT source_id, count(*) FILTER (live
   round(coalesce(avg(sentiment_score) FILTER (live), avg(sentiment_score) FILTER (NOT live)), 6) AS blended_score
   FROM (SELECT *, occurred_at > TIMESTAMP '2024-01-30 12:00:00' AS live FROM v_results) GROUP BY 1""",
            lambda df: M.live_or_history(df.where("occurred_at > '2024-01-30 12:00:00'"), df.where("occurred_at <= '2024-01-30 12:00:00'"), keys=["source_id"]))
-on_results("bld1_date_dimension", """SELECT CAST(d AS DATE) AS day, year(d) AS year, month(d) AS month, week(d) AS iso_week, dayname(d) AS weekday
+on_results("bld1_date_dimension", """SELECT CAST(d AS TIMESTAMP) AS day, year(d) AS year, month(d) AS month, week(d) AS iso_week, dayname(d) AS weekday
   FROM (SELECT unnest(generate_series(date_trunc('day', min(occurred_at)), date_trunc('day', max(occurred_at)), INTERVAL 1 DAY)) AS d FROM v_results)""",
            M.date_dimension)
 
@@ -246,10 +246,10 @@ def snk5(spark, sf_dir):
     return time_filter(spark.read.parquet(path), "2024-01-10 06:00:00", "2024-01-12 18:00:00").select("id")
 
 
-on_raw("snk6_day_partitions", "SELECT CAST(occurred_at AS DATE) AS day, count(*) AS rows, CAST(CAST(occurred_at AS DATE) + 1 AS DATE) AS next_day FROM v_raw GROUP BY CAST(occurred_at AS DATE)",
+on_raw("snk6_day_partitions", "SELECT CAST(CAST(occurred_at AS DATE) AS TIMESTAMP) AS day, count(*) AS rows, CAST(CAST(occurred_at AS DATE) + 1 AS TIMESTAMP) AS next_day FROM v_raw GROUP BY CAST(occurred_at AS DATE)",
        SK.day_partitions)
 query("snk6_missing_days", """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice > 450000)
-  SELECT CAST(g AS DATE) AS day FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS g FROM d) WHERE CAST(g AS DATE) NOT IN (SELECT day FROM d)""")(
+  SELECT CAST(g AS TIMESTAMP) AS day FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS g FROM d) WHERE CAST(g AS DATE) NOT IN (SELECT day FROM d)""")(
     lambda s, d: SK.missing_days(V.table(s, d, "orders").where(F.col("o_totalprice") > 450000), "o_orderdate"))
 
 

@@ -21,7 +21,7 @@ def tidy(df: DataFrame) -> DataFrame:
         col = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             col = F.round(col, 6)
-        elif isinstance(field.dataType, T.TimestampType):
+        elif isinstance(field.dataType, (T.TimestampType, T.DateType)):
             col = col.cast("timestamp_ntz")
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             col = col.cast("bigint")

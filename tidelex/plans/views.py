@@ -32,9 +32,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results_of(table(spark, sf_dir, "events"))
+
+
+def results_of(events: DataFrame) -> DataFrame:
     score = (F.col("value") - 50) / (F.col("value") + 50)
     ts = F.col("ts").cast("timestamp")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("id"), "event_id", ts.alias("occurred_at"),
         F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("source_id"),
         score.alias("sentiment_score"),
@@ -81,8 +85,12 @@ V_RAW = """v_raw AS (
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as submissions, half an hour apart, with their time as ``posted_at``."""
+    return posts_of(table(spark, sf_dir, "documents"))
+
+
+def posts_of(documents: DataFrame) -> DataFrame:
     epoch = F.lit(FIRST_POST) + F.col("doc_id") * POST_STEP
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
         epoch.cast("double").alias("created_utc"), F.col("source").alias("subreddit"),
         F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("selftext"),
@@ -99,7 +107,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 V_POSTS = f"""v_posts AS (
   SELECT 'd' || doc_id AS id, CAST({FIRST_POST} + doc_id * {POST_STEP} AS DOUBLE) AS created_utc, source AS subreddit,
     split_part(text, chr(10), 1) AS title, text AS selftext,
-    CASE WHEN lang <> 'es' THEN 'u_' || lang END AS author, CAST(n_chars AS INTEGER) AS score,
+    CASE WHEN lang <> 'es' THEN 'u_' || lang END AS author, CAST(n_chars AS BIGINT) AS score,
     round(n_chars / (n_chars + 1000), 4) AS upvote_ratio, length(text) AS num_comments,
     'https://posts.example/' || doc_id AS url, CASE WHEN lang = 'de' THEN '' ELSE lang END AS flair_text,
     false AS over_18, make_timestamp(CAST({FIRST_POST} + doc_id * {POST_STEP} AS BIGINT) * 1000000) AS posted_at,
@@ -109,8 +117,11 @@ V_POSTS = f"""v_posts AS (
 
 def doc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw events. Spanish records carry their text under a key that is not read."""
-    post = posts(spark, sf_dir)
-    return post.select(
+    return doc_events_of(table(spark, sf_dir, "documents"))
+
+
+def doc_events_of(documents: DataFrame) -> DataFrame:
+    return posts_of(documents).select(
         F.col("doc_id").alias("id"), F.col("subreddit").alias("source"), F.col("id").alias("source_id"),
         F.col("posted_at").alias("occurred_at"),
         F.when(F.col("lang") == "es", F.to_json(F.struct(F.col("selftext").alias("caption"))))
