@@ -1,0 +1,15 @@
+"""Distribution of rows over tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share a small input over all cores before costly per-row work.
+
+    A table with at least as many splits as cores is left as it is, so a large
+    one is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores * 2, key)

@@ -58,6 +58,11 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
                            for c in df.columns])
 
 
+def bin_of(us: Column, width: int) -> Column:
+    """Whole number of the bin of ``width`` microseconds that holds ``us``, exact also at its edges."""
+    return ((us - F.pmod(us, F.lit(width))) / F.lit(width)).cast("long")
+
+
 def time_gaps(df: DataFrame, keys: list[str], ts: str, min_gap_seconds: float) -> DataFrame:
     """Pauses strictly longer than ``min_gap_seconds`` between neighbouring rows.
 
@@ -70,7 +75,7 @@ def time_gaps(df: DataFrame, keys: list[str], ts: str, min_gap_seconds: float) -
     width = int(round(min_gap_seconds * 1_000_000))
     us = micros(F.col(ts))
     bins = (df.where(F.col(ts).isNotNull())
-            .groupBy(*keys, F.floor(us / F.lit(width)).cast("long").alias("_bin"))
+            .groupBy(*keys, bin_of(us, width).alias("_bin"))
             .agg(F.min(us).alias("_lo"), F.max(us).alias("_hi")))
     if keys and width >= 60_000_000:
         pairs = bins.withColumn("_prev", F.lag("_hi").over(Window.partitionBy(*keys).orderBy("_bin")))
@@ -92,18 +97,22 @@ def time_gaps(df: DataFrame, keys: list[str], ts: str, min_gap_seconds: float) -
 
 
 def range_join(rows: DataFrame, ranges: DataFrame, keys: list[str], ts: str,
-               lo: str, hi: str, bin_seconds: int = 86_400) -> DataFrame:
+               lo: str, hi: str, bin_seconds: int = 86_400, salts: int = 1,
+               salt_by: list[str] | None = None) -> DataFrame:
     """Rows whose time lies in ``[lo, hi]`` of a range with the same keys.
 
     The ranges are expanded to the time bins they touch, which makes the join an
     equality join on (keys, bin); the exact bounds are tested afterwards. A row
-    is in one bin only, so a pair is found once. Skewed bins are split by AQE.
+    is in one bin only, so a pair is found once. AQE splits skewed bins; where
+    one key and bin is known to be hot, ``salts`` spreads its rows over that
+    many tasks (by ``salt_by``, or by time) and repeats the few ranges for each.
     """
     width = bin_seconds * 1_000_000
-    left = rows.withColumn("_bin", F.floor(micros(F.col(ts)) / width).cast("long"))
+    left = rows.withColumns({"_bin": bin_of(micros(F.col(ts)), width),
+                             "_salt": F.pmod(F.xxhash64(*(salt_by or [ts])), F.lit(salts))})
     right = ranges.withColumn("_bin", F.explode(F.sequence(
-        F.floor(micros(F.col(lo)) / width).cast("long"),
-        F.floor(micros(F.col(hi)) / width).cast("long"))))
-    return (left.join(right, [*keys, "_bin"])
+        bin_of(micros(F.col(lo)), width), bin_of(micros(F.col(hi)), width))))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    return (left.join(right, [*keys, "_bin", "_salt"])
             .where((F.col(ts) >= F.col(lo)) & (F.col(ts) <= F.col(hi)))
-            .drop("_bin"))
+            .drop("_bin", "_salt"))

@@ -43,13 +43,15 @@ def time_filter(df: DataFrame, start=None, end=None, ts: str = "occurred_at",
                 date_col: str = "occurred_date") -> DataFrame:
     """Closed time range, with the matching date range so that partitions are pruned."""
     dated = date_col in df.columns
+    # The bound takes the column's own type; a cast of the column would not reach the scan.
+    kind = df.schema[ts].dataType
     if start is not None:
-        lower = as_column(start).cast("timestamp")
+        lower = as_column(start).cast(kind)
         df = df.where(F.col(ts) >= lower)
         if dated:
             df = df.where(F.col(date_col) >= F.to_date(lower))
     if end is not None:
-        upper = as_column(end).cast("timestamp")
+        upper = as_column(end).cast(kind)
         df = df.where(F.col(ts) <= upper)
         if dated:
             df = df.where(F.col(date_col) <= F.to_date(upper))

@@ -332,7 +332,9 @@ def threshold_alerts(buckets: DataFrame, rules: list[tuple[str, str]]) -> DataFr
 
 def word_counts(df: DataFrame, words: str, top: int | None = None) -> DataFrame:
     """Word frequencies of cleaned texts, given as arrays of words."""
-    counts = df.select(F.explode(words).alias("word")).groupBy("word").agg(count_all().alias("n"))
+    # The outer form keeps the optimizer from testing the array below, which would clean each text twice.
+    every = df.select(F.explode_outer(words).alias("word")).where(F.col("word").isNotNull())
+    counts = every.groupBy("word").agg(count_all().alias("n"))
     return counts if top is None else counts.orderBy(F.desc("n"), "word").limit(top)
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelex.functions.binding import let
 from tidelex.functions.ordering import first_per_key, range_join
-from tidelex.functions.timefn import as_column, bucket  # noqa: F401
+from tidelex.functions.timefn import as_column
 from tidelex.operators.filters import unseen
 
 POST_TIME = "posted_at"
@@ -19,13 +20,13 @@ def searchable(df: DataFrame) -> Column:
 
 def matched_terms(haystack: Column, terms: list[str]) -> Column:
     """The terms that occur in the text, in the order given; one pass per row, no join."""
-    found = [F.when(haystack.contains(t.lower()), F.lit(t)) for t in terms]
-    return F.array_compact(F.array(*found))
+    return let(haystack, lambda text: F.array_compact(F.array(*[
+        F.when(text.contains(t.lower()), F.lit(t)) for t in terms])))
 
 
 def first_matched_term(haystack: Column, terms: list[str]) -> Column:
     """The first term that occurs in the text; later terms are not looked for."""
-    return F.coalesce(*[F.when(haystack.contains(t.lower()), F.lit(t)) for t in terms])
+    return let(haystack, lambda text: F.coalesce(*[F.when(text.contains(t.lower()), F.lit(t)) for t in terms]))
 
 
 def in_range(df: DataFrame, start=None, end=None) -> DataFrame:
@@ -66,8 +67,16 @@ def with_search_years(posts: DataFrame) -> DataFrame:
     return posts.withColumn("search_year", F.explode(years))
 
 
+def _without_text(df: DataFrame) -> DataFrame:
+    """Hits are told apart by id, so their long texts need not be shuffled."""
+    return df.drop("title", "selftext")
+
+
 def term_sweep(posts: DataFrame, terms: list[str], first_year: int, last_year: int) -> DataFrame:
-    """Year searches first, then one search per term; each id is kept by its first finder."""
+    """Year searches first, then one search per term; each id is kept by its first finder.
+
+    Like the sweeps below, it returns the posts without their texts.
+    """
     year = F.when(F.col(POST_TIME) == F.date_trunc("year", F.col(POST_TIME)),
                   F.year(POST_TIME) - 1).otherwise(F.year(POST_TIME))
     by_year = F.when((year < first_year) & (F.year(POST_TIME) == first_year), F.lit(first_year)).when(
@@ -76,14 +85,15 @@ def term_sweep(posts: DataFrame, terms: list[str], first_year: int, last_year: i
     found = posts.withColumn("found_by", F.coalesce(
         F.concat(F.lit("year "), by_year.cast("string")), F.concat(F.lit("term "), term)))
     found = found.where(F.col("found_by").isNotNull())
-    return first_per_key(found, ["id"], [F.col(POST_TIME), F.col("found_by")])
+    return first_per_key(_without_text(found), ["id"], [F.col(POST_TIME), F.col("found_by")])
 
 
 def window_search(posts: DataFrame, windows: DataFrame, keys: list[str], terms: list[str],
                   bin_seconds: int = 30 * 86_400) -> DataFrame:
     """Posts inside each window with the terms they hold; the earliest window keeps the id."""
-    joined = range_join(posts, windows, keys, POST_TIME, "window_start", "window_end", bin_seconds)
-    hits = joined.withColumn("terms", matched_terms(searchable(joined), terms))
+    # Terms are looked for before the join, so that only ids and terms are shuffled.
+    found = _without_text(posts.withColumn("terms", matched_terms(searchable(posts), terms)))
+    hits = range_join(found, windows, keys, POST_TIME, "window_start", "window_end", bin_seconds)
     return first_per_key(hits, ["id"], [F.col("window_start"), F.col("window_end")])
 
 
@@ -101,14 +111,13 @@ def window_sweep_with_fallback(primary: DataFrame, archive: DataFrame, windows:
     wide = F.col("window_end") >= F.col("window_start") + F.make_dt_interval(F.lit(min_fallback_days))
     empty = windows.where(wide).join(filled, [group, "window_no"], "left_anti")
     candidates = range_join(archive, empty, keys, POST_TIME, "window_start", "window_end")
-    text = searchable(candidates)
-    ranks = F.array_compact(F.array(*[
-        F.when(text.contains(t.lower()), F.lit(i)) for i, t in enumerate(terms)]))
-    hits = candidates.withColumn("_rank", F.explode(ranks))
+    ranks = let(searchable(candidates), lambda text: F.array_compact(F.array(*[
+        F.when(text.contains(t.lower()), F.lit(i)) for i, t in enumerate(terms)])))
+    hits = _without_text(candidates.withColumn("_rank", F.explode(ranks)))
     best = hits.groupBy(group, "window_no").agg(F.min("_rank").alias("_rank"))
     fallback = hits.join(best, [group, "window_no", "_rank"])
     term_names = F.array(*[F.lit(t) for t in terms])
-    direct = direct.withColumn("found_by", F.lit("time"))
+    direct = _without_text(direct).withColumn("found_by", F.lit("time"))
     fallback = fallback.withColumn("found_by", F.concat(
         F.lit("term "), F.get(term_names, F.col("_rank")))).drop("_rank")
     both = direct.unionByName(fallback.select(*direct.columns))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelex.functions.layout import spread  # noqa: F401
 from tidelex.functions.timefn import micros
 from tidelex.operators.mapping import to_envelope
 from tidelex.schemas import SUBMISSION_COLUMNS
@@ -21,16 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Share a small input over all cores before costly per-row work.
-
-    A table with at least as many splits as cores is left as it is, so a large
-    one is never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores * 2, key)
-
-
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results_of(table(spark, sf_dir, "events"))
 

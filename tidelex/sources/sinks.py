@@ -48,11 +48,9 @@ def append_events(df: DataFrame, path: str, key: list[str] = EVENT_KEY) -> tuple
     """
     spark = df.sparkSession
     existing = None
-    if table_exists(spark, path):
-        lo, hi = df.agg(F.to_date(F.min("occurred_at")), F.to_date(F.max("occurred_at"))).first()
-        if lo is not None:
-            existing = spark.read.parquet(path).where(F.col("occurred_date").between(lo, hi))
-    attempted = df.count()
+    attempted, lo, hi = df.agg(F.count(F.lit(1)), F.to_date(F.min("occurred_at")), F.to_date(F.max("occurred_at"))).first()
+    if attempted and table_exists(spark, path):
+        existing = spark.read.parquet(path).where(F.col("occurred_date").between(lo, hi))
     fresh = materialize(with_date(not_yet_stored(df, existing, key)))
     inserted = fresh.count()
     if inserted:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidelex.functions.layout import spread
 from tidelex.functions.ordering import first_per_key
 from tidelex.functions.timefn import micros
 from tidelex.operators.mapping import normalize_submission, split_bad, to_envelope
@@ -52,7 +53,7 @@ def analyze(events: DataFrame, out: str, checkpoint: str, make_scorer=None, once
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         routed_path = f"{out}/routed/batch_id={batch_id}"
-        route_events(df, make_scorer=make_scorer).withColumn("_now", clock().cast("timestamp")).write.mode(
+        route_events(spread(df, "id"), make_scorer=make_scorer).withColumn("_now", clock().cast("timestamp")).write.mode(
             "overwrite").parquet(routed_path)
         routed = spark.read.parquet(routed_path)
         at = F.col("_now")
