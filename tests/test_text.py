@@ -96,3 +96,14 @@ def test_length_pieces_hold_the_whole_text(spark):
     text = "abc" * 4000
     pieces = column(spark, [text], TX.length_pieces)[0]
     assert [len(p) for p in pieces] == [5000, 5000, 2000] and "".join(pieces) == text
+
+
+def test_detector_plugin(spark):
+    import pandas as pd
+
+    class Fixed:
+        def detect(self, texts):
+            return pd.DataFrame({"code": ["xx" if t else "unknown" for t in texts], "confidence": [0.5] * len(texts)})
+
+    got = column(spark, ["a", None], lambda t: TX.language_by_model(t, Fixed)["code"])
+    assert got == ["xx", "unknown"]

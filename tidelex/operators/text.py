@@ -10,8 +10,12 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import Protocol
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,9 @@ from tidelex.functions.binding import let
 from tidelex.functions.jsonfn import is_object, string_only, variant
 from tidelex.functions.wordlists import LANGUAGE_WORDS, STOP_WORDS
 
+# Workers get this module's functions and classes by value, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TARGET_LANGUAGE = "en"
 UNKNOWN_LANGUAGE = "unknown"
 
@@ -246,3 +253,48 @@ def length_pieces(text: Column, cap: int = LENGTH_CAP) -> Column:
     count = F.greatest(F.lit(1), F.ceil(F.length(text) / cap)).cast("int")
     return F.transform(F.sequence(F.lit(0), count - 1),
                        lambda i: F.substring(text, i * cap + 1, F.lit(cap)))
+
+
+class LanguageDetector(Protocol):
+    """A model: one row (code, confidence) per text."""
+
+    def detect(self, texts: pd.Series) -> pd.DataFrame: ...
+
+
+class Lemmatizer(Protocol):
+    """A model: the cleaned form of each text."""
+
+    def lemmatize(self, texts: pd.Series) -> pd.Series: ...
+
+
+class WordFilter:
+    """Sample lemmatizer: keeps words of letters that are no stop words, as they are."""
+
+    stop_words = frozenset(STOP_WORDS)
+
+    def lemmatize(self, texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: " ".join(w for w in t.lower().split() if w not in self.stop_words and w.isalpha()))
+
+
+def language_by_model(text: Column, make_detector: Callable[[], LanguageDetector]) -> Column:
+    """Struct (code, confidence) from a plug-in detector, in Arrow batches, one detector per task."""
+
+    @F.pandas_udf("code string, confidence double")
+    def detect(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        detector = make_detector()
+        for texts in batches:
+            yield detector.detect(texts.fillna(""))
+
+    return detect(text)
+
+
+def lemmas_by_model(text: Column, make_lemmatizer: Callable[[], Lemmatizer]) -> Column:
+    """Cleaned text from a plug-in lemmatizer, in Arrow batches, one lemmatizer per task."""
+
+    @F.pandas_udf("string")
+    def lemmatize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lemmatizer = make_lemmatizer()
+        for texts in batches:
+            yield lemmatizer.lemmatize(texts.fillna(""))
+
+    return lemmatize(text)

@@ -136,6 +136,10 @@ query("txt11_language_gate", PREP + " SELECT doc_id, CASE WHEN code = 'en' THEN
 query("txt12_token_filter", f"""SELECT doc_id, md5(array_to_string(list_filter(string_split({squeeze_sql('lower(text)')}, ' '),
     lambda w: regexp_full_match(w, '\\p{{L}}+') AND NOT list_contains({sql_list(STOP_WORDS)}, w)), ' ')) AS digest FROM documents""")(
     lambda s, d: docs(s, d).select("doc_id", F.md5(TX.filter_tokens(TX.single_spaces(TX.one_line(F.col("text"))))).alias("digest")))
+query("txt13_lemmatizer_plugin", f"""SELECT doc_id, md5(array_to_string(list_filter(string_split({squeeze_sql('lower(text)')}, ' '),
+    lambda w: regexp_full_match(w, '\\p{{L}}+') AND NOT list_contains({sql_list(STOP_WORDS)}, w)), ' ')) AS digest FROM documents""")(
+    lambda s, d: docs(s, d).select("doc_id", TX.lemmas_by_model(F.col("text"), TX.WordFilter).alias("t"))
+    .select("doc_id", F.md5("t").alias("digest")))
 query("txt14_preprocess", PREP + """ SELECT doc_id, md5(cleaned) AS digest, code AS detected_language_code,
   round(share, 6) AS detected_language_confidence, code = 'en' AS is_target_language FROM prep""")(
     lambda s, d: TX.preprocess(docs(s, d), "text").select(
