@@ -36,22 +36,20 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str,
     """Exact percentiles with linear interpolation, one row per key.
 
     The built-in exact percentile keeps every distinct value of a group in one
-    task. Here equal values are counted before the shuffle, a histogram of
-    bounded size finds the bins that hold the wanted ranks, and only the values
-    of those bins are put in order.
+    task. Here a histogram of bounded size, counted before the shuffle, finds the
+    bins that hold the wanted ranks; only the rows of those bins are kept, their
+    equal values counted together, and put in order.
     """
     group = list(keys) or ["_all"]
     base = df if keys else df.withColumn("_all", F.lit(0))
     base = base.select(*group, F.col(value).cast("double").alias("_v"))
     for key in group:
         base = base.where(F.col(key).isNotNull())
-    values = (base.where(F.col("_v").isNotNull())
-              .groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_bin", magnitude_bin(F.col("_v"))))
+    rows = base.where(F.col("_v").isNotNull()).withColumn("_bin", magnitude_bin(F.col("_v")))
 
     running = Window.partitionBy(*group).orderBy("_bin").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    hist = (values.groupBy(*group, "_bin").agg(F.sum("_n").alias("_n"))
+    hist = (rows.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
             .withColumn("_upto", F.sum("_n").over(running))
             .withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
             .withColumn("_before", F.col("_upto") - F.col("_n")))
@@ -69,7 +67,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str,
 
     in_bin = Window.partitionBy(*group, "_bin").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    ordered = (values.join(wanted.select(*group, "_bin").distinct(), [*group, "_bin"], "left_semi")
+    ordered = (rows.join(wanted.select(*group, "_bin").distinct(), [*group, "_bin"], "left_semi")
+               .groupBy(*group, "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"))
                .withColumn("_end", F.sum("_n").over(in_bin)))
     hits = (ordered.join(wanted, [*group, "_bin"])
             .where((F.col("rank") >= F.col("_before") + F.col("_end") - F.col("_n"))
