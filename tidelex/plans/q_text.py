@@ -156,7 +156,22 @@ query("txt16_length_pieces", """SELECT doc_id, CAST(i AS BIGINT) AS piece, md5(s
 
 SOFT = "round(pp, 6) AS p_positive, round(pn, 6) AS p_negative, round(pu, 6) AS p_neutral, round(conf, 6) AS confidence, lab AS label"
 PROBS = ["p_positive", "p_negative", "p_neutral", "confidence", "label"]
-query("sco1_classify_with_model")(lambda s, d: SC.classify_with_model(
+
+
+def keyword_sql(keys: str, source: str, empty: str, toks: str) -> str:
+    """The sample model in SQL: softmax of the summed weights of each sign and 1."""
+    return f"""k AS (SELECT {keys}, {empty} AS empty, {weight_sql('toks', 1)} AS lp, {weight_sql('toks', -1)} AS ln
+      FROM (SELECT *, {toks} AS toks FROM {source})),
+  x AS (SELECT *, CASE WHEN empty THEN 0 ELSE exp(lp - greatest(lp, ln, 1)) END AS ep,
+      CASE WHEN empty THEN 0 ELSE exp(ln - greatest(lp, ln, 1)) END AS en,
+      CASE WHEN empty THEN 1 ELSE exp(1 - greatest(lp, ln, 1)) END AS eu FROM k),
+  scored AS (SELECT *, ep / (ep + en + eu) AS pp, en / (ep + en + eu) AS pn, eu / (ep + en + eu) AS pu,
+      greatest(ep, en, eu) / (ep + en + eu) AS conf,
+      CASE WHEN ep >= en AND ep >= eu THEN 'positive' WHEN en >= eu THEN 'negative' ELSE 'neutral' END AS lab FROM x)"""
+
+
+query("sco1_classify_with_model", PREP + ", " + keyword_sql("doc_id", "prep", "cleaned = ''", "string_split(cleaned, ' ')")
+      + f" SELECT doc_id, {SOFT} FROM scored")(lambda s, d: SC.classify_with_model(
     TX.preprocess(docs(s, d), "text").select("doc_id", "cleaned_text"), "cleaned_text", SC.KeywordScorer)
     .select("doc_id", *PROBS))
 query("sco2_blank_default", f"""WITH {V.V_DOC_EVENTS}, {softmax_sql('v_doc_events', 'text')} SELECT id, {SOFT} FROM scored WHERE empty""")(
@@ -173,7 +188,8 @@ query("sco5_lexicon_compound", f"""WITH t AS (SELECT doc_id, regexp_extract_all(
     CASE WHEN c >= 0.05 THEN 'positive' WHEN c <= -0.05 THEN 'negative' ELSE 'neutral' END AS compound_label FROM c""")(
     lambda s, d: SC.with_compound(docs(s, d), "text").select(
         "doc_id", "compound", "pos_share", "neg_share", "neu_share", "compound_label"))
-query("sco6_bulk_analyze")(lambda s, d: SC.bulk_analyze(
+query("sco6_bulk_analyze", "WITH " + keyword_sql("conv_id, turn", "conversations", f"trim(text, {WS}) = ''",
+      f"string_split_regex(lower(text), '[{B}]+')") + f" SELECT conv_id, turn, {SOFT}, 0.0::DOUBLE AS p_error FROM scored")(lambda s, d: SC.bulk_analyze(
     V.table(s, d, "conversations").select("conv_id", "turn", "text"), "text").select(
         "conv_id", "turn", *PROBS, "p_error"))
 ANALYZE = PREP + ", pick AS (SELECT *, CASE WHEN cleaned = '' THEN original ELSE cleaned END AS s FROM prep), " + softmax_sql("pick", "s")
