@@ -83,8 +83,9 @@ def test_range_join_finds_each_pair_once(spark):
     rows = spark.createDataFrame([("g", T0 + timedelta(hours=h)) for h in range(0, 200, 5)], "k string, ts timestamp")
     ranges = spark.createDataFrame([("g", T0 + timedelta(hours=10), T0 + timedelta(hours=100)), ("h", T0, T0 + timedelta(hours=500))],
                                    "k string, lo timestamp, hi timestamp")
-    got = sorted(r.ts for r in O.range_join(rows, ranges, ["k"], "ts", "lo", "hi").collect())
-    assert got == [T0 + timedelta(hours=h) for h in range(10, 101, 5)]
+    for salts in (1, 5):
+        got = sorted(r.ts for r in O.range_join(rows, ranges, ["k"], "ts", "lo", "hi", salts=salts).collect())
+        assert got == [T0 + timedelta(hours=h) for h in range(10, 101, 5)]
 
 
 def test_moving_windows_equal_pandas(spark):
@@ -128,3 +129,14 @@ def test_backfill_stops_after_three_empty_windows(spark):
     assert got == {"a": (7, 3, 3), "b": (2, 0, 0), "c": (6, 2, 2)}
     kept = W.backfill_rows(df, "g", "ts", str(end), 1)
     assert kept.groupBy("g").count().count() == 2 and kept.count() == 5
+
+
+def test_gap_fill_takes_only_unseen_rows_inside_gaps(spark):
+    known = spark.createDataFrame([("1", "g", T0), ("2", "g", T0 + timedelta(hours=5))], "id string, g string, occurred_at timestamp")
+    archive = known.unionByName(spark.createDataFrame(
+        [("0", "g", T0 - timedelta(hours=1)), ("3", "g", T0 + timedelta(hours=2)), ("3", "g", T0 + timedelta(hours=2)),
+         ("4", "g", T0 + timedelta(hours=6)), ("5", "h", T0 + timedelta(hours=2))], known.schema))
+    gaps = G.group_gaps(known, "g")
+    assert [r.id for r in G.fill_from_archive(known, archive, gaps, "g").collect()] == ["3"]
+    plan = G.fill_plan(gaps, "g").collect()
+    assert [(r.fill_rank, r.window_days) for r in plan] == [(1, 1)]

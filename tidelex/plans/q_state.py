@@ -123,15 +123,20 @@ TERM_LIST = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
 P = f"WITH {V.V_POSTS} "
 
 
+def searched(spark, sf_dir):
+    return V.posts_of(V.spread(V.table(spark, sf_dir, "documents"), "doc_id"))
+
+
 def on_posts(name, sql, fn):
-    query(name, P + sql)(lambda s, d: fn(V.posts(s, d)))
+    posts = searched if name.startswith("sea") else V.posts
+    query(name, P + sql)(lambda s, d: fn(posts(s, d)))
 
 
 @query("sea1_term_search", P + f"""SELECT id, term FROM (SELECT *, unnest({TERM_LIST}) AS term FROM v_posts)
   WHERE contains({HAY}, term) AND posted_at BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-18 00:00:00'
   AND doc_id NOT IN (SELECT doc_id FROM labels)""")
 def sea1(spark, sf_dir):
-    posts = V.posts(spark, sf_dir)
+    posts = searched(spark, sf_dir)
     seen = V.table(spark, sf_dir, "labels").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"))
     return SE.term_search(posts, TERMS, "2024-01-02 00:00:00", "2024-01-18 00:00:00", seen).select("id", "term")
 

@@ -202,9 +202,13 @@ ROUTED = f"WITH {V.V_DOC_EVENTS}, " + prep_sql("v_doc_events", "id, source, sour
 ROUTE = "CASE WHEN blank THEN 'dead_letter' WHEN code <> 'en' THEN 'skipped_language' ELSE 'result' END"
 
 
+def routing(spark, sf_dir):
+    return RE.route_events(V.spread(V.doc_events(spark, sf_dir), "id"))
+
+
 def routed(spark, sf_dir):
     """Routed events, written out once: a filter on the route must not repeat the work above it."""
-    return materialize(RE.route_events(V.spread(V.doc_events(spark, sf_dir), "id")))
+    return materialize(routing(spark, sf_dir))
 
 
 query("res1_result_rows", ROUTED + f""" SELECT id AS event_id, occurred_at, source, source_id, round(conf, 6) AS sentiment_score,
@@ -218,11 +222,11 @@ query("res2_dead_letters", ROUTED + f""" SELECT CAST(id AS VARCHAR) AS event_id,
     lambda s, d: RE.dead_letters(routed(s, d), AT).drop("event_payload"))
 query("res3_event_routes", ROUTED + f""" SELECT {ROUTE} AS route, source, count(*) AS events,
   coalesce(round(avg(conf) FILTER ({ROUTE} = 'result'), 6), 0) AS mean_score FROM scored GROUP BY 1, 2""")(
-    lambda s, d: routed(s, d).groupBy("route", "source").agg(F.count(F.lit(1)).alias("events"), F.coalesce(F.avg(
+    lambda s, d: routing(s, d).groupBy("route", "source").agg(F.count(F.lit(1)).alias("events"), F.coalesce(F.avg(
         F.when(F.col("route") == "result", F.col("confidence"))), F.lit(0.0)).alias("mean_score")))
 query("clm5_batch_outcome", ROUTED + f""" SELECT count(*) AS attempted, count(*) FILTER ({ROUTE} <> 'dead_letter') AS succeeded,
   count(*) FILTER ({ROUTE} = 'dead_letter') AS failed FROM scored""")(
-    lambda s, d: batch_outcome(routed(s, d)))
+    lambda s, d: batch_outcome(routing(s, d)))
 query("eva1_scoring_quality", f"""WITH {softmax_sql('documents', 'text')},
   p AS (SELECT CASE WHEN lab = 'negative' THEN 1 ELSE 0 END AS predicted, l.toxic AS actual FROM scored JOIN labels l USING (doc_id)),
   k AS (SELECT unnest([0, 1]) AS label)
