@@ -69,8 +69,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def rolling(values: np.ndarray, width: int) -> np.ndarray:
-    """Rabin-Karp hashes of every ``width`` consecutive values (one per start), in blocks."""
+def rolling(values: np.ndarray, width: int, table: np.ndarray | None = None) -> np.ndarray:
+    """Rabin-Karp hashes of every ``width`` consecutive values (one per start), in blocks.
+
+    With ``table`` the values are looked up in it first.
+    """
     count = len(values) - width + 1
     if count <= 0:
         return np.empty(0, dtype=np.uint64)
@@ -78,6 +81,8 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
     for lo in range(0, count, BLOCK):
         hi = min(count, lo + BLOCK)
         part = values[lo:hi + width - 1]
+        if table is not None:
+            part = table[part]
         up, down = powers(len(part))
         prefix = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(part * up, out=prefix[1:])
@@ -247,15 +252,18 @@ def partitions(df: DataFrame) -> int:
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed): texts zstd-compressed before they are shuffled; null stays null."""
+    """Column ``text``, the last, as ``packed``: zstd-compressed before it is shuffled; null stays null."""
+    *others, _ = docs.columns
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in others)
+
     def pack(batches):
         import zstandard
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(len(others))
             packed = pa.array([None if not t.is_valid else press.compress(t.as_buffer()) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["doc_id", "packed"])
-    return docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, packed binary")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], [*others, "packed"])
+    return docs.mapInArrow(pack, f"{kinds}, packed binary")
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[pa.RecordBatch]:

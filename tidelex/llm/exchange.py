@@ -10,8 +10,12 @@ that is in a third of all documents costs one pair per chunk.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+
+from tidelex.llm.common import concat_lists
 
 ROW = "part int, lane int, doc_id long, docs binary, data binary"
+_ROW = ["part", "lane", "doc_id", "docs", "data"]
 PASSED = -1
 
 
@@ -79,14 +83,17 @@ def by_document(docs: np.ndarray, values: np.ndarray, *more: np.ndarray):
     return docs[starts], values[order], np.append(starts, len(docs)), order
 
 
-def lane_groups(batches, names: tuple[str, ...]):
-    """Rows of a partition sorted by lane, as (lane, {column: list}) one lane at a time."""
+def lane_groups(batches, names: tuple[str, ...], at_once: int | None = None):
+    """Rows of a partition sorted by lane, as (lane, {column: list}) one lane at a time.
+
+    Rows of lane ``at_once`` are handed on batch by batch and never gathered.
+    """
     lane, held = None, {n: [] for n in names}
     for batch in batches:
         lanes = batch.column("lane").to_numpy()
         for lo, hi in _bounds(lanes):
             now = int(lanes[lo])
-            if lane is not None and now != lane:
+            if lane is not None and (now != lane or lane == at_once):
                 yield lane, held
                 held = {n: [] for n in names}
             lane = now
@@ -100,3 +107,83 @@ def _bounds(lanes: np.ndarray):
     starts = np.flatnonzero(np.concatenate(([True], lanes[1:] != lanes[:-1]))) if len(lanes) else np.empty(0, int)
     ends = np.append(starts[1:], len(lanes))
     return zip(starts, ends, strict=True)
+
+
+def offer(keys: np.ndarray, owner: np.ndarray, lanes: Lanes, smallest_too: bool = False):
+    """One (key, smallest document) pair per distinct key of a chunk, packed in lanes.
+
+    A key that the chunk itself has in several documents needs no answer from
+    elsewhere for the later ones (with ``smallest_too`` for all of them): these
+    pass through as decided.
+    """
+    if not len(keys):
+        return
+    order = np.argsort(keys, kind="stable")
+    ordered, owners = keys[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    length = np.diff(np.append(starts, len(ordered)))
+    least = np.minimum.reduceat(owners, starts)
+    if smallest_too:
+        told = np.repeat(np.maximum.reduceat(owners, starts) != least, length)
+    else:
+        told = owners > np.repeat(least, length)
+    # In text order, which keeps the steps between documents short.
+    first = np.empty(len(keys), dtype=np.int64)
+    first[order[starts]] = least
+    pick = np.sort(order[starts])
+    keys, asking = keys[pick], first[pick]
+    shuffled, lane, bounds = lanes.order(keys)
+    low, asking = lanes.pack_keys(keys[shuffled]), asking[shuffled]
+    cuts = list(zip(bounds[:-1], bounds[1:], strict=True))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(lanes.part(lane), pa.int32()), pa.array(lane, pa.int32()), pa.nulls(len(lane), pa.int64()),
+         pa.array([pack_docs(asking[a:b]) for a, b in cuts], pa.binary()),
+         pa.array([low[a:b].tobytes() for a, b in cuts], pa.binary())], _ROW)
+    if told.any():
+        ids, data = _told(owners[told], ordered[told])
+        n = len(ids)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.abs(ids) % lanes.parts, pa.int32()), pa.array(np.full(n, PASSED), pa.int32()),
+             pa.array(ids, pa.int64()), pa.nulls(n, pa.binary()), data], _ROW)
+
+
+def _told(docs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    ids, values, bounds, _ = by_document(docs, keys)
+    return ids, pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+
+
+def judge(batches, lanes: Lanes, smallest_too: bool = False):
+    """Per lane: a key offered several times goes back to every document but the smallest (or to all)."""
+    names = ["doc_id", "hashes"]
+    for lane, held in lane_groups(batches, ("doc_id", "docs", "data"), PASSED):
+        if lane == PASSED:
+            yield pa.RecordBatch.from_arrays([pa.array(held["doc_id"], pa.int64()), pa.array(held["data"], pa.binary())], names)
+            continue
+        keys = lanes.unpack_keys(np.frombuffer(b"".join(held["data"]), dtype=np.uint8), lane)
+        docs = np.concatenate([unpack_docs(d) for d in held["docs"]])
+        order = np.argsort(keys, kind="stable")
+        keys, docs = keys[order], docs[order]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        length = np.diff(np.append(starts, len(keys)))
+        if smallest_too:
+            told = np.repeat(length > 1, length)
+        else:
+            told = docs > np.repeat(np.minimum.reduceat(docs, starts), length)
+        if told.any():
+            ids, data = _told(docs[told], keys[told])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), data], names)
+
+
+def member_of(keys: np.ndarray, per: np.ndarray, told: pa.Array) -> np.ndarray:
+    """Which keys (``per`` of them for each row, in order) are among those told to their row."""
+    raw, bounds = concat_lists(told)
+    found = np.zeros(len(keys), dtype=bool)
+    ends = np.cumsum(per)
+    for i in np.flatnonzero(np.diff(bounds)):
+        lo, hi = ends[i] - per[i], ends[i]
+        if hi > lo:
+            known = np.sort(raw[bounds[i]:bounds[i + 1]].view("<u8"))
+            own = keys[lo:hi]
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            found[lo:hi] = known[at] == own
+    return found

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelex.llm.substring import substring_dedup
+from tidelex.llm.suffix import suffix_dedup
 from tidelex.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +49,28 @@ FROM w LEFT JOIN gone USING (doc_id)
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d)),
+least AS (SELECT s, min(doc_id) AS d FROM s GROUP BY s),
+hit AS (SELECT s.doc_id, p, p - 50 > coalesce(lag(p) OVER (PARTITION BY s.doc_id ORDER BY p), -100) AS fresh
+        FROM s JOIN least USING (s) WHERE s.doc_id > d),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b
+         FROM (SELECT doc_id, p, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM hit) GROUP BY doc_id, r),
+ordered AS (SELECT doc_id, a, b, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM runs),
+cut AS (SELECT o.doc_id, sum(b - a) AS gone, count(*) AS n, max(b) AS last,
+               string_agg(substr(h, 2 * coalesce(before, 0) + 1, 2 * (a - coalesce(before, 0))), '' ORDER BY a) AS kept
+        FROM ordered o JOIN d USING (doc_id) GROUP BY o.doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
+@query("op9_suffix_dedup", OP9_SQL)
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))

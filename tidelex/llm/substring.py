@@ -14,11 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.llm import exchange as ex
-from tidelex.llm.common import (chunks, concat_lists, hash_spans, id_and_text, join_words, packed_texts, partitions,
+from tidelex.llm.common import (chunks, hash_spans, id_and_text, join_words, packed_texts, partitions,
                                 rolling, unpacked, words_of)
 
 WINDOW = 13
-_ROW = ["part", "lane", "doc_id", "docs", "data"]
 
 
 def window_hashes(buf: np.ndarray, off: np.ndarray, width: int):
@@ -29,94 +28,17 @@ def window_hashes(buf: np.ndarray, off: np.ndarray, width: int):
 
 
 def offers(batches, lanes: ex.Lanes, width: int):
-    """Per chunk: one (hash, smallest document) pair per distinct window, packed in lanes.
-
-    Later documents of the same chunk need no answer from elsewhere; their
-    windows pass through as decided.
-    """
+    """Window hashes and the documents they are in, packed per chunk."""
     for chunk in chunks(batches):
-        docs = chunk.ids()
         _, _, per, hashes = window_hashes(chunk.buf, chunk.off, width)
-        if not len(hashes):
-            continue
-        owner = np.repeat(docs, per)
-        order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        owners = owner[order]
-        least = np.minimum.reduceat(owners, starts)
-        length = np.diff(np.append(starts, len(ordered)))
-        later = owners > np.repeat(least, length)
-        # One pair per distinct window, in text order, which keeps the steps between documents short.
-        pick = np.sort(order[starts])
-        first = np.empty(len(hashes), dtype=np.int64)
-        first[order[starts]] = least
-        keys, asking = hashes[pick], first[pick]
-        shuffled, lane, bounds = lanes.order(keys)
-        low, asking = lanes.pack_keys(keys[shuffled]), asking[shuffled]
-        n = len(lane)
-        columns = [pa.array(lanes.part(lane), pa.int32()), pa.array(lane, pa.int32()), pa.nulls(n, pa.int64()),
-                   pa.array([ex.pack_docs(asking[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()),
-                   pa.array([low[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, _ROW)
-        if later.any():
-            yield decided(owners[later], ordered[later], lanes)
-
-
-def decided(docs: np.ndarray, hashes: np.ndarray, lanes: ex.Lanes) -> pa.RecordBatch:
-    """Rows that need no judging: per document the hashes of its repeated windows."""
-    ids, values, bounds, _ = ex.by_document(docs, hashes)
-    n = len(ids)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.abs(ids) % lanes.parts, pa.int32()), pa.array(np.full(n, ex.PASSED), pa.int32()), pa.array(ids, pa.int64()),
-         pa.nulls(n, pa.binary()),
-         pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], _ROW)
-
-
-def judge(batches, lanes: ex.Lanes, smallest_too: bool = False):
-    """Per lane: hashes offered by several chunks go back to every document but the smallest."""
-    names = ["doc_id", "hashes"]
-    for lane, held in ex.lane_groups(batches, ("doc_id", "docs", "data")):
-        if lane == ex.PASSED:
-            yield pa.RecordBatch.from_arrays([pa.array(held["doc_id"], pa.int64()), pa.array(held["data"], pa.binary())], names)
-            continue
-        keys = lanes.unpack_keys(np.frombuffer(b"".join(held["data"]), dtype=np.uint8), lane)
-        docs = np.concatenate([ex.unpack_docs(d) for d in held["docs"]])
-        order = np.argsort(keys, kind="stable")
-        keys, docs = keys[order], docs[order]
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        length = np.diff(np.append(starts, len(keys)))
-        if smallest_too:
-            answer = np.repeat(length > 1, length)
-        else:
-            answer = docs > np.repeat(np.minimum.reduceat(docs, starts), length)
-        if answer.any():
-            ids, values, bounds, _ = ex.by_document(docs[answer], keys[answer])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()),
-                 pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names)
-
-
-def member_of(keys: np.ndarray, per: np.ndarray, told: pa.Array) -> np.ndarray:
-    """Which keys (``per`` of them for each row) are among the hashes told to their row."""
-    raw, bounds = concat_lists(told)
-    found = np.zeros(len(keys), dtype=bool)
-    ends = np.cumsum(per)
-    for i in np.flatnonzero(np.diff(bounds)):
-        lo, hi = ends[i] - per[i], ends[i]
-        if hi > lo:
-            known = np.sort(raw[bounds[i]:bounds[i + 1]].view("<u8"))
-            own = keys[lo:hi]
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            found[lo:hi] = known[at] == own
-    return found
+        yield from ex.offer(hashes, np.repeat(chunk.ids(), per), lanes)
 
 
 def remove(batches, width: int):
     """Cut the words that told windows cover."""
     for chunk in chunks(unpacked(batches)):
         words, at, per, hashes = window_hashes(chunk.buf, chunk.off, width)
-        hit = at[member_of(hashes, per, chunk.rows.column("told"))]
+        hit = at[ex.member_of(hashes, per, chunk.rows.column("told"))]
         size = len(words.start) + 1
         delta = np.bincount(hit, minlength=size) - np.bincount(np.minimum(hit + width, size - 1), minlength=size)
         covered = (np.cumsum(delta) > 0)[:-1]
@@ -148,7 +70,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lanes = ex.Lanes(parts)
     told = (narrow.where("doc_id IS NOT NULL").mapInArrow(lambda b: offers(b, lanes, window), ex.ROW)
             .repartitionById(parts, "part").sortWithinPartitions("lane")
-            .mapInArrow(lambda b: judge(b, lanes), "doc_id long, hashes binary")
+            .mapInArrow(lambda b: ex.judge(b, lanes), "doc_id long, hashes binary")
             .groupBy("doc_id").agg(F.collect_list("hashes").alias("told")))
     return (packed_texts(narrow).join(told, "doc_id", "left").select("doc_id", "packed", "told")
             .mapInArrow(lambda b: remove(b, window),
