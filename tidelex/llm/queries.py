@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelex.llm.decontaminate import decontaminate
 from tidelex.llm.minhash import near_duplicates
 from tidelex.llm.substring import substring_dedup
 from tidelex.llm.suffix import suffix_dedup
@@ -93,3 +94,30 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_minhash_near_dedup", OP2_SQL)
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_PLAIN_WORDS} AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS s
+      FROM (SELECT item_id, ws, least(len(ws), 13) AS k, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS i FROM b WHERE len(ws) > 0)),
+widths AS (SELECT DISTINCT k FROM w),
+win AS (SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS s
+        FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, widths)),
+found AS (SELECT win.doc_id, k, i, item_id FROM win JOIN w USING (k, s)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS l FROM found GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_hit, coalesce(len(l), 0) AS n_items,
+       sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op6_benchmark_decontamination", OP6_SQL)
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
