@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.llm import exchange as ex
-from tidelex.llm.common import (BYTE_VALUE, binary_column, chunks, concat_lists, gather, id_and_text, packed_texts,
-                                partitions, ragged, rolling, unpacked)
+from tidelex.llm.common import (BYTE_VALUE, binary_column, chunks, concat_lists, gather, id_and_text, mix64,
+                                packed_texts, partitions, ragged, rolling, unpacked)
 
 LENGTH = 50
 GRAM = 24
@@ -62,7 +62,8 @@ def pieces(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
         step = ragged(times) * LONGEST_RUN
         first.append(np.repeat(valid[starts], times) + step + lo)
         count.append(np.minimum(np.repeat(size, times) - step, LONGEST_RUN))
-        key.append(np.repeat(own[starts], times))
+        # Minima are small numbers; mixed again they spread over all lanes.
+        key.append(np.repeat(mix64(own[starts]), times))
     if not first:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate(first), np.concatenate(count), np.concatenate(key)
