@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelex.llm.bpe import bpe_decode, bpe_encode
 from tidelex.llm.decontaminate import decontaminate
 from tidelex.llm.minhash import near_duplicates
+from tidelex.llm.packing import read_tokens, write_tokens
 from tidelex.llm.substring import substring_dedup
 from tidelex.llm.suffix import suffix_dedup
+from tidelex.llm.token_counts import document_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +29,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file the queries use; on a cluster it is installed on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -121,3 +130,21 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+    return read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op7_bpe_round_trip")
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe_decode(encoded, tokenizer_path()).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
