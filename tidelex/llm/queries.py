@@ -14,6 +14,7 @@ from tidelex.llm.packing import read_tokens, write_tokens
 from tidelex.llm.substring import substring_dedup
 from tidelex.llm.suffix import suffix_dedup
 from tidelex.llm.token_counts import document_tokens
+from tidelex.llm.warc import read_packages, write_packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -148,3 +149,22 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT html, max(page_id) AS head FROM p GROUP BY html)
+SELECT page_id, strlen(html) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> head THEN head END AS refers_to
+FROM p JOIN m USING (html)
+"""
+
+
+@query("op1_warc_packages", OP1_SQL)
+def op1_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = write_packages(table(spark, sf_dir, "pages"))
+    return read_packages(packages, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
