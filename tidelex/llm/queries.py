@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelex.llm.bpe import bpe_decode, bpe_encode
+from tidelex.llm.classifier import quality_scores, train
 from tidelex.llm.decontaminate import decontaminate
 from tidelex.llm.minhash import near_duplicates
 from tidelex.llm.packing import read_tokens, write_tokens
+from tidelex.llm.quality import quality_rules
 from tidelex.llm.substring import substring_dedup
 from tidelex.llm.suffix import suffix_dedup
 from tidelex.llm.token_counts import document_tokens
@@ -168,3 +170,16 @@ def op1_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = write_packages(table(spark, sf_dir, "pages"))
     return read_packages(packages, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_rules(table(spark, sf_dir, "documents"), trusted).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, train(docs, table(spark, sf_dir, "labels")))
