@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = 2 << 20
 BLOCK = 1 << 16
@@ -236,14 +237,33 @@ def join_words(buf: np.ndarray, words: Words, keep: np.ndarray | None = None) ->
     return out[~drop], np.concatenate(([0], np.cumsum(high - low)))
 
 
-def python_rows(df: DataFrame, *columns) -> DataFrame:
-    """Only the named columns; extra columns and their names never reach an operator's inside."""
-    return df.select(*columns)
+def id_and_text(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """(doc_id long, text string) of a table, whatever its other columns are.
+
+    With ``carry`` the other columns come along as one struct ``row`` before the text.
+    """
+    columns = [docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")]
+    if carry:
+        others = [docs[f"`{c}`"] for c in docs.columns if c not in (id_col, text_col)]
+        columns.insert(1, F.struct(*others, F.lit(True).alias("_")).alias("row"))
+    return docs.select(*columns)
+
+
+def carried_back(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` from rows with doc_id, row and text."""
+    return found.select(*[F.col("doc_id").cast(docs.schema[c].dataType).alias(c) if c == id_col else F.col("text").alias(c)
+                          if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def schema_of(ddl: str, narrow: DataFrame, *more: str) -> T.StructType:
+    """Fields of ``ddl``, and those of ``narrow`` named in ``more`` where it has them."""
+    return T.StructType([*T.StructType.fromDDL(ddl).fields, *(narrow.schema[c] for c in more if c in narrow.columns)])
 
 
-def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id long, text string) of a table, whatever its other columns are."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+def carried(rows: pa.RecordBatch, *names: str) -> tuple[list[pa.Array], list[str]]:
+    """Columns of a batch that are there under these names."""
+    there = [n for n in names if n in rows.schema.names]
+    return [rows.column(n) for n in there], there
 
 
 def partitions(df: DataFrame) -> int:
@@ -254,7 +274,7 @@ def partitions(df: DataFrame) -> int:
 def packed_texts(docs: DataFrame) -> DataFrame:
     """Column ``text``, the last, as ``packed``: zstd-compressed before it is shuffled; null stays null."""
     *others, _ = docs.columns
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in others)
+    kinds = T.StructType([*(docs.schema[c] for c in others), T.StructField("packed", T.BinaryType())])
 
     def pack(batches):
         import zstandard
@@ -263,7 +283,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
             texts = batch.column(len(others))
             packed = pa.array([None if not t.is_valid else press.compress(t.as_buffer()) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], [*others, "packed"])
-    return docs.mapInArrow(pack, f"{kinds}, packed binary")
+    return docs.mapInArrow(pack, kinds)
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[pa.RecordBatch]:

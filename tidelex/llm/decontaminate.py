@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelex.llm.common import ALPHANUMERIC, LOWER, chunks, gather, id_and_text, mix64, ragged, words_of
+from tidelex.llm.common import ALPHANUMERIC, LOWER, carried, chunks, gather, id_and_text, mix64, ragged, schema_of, words_of
 
 WINDOW = 13
 #: Bytes of benchmark text that one search holds; a larger benchmark is searched in several passes.
@@ -138,7 +138,7 @@ def _equal(patterns: Patterns, data: np.ndarray, at: np.ndarray, text: np.ndarra
     return same
 
 
-def scan(batches, patterns: Patterns):
+def scan(batches, patterns: Patterns, keep: tuple[str, ...] = ()):
     """Per document: words, hit word runs (first, last + 1) and items found."""
     for chunk in chunks(batches):
         data, bounds, at, per = normal(chunk.buf, chunk.off)
@@ -159,11 +159,12 @@ def scan(batches, patterns: Patterns):
         items = [set() for _ in range(len(chunk))]
         for r, t in set(zip(row.tolist(), which.tolist(), strict=True)):
             items[r].update(patterns.items[t])
+        more, names = carried(chunk.rows, *keep)
         yield pa.RecordBatch.from_arrays(
             [chunk.rows.column("doc_id"), chunk.rows.column("row_key"), pa.array(np.diff(per), pa.int64()),
              pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-             pa.array([sorted(map(str, i)) for i in items], pa.list_(pa.string()))],
-            ["doc_id", "row_key", "n_words", "hits", "items"])
+             pa.array([sorted(map(str, i)) for i in items], pa.list_(pa.string())), *more],
+            ["doc_id", "row_key", "n_words", "hits", "items", *names])
 
 
 _FOUND = "doc_id long, row_key long, n_words long, hits array<struct<first:long,last:long>>, items array<string>"
@@ -196,12 +197,13 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, st
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", window: int = WINDOW, share: int = 20,
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """Words of documents inside a window of ``window`` words of a benchmark item.
 
     Returns one row per row of ``docs``: doc_id, row_key, n_words, n_hit, hits
     (runs of hit words), items (ids with a window in the document, in string
-    order) and contaminated (a word is hit and ``share`` * n_hit >= n_words).
+    order) and contaminated (a word is hit and ``share`` * n_hit >= n_words); with
+    ``carry`` also the other columns as struct ``row``, and text.
 
     The search tables are broadcast for at most ``block_bytes`` of benchmark
     text; a larger benchmark is searched in one pass over the documents for each
@@ -212,22 +214,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     without an id are left out; items with one id count once; rows without an id
     are searched like others; other columns are ignored; no rows give no rows.
     """
-    narrow = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row_key"), "text")
+    keep = ("row", "text") if carry else ()
+    narrow = id_and_text(docs, id_col, text_col, carry).withColumn("row_key", F.xxhash64("text"))
+    kinds = schema_of(_FOUND, narrow, *keep)
     tests = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[text_col].cast("string").alias("text")) \
         .where("item_id IS NOT NULL")
     passes = []
     for items in blocks_of(tests, block_bytes):
         tables = docs.sparkSession.sparkContext.broadcast(Patterns(items, window))
-        passes.append(narrow.mapInArrow(lambda b, t=tables: scan(b, t.value), _FOUND))
+        passes.append(narrow.mapInArrow(lambda b, t=tables: scan(b, t.value, keep), kinds))
     found = passes[0]
     if len(passes) > 1:
         numbered = [p.withColumn("_pass", F.lit(i)) for i, p in enumerate(passes)]
         for p in numbered[1:]:
             numbered[0] = numbered[0].unionByName(p)
-        grouped = (numbered[0].groupBy("doc_id", "row_key", "n_words")
+        grouped = (numbered[0].groupBy("doc_id", "row_key", "n_words", *keep)
                    .agg(F.collect_list("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
                         F.count_if(F.col("_pass") == 0).alias("_copies")))
-        found = (grouped.mapInArrow(merged, _FOUND + ", _copies long")
+        ordered = grouped.select(*kinds.names, "_copies")
+        found = (ordered.mapInArrow(merged, schema_of(_FOUND, ordered, *keep, "_copies"))
                  .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "_copy"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
     return found.withColumn("n_hit", n_hit).withColumn(

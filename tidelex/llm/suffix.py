@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.llm import exchange as ex
-from tidelex.llm.common import (BYTE_VALUE, binary_column, chunks, concat_lists, gather, id_and_text, mix64,
-                                packed_texts, partitions, ragged, rolling, unpacked)
+from tidelex.llm.common import (BYTE_VALUE, binary_column, chunks, concat_lists, carried, gather, id_and_text,
+                                mix64, packed_texts, partitions, schema_of, ragged, rolling, unpacked)
 
 LENGTH = 50
 GRAM = 24
@@ -281,8 +281,8 @@ def judge(batches, length: int):
             yield pa.RecordBatch.from_arrays(list(_spans(ids, row_keys, start, end)), names)
 
 
-def remove(batches):
-    """Cut the told spans out of the texts."""
+def remove(batches, carry: bool = False):
+    """Cut the told spans out of the texts; with ``carry`` the rest is text, without the bytes of cut characters."""
     for chunk in chunks(unpacked(batches)):
         raw, bounds = concat_lists(chunk.rows.column("told"))
         pairs = raw.view("<u4").astype(np.int64).reshape(-1, 2)
@@ -301,20 +301,27 @@ def remove(batches):
         spans = pa.ListArray.from_arrays(pa.array(per, pa.int32()), pa.StructArray.from_arrays(
             [pa.array(start - base, pa.int64()), pa.array(end - base, pa.int64())], ["start", "end"]))
         keep = chunk.off - gone
-        kept = binary_column(chunk.buf[~covered[:-1]], keep)
+        kept = binary_column(chunk.buf[~covered[:-1]], keep).cast(pa.binary())
+        more, names = carried(chunk.rows, "row")
+        if carry:
+            more.append(pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string()))
+            names.append("text")
+            kept = pa.nulls(len(chunk), pa.binary())
         yield pa.RecordBatch.from_arrays(
             [chunk.rows.column("doc_id"), chunk.rows.column("row_key"), pa.array(np.diff(chunk.off), pa.int64()),
-             pa.array(np.diff(gone), pa.int64()), spans, kept.cast(pa.binary())],
-            ["doc_id", "row_key", "n_bytes", "n_removed", "spans", "kept"])
+             pa.array(np.diff(gone), pa.int64()), spans, kept, *more],
+            ["doc_id", "row_key", "n_bytes", "n_removed", "spans", "kept", *names])
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                 gram: int = GRAM) -> DataFrame:
+                 gram: int = GRAM, carry: bool = False) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts in a document with a smaller id.
 
     Returns one row per row of ``docs``: doc_id, row_key (xxhash64 of the text,
     null texts included), n_bytes, n_removed, spans (maximal removed runs as
-    byte bounds) and kept (the other bytes).
+    byte bounds) and kept (the other bytes). With ``carry`` kept is null, and the
+    other columns come as struct ``row`` with text, the kept bytes without those of
+    characters that a span cuts through.
 
     Defined cases: a null text is empty; a text shorter than ``length`` keeps all
     its bytes; a row without an id is neither searched nor a source of repeats
@@ -324,7 +331,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The strings themselves are compared. Hashes only route them, and the short
     ones that look for shared pieces grow with the size of the corpus.
     """
-    narrow = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row_key"), "text")
+    full = id_and_text(docs, id_col, text_col, carry)
+    full = full.select("doc_id", F.xxhash64("text").alias("row_key"), *full.columns[1:])
+    narrow = full.select("doc_id", "row_key", "text")
     known = narrow.where("doc_id IS NOT NULL")
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = partitions(docs)
@@ -340,6 +349,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              .repartitionById(parts, "part").sortWithinPartitions("lane")
              .mapInArrow(lambda b: judge(b, length), "doc_id long, row_key long, spans binary")
              .groupBy("doc_id", "row_key").agg(F.collect_list("spans").alias("told")))
-    return (packed_texts(narrow).join(spans, ["doc_id", "row_key"], "left").select("doc_id", "row_key", "packed", "told")
-            .mapInArrow(remove, "doc_id long, row_key long, n_bytes long, n_removed long, "
-                                "spans array<struct<start:long,end:long>>, kept binary"))
+    kinds = schema_of("doc_id long, row_key long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary",
+                      full, *(("row", "text") if carry else ()))
+    return (packed_texts(full).join(spans, ["doc_id", "row_key"], "left").select(*full.columns[:-1], "packed", "told")
+            .mapInArrow(lambda b: remove(b, carry), kinds))
