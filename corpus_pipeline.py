@@ -1,18 +1,71 @@
-"""From raw documents to token ids: quality, near duplicates, repeated passages, contamination, encoding."""
+"""From raw documents to token ids: quality, near duplicates, repeated passages, contamination, encoding.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor
+kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelex.llm.bpe import bpe_encode
+from tidelex.llm.common import carried_back
+from tidelex.llm.decontaminate import decontaminate
+from tidelex.llm.graph import stored
+from tidelex.llm.minhash import near_duplicates
+from tidelex.llm.quality import quality_rules
+from tidelex.llm.queries import table, tokenizer_path
+from tidelex.llm.suffix import suffix_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and read like the trusted ones."""
+    found = quality_rules(docs, table(spark, sf_dir, "labels").where("quality = 1"), carry=True)
+    return carried_back(found.where("kept"), docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near duplicates; rows without an id stay."""
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes that repeat an earlier document."""
+    out = carried_back(suffix_dedup(docs, carry=True), docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with less than a twentieth of their words in benchmark windows."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=True)
+    return carried_back(found.where("NOT contaminated"), docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids: doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers) and their SHA-256."""
+    return bpe_encode(docs, tokenizer_path()).withColumn("ids_sha256", F.sha2("ids", 256))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", one_of_each_group),
+    ("suffix_dedup", without_repeats),
+    ("decontamination", uncontaminated),
+    ("bpe_encoding", encoded),
+]
 
-#: The quality model, candidate search and encoder have no SQL form; the stages are tested against brute force.
+#: The likelihood ratio, the tokenizer and byte-level cuts through characters have no SQL form; the stages are
+#: tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each on what the one before has kept."""
+    """All stages in order; what each keeps is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, name)
     return docs
