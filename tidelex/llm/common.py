@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelex.llm.ship import shipped
+
 CHUNK = 2 << 20
 BLOCK = 1 << 16
 LONG_WORD = 1 << 20
@@ -123,7 +125,8 @@ class Texts:
         return self.buf[self.off[i]:self.off[i + 1]].tobytes()
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary column and the bounds of its values; null is empty."""
     if column.null_count:
         column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     wide = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
@@ -142,7 +145,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
     A null text is an empty one.
     """
     for batch in batches:
-        buf, off = _flat(batch.column(column))
+        buf, off = flat_bytes(batch.column(column))
         lo, n = 0, batch.num_rows
         while lo < n:
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, side="right")) - 1)
@@ -242,6 +245,7 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, carry: bool = False
 
     With ``carry`` the other columns come along as one struct ``row`` before the text.
     """
+    shipped(docs.sparkSession)
     columns = [docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")]
     if carry:
         others = [docs[f"`{c}`"] for c in docs.columns if c not in (id_col, text_col)]
@@ -278,7 +282,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
     def pack(batches):
         import zstandard
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             texts = batch.column(len(others))
             packed = pa.array([None if not t.is_valid else press.compress(t.as_buffer()) for t in texts], pa.binary())
@@ -309,5 +313,5 @@ def concat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = pc.if_else(pc.is_valid(column), column, pa.scalar([], column.type))
     flat = column.flatten()
     ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)) if n else np.empty(0, int)
-    buf, off = _flat(flat)
+    buf, off = flat_bytes(flat)
     return buf, off[np.concatenate(([0], ends)).astype(np.int64)]

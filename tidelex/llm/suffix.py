@@ -15,11 +15,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.llm import exchange as ex
-from tidelex.llm.common import (BYTE_VALUE, binary_column, chunks, concat_lists, carried, gather, id_and_text,
+from tidelex.llm.common import (BYTE_VALUE, binary_column, carried, chunks, flat_bytes, gather, id_and_text,
                                 mix64, packed_texts, partitions, schema_of, ragged, rolling, unpacked)
 
 LENGTH = 50
@@ -95,7 +96,7 @@ def shared_pieces(batches, lanes: ex.Lanes, filter_lanes: ex.Lanes, length: int,
     """
     import zstandard
     press = zstandard.ZstdCompressor(level=1)
-    for chunk in chunks(unpacked(batches)):
+    for chunk in chunks(unpacked(b.filter(b.column("told").is_valid()) for b in batches)):
         first, count, key = pieces(chunk.buf, chunk.off, length, gram)
         row = np.searchsorted(chunk.off, first, side="right") - 1
         per = np.bincount(row, minlength=len(chunk))
@@ -284,9 +285,12 @@ def judge(batches, length: int):
 def remove(batches, carry: bool = False):
     """Cut the told spans out of the texts; with ``carry`` the rest is text, without the bytes of cut characters."""
     for chunk in chunks(unpacked(batches)):
-        raw, bounds = concat_lists(chunk.rows.column("told"))
+        told = chunk.rows.column("told")
+        row, parts = pc.list_parent_indices(told).to_numpy(), told.flatten()
+        own = parts.field("row_key").to_numpy(zero_copy_only=False) == chunk.ids("row_key")[row]
+        raw, bounds = flat_bytes(parts.field("spans").filter(pa.array(own)))
         pairs = raw.view("<u4").astype(np.int64).reshape(-1, 2)
-        at = np.repeat(chunk.off[:-1], np.diff(bounds) // 8)
+        at = np.repeat(chunk.off[row[own]], np.diff(bounds) // 8)
         size = len(chunk.buf) + 1
         delta = np.bincount(at + pairs[:, 0], minlength=size) - np.bincount(at + pairs[:, 1], minlength=size)
         covered = np.cumsum(delta) > 0
@@ -344,12 +348,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .repartitionById(parts, "part").sortWithinPartitions("lane")
               .mapInArrow(lambda b: ex.judge(b, finder, smallest_too=True), "doc_id long, hashes binary")
               .groupBy("doc_id").agg(F.collect_list("hashes").alias("told")))
-    spans = (packed_texts(known).join(shared, "doc_id").select("doc_id", "row_key", "packed", "told")
+    # Both joins take the texts dealt out by doc_id in the same way, so they are shuffled once.
+    texts = packed_texts(full)
+    spans = (texts.join(shared, "doc_id", "left").select("doc_id", "row_key", "packed", "told")
              .mapInArrow(lambda b: shared_pieces(b, lanes, finder, length, gram), _SCHEMA)
              .repartitionById(parts, "part").sortWithinPartitions("lane")
              .mapInArrow(lambda b: judge(b, length), "doc_id long, row_key long, spans binary")
-             .groupBy("doc_id", "row_key").agg(F.collect_list("spans").alias("told")))
+             .groupBy("doc_id").agg(F.collect_list(F.struct("row_key", "spans")).alias("told")))
     kinds = schema_of("doc_id long, row_key long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary",
                       full, *(("row", "text") if carry else ()))
-    return (packed_texts(full).join(spans, ["doc_id", "row_key"], "left").select(*full.columns[:-1], "packed", "told")
+    return (texts.join(spans, "doc_id", "left").select(*full.columns[:-1], "packed", "told")
             .mapInArrow(lambda b: remove(b, carry), kinds))
