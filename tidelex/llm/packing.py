@@ -23,6 +23,7 @@ from tidelex.llm.bpe import encode, vocabulary
 from tidelex.llm.common import binary_column, chunks, id_and_text, packed_texts, partitions, unpacked
 from tidelex.llm.files import Written, opened, read_at, size_of
 from tidelex.llm.graph import stored
+from tidelex.llm.ship import shipped
 from tidelex.session import scratch
 
 MAGIC = b"FIXWIDTH"
@@ -197,6 +198,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
     Ids are little-endian unsigned 32-bit numbers. The running sum is over one
     row per file.
     """
+    shipped(files.sparkSession)
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     placed = files.select("part", "uri", F.coalesce(before, F.lit(0)).alias("before"))
     return placed.repartitionById(partitions(files), "part").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")

@@ -18,6 +18,7 @@ from tidelex.llm.common import chunks, id_and_text, partitions, unpacked
 from tidelex.llm.files import Written, opened, read_at, size_of
 from tidelex.llm.graph import stored
 from tidelex.llm.packing import in_order
+from tidelex.llm.ship import shipped
 from tidelex.session import scratch
 
 BLOCK_BYTES = 4 << 20
@@ -99,6 +100,7 @@ def count_tokens(files: DataFrame, end_id: int, width: int, block_bytes: int = B
     id. Ids after the last end of a file are one more document, not ended. An
     empty file has no documents; two ends in a row are an empty document.
     """
+    shipped(files.sparkSession)
     block_bytes -= block_bytes % width
     n = partitions(files)
     blocks = (files.select("part", "uri").repartitionById(n, "part")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tidelex.llm.common import partitions
 from tidelex.llm.files import Written, opened, read_at, size_of
 from tidelex.llm.graph import stored
+from tidelex.llm.ship import shipped
 from tidelex.session import scratch
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -291,6 +292,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, min_revisit_byte
     ``folder`` must be one that all executors reach; by default it is a new one
     below ``spark.checkpoint.dir``.
     """
+    shipped(pages.sparkSession)
     folder = folder or scratch(pages.sparkSession, "packages")
     narrow = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"),
                           pages[payload_col].cast("string").cast("binary").alias("html"))
@@ -314,5 +316,6 @@ def read_packages(packages: DataFrame, with_payload: bool = True) -> DataFrame:
     The payload of a revisit is null; its size and digest are those of the full
     payload. A damaged package or payload is an error.
     """
+    shipped(packages.sparkSession)
     return (packages.select("uri").repartition(partitions(packages), "uri")
             .mapInArrow(lambda b: _read(b, with_payload), _PAGE))
