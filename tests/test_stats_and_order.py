@@ -140,3 +140,30 @@ def test_gap_fill_takes_only_unseen_rows_inside_gaps(spark):
     assert [r.id for r in G.fill_from_archive(known, archive, gaps, "g").collect()] == ["3"]
     plan = G.fill_plan(gaps, "g").collect()
     assert [(r.fill_rank, r.window_days) for r in plan] == [(1, 1)]
+
+
+def test_gaps_of_no_length(spark):
+    """A threshold of 0 gives every pause; equal times are none."""
+    df = spark.sql("SELECT 'k' AS k, timestamp_micros(t) AS ts FROM VALUES (5L), (5L), (6L), (1000000000L) AS v(t)")
+    got = O.time_gaps(df, ["k"], "ts", 0).collect()
+    assert sorted(r.gap_duration_seconds for r in got) == [1e-06, 999.999994]
+
+
+def test_other_labels_are_counted(spark):
+    from tidelex.operators import metrics as M
+    from tidelex.operators import series as S
+    df = spark.createDataFrame([("a", "positive", 1.0), ("a", "error", 0.0), ("a", None, 0.0), ("b", "mixed", 0.5)],
+                               "source string, sentiment_label string, sentiment_score double").withColumn("confidence", F.lit(1.0))
+    rows = {r.source: r.asDict() for r in S.label_pivot(df, "source").collect()}
+    assert rows["a"] == {"source": "a", "positive": 1, "negative": 0, "neutral": 0, "other": 2} and rows["b"]["other"] == 1
+    total = M.overview(df).first()
+    assert total.other_count == 3 and abs(total.positive_share + total.other_share - 1) < 1e-12
+
+
+def test_all_buckets_come_back(spark):
+    """More buckets than any page holds."""
+    from tidelex.operators import metrics as M
+    df = spark.range(12_000).select(F.timestamp_seconds(F.col("id") * 3600).alias("occurred_at"), F.lit("s").alias("source"),
+                                    F.lit("positive").alias("sentiment_label"), F.lit(0.5).alias("sentiment_score"))
+    assert M.bucket_aggregate(df, "hour").count() == 12_000
+    assert M.bucket_aggregate(df, "hour", limit=7).count() == 7

@@ -69,27 +69,25 @@ def time_gaps(df: DataFrame, keys: list[str], ts: str, min_gap_seconds: float) -
     Two rows of one bin of that width can never be far enough apart, so only the
     first and last time of each bin matter. They are aggregated before the
     shuffle, and the ordered table has at most (time span / bin width) rows per
-    key, however many rows the key has. Keyless (or very fine) searches cut
-    that table once more into chunks and compare chunk edges separately.
+    key, however many rows the key has. That table is cut once more into chunks of
+    65,536 bins, whose edges are compared separately, so no task holds a whole key.
     """
-    width = int(round(min_gap_seconds * 1_000_000))
+    least = int(round(min_gap_seconds * 1_000_000))
+    width = max(least, 1)
     us = micros(F.col(ts))
     bins = (df.where(F.col(ts).isNotNull())
             .groupBy(*keys, bin_of(us, width).alias("_bin"))
             .agg(F.min(us).alias("_lo"), F.max(us).alias("_hi")))
-    if keys and width >= 60_000_000:
-        pairs = bins.withColumn("_prev", F.lag("_hi").over(Window.partitionBy(*keys).orderBy("_bin")))
-    else:
-        chunked = bins.withColumn("_chunk", F.floor(F.col("_bin") / 65536).cast("long"))
-        inner = chunked.withColumn("_prev", F.lag("_hi").over(
-            Window.partitionBy(*keys, "_chunk").orderBy("_bin")))
-        edges = (chunked.groupBy(*keys, "_chunk")
-                 .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-                 .withColumn("_prev", F.lag("_hi").over(
-                     Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk"))))
-        columns = [*keys, "_lo", "_hi", "_prev"]
-        pairs = inner.select(*columns).unionByName(edges.select(*columns))
-    return (pairs.where(F.col("_lo") - F.col("_prev") > width)
+    chunked = bins.withColumn("_chunk", F.floor(F.col("_bin") / 65536).cast("long"))
+    inner = chunked.withColumn("_prev", F.lag("_hi").over(
+        Window.partitionBy(*keys, "_chunk").orderBy("_bin")))
+    edges = (chunked.groupBy(*keys, "_chunk")
+             .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+             .withColumn("_prev", F.lag("_hi").over(
+                 Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk"))))
+    columns = [*keys, "_lo", "_hi", "_prev"]
+    pairs = inner.select(*columns).unionByName(edges.select(*columns))
+    return (pairs.where(F.col("_lo") - F.col("_prev") > least)
             .select(*keys,
                     F.timestamp_micros(F.col("_prev")).alias("gap_start"),
                     F.timestamp_micros(F.col("_lo")).alias("gap_end"),

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from tidelex.functions.stats import exact_percentiles, sample_kurtosis, sample_skewness
 from tidelex.functions.timefn import as_column, bucket, seconds_between
 from tidelex.operators.filters import result_filters
+from tidelex.operators.scoring import LABELS
 
 BUCKET_SIZES = ("hour", "day", "week", "month")
-MAX_LIMIT = 10_000
-DEFAULT_LIMIT = 1_000
 SCORE, LABEL = "sentiment_score", "sentiment_label"
 
 
@@ -52,13 +51,13 @@ def roll_up(metric: DataFrame, size: str) -> DataFrame:
         F.sum("n").alias("n"), F.sum("score_sum").alias("score_sum"))
 
 
-def bucket_aggregate(results: DataFrame, size: str = "day", limit: int = DEFAULT_LIMIT,
+def bucket_aggregate(results: DataFrame, size: str = "day", limit: int | None = None,
                      extended: bool = False, **filters) -> DataFrame:
-    """Count and mean score per (bucket, source, label), newest bucket first."""
+    """Count and mean score per (bucket, source, label), newest bucket first; all of them unless ``limit`` is given."""
     if size not in BUCKET_SIZES:
         raise ValueError(f"bucket must be one of {BUCKET_SIZES}, not {size!r}")
-    if not 1 <= limit <= MAX_LIMIT:
-        raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be 1 or more")
     aggs = [count_all().alias("count"), F.avg(SCORE).alias("avg_score")]
     if extended:
         aggs += [F.min(SCORE).alias("min_score"), F.max(SCORE).alias("max_score"),
@@ -67,7 +66,8 @@ def bucket_aggregate(results: DataFrame, size: str = "day", limit: int = DEFAULT
            .groupBy(bucket(F.col("occurred_at"), size).alias("time_bucket"), "source",
                     F.col(LABEL).alias("label")).agg(*aggs)
            .withColumn("source_id", F.lit("")))
-    return out.orderBy(F.desc("time_bucket"), "source", "label").limit(limit)
+    out = out.orderBy(F.desc("time_bucket"), "source", "label")
+    return out if limit is None else out.limit(limit)
 
 
 def metric_range(metric: DataFrame, start, end, size: str = "hour") -> DataFrame:
@@ -104,12 +104,19 @@ def long_to_wide(long: DataFrame) -> DataFrame:
                     F.col("event_count").cast("long").alias("n"), "score_sum"))
 
 
+def other_label(labels: tuple[str, ...]) -> Column:
+    """Rows whose label is none of these, or missing."""
+    return F.coalesce(~F.col(LABEL).isin(*labels), F.lit(True))
+
+
 def overview(results: DataFrame) -> DataFrame:
-    """Total, means, source count and one row value per label."""
-    counts = {lab: F.count_if(F.col(LABEL) == lab).alias(f"{lab}_count")
-              for lab in ("positive", "negative", "neutral")}
-    shares = {lab: F.coalesce(F.try_divide(F.count_if(F.col(LABEL) == lab), count_all()), F.lit(0.0))
-              .alias(f"{lab}_share") for lab in counts}
+    """Total, means, source count, and count and share per label; labels beside the usual three, and rows without
+    one, are ``other``, so the counts add up to the total."""
+    matches = {lab: F.col(LABEL) == lab for lab in LABELS}
+    matches["other"] = other_label(LABELS)
+    counts = {lab: F.count_if(match).alias(f"{lab}_count") for lab, match in matches.items()}
+    shares = {lab: F.coalesce(F.try_divide(F.count_if(match), count_all()), F.lit(0.0))
+              .alias(f"{lab}_share") for lab, match in matches.items()}
     return results.agg(
         count_all().alias("total_events"),
         F.coalesce(F.avg(SCORE), F.lit(0.0)).alias("avg_sentiment"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelex.functions.timefn import bucket, sunday_week_label
+from tidelex.operators.metrics import other_label
 from tidelex.operators.scoring import LABELS
 
 SCORE, LABEL = "sentiment_score", "sentiment_label"
@@ -42,9 +43,9 @@ def simple_trend(results: DataFrame, size: str = "hour") -> DataFrame:
 
 
 def label_pivot(results: DataFrame, *keys, labels: tuple[str, ...] = LABELS) -> DataFrame:
-    """Counts per label as columns, 0 where there is none."""
+    """Counts per label as columns, 0 where there is none; ``other`` counts every other label and missing ones."""
     return results.groupBy(*keys).agg(*[
-        F.count_if(F.col(LABEL) == lab).alias(lab) for lab in labels])
+        F.count_if(F.col(LABEL) == lab).alias(lab) for lab in labels], F.count_if(other_label(labels)).alias("other"))
 
 
 def heatmap(results: DataFrame, size: str = "hour") -> DataFrame:

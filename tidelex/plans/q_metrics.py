@@ -26,12 +26,12 @@ for by, name in (("processed_at", "agg1_hourly_metric"), ("occurred_at", "agg2_h
 
 on_results("agg3_bucket_aggregate", """SELECT date_trunc('day', occurred_at) AS time_bucket, source,
   sentiment_label AS label, count(*) AS count, round(avg(sentiment_score), 6) AS avg_score, '' AS source_id
-  FROM v_results GROUP BY 1, 2, 3 ORDER BY time_bucket DESC, source, label LIMIT 1000""",
+  FROM v_results GROUP BY 1, 2, 3""",
            lambda df: M.bucket_aggregate(df, "day"))
 on_results("agg3_bucket_aggregate_filtered", """SELECT date_trunc('week', occurred_at) AS time_bucket, source,
   sentiment_label AS label, count(*) AS count, round(avg(sentiment_score), 6) AS avg_score, '' AS source_id
   FROM v_results WHERE occurred_at >= TIMESTAMP '2024-01-05 00:00:00' AND occurred_at <= TIMESTAMP '2024-01-25 00:00:00'
-  AND source = 'view' GROUP BY 1, 2, 3 ORDER BY time_bucket DESC, source, label LIMIT 1000""",
+  AND source = 'view' GROUP BY 1, 2, 3""",
            lambda df: M.bucket_aggregate(df, "week", start="2024-01-05 00:00:00", end="2024-01-25 00:00:00", source="view"))
 on_results("agg4_metric_range", """SELECT date_trunc('day', occurred_at) AS time_bucket, source, source_id,
   sentiment_label AS label, count(*) AS n, round(sum(sentiment_score), 6) AS score_sum,
@@ -57,6 +57,8 @@ on_results("agg7_overview", """SELECT count(*) AS total_events, round(avg(sentim
   count(*) FILTER (sentiment_label = 'positive') AS positive_count,
   count(*) FILTER (sentiment_label = 'negative') AS negative_count,
   count(*) FILTER (sentiment_label = 'neutral') AS neutral_count,
+  count(*) FILTER (sentiment_label IS NULL OR sentiment_label NOT IN ('positive', 'negative', 'neutral')) AS other_count,
+  round(avg(CASE WHEN sentiment_label IN ('positive', 'negative', 'neutral') THEN 0 ELSE 1.0::DOUBLE END), 6) AS other_share,
   round(avg(CASE WHEN sentiment_label = 'positive' THEN 1.0::DOUBLE ELSE 0 END), 6) AS positive_share,
   round(avg(CASE WHEN sentiment_label = 'negative' THEN 1.0::DOUBLE ELSE 0 END), 6) AS negative_share,
   round(avg(CASE WHEN sentiment_label = 'neutral' THEN 1.0::DOUBLE ELSE 0 END), 6) AS neutral_share,
@@ -136,5 +138,5 @@ on_results("agg26_peaks", """SELECT (SELECT hour(occurred_at) FROM v_results GRO
 on_results("agg27_extended_metric", """SELECT date_trunc('day', occurred_at) AS time_bucket, source, sentiment_label AS label,
   count(*) AS count, round(avg(sentiment_score), 6) AS avg_score, round(min(sentiment_score), 6) AS min_score,
   round(max(sentiment_score), 6) AS max_score, round(stddev_samp(sentiment_score), 6) AS std_score, '' AS source_id
-  FROM v_results GROUP BY 1, 2, 3 ORDER BY time_bucket DESC, source, label LIMIT 10000""",
-           lambda df: M.bucket_aggregate(df, "day", limit=10000, extended=True))
+  FROM v_results GROUP BY 1, 2, 3""",
+           lambda df: M.bucket_aggregate(df, "day", extended=True))

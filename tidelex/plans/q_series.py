@@ -32,7 +32,8 @@ on_results("tsr4_simple_trend", """SELECT date_trunc('hour', occurred_at) AS tim
 on_results("tsr5_source_timeline", """SELECT date_trunc('hour', occurred_at) AS time_bucket, source, count(*) AS events
   FROM v_results GROUP BY 1, 2""", lambda df: S.volume(df, "hour", "source"))
 
-LABELS = ", ".join(f"count(*) FILTER (sentiment_label = '{lab}') AS {lab}" for lab in ("positive", "negative", "neutral"))
+LABELS = ", ".join(f"count(*) FILTER (sentiment_label = '{lab}') AS {lab}" for lab in ("positive", "negative", "neutral")) + """,
+  count(*) FILTER (sentiment_label IS NULL OR sentiment_label NOT IN ('positive', 'negative', 'neutral')) AS other"""
 HEAT = {
     "pvt1_heatmap_hour": ("strftime(occurred_at, '%Y-%m-%d')", "CAST(hour(occurred_at) AS VARCHAR)", lambda df: S.heatmap(df, "hour")),
     "pvt1_heatmap_day": ("strftime(occurred_at, '%Y-W%U')", "dayname(occurred_at)", lambda df: S.heatmap(df, "day")),
