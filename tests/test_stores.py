@@ -165,3 +165,33 @@ def test_payload_archive_roundtrip(spark):
     hot, cold = RT.split_payload(df, "2024-06-01")
     assert [r.payload for r in hot.orderBy("id").collect()] == [None, "new"] and cold.count() == 1
     assert sorted(map(tuple, RT.restore_payload(hot, cold).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_bad_numbers_are_quarantined(spark, tmp_path):
+    """A record with a number that cannot be read is set aside with its reason; the others arrive complete."""
+    folder = str(tmp_path / "csv")
+    rows = [(str(i), "1700000000", "G", "t", "b", "a", "abc" if i == 3 else "5", "0.5", "x" if i == 4 else "1", "u", "", "false") for i in range(6)]
+    spark.createDataFrame(rows, ", ".join(f"{c} string" for c in SUBMISSION_COLUMNS)).write.options(header="true").csv(folder)
+    table, bad = str(tmp_path / "events"), str(tmp_path / "bad")
+    assert SK.import_csv(spark, folder, table, bad, "s") == (4, 0, 2)
+    assert {r._reason for r in spark.read.parquet(bad).collect()} == {"bad score", "bad num_comments"}
+    from tidelex.operators import metrics as M
+    from tidelex.sources import readers as RD
+    events = RD.read_events(spark, table)
+    assert RD.event_scan(events, "s").where("ingested_at IS NOT NULL").count() == 4
+    assert M.ingest_lag(events).agg({"event_count": "sum"}).first()[0] == 4
+
+
+def test_piece_of_ids_with_a_common_factor(spark):
+    """Ids that are multiples of 1,000 do not meet in one piece."""
+    from tidelex.operators import integrity as I
+    df = spark.range(20_000).select((F.col("id") * 1000).alias("id"), F.lit("A").alias("source"), F.lit("hot").alias("source_id"),
+                                    F.timestamp_seconds("id").alias("ingested_at"))
+    sizes = [len(r.row_ids.split(", ")) for r in I.duplicate_source_ids(df, "A").collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 1300
+
+
+def test_letters_past_the_limit_are_kept_apart(spark):
+    from tidelex.operators import results as RE
+    letters = spark.createDataFrame([("{}", 1), ("{}", 3)], "event_payload string, attempts int")
+    assert RE.replayable(letters, "id long", 3).count() == 1 == RE.exhausted(letters, 3).count()

@@ -56,7 +56,8 @@ def duplicate_source_ids(events: DataFrame, source: str, piece: int = LIST_PIECE
     """Repeated source ids with the list of row ids.
 
     A list of any length stays whole: it is given in numbered pieces of about
-    ``piece`` ids, assigned by the id's remainder, so a hot source id is spread.
+    ``piece`` ids, assigned by a hash of the id, so a hot source id is spread
+    whatever its ids have in common.
     An id held by several rows is written once, with its count.
     """
     rows = events.where(F.col("source") == source)
@@ -68,7 +69,8 @@ def duplicate_source_ids(events: DataFrame, source: str, piece: int = LIST_PIECE
     ).where(F.col("occurrence_count") > 1)
     entry = F.struct("id", F.concat(F.col("id").cast("string"), F.when(
         F.col("n") > 1, F.concat(F.lit(" x"), F.col("n").cast("string"))).otherwise(F.lit(""))).alias("text"))
-    listed = ids.join(per, "source_id").withColumn("piece", F.pmod(F.col("id"), F.ceil(F.col("_ids") / piece)))
+    listed = ids.join(per, "source_id").withColumn("piece", F.pmod(
+        F.conv(F.left(F.md5(F.col("id").cast("string")), F.lit(7)), 16, 10).cast("long"), F.ceil(F.col("_ids") / piece)))
     return listed.groupBy("source_id", "piece", "occurrence_count", "first_ingested", "last_ingested").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["text"]), ", ").alias("row_ids"))
 

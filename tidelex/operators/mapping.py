@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.functions.jsonfn import has_key, text_of, variant
-from tidelex.functions.timefn import micros
+from tidelex.functions.timefn import as_column, micros
 from tidelex.schemas import SUBMISSION_COLUMNS
 
 # The placeholder for a missing author and the archive defaults.
@@ -25,14 +25,14 @@ COLUMN_TYPES = {
 def normalize_submission(df: DataFrame) -> DataFrame:
     """Live record to the 12 columns: author placeholder, lower-cased group, empty flair to null."""
     return df.select(
-        "id", F.col("created_utc").cast("double").alias("created_utc"),
+        "id", F.col("created_utc").try_cast("double").alias("created_utc"),
         F.lower("subreddit").alias("subreddit"), "title", "selftext",
         F.coalesce("author", F.lit(DELETED_AUTHOR)).alias("author"),
-        F.col("score").cast("int").alias("score"),
-        F.col("upvote_ratio").cast("double").alias("upvote_ratio"),
-        F.col("num_comments").cast("int").alias("num_comments"), "url",
+        F.col("score").try_cast("int").alias("score"),
+        F.col("upvote_ratio").try_cast("double").alias("upvote_ratio"),
+        F.col("num_comments").try_cast("int").alias("num_comments"), "url",
         F.nullif(F.col("flair_text"), F.lit("")).alias("flair_text"),
-        F.col("over_18").cast("boolean").alias("over_18"))
+        F.col("over_18").try_cast("boolean").alias("over_18"))
 
 
 def normalize_archive(df: DataFrame) -> DataFrame:
@@ -42,13 +42,14 @@ def normalize_archive(df: DataFrame) -> DataFrame:
     out = []
     for name in SUBMISSION_COLUMNS:
         default = F.lit(ARCHIVE_DEFAULTS[name])
-        source = F.col(name).cast(COLUMN_TYPES[name]) if name in df.columns else F.lit(None)
+        source = F.col(name).try_cast(COLUMN_TYPES[name]) if name in df.columns else F.lit(None)
         out.append(F.coalesce(source, default).cast(COLUMN_TYPES[name]).alias(name))
     return df.select(*out)
 
 
-def to_envelope(df: DataFrame, source: str) -> DataFrame:
-    """Submission to raw event: the whole record becomes the payload."""
+def to_envelope(df: DataFrame, source: str, ingested_at=None) -> DataFrame:
+    """Submission to raw event: the whole record becomes the payload. ``ingested_at`` is now by default."""
+    arrived = F.current_timestamp() if ingested_at is None else as_column(ingested_at).cast("timestamp")
     return df.select(
         F.xxhash64(F.lit(source), F.col("id"), F.col("created_utc")).alias("id"),
         F.lit(source).alias("source"),
@@ -56,14 +57,15 @@ def to_envelope(df: DataFrame, source: str) -> DataFrame:
         F.timestamp_seconds("created_utc").alias("occurred_at"),
         F.to_json(F.struct(*[F.col(c) for c in df.columns]),
                   {"ignoreNullFields": "false"}).alias("payload"),
-        F.lit(False).alias("processed"))
+        arrived.alias("ingested_at"), F.lit(False).alias("processed"),
+        F.lit(None).cast("timestamp").alias("processed_at"))
 
 
-def csv_to_envelope(df: DataFrame, source: str) -> DataFrame:
+def csv_to_envelope(df: DataFrame, source: str, ingested_at=None) -> DataFrame:
     """File row to raw event: empty text for a null body, null ratio and flair kept as null."""
     body = df.withColumn("selftext", F.coalesce("selftext", F.lit(""))).withColumn(
         "created_utc", F.col("created_utc").cast("long"))
-    return to_envelope(body.select(*SUBMISSION_COLUMNS), source)
+    return to_envelope(body.select(*SUBMISSION_COLUMNS), source, ingested_at)
 
 
 def envelope_to_submission(df: DataFrame, key_prefix: str = "") -> DataFrame:
@@ -100,8 +102,13 @@ def repair_time(col: Column) -> Column:
 
 def split_bad(df: DataFrame, time_col: str = "created_utc",
               required: tuple[str, ...] = ("id",)) -> tuple[DataFrame, DataFrame]:
-    """Good rows with repaired times, and the rejected rows with a ``_reason``."""
+    """Good rows with repaired times, and the rejected rows with a ``_reason``: an unreadable time, a missing
+    required value, or a value that its column's type cannot hold."""
     reason = F.when(repair_time(F.col(time_col)).isNull(), F.lit(f"bad {time_col}"))
+    for name, kind in COLUMN_TYPES.items():
+        if name in df.columns and name != time_col and kind != "string":
+            unread = F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull()
+            reason = F.when(unread, F.lit(f"bad {name}")).otherwise(reason)
     for name in required:
         blank = F.coalesce(F.trim(F.col(name).cast("string")), F.lit("")) == ""
         reason = F.when(blank, F.lit(f"missing {name}")).otherwise(reason)

@@ -21,7 +21,8 @@ RESULT_ROUTE, DEAD_LETTER_ROUTE, SKIP_ROUTE = "result", "dead_letter", "skipped_
 
 
 def route_events(events: DataFrame, target: str = TARGET_LANGUAGE,
-                 make_scorer: Callable[[], Scorer] | None = None) -> DataFrame:
+                 make_scorer: Callable[[], Scorer] | None = None, detect: Callable[[Column], Column] | None = None,
+                 lemmatize: Callable[[Column], Column] | None = None) -> DataFrame:
     """Extract, check, clean, gate by language and score; one output row per event.
 
     Added columns: original_text, cleaned_text, language columns, label,
@@ -29,7 +30,7 @@ def route_events(events: DataFrame, target: str = TARGET_LANGUAGE,
     """
     staged = events if "content" in events.columns else events.withColumn("content", F.lit(None).cast("string"))
     staged = staged.withColumn("original_text", event_text(F.col("content"), F.col("payload")))
-    staged = preprocess(staged, "original_text", target, words_as="_cleaned_words")
+    staged = preprocess(staged, "original_text", target, words_as="_cleaned_words", detect=detect, lemmatize=lemmatize)
     if make_scorer is None:
         scored = classify(staged, "cleaned_text", words="_cleaned_words").withColumn("score_error", F.lit(None).cast("string"))
     else:
@@ -90,15 +91,19 @@ def skipped_rows(routed: DataFrame) -> DataFrame:
         "detected_language_confidence", "cleaned_text")
 
 
+def with_attempts(letters: DataFrame) -> DataFrame:
+    return letters if "attempts" in letters.columns else letters.withColumn("attempts", F.lit(1))
+
+
 def replayable(letters: DataFrame, event_schema: str, max_attempts: int | None = None) -> DataFrame:
-    """Dead letters back to events, with the number of attempts so far."""
-    attempts = F.col("attempts") if "attempts" in letters.columns else F.lit(1)
-    out = letters.withColumn("attempts", attempts)
+    """Dead letters back to events, with the number of attempts so far; ``exhausted`` has those past the limit."""
+    out = with_attempts(letters)
     if max_attempts is not None:
         out = out.where(F.col("attempts") < max_attempts)
     parsed = out.withColumn("_event", F.from_json("event_payload", event_schema))
     return parsed.select("_event.*", (F.col("attempts") + 1).alias("attempts"))
 
 
-def signed(col_positive: Column, col_negative: Column) -> Column:
-    return col_positive - col_negative
+def exhausted(letters: DataFrame, max_attempts: int) -> DataFrame:
+    """Dead letters that have had all their attempts."""
+    return with_attempts(letters).where(F.col("attempts") >= max_attempts)

@@ -115,7 +115,7 @@ on_keyed("int4_source_id_uniqueness", f"SELECT {UNIQ.format(k='source_id')}, {ST
          lambda df: I.source_id_uniqueness(df, "A"))
 on_keyed("int5_duplicate_source_ids", """, e AS (SELECT source_id, id, count(*) AS n, min(ingested_at) AS lo, max(ingested_at) AS hi FROM v_keyed WHERE source = 'A' GROUP BY 1, 2),
   p AS (SELECT source_id, CAST(sum(n) AS BIGINT) AS occurrence_count, min(lo) AS first_ingested, max(hi) AS last_ingested, count(*) AS k FROM e GROUP BY 1 HAVING sum(n) > 1)
-  SELECT source_id, id % CAST(ceil(k / 1000) AS BIGINT) AS piece, occurrence_count, first_ingested, last_ingested,
+  SELECT source_id, ('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 7))::BIGINT % CAST(ceil(k / 1000) AS BIGINT) AS piece, occurrence_count, first_ingested, last_ingested,
     string_agg(id || CASE WHEN n > 1 THEN ' x' || n ELSE '' END, ', ' ORDER BY id) AS row_ids FROM e JOIN p USING (source_id) GROUP BY 1, 2, 3, 4, 5""",
          lambda df: I.duplicate_source_ids(df, "A"))
 on_keyed("int6_duplicate_times", """, n AS (SELECT id, ingested_at, row_number() OVER (PARTITION BY id ORDER BY ingested_at) AS rn FROM v_keyed)
@@ -164,13 +164,16 @@ on_stores("map6_strip_key_prefix", "SELECT id AS source_id FROM store_b",
 on_posts("map7_time_repair", "SELECT id, CASE WHEN lang = 'es' THEN NULL ELSE created_utc END AS created_utc FROM v_posts",
          lambda df: df.select("id", MP.repair_time(F.when(F.col("lang") == "de", F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss")).when(
              F.col("lang") == "es", F.lit("not a time")).otherwise(F.col("created_utc").cast("string"))).alias("created_utc")))
-on_posts("map8_skip_bad_records", "SELECT lang <> 'es' AS good, count(*) AS rows FROM v_posts GROUP BY 1",
-         lambda df: split_counts(df))
+on_posts("map8_skip_bad_records", """SELECT CASE WHEN lang = 'fr' THEN 'bad score' WHEN lang = 'es' THEN 'bad created_utc' ELSE 'good' END AS outcome,
+  count(*) AS rows FROM v_posts GROUP BY 1""", lambda df: split_counts(df))
 
 
 def split_counts(df):
-    good, bad = MP.split_bad(df.select("id", F.when(F.col("lang") != "es", F.col("created_utc")).alias("created_utc")))
-    return good.select(F.lit(True).alias("good")).unionByName(bad.select(F.lit(False).alias("good"))).groupBy("good").agg(F.count(F.lit(1)).alias("rows"))
+    """Spanish posts have no time and French ones a score that is no number."""
+    good, bad = MP.split_bad(df.select("id", F.when(F.col("lang") != "es", F.col("created_utc")).alias("created_utc"),
+                                       F.when(F.col("lang") == "fr", F.lit("abc")).otherwise(F.col("score").cast("string")).alias("score")))
+    good = MP.normalize_archive(good).select(F.lit("good").alias("outcome"))
+    return good.unionByName(bad.select(F.col("_reason").alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"))
 
 
 ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%f') AS {0}"

@@ -45,17 +45,6 @@ def known_keys_of_all(*stores: DataFrame) -> DataFrame:
     return keys.distinct()
 
 
-def readable(loaders: list) -> list[DataFrame]:
-    """The stores that can be opened; a store that fails to open is left out."""
-    opened = []
-    for load in loaders:
-        try:
-            opened.append(load())
-        except Exception:  # noqa: BLE001 - an unavailable store must not stop the others
-            continue
-    return opened
-
-
 def csv_keys(spark: SparkSession, path: str) -> DataFrame:
     """Distinct ids of a submission file store."""
     return known_keys(read_submissions(spark, path), "id")

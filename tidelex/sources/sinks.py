@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelex.functions.ordering import first_per_key, with_row_index
-from tidelex.operators.mapping import PUSH_COLUMNS, csv_to_envelope, push_row, split_bad
+from tidelex.operators.mapping import COLUMN_TYPES, PUSH_COLUMNS, csv_to_envelope, push_row, split_bad
 from tidelex.schemas import EVENT_KEY, SUBMISSION_COLUMNS
 from tidelex.session import materialize
 from tidelex.sources.readers import read_submissions
@@ -48,9 +49,10 @@ def append_events(df: DataFrame, path: str, key: list[str] = EVENT_KEY) -> tuple
     """
     spark = df.sparkSession
     existing = None
-    attempted, lo, hi = df.agg(F.count(F.lit(1)), F.to_date(F.min("occurred_at")), F.to_date(F.max("occurred_at"))).first()
+    attempted = df.count()
     if attempted and table_exists(spark, path):
-        existing = spark.read.parquet(path).where(F.col("occurred_date").between(lo, hi))
+        dates = df.select(F.to_date("occurred_at").alias("occurred_date")).distinct()
+        existing = spark.read.parquet(path).join(dates, "occurred_date", "left_semi")
     fresh = materialize(with_date(not_yet_stored(df, existing, key)))
     inserted = fresh.count()
     if inserted:
@@ -61,11 +63,18 @@ def append_events(df: DataFrame, path: str, key: list[str] = EVENT_KEY) -> tuple
     return inserted, attempted - inserted
 
 
+def as_text() -> T.StructType:
+    """The submission columns, all as text."""
+    return T.StructType([T.StructField(c, T.StringType()) for c in SUBMISSION_COLUMNS])
+
+
 def import_csv(spark: SparkSession, csv_path: str, table: str, quarantine: str, source: str,
                schema=None) -> tuple[int, int, int]:
     """File rows into the event table, bad rows into quarantine. Returns (inserted, skipped, bad)."""
-    rows = read_submissions(spark, csv_path, schema) if schema else read_submissions(spark, csv_path)
-    good, bad = split_bad(rows)
+    # Numbers are read as text, so that one that cannot be read is quarantined and not turned into null.
+    good, bad = split_bad(read_submissions(spark, csv_path, schema or as_text()))
+    for name, kind in COLUMN_TYPES.items():
+        good = good.withColumn(name, F.col(name).try_cast(kind))
     bad = materialize(bad)
     rejected = bad.count()
     if rejected:
