@@ -37,7 +37,7 @@ def test_windowed_metrics_equal_batch(spark, tmp_path):
     for lo in (0, 100, 200):
         rows.where(F.col("id").between(lo, lo + 99)).coalesce(1).write.mode("append").parquet(land)
         J.hourly_metrics(spark.readStream.schema(rows.schema).parquet(land), ["source"], "score", out, check).awaitTermination()
-    got = {r.time_bucket: (r.n, r.score_sum) for r in J.latest_per_window(spark, out, ["source"]).collect()}
+    got = {r.time_bucket: (r.n, r.score_sum) for r in J.total_per_window(spark, out, ["source"]).collect()}
     want = {r.t: (r.n, r.s) for r in rows.groupBy(F.date_trunc("hour", "occurred_at").alias("t")).agg(
         F.count("*").alias("n"), F.sum("score").alias("s")).collect()}
     assert got == want

@@ -221,22 +221,27 @@ def filter_tokens(text: Column) -> Column:
     return F.array_join(keep_words(tokens_of(text)), " ")
 
 
-def preprocess(df: DataFrame, text: str, target: str = TARGET_LANGUAGE, words_as: str | None = None) -> DataFrame:
+def preprocess(df: DataFrame, text: str, target: str = TARGET_LANGUAGE, words_as: str | None = None,
+               detect: Callable[[Column], Column] | None = None, lemmatize: Callable[[Column], Column] | None = None) -> DataFrame:
     """Add cleaned_text, detected_language_code, detected_language_confidence, is_target_language.
 
-    A blank text counts as target and stays empty. Other languages are only
-    lower-cased. ``words_as`` also keeps the cleaned words of target texts as an
-    array, so that a scorer need not cut the text again.
+    A blank text counts as target and stays empty, and so does one whose language
+    is not known: short texts often have no function word, and none is left out for
+    that. Other languages are only lower-cased. ``words_as`` also keeps the cleaned
+    words of target texts as an array, so that a scorer need not cut the text again.
+    ``detect`` gives struct (code, confidence) for the basic-cleaned text, and
+    ``lemmatize`` the cleaned form of a target text, in place of the word lists.
     """
     blank = is_blank(F.col(text))
     df = df.withColumn("_basic", basic_clean(F.when(blank, F.lit("")).otherwise(F.col(text))))
     df = df.withColumn("_tokens", tokens_of(F.col("_basic")))
-    df = df.withColumn("_language", language(F.col("_tokens")))
+    df = df.withColumn("_language", detect(F.col("_basic")) if detect else language(F.col("_tokens")))
     df = df.withColumns({"detected_language_code": F.col("_language.code"),
                          "detected_language_confidence": F.col("_language.confidence")})
-    df = df.withColumn("is_target_language", blank | (F.col("detected_language_code") == target))
+    df = df.withColumn("is_target_language", blank | F.coalesce(F.col("detected_language_code").isin(target, UNKNOWN_LANGUAGE), F.lit(True)))
     words = words_as or "_words"
-    df = df.withColumn(words, F.when(F.col("is_target_language"), keep_words(F.col("_tokens"))))
+    kept = F.filter(tokens_of(lemmatize(F.col("_basic"))), lambda t: t != "") if lemmatize else keep_words(F.col("_tokens"))
+    df = df.withColumn(words, F.when(F.col("is_target_language"), kept))
     df = df.withColumn("cleaned_text", F.coalesce(F.array_join(words, " "), F.lower("_basic")))
     return df.drop("_basic", "_tokens", "_language", *([] if words_as else ["_words"]))
 

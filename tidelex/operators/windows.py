@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelex.functions.ordering import first_per_key
 from tidelex.functions.timefn import micros, seconds_between
 
 STOP_AFTER_EMPTY = 3
@@ -123,8 +122,3 @@ def backfill_rows(df: DataFrame, group: str, ts: str, end, days: int,
             .join(extent, group)
             .where(F.col("window_no") <= F.col("last_window"))
             .drop("last_window"))
-
-
-def first_period_hit(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Keep each id once: from the window that reaches it first."""
-    return first_per_key(df, [key], order)

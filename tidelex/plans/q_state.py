@@ -124,7 +124,7 @@ P = f"WITH {V.V_POSTS} "
 
 
 def searched(spark, sf_dir):
-    return V.posts_of(V.spread(V.table(spark, sf_dir, "documents"), "doc_id"))
+    return V.posts_of(V.table(spark, sf_dir, "documents"))
 
 
 def on_posts(name, sql, fn):

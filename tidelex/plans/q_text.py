@@ -60,7 +60,7 @@ def prep_sql(source: str, keys: str, text: str) -> str:
   lang AS (SELECT *, CASE WHEN {best} = 0 THEN 'unknown' WHEN h_en = {best} THEN 'en' WHEN h_de = {best} THEN 'de'
       WHEN h_fr = {best} THEN 'fr' ELSE 'es' END AS code,
       CASE WHEN {best} > 0 THEN {best} / (h_en + h_de + h_fr + h_es) END AS share FROM hit),
-  prep AS (SELECT *, b = '' AND trim(original, {WS}) = '' AS blank, CASE WHEN code = 'en' THEN array_to_string(list_filter(string_split(lower(b), ' '),
+  prep AS (SELECT *, b = '' AND trim(original, {WS}) = '' AS blank, CASE WHEN code IN ('en', 'unknown') THEN array_to_string(list_filter(string_split(lower(b), ' '),
       lambda w: regexp_full_match(w, '\\p{{L}}+') AND NOT list_contains({sql_list(STOP_WORDS)}, w)), ' ')
       WHEN b = '' THEN '' ELSE lower(b) END AS cleaned FROM lang)"""
 
@@ -78,7 +78,7 @@ def softmax_sql(source: str, text: str) -> str:
 
 
 def docs(spark, sf_dir):
-    return V.spread(V.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    return V.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
 def with_lang(spark, sf_dir):
@@ -96,10 +96,9 @@ def text_query(name: str, column, sql_expr: str):
 
 # Assembly and resolution, over JSON payloads.
 
-@query("txt1_text_assembly", f"""WITH {V.V_DOC_EVENTS} SELECT id, md5(text) AS digest FROM v_doc_events WHERE text <> ''""")
+@query("txt1_text_assembly", f"""WITH {V.V_DOC_EVENTS} SELECT id, CASE WHEN text <> '' THEN md5(text) END AS digest FROM v_doc_events""")
 def txt1(spark, sf_dir):
-    df = V.doc_events(spark, sf_dir).select("id", TX.assemble_text(F.col("payload")).alias("t"))
-    return df.where(F.col("t").isNotNull()).select("id", F.md5("t").alias("digest"))
+    return V.doc_events(spark, sf_dir).select("id", F.md5(TX.assemble_text(F.col("payload"))).alias("digest"))
 
 
 @query("txt2_content_resolution", """SELECT conv_id, turn, CASE WHEN role = 'system' THEN '' ELSE text END AS resolved FROM conversations""")
@@ -130,7 +129,7 @@ query("txt10_language_id", PREP + " SELECT doc_id, code AS language, round(share
 query("txt10_language_agreement", PREP + " SELECT lang, code AS language, count(*) AS docs FROM lang GROUP BY 1, 2")(
     lambda s, d: with_lang(s, d)
     .groupBy("lang", "language").agg(F.count(F.lit(1)).alias("docs")))
-query("txt11_language_gate", PREP + " SELECT doc_id, CASE WHEN code = 'en' THEN 'result' ELSE 'skipped_language' END AS route FROM lang")(
+query("txt11_language_gate", PREP + " SELECT doc_id, CASE WHEN code IN ('en', 'unknown') THEN 'result' ELSE 'skipped_language' END AS route FROM lang")(
     lambda s, d: TX.preprocess(docs(s, d), "text").select("doc_id", F.when(
         F.col("is_target_language"), F.lit("result")).otherwise(F.lit("skipped_language")).alias("route")))
 query("txt12_token_filter", f"""SELECT doc_id, md5(array_to_string(list_filter(string_split({squeeze_sql('lower(text)')}, ' '),
@@ -141,7 +140,7 @@ query("txt13_lemmatizer_plugin", f"""SELECT doc_id, md5(array_to_string(list_fil
     lambda s, d: docs(s, d).select("doc_id", TX.lemmas_by_model(F.col("text"), TX.WordFilter).alias("t"))
     .select("doc_id", F.md5("t").alias("digest")))
 query("txt14_preprocess", PREP + """ SELECT doc_id, md5(cleaned) AS digest, code AS detected_language_code,
-  round(share, 6) AS detected_language_confidence, code = 'en' AS is_target_language FROM prep""")(
+  round(share, 6) AS detected_language_confidence, code IN ('en', 'unknown') AS is_target_language FROM prep""")(
     lambda s, d: TX.preprocess(docs(s, d), "text").select(
         "doc_id", F.md5("cleaned_text").alias("digest"), "detected_language_code", "detected_language_confidence",
         "is_target_language"))
@@ -199,11 +198,11 @@ query("sco7_single_analyze", ANALYZE + f" SELECT doc_id, code AS detected_langua
 # Routing
 
 ROUTED = f"WITH {V.V_DOC_EVENTS}, " + prep_sql("v_doc_events", "id, source, source_id, occurred_at", "text") + ", " + softmax_sql("prep", "cleaned")
-ROUTE = "CASE WHEN blank THEN 'dead_letter' WHEN code <> 'en' THEN 'skipped_language' ELSE 'result' END"
+ROUTE = "CASE WHEN blank THEN 'dead_letter' WHEN code NOT IN ('en', 'unknown') THEN 'skipped_language' ELSE 'result' END"
 
 
 def routing(spark, sf_dir):
-    return RE.route_events(V.spread(V.doc_events(spark, sf_dir), "id"))
+    return RE.route_events(V.doc_events(spark, sf_dir))
 
 
 def routed(spark, sf_dir):
@@ -238,5 +237,6 @@ query("eva1_scoring_quality", f"""WITH {softmax_sql('documents', 'text')},
         (F.col("label") == "negative").cast("int").alias("predicted"), F.col("toxic").cast("int").alias("actual")),
         "predicted", "actual"))
 query("doc5_word_counts", PREP + """ SELECT word, count(*) AS n FROM (SELECT unnest(string_split(cleaned, ' ')) AS word
-  FROM prep WHERE code = 'en') WHERE word <> '' GROUP BY 1""")(
-    lambda s, d: M.word_counts(TX.preprocess(docs(s, d), "text", words_as="words"), "words"))
+  FROM prep) WHERE word <> '' GROUP BY 1""")(
+    lambda s, d: M.word_counts(TX.preprocess(docs(s, d), "text").withColumn("words", F.split("cleaned_text", " ")), "words")
+    .where("word <> ''"))

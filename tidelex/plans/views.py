@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelex.functions.layout import spread  # noqa: F401
 from tidelex.functions.timefn import micros
 from tidelex.operators.mapping import to_envelope
 from tidelex.schemas import SUBMISSION_COLUMNS

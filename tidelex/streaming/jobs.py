@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelex.functions.layout import spread
-from tidelex.functions.ordering import first_per_key
 from tidelex.functions.timefn import micros
 from tidelex.operators.mapping import normalize_submission, split_bad, to_envelope
 from tidelex.operators.metrics import hourly_metric, merge_metrics
@@ -53,7 +51,7 @@ def analyze(events: DataFrame, out: str, checkpoint: str, make_scorer=None, once
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         routed_path = f"{out}/routed/batch_id={batch_id}"
-        route_events(spread(df, "id"), make_scorer=make_scorer).withColumn("_now", clock().cast("timestamp")).write.mode(
+        route_events(df, make_scorer=make_scorer).withColumn("_now", clock().cast("timestamp")).write.mode(
             "overwrite").parquet(routed_path)
         routed = spark.read.parquet(routed_path)
         at = F.col("_now")
@@ -72,27 +70,26 @@ def merged_metrics(spark: SparkSession, out: str) -> DataFrame:
     return merge_metrics(spark.read.parquet(f"{out}/metrics").drop("batch_id"))
 
 
-def windowed_counts(events: DataFrame, keys: list[str], value: str, width: str = "1 hour",
-                    delay: str = "2 hours", ts: str = "occurred_at") -> DataFrame:
-    """Tumbling windows with a watermark: count and sum per key."""
-    return (events.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), *keys)
+def windowed_counts(events: DataFrame, keys: list[str], value: str, width: str = "1 hour", ts: str = "occurred_at") -> DataFrame:
+    """Count and sum per tumbling window and key; these parts add up over batches."""
+    return (events.groupBy(F.window(ts, width).alias("w"), *keys)
             .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("score_sum"))
             .select(F.col("w.start").alias("time_bucket"), *keys, "n", "score_sum"))
 
 
 def hourly_metrics(events: DataFrame, keys: list[str], value: str, out: str, checkpoint: str,
-                   width: str = "1 hour", delay: str = "2 hours", once: bool = True) -> StreamingQuery:
-    """Windowed metrics in update mode; each batch writes the windows it changed."""
+                   width: str = "1 hour", once: bool = True) -> StreamingQuery:
+    """Windowed metrics. Each batch writes the part its rows add to every window, so rows of any age count and no
+    state is kept."""
     def batch(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        windowed_counts(df, keys, value, width).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    return start(windowed_counts(events, keys, value, width, delay), checkpoint, batch, once, mode="update")
+    return start(events, checkpoint, batch, once)
 
 
-def latest_per_window(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """The last written value of each window."""
-    rows = spark.read.parquet(out)
-    return first_per_key(rows, ["time_bucket", *keys], [-F.col("batch_id")]).drop("batch_id")
+def total_per_window(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The value of each window over all batches."""
+    return spark.read.parquet(out).groupBy("time_bucket", *keys).agg(F.sum("n").alias("n"), F.sum("score_sum").alias("score_sum"))
 
 
 def split_late(events: DataFrame, out: str, checkpoint: str, delay_seconds: int, ts: str = "occurred_at",
