@@ -31,7 +31,9 @@ BANDS, ROWS = 40, 5
 BITS = 4
 #: A pair is confirmed unless its estimate is this far below the threshold: six standard deviations.
 MARGIN = 0.18
-BLOCK = 512
+#: Documents of one band value that are compared in one task, and shingles held for it.
+BLOCK = 2048
+HELD_SHINGLES = 1 << 20
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands binary, sig binary"
 
 
@@ -142,33 +144,95 @@ def linked(batches, width: int, threshold: int):
                 lo, held, sides = i + 1, 0, ([], [])
 
 
-def across(batches, count: int, bits: int, least: float, threshold: int):
-    """Per block pair of a band value: likely pairs of different components. Rows are sorted by (key, g, h)."""
-    def pairs(rows):
-        doc, label, side, size = (rows.column(n).to_numpy() for n in ("doc_id", "label", "side", "n_shingles"))
-        sig = _matrix(rows.column("sig"))
-        diagonal = (rows.column("g")[0].as_py() == rows.column("h")[0].as_py())
-        right = np.arange(len(doc)) if diagonal else np.flatnonzero(side == 1)
-        for i in (range(len(doc)) if diagonal else np.flatnonzero(side == 0)):
-            others = right[i + 1:] if diagonal else right
-            others = others[(label[others] != label[i]) & (100 * np.minimum(size[others], size[i])
-                                                          >= threshold * np.maximum(size[others], size[i]))]
-            if len(others):
-                others = others[estimate(sig[others], sig[i], count, bits) >= least]
-                yield np.minimum(doc[others], doc[i]), np.maximum(doc[others], doc[i])
+class Block:
+    """The documents of a block pair of one band value, and the links between its components.
 
+    A pair is looked at in the first band that it shares only, and no longer
+    once other links have joined its components.
+    """
+
+    def __init__(self, rows: pa.RecordBatch, count: int, bits: int, least: float, width: int, threshold: int):
+        self.doc, self.label, self.side, self.size = (
+            rows.column(n).to_numpy().copy() for n in ("doc_id", "label", "side", "n_shingles"))
+        self.sig, self.bands = _matrix(rows.column("sig")), _matrix(rows.column("bands")).view("<u8")
+        self.band = rows.column("band")[0].as_py()
+        self.packed, self.diagonal = rows.column("packed"), rows.column("g")[0] == rows.column("h")[0]
+        self.count, self.bits, self.least, self.width, self.threshold = count, bits, least, width, threshold
+
+    def likely(self, i: int) -> np.ndarray:
+        """Documents of other components that may be similar enough to document ``i``."""
+        if self.diagonal:
+            others = np.arange(i + 1, len(self.doc))
+        else:
+            others = np.flatnonzero(self.side == 1) if self.side[i] == 0 else np.empty(0, dtype=np.int64)
+        others = others[(self.label[others] != self.label[i])
+                        & (100 * np.minimum(self.size[others], self.size[i]) >= self.threshold * np.maximum(self.size[others], self.size[i]))]
+        others = others[estimate(self.sig[others], self.sig[i], self.count, self.bits) >= self.least]
+        return others[(self.bands[others] == self.bands[i]).argmax(axis=1) == self.band]
+
+    def links(self):
+        """Pairs (a, b) of linked documents, enough to join what links join."""
+        found = [(i, others) for i in range(len(self.doc)) if len(others := self.likely(i))]
+        if not found:
+            return
+        need = np.unique(np.concatenate([[i for i, _ in found], *(o for _, o in found)]))
+        # Shingle sets of two stretches of documents are held at a time.
+        stretch = np.zeros(len(self.doc), dtype=np.int64)
+        stretch[need] = np.cumsum(self.size[need]) // HELD_SHINGLES
+        pairs = np.concatenate([np.stack((np.full(len(o), i), o)) for i, o in found], axis=1)
+        order = np.lexsort((pairs[0], stretch[pairs[1]], stretch[pairs[0]]))
+        held: dict[int, tuple] = {}
+        for i, others in _grouped(pairs[:, order], stretch):
+            others = others[self.label[others] != self.label[i]]
+            if not len(others):
+                continue
+            wanted = {int(stretch[i]), int(stretch[others[0]])}
+            held = {k: v for k, v in held.items() if k in wanted}
+            for k in wanted - held.keys():
+                held[k] = self._sets(need[stretch[need] == k])
+            own, sets = self._set(held[int(stretch[i])], i), [self._set(held[int(stretch[others[0]])], j) for j in others]
+            size = np.array([len(x) for x in sets])
+            flat = np.concatenate(sets)
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(size) - size)
+            for j in others[100 * both >= self.threshold * (size + len(own) - both)]:
+                yield min(self.doc[i], self.doc[j]), max(self.doc[i], self.doc[j])
+                self.label[self.label == self.label[j]] = self.label[i]
+
+    def _sets(self, rows: np.ndarray) -> tuple:
+        import zstandard
+        press = zstandard.ZstdDecompressor()
+        texts = [press.decompress(self.packed[int(i)].as_buffer()) for i in rows]
+        off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        return (rows, *shingle_sets(np.frombuffer(b"".join(texts), dtype=np.uint8), off, self.width))
+
+    @staticmethod
+    def _set(held: tuple, i: int) -> np.ndarray:
+        rows, values, bounds = held
+        at = int(np.searchsorted(rows, i))
+        return values[bounds[at]:bounds[at + 1]]
+
+
+def _grouped(pairs: np.ndarray, stretch: np.ndarray):
+    """(i, [j]) of ordered pairs, with the j of one stretch at a time."""
+    cut = np.flatnonzero(np.concatenate(([True], (pairs[0, 1:] != pairs[0, :-1]) | (stretch[pairs[1, 1:]] != stretch[pairs[1, :-1]]))))
+    for a, b in zip(cut, np.append(cut[1:], pairs.shape[1]), strict=True):
+        yield int(pairs[0, a]), pairs[1, a:b]
+
+
+def across(batches, count: int, bits: int, least: float, width: int, threshold: int):
+    """Links between components, block pair by block pair. Rows are sorted by (key, g, h)."""
     def out(rows):
-        found = [(a, b) for a, b in pairs(rows) if len(a)]
+        found = list(Block(rows, count, bits, least, width, threshold).links())
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
-    names = ["key", "g", "h", "doc_id", "label", "side", "n_shingles", "sig"]
     rest = None
     for batch in batches:
-        whole = pa.Table.from_batches(([rest] if rest is not None else []) + [batch.select(names)]).combine_chunks()
-        rows = whole.to_batches()[0] if whole.num_rows else None
-        if rows is None:
+        whole = pa.Table.from_batches(([rest] if rest is not None else []) + [batch]).combine_chunks()
+        if not whole.num_rows:
             continue
+        rows = whole.to_batches()[0]
         ids = np.stack([rows.column(n).to_numpy() for n in ("key", "g", "h")])
         cut = np.flatnonzero(np.concatenate(([True], (ids[:, 1:] != ids[:, :-1]).any(axis=0))))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -184,7 +248,8 @@ def band_rows(batches):
         values = _matrix(batch.column("bands")).view("<i8") if batch.num_rows else np.empty((0, 1), np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.ascontiguousarray(values).reshape(-1)),
-             pa.array(np.repeat(batch.column("doc_id").to_numpy(), values.shape[1]))], ["key", "doc_id"])
+             pa.array(np.repeat(batch.column("doc_id").to_numpy(), values.shape[1])),
+             pa.array(np.tile(np.arange(values.shape[1], dtype=np.int32), batch.num_rows))], ["key", "doc_id", "band"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -205,55 +270,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count, least = bands * rows, threshold / 100 - MARGIN
     narrow = id_and_text(docs, id_col, text_col)
     signed = stored(narrow.mapInArrow(lambda b: signatures(b, shingle, bands, rows, bits), _SIGNED), "signed")
-    keyed = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["set_a", "set_b", "n_shingles"]
-    classes = keyed.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("doc_id"), *same)
-    heads = keyed.join(reps, ["doc_id", *same], "left_semi")
+    classes = stored(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
+    heads = signed.join(classes.select(F.col("rep").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
+    classed = stored(signed.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n_shingles", "rep"), "classed")
 
-    placed = heads.select("doc_id", "bands").mapInArrow(band_rows, "key long, doc_id long")
+    placed = heads.select("doc_id", "bands").mapInArrow(band_rows, "key long, doc_id long, band int")
     groups = placed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    members = stored(placed.join(groups, "key").select("key", "doc_id", "first"), "members")
+    members = stored(placed.join(groups, "key").select("key", "doc_id", "band", "first"), "members")
     asked = members.select("doc_id").distinct()
     texts = stored(packed_texts(narrow).join(asked, "doc_id", "left_semi"), "texts")
-    sigs = stored(heads.join(asked, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig"), "sigs")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("doc_id").alias(s), F.col("packed").alias(f"text_{s}")) for s in "ab")
-        return pairs.join(a, "a").join(b, "b").mapInArrow(lambda x: linked(x, shingle, threshold), "a long, b long").distinct()
+    sigs = stored(heads.join(asked, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig", "bands"), "sigs")
 
     def side(s: str) -> DataFrame:
         return sigs.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
 
     star = members.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = stored(star.join(side("a"), "a").join(side("b"), "b")
-                  .where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)").select("a", "b", "sig_a", "sig_b")
-                  .mapInArrow(lambda x: likely(x, count, bits, least), "a long, b long").distinct(), "star")
+    star = (star.join(side("a"), "a").join(side("b"), "b")
+            .where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)").select("a", "b", "sig_a", "sig_b")
+            .mapInArrow(lambda x: likely(x, count, bits, least), "a long, b long").distinct())
+    text_a, text_b = (texts.select(F.col("doc_id").alias(s), F.col("packed").alias(f"text_{s}")) for s in "ab")
+    checked = star.join(text_a, "a").join(text_b, "b").mapInArrow(lambda x: linked(x, shingle, threshold), "a long, b long")
     # Rows that share an id tie the classes they are in.
-    per_id = keyed.select("doc_id", *same).join(classes, same).select("doc_id", "rep").distinct()
+    per_id = classed.where("doc_id IS NOT NULL AND rep IS NOT NULL")
     several = per_id.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
     tied = per_id.join(several, "doc_id").where("rep > a").select("a", F.col("rep").alias("b"))
-    edges = stored(checked(star).unionByName(tied), "links")
+    edges = stored(checked.unionByName(tied).distinct(), "links")
     labels = components(edges)
 
-    # Band values that still hold several components: their pairs across components.
-    placed = members.select("key", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left") \
-        .select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    # Band values that still hold several components: the pairs across components.
+    placed = (members.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
+              .select("key", "doc_id", "band", F.coalesce("label", "doc_id").alias("label")))
     open_ = (placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
              .where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    dealt = (placed.join(open_, "key").join(sigs, "doc_id")
+    dealt = (placed.join(open_, "key").join(sigs, "doc_id").join(texts, "doc_id")
              .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", F.least("block", "other").alias("g"), F.greatest("block", "other").alias("h"), "doc_id", "label",
-                     (F.col("block") > F.col("other")).cast("int").alias("side"), "n_shingles", "sig"))
-    rest = (dealt.repartition(partitions(docs), "key", "g", "h").sortWithinPartitions("key", "g", "h")
-            .mapInArrow(lambda x: across(x, count, bits, least, threshold), "a long, b long").distinct())
-    more = stored(checked(stored(rest.join(star, ["a", "b"], "left_anti"), "rest")), "more")
+             .select("key", F.least("block", "other").alias("g"), F.greatest("block", "other").alias("h"), "doc_id", "label", "band",
+                     (F.col("block") > F.col("other")).cast("int").alias("side"), "n_shingles", "sig", "bands", "packed"))
+    more = stored(dealt.repartition(partitions(docs), "key", "g", "h").sortWithinPartitions("key", "g", "h")
+                  .mapInArrow(lambda x: across(x, count, bits, least, shingle, threshold), "a long, b long").distinct(), "more")
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
 
-    return (signed.select("doc_id", *same).join(classes, same, "left")
-            .join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    return (classed.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
