@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -113,13 +113,25 @@ class KeywordScorer:
         self.lexicon = lexicon or LEXICON
 
     def score(self, texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            weights = [self.lexicon.get(w, 0.0) for w in text.lower().split()]
-            logits = [sum(w for w in weights if w > 0), -sum(w for w in weights if w < 0), 1.0]
-            exps = [math.exp(v - max(logits)) for v in logits]
-            rows.append([e / sum(exps) for e in exps])
-        return pd.DataFrame(rows, columns=list(LABELS))
+        texts = texts.reset_index(drop=True)
+        weights = texts.str.lower().str.split().explode().map(self.lexicon).fillna(0.0)
+        sums = [part.groupby(level=0).sum().to_numpy() for part in (weights.clip(lower=0), -weights.clip(upper=0))]
+        logits = np.stack([*sums, np.ones(len(texts))], axis=1)
+        exps = np.exp(logits - logits.max(axis=1, keepdims=True))
+        return pd.DataFrame(exps / exps.sum(axis=1, keepdims=True), columns=list(LABELS))
+
+
+#: A text that the sample model below cannot score.
+BROKEN = "broken item"
+
+
+class BreakingScorer(KeywordScorer):
+    """Sample model with a defect: fails on every batch that holds a certain text."""
+
+    def score(self, texts: pd.Series) -> pd.DataFrame:
+        if (texts == BROKEN).any():
+            raise ValueError("this text cannot be scored")
+        return super().score(texts)
 
 
 SCORED_FIELDS = ", ".join(["label string", "confidence double", "p_positive double",

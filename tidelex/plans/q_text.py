@@ -87,11 +87,31 @@ def with_lang(spark, sf_dir):
         "doc_id", "lang", F.col("_l.code").alias("language"), F.col("_l.confidence").alias("language_confidence"))
 
 
+#: What a cleaning step has to find, added to the documents, which hold little of it: every n-th gets a piece.
+PIECES = ((2, "see https://site.example/a?b=1&c=#2 now"), (3, "www.site.example mail a.b@c.org,"), (4, "star ⭐😀 clock⏰ 🟢 ✂ arrow ➔"),
+          (5, "hi @someone_1! and @é"), (7, "#topic_é #a#b ok"))
+PIECES_SQL = "concat_ws(' ', text, " + ", ".join(f"CASE WHEN doc_id % {n} = 0 THEN '{piece}' END" for n, piece in PIECES) + ")"
+
+
+def with_pieces(spark, sf_dir):
+    pieces = [F.when(F.col("doc_id") % n == 0, F.lit(piece)) for n, piece in PIECES]
+    return docs(spark, sf_dir).withColumn("text", F.concat_ws(" ", "text", *pieces))
+
+
 def text_query(name: str, column, sql_expr: str):
-    """The digest and length of a transformed text, per document."""
-    query(name, f"SELECT doc_id, md5(t) AS digest, length(t) AS chars FROM (SELECT doc_id, {sql_expr} AS t FROM documents)")(
-        lambda s, d: docs(s, d).select("doc_id", column(F.col("text")).alias("t")).select(
-            "doc_id", F.md5("t").alias("digest"), F.length("t").alias("chars")))
+    """The digest and length of a transformed text, and whether it differs from the given one, per document."""
+    query(name, f"""SELECT doc_id, md5(t) AS digest, length(t) AS chars, t <> text AS changed
+      FROM (SELECT doc_id, text, {sql_expr} AS t FROM (SELECT doc_id, {PIECES_SQL} AS text FROM documents))""")(
+        lambda s, d: with_pieces(s, d).select("doc_id", "text", column(F.col("text")).alias("t")).select(
+            "doc_id", F.md5("t").alias("digest"), F.length("t").alias("chars"), (F.col("t") != F.col("text")).alias("changed")))
+
+
+def named_sql(text: str) -> str:
+    """The emoji of the pieces by their names."""
+    for sign, name in (("⭐", "white_medium_star"), ("😀", "grinning_face"), ("⏰", "alarm_clock"), ("🟢", "large_green_circle"),
+                       ("✂", "black_scissors")):
+        text = f"replace({text}, '{sign}', ' :{name}: ')"
+    return text
 
 
 # Assembly and resolution, over JSON payloads.
@@ -117,8 +137,7 @@ text_query("txt4_strip_urls", TX.strip_urls, URLS("text"))
 text_query("txt5_strip_emails", TX.strip_emails, EMAILS("text"))
 text_query("txt6_strip_mentions", TX.strip_mentions, MENTIONS("text"))
 text_query("txt7_strip_hashtags", TX.strip_hashtags, TAGS("text"))
-query("txt8_emoji_to_name")(lambda s, d: V.table(s, d, "pages").select(
-    "page_id", TX.emoji_to_name(F.col("html")).alias("t")).select("page_id", F.md5("t").alias("digest"), F.length("t").alias("chars")))
+text_query("txt8_emoji_to_name", TX.emoji_to_name, named_sql("text"))
 text_query("txt9_squeeze_blanks", lambda t: TX.single_spaces(TX.one_line(t)), squeeze_sql("text"))
 query("txt4_strip_urls_pages", f"SELECT page_id, md5({URLS('html')}) AS digest FROM pages")(
     lambda s, d: V.table(s, d, "pages").select("page_id", F.md5(TX.strip_urls(F.col("html"))).alias("digest")))
@@ -173,6 +192,12 @@ query("sco1_classify_with_model", PREP + ", " + keyword_sql("doc_id", "prep", "c
       + f" SELECT doc_id, {SOFT} FROM scored")(lambda s, d: SC.classify_with_model(
     TX.preprocess(docs(s, d), "text").select("doc_id", "cleaned_text"), "cleaned_text", SC.KeywordScorer)
     .select("doc_id", *PROBS))
+query("sco3_scorer_failure", PREP + ", " + keyword_sql("doc_id", "prep", "cleaned = ''", "string_split(cleaned, ' ')")
+      + """ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'error' ELSE lab END AS label,
+  CASE WHEN doc_id % 3 = 0 THEN 0.0::DOUBLE ELSE round(conf, 6) END AS confidence, doc_id % 3 = 0 AS failed FROM scored""")(
+    lambda s, d: SC.bulk_analyze(TX.preprocess(docs(s, d), "text").select("doc_id", F.when(
+        F.col("doc_id") % 3 == 0, F.lit(SC.BROKEN)).otherwise(F.col("cleaned_text")).alias("t")), "t", make_scorer=SC.BreakingScorer)
+    .select("doc_id", "label", "confidence", (F.col("label") == "error").alias("failed")))
 query("sco2_blank_default", f"""WITH {V.V_DOC_EVENTS}, {softmax_sql('v_doc_events', 'text')} SELECT id, {SOFT} FROM scored WHERE empty""")(
     lambda s, d: SC.classify(V.doc_events(s, d).select("id", F.coalesce(
         TX.assemble_text(F.col("payload")), F.lit("")).alias("t")), "t").where(TX.is_blank(F.col("t"))).select("id", *PROBS))
