@@ -103,6 +103,26 @@ def str6(spark, sf_dir):
     return spark.read.parquet(f"{out}/alarms").select("source_id", "gap_start", "idle_seconds")
 
 
+@query("str6_all_silent", R + """SELECT source_id, max(occurred_at) AS gap_start,
+  (epoch_us(TIMESTAMP '2024-03-01 00:00:00') - epoch_us(max(occurred_at))) / 1e6 AS idle_seconds FROM v_results GROUP BY 1""")
+def str6_silent(spark, sf_dir):
+    """Nothing arrives any more: two checks by the clock give one alarm for every source."""
+    out = scratch(spark, "silent")
+    finish(J.idle_sources(V.results_of(stream(spark, sf_dir, "events")), "source_id", out, scratch(spark, "check"), 10**9))
+    for _ in range(2):
+        J.raise_idle_alarms(spark, out, "source_id", AT)
+    return spark.read.parquet(f"{out}/alarms")
+
+
+@query("clm1_claim_and_record", f"""WITH {V.V_RAW} SELECT id, CAST((row_number() OVER (ORDER BY occurred_at, id) - 1) // 100 AS BIGINT) AS round FROM v_raw
+  WHERE NOT coalesce(processed, false) ORDER BY occurred_at, id LIMIT 200""")
+def clm1_record(spark, sf_dir):
+    """Two claims of 100 events: the second takes the next ones."""
+    ledger, events = scratch(spark, "ledger"), V.raw(spark, sf_dir)
+    first, second = (J.claim(spark, events, ledger).select("id", F.lit(i).alias("round")) for i in (0, 1))
+    return first.unionByName(second)
+
+
 @query("str7_gap_triggered_backfill", R + """, known AS (SELECT * FROM v_results WHERE source <> 'error'),
   last AS (SELECT source_id, max(occurred_at) AS seen FROM known GROUP BY 1)
   SELECT r.id, r.source_id, r.occurred_at FROM v_results r JOIN last l USING (source_id)

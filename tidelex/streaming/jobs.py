@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelex.functions.timefn import micros
+from tidelex.functions.timefn import as_column, micros
 from tidelex.operators.mapping import normalize_submission, split_bad, to_envelope
 from tidelex.operators.metrics import hourly_metric, merge_metrics
 from tidelex.operators.results import dead_letters, result_rows, route_events, skipped_rows
+from tidelex.operators.state import CLAIM_SIZE, claim_oldest
+from tidelex.session import materialize
 from tidelex.sources.sinks import append_events, push_batches, table_exists
 
 CYCLE = "60 seconds"
@@ -112,26 +114,56 @@ def split_late(events: DataFrame, out: str, checkpoint: str, delay_seconds: int,
     return start(events, checkpoint, batch, once)
 
 
-def idle_sources(events: DataFrame, group: str, out: str, checkpoint: str, threshold_seconds: int = 600,
-                 ts: str = "occurred_at", once: bool = True) -> StreamingQuery:
-    """After each cycle, the groups whose newest row is at least the threshold older than the newest of all.
+def last_seen(spark: SparkSession, out: str, group: str) -> DataFrame:
+    """Newest time of each group over all batches of ``idle_sources``."""
+    return spark.read.parquet(f"{out}/last_seen").groupBy(group).agg(F.max("last_us").alias("last_us"))
+
+
+def raise_idle_alarms(spark: SparkSession, out: str, group: str, as_of, threshold_seconds: int = 600) -> DataFrame:
+    """Alarms for groups whose newest row is at least the threshold older than ``as_of``.
 
-    State is one time per group; maxima are taken before the shuffle, so a
-    busy group is as cheap as a quiet one.
+    It needs no new data, so it also finds that everything has stopped: run it by
+    the clock. A group alarms once for each time it stops; what was raised before is
+    not raised again. Returns and stores the new alarms.
     """
-    newest = events.groupBy(group).agg(F.max(micros(F.col(ts))).alias("last_us"))
+    now = micros(as_column(as_of).cast("timestamp"))
+    idle = (last_seen(spark, out, group).withColumn("idle_seconds", (now - F.col("last_us")) / 1_000_000.0)
+            .where(F.col("idle_seconds") >= threshold_seconds)
+            .select(group, F.timestamp_micros("last_us").alias("gap_start"), "idle_seconds"))
+    path = f"{out}/alarms"
+    if table_exists(spark, path):
+        idle = idle.join(spark.read.parquet(path).select(group, "gap_start"), [group, "gap_start"], "left_anti")
+    new = materialize(idle)
+    new.write.mode("append").parquet(path)
+    return new
+
+
+def idle_sources(events: DataFrame, group: str, out: str, checkpoint: str, threshold_seconds: int = 600,
+                 ts: str = "occurred_at", once: bool = True, clock: Callable[[], Column] | None = None) -> StreamingQuery:
+    """Keep the newest time of every group, and raise idle alarms after each cycle.
 
+    A batch stores the newest times of the groups it holds, taken before the
+    shuffle, so a busy group is as cheap as a quiet one. Without a ``clock`` the
+    newest time of all stands for now; a caller with a clock also runs
+    ``raise_idle_alarms`` when no batch comes.
+    """
     def batch(df: DataFrame, batch_id: int) -> None:
-        path = f"{out}/last_seen/batch_id={batch_id}"
-        df.write.mode("overwrite").parquet(path)
-        stored = df.sparkSession.read.parquet(path)
-        now = stored.agg(F.max("last_us")).scalar()
-        idle = (stored.withColumn("idle_seconds", (now - F.col("last_us")) / 1_000_000.0)
-                .where(F.col("idle_seconds") >= threshold_seconds))
-        idle.select(group, F.timestamp_micros("last_us").alias("gap_start"), "idle_seconds").write.mode(
-            "overwrite").parquet(f"{out}/alarms/batch_id={batch_id}")
-
-    return start(newest, checkpoint, batch, once, mode="complete")
+        spark = df.sparkSession
+        df.groupBy(group).agg(F.max(micros(F.col(ts))).alias("last_us")).write.mode("overwrite").parquet(
+            f"{out}/last_seen/batch_id={batch_id}")
+        newest = last_seen(spark, out, group).agg(F.max("last_us")).first()[0]
+        now = clock() if clock else F.timestamp_micros(F.lit(newest))
+        raise_idle_alarms(spark, out, group, now, threshold_seconds)
+
+    return start(events, checkpoint, batch, once)
+
+
+def claim(spark: SparkSession, events: DataFrame, ledger: str, n: int = CLAIM_SIZE) -> DataFrame:
+    """Take the ``n`` oldest unprocessed events and record them, so that the next claim takes others."""
+    taken = spark.read.parquet(ledger) if table_exists(spark, ledger) else None
+    claimed = materialize(claim_oldest(events, taken, n))
+    claimed.select("id", "occurred_at").write.mode("append").parquet(ledger)
+    return claimed
 
 
 def push(results: DataFrame, outbox: str, checkpoint: str, size: int = 100, once: bool = True) -> StreamingQuery:
