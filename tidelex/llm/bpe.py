@@ -19,9 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidelex.llm.common import Texts, binary_column, chunks, id_and_text, ragged
+from tidelex.llm.ship import shipped
 
 #: Distinct fragments whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: Symbols up to which a fragment is merged by scanning its ranks; longer ones use a heap.
+SCANNED = 64
+#: Letters below this one are the same in all versions of Unicode and normal as they are.
+PLAIN_END = "\u0250"
 
 SPACE, LETTER, DIGIT, MARK, QUOTE, WIDE = range(6)
 KIND = np.full(256, MARK, dtype=np.uint8)
@@ -30,6 +35,7 @@ KIND[65:91] = KIND[97:123] = LETTER
 KIND[48:58] = DIGIT
 KIND[39] = QUOTE
 KIND[128:] = WIDE
+MARKS = bytes(range(256)).translate(None, bytes(b for b in range(256) if KIND[b] != MARK))
 
 
 def byte_letters() -> list[str]:
@@ -62,15 +68,20 @@ class Vocabulary:
         for token, i in [*self.ids.items(), *self.special.items()]:
             names[i] = token
         self.names = names
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges[self.ids[left], self.ids[right]] = rank, self.ids[left + right]
+            self.ranks[self.ids[left], self.ids[right]] = rank
+            self.made.append(self.ids[left + right])
+        self.inner = [self.ids[c] for c in self.letters]
+        self.final = [self.ids[c + self.suffix] for c in self.letters]
         self.joined = np.zeros((256, 256), dtype=bool)
         for token in self.ids:
             raw = [self.byte_of[c] for c in token.removesuffix(self.suffix) if c in self.byte_of]
             if len(raw) > 1:
                 self.joined[raw[:-1], raw[1:]] = True
+        self.within = [row.tolist() for row in self.joined]
         self.cuts = self._text_cuts()
 
     def _text_cuts(self) -> np.ndarray:
@@ -85,63 +96,80 @@ class Vocabulary:
         space = (left == SPACE) != (right == SPACE)
         return ((absent & border) | space).reshape(-1)
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-token, given in byte letters: fragments between certain cuts, one by one."""
-        raw = [self.byte_of[c] for c in word]
-        stops = [i + 1 for i in range(len(raw) - 1) if not self.joined[raw[i], raw[i + 1]]] + [len(raw)]
+    def encode_word(self, raw: bytes) -> list[int]:
+        """Ids of one pre-token: its fragments between certain cuts, one by one."""
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.final[raw[-1]]
         out, begin = [], 0
-        for stop in stops:
-            symbols = [self.letters[b] for b in raw[begin:stop]]
-            if stop == len(raw):
-                symbols[-1] += self.suffix
-            out += self.merge([self.ids[s] for s in symbols])
-            begin = stop
-        return out
+        for i in range(1, len(raw)):
+            if not self.within[raw[i - 1]][raw[i]]:
+                out += self.merge(ids[begin:i])
+                begin = i
+        return out + self.merge(ids[begin:])
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply merges by rank, the leftmost first among equals."""
+        if len(ids) > SCANNED:
+            return self._merge_long(ids)
+        never, find = len(self.made), self.ranks.get
+        ranks = [find(p, never) for p in zip(ids, ids[1:], strict=False)]
+        while ranks and (rank := min(ranks)) < never:
+            i = ranks.index(rank)
+            ids[i:i + 2] = [self.made[rank]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = find((ids[i - 1], ids[i]), never)
+            if i < len(ranks):
+                ranks[i] = find((ids[i], ids[i + 1]), never)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*self.merges[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.merges]
-        heap = [(rank, i, made) for rank, made, i in heap]
+        heap = [(self.ranks[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.ranks]
         heapq.heapify(heap)
         while heap:
-            rank, i, made = heapq.heappop(heap)
+            rank, i = heapq.heappop(heap)
             j = after[i] if ids[i] >= 0 else n
-            if j >= n or self.merges.get((ids[i], ids[j]), (-1,))[0] != rank:
+            if j >= n or self.ranks.get((ids[i], ids[j]), -1) != rank:
                 continue
-            ids[i], ids[j] = made, -1
+            ids[i], ids[j] = self.made[rank], -1
             after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                self._push(heap, ids, i, after[i])
-            if before[i] >= 0:
-                self._push(heap, ids, before[i], i)
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < n:
+                    before[right] = left
+                    if (ids[left], ids[right]) in self.ranks:
+                        heapq.heappush(heap, (self.ranks[ids[left], ids[right]], left))
         return [i for i in ids if i >= 0]
 
-    def _push(self, heap, ids, i, j) -> None:
-        found = self.merges.get((ids[i], ids[j]))
-        if found:
-            heapq.heappush(heap, (found[0], i, found[1]))
-
-    def encode_fragment(self, text: str) -> list[int]:
-        """Ids of a fragment: normalised and cut into pre-tokens by the tokenizer's rules, merged here."""
+    def encode_fragment(self, raw: bytes) -> list[int]:
+        """Ids of a fragment. Plain letters, digits and marks are one pre-token each; the tokenizer's own rules
+        normalise and cut the rest."""
+        if raw.isalpha():
+            return self.encode_word(raw.lower())
+        if (raw.isdigit() and len(raw) == 1) or not raw.strip(MARKS):
+            return self.encode_word(raw)
+        text = raw.decode()
         if text in self.special:
             return [self.special[text]]
+        lower = text.lower()
+        if text.isalpha() and lower.isalpha() and max(text) < PLAIN_END:
+            return self.encode_word(lower.encode())
         library = self.library
         if library.normalizer is not None:
             text = library.normalizer.normalize_str(text)
-        return [i for word, _ in library.pre_tokenizer.pre_tokenize_str(text) for i in self.encode_word(word)]
+        return [i for word, _ in library.pre_tokenizer.pre_tokenize_str(text)
+                for i in self.encode_word(bytes(self.byte_of[c] for c in word))]
 
-    def encode_fragments(self, texts: list[str]) -> list[list[int]]:
-        return [self.encode_fragment(t) for t in texts]
+    def encode_fragments(self, fragments: list[bytes]) -> list[list[int]]:
+        return [self.encode_fragment(f) for f in fragments]
 
 
 class LibraryVocabulary(Vocabulary):
     """The same cuts, with fragments encoded by the tokenizers library."""
 
-    def encode_fragments(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def encode_fragments(self, fragments: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch([f.decode() for f in fragments], add_special_tokens=False)]
 
 
 @lru_cache(maxsize=4)
@@ -152,7 +180,38 @@ def vocabulary(path: str, library: bool = False) -> Vocabulary:
     return LibraryVocabulary(path) if library else Vocabulary(path)
 
 
-_remembered: dict[tuple[str, bool], dict[bytes, list[int]]] = {}
+class Remembered:
+    """Ids of fragments that were seen before, as one run of ids with a start and a length for each."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def places(self, fragments: list[bytes]) -> np.ndarray:
+        """Where each fragment is; new ones are encoded."""
+        if len(self.place) > REMEMBERED:
+            self.clear()
+        new = [f for f in fragments if f not in self.place]
+        if new:
+            lists = self.vocab.encode_fragments(new)
+            length = np.fromiter(map(len, lists), np.int64, len(lists))
+            total = int(length.sum())
+            if self.used + total > len(self.ids):
+                self.ids = np.concatenate((self.ids[:self.used], np.empty(max(total, self.used), np.uint32)))
+            self.ids[self.used:self.used + total] = np.fromiter((i for x in lists for i in x), np.uint32, total)
+            self.place.update(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
+            self.start = np.concatenate((self.start, self.used + np.cumsum(length) - length))
+            self.length = np.concatenate((self.length, length))
+            self.used += total
+        return np.fromiter(map(self.place.__getitem__, fragments), np.int64, len(fragments))
+
+
+_remembered: dict[tuple[str, bool], Remembered] = {}
 
 
 def encode(chunk: Texts, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -170,18 +229,11 @@ def encode(chunk: Texts, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     per = np.concatenate(([0], np.cumsum(solid)))[np.searchsorted(start, off)]
     bounds = np.concatenate(([0], np.cumsum(size[solid])))
     coded = binary_column(buf[~space], bounds).dictionary_encode()
-    known = _remembered.setdefault((vocab.path, type(vocab) is LibraryVocabulary), {})
-    if len(known) > REMEMBERED:
-        known.clear()
-    distinct = coded.dictionary.to_pylist()
-    new = [d for d in distinct if d not in known]
-    known.update(zip(new, vocab.encode_fragments([d.decode() for d in new]), strict=True))
-    lists = [known[d] for d in distinct]
-    code = coded.indices.to_numpy()
-    length = np.array([len(x) for x in lists], dtype=np.int64)
-    flat = np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=int(length.sum()))
-    times = length[code]
-    ids = flat[np.repeat((np.cumsum(length) - length)[code], times) + ragged(times)]
+    kind = vocab.path, type(vocab) is LibraryVocabulary
+    known = _remembered.get(kind) or _remembered.setdefault(kind, Remembered(vocab))
+    place = known.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+    times = known.length[place]
+    ids = known.ids[np.repeat(known.start[place], times) + ragged(times)]
     return ids, np.concatenate(([0], np.cumsum(times)))[per]
 
 
@@ -240,5 +292,6 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
 def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """Adds ``decoded``, the text of column ``ids``; null ids give an empty text."""
+    shipped(encoded.sparkSession)
     kept = encoded.select("doc_id", "n_tokens", "ids")
     return kept.mapInArrow(lambda b: _decoded(b, tokenizer), "doc_id long, n_tokens long, ids binary, decoded string")
