@@ -217,8 +217,18 @@ def binary_column(data: np.ndarray | bytes, bounds: np.ndarray) -> pa.Array:
 
 
 def gather(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The bytes of many spans, one after another."""
-    return buf[np.repeat(start, length) + ragged(length)]
+    """The bytes of many spans, one after another, in blocks of about 1 MB."""
+    ends = np.cumsum(length)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    i, done = 0, 0
+    while i < len(start):
+        j = max(int(np.searchsorted(ends, done + 16 * BLOCK, side="right")), i + 1)
+        if j == i + 1:
+            out[done:ends[i]] = buf[start[i]:start[i] + length[i]]
+        else:
+            out[done:ends[j - 1]] = buf[np.repeat(start[i:j], length[i:j]) + ragged(length[i:j])]
+        i, done = j, int(ends[j - 1])
+    return out
 
 
 def join_words(buf: np.ndarray, words: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -34,15 +34,17 @@ def normal(buf: np.ndarray, off: np.ndarray):
     """
     buf = LOWER[buf]
     words = words_of(buf, off, ALPHANUMERIC)
-    size = words.end - words.start + 1
     per = words.per
-    # One more space per text with words: a text of k words has k + 1 spaces.
-    at = np.cumsum(size) - size + np.repeat(np.cumsum(np.diff(per) > 0) - (np.diff(per) > 0), np.diff(per))
-    total = int(size.sum() + (np.diff(per) > 0).sum())
-    out = np.full(total, 32, dtype=np.uint8)
-    out[np.repeat(at + 1, size - 1) + ragged(size - 1)] = gather(buf, words.start, size - 1)
-    length = np.diff(np.concatenate(([0], np.cumsum(size)))[per]) + (np.diff(per) > 0)
-    return out, np.concatenate(([0], np.cumsum(length))), at, per
+    last = per[1:][per[1:] > per[:-1]] - 1
+    # A word comes with the byte before it, the last one of a text also with the byte after it; both become spaces.
+    size = words.end - words.start + 1
+    size[last] += 1
+    edge = np.array([32], dtype=np.uint8)
+    out = gather(np.concatenate((edge, buf, edge)), words.start, size)
+    ends = np.concatenate(([0], np.cumsum(size)))
+    out[ends[:-1]] = 32
+    out[ends[last + 1] - 1] = 32
+    return out, ends[per], ends[:-1], per
 
 
 class Patterns:

@@ -48,11 +48,13 @@ def pieces(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
     Worked in segments, so a very long text needs no more memory than a short one.
     """
     first, count, key = [], [], []
-    stop = np.repeat(off[1:], np.diff(off))
     for lo in range(0, len(buf) - length + 1, SEGMENT):
         data = buf[lo:lo + SEGMENT + length - 1]
         least = sliding_min(rolling(data, gram, BYTE_VALUE), length - gram + 1)
-        valid = np.flatnonzero(np.arange(lo + length, lo + length + len(least)) <= stop[lo:lo + len(least)])
+        hi = lo + len(least)
+        a, b = np.searchsorted(off, lo, side="right") - 1, np.searchsorted(off, hi, side="left")
+        stop = np.repeat(off[a + 1:b + 1], np.minimum(off[a + 1:b + 1], hi) - np.maximum(off[a:b], lo))
+        valid = np.flatnonzero(np.arange(lo + length, hi + length) <= stop)
         if not len(valid):
             continue
         own = least[valid]
@@ -292,8 +294,10 @@ def remove(batches, carry: bool = False):
         pairs = raw.view("<u4").astype(np.int64).reshape(-1, 2)
         at = np.repeat(chunk.off[row[own]], np.diff(bounds) // 8)
         size = len(chunk.buf) + 1
-        delta = np.bincount(at + pairs[:, 0], minlength=size) - np.bincount(at + pairs[:, 1], minlength=size)
-        covered = np.cumsum(delta) > 0
+        delta = np.zeros(size, dtype=np.int32)
+        np.add.at(delta, at + pairs[:, 0], 1)
+        np.subtract.at(delta, at + pairs[:, 1], 1)
+        covered = np.cumsum(delta, out=delta) > 0
         edge = np.zeros(size, dtype=bool)
         edge[chunk.off] = True
         gone = np.concatenate(([0], np.cumsum(covered)))[chunk.off]
