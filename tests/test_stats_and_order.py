@@ -167,3 +167,10 @@ def test_all_buckets_come_back(spark):
                                     F.lit("positive").alias("sentiment_label"), F.lit(0.5).alias("sentiment_score"))
     assert M.bucket_aggregate(df, "hour").count() == 12_000
     assert M.bucket_aggregate(df, "hour", limit=7).count() == 7
+
+
+def test_percentiles_with_infinities(spark):
+    values = [float("-inf"), -2.0, 0.0, 1.5, 2.5, float("inf"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = exact_percentiles(df, [], "v", {"low": 1 / 6, "mid": 0.5, "high": 4 / 6}).first()
+    assert (got.low, got.mid, got.high) == (-2.0, 1.5, 2.5)

@@ -23,12 +23,16 @@ def magnitude_bin(v: Column, mantissa_steps: int = 65536) -> Column:
 
     Each power of two is cut into ``mantissa_steps`` equal steps, so the number
     of bins depends on the spread of magnitudes and not on the number of rows.
+    Infinities have the end bins, and what is not a number comes after them.
     """
-    size = F.abs(v)
+    endless = F.isnan(v) | (F.abs(v) == float("inf"))
+    size = F.when(endless, F.lit(1.0)).otherwise(F.abs(v))
     octave = F.greatest(F.floor(F.log2(size)), F.lit(-1000))
     step = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * mantissa_steps)
     key = (octave + 1100) * mantissa_steps + step
-    return F.when(v == 0, F.lit(0)).when(v > 0, key).otherwise(-key).cast("long")
+    end = F.lit(1 << 62)
+    return (F.when(F.isnan(v), end + 1).when(endless, F.when(v > 0, end).otherwise(-end))
+            .when(v == 0, F.lit(0)).when(v > 0, key.cast("long")).otherwise(-key.cast("long")).cast("long"))
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str,

@@ -140,29 +140,38 @@ def source_by_label(results: DataFrame) -> DataFrame:
     return score_stats(results, "source", LABEL)
 
 
+def _per_source_and_label(results: DataFrame) -> DataFrame:
+    """One row per source and label, from which statistics per source add up."""
+    return results.groupBy("source", LABEL).agg(
+        count_all().alias("n"), F.count(SCORE).alias("k"), F.avg(SCORE).alias("mean"), F.var_pop(SCORE).alias("var"),
+        F.min(SCORE).alias("lo"), F.max(SCORE).alias("hi"))
+
+
+def _combined() -> tuple[Column, Column]:
+    """Mean and sample deviation of the parts of a group."""
+    total = F.sum("k")
+    mean = F.try_divide(F.sum(F.col("k") * F.col("mean")), total)
+    squares = F.sum(F.col("k") * (F.col("var") + F.col("mean") * F.col("mean"))) - total * mean * mean
+    return mean, F.when(total > 1, F.sqrt(F.greatest(squares, F.lit(0.0)) / (total - 1)))
+
+
 def label_map_per_source(results: DataFrame, digits: int = 3) -> DataFrame:
-    """Statistics per source with a sorted label-to-count map."""
-    stats = results.groupBy("source").agg(
-        count_all().alias("events"), F.round(F.avg(SCORE), digits).alias("avg_score"),
-        F.round(F.stddev_samp(SCORE), digits).alias("std_score"))
-    labels = results.groupBy("source", LABEL).agg(count_all().alias("n"))
-    maps = labels.groupBy("source").agg(F.map_from_entries(F.sort_array(
-        F.collect_list(F.struct(LABEL, "n")))).alias("labels"))
-    return stats.join(maps, "source")
+    """Statistics per source with a sorted label-to-count map, in one pass."""
+    mean, deviation = _combined()
+    return _per_source_and_label(results).groupBy("source").agg(
+        F.sum("n").alias("events"), F.round(mean, digits).alias("avg_score"), F.round(deviation, digits).alias("std_score"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(LABEL, "n")))).alias("labels"))
 
 
 def source_comparison(results: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """Statistics per source and its most frequent label (ties: smallest)."""
+    """Statistics per source and its most frequent label (ties: smallest), in one pass."""
     if sources:
         results = results.where(F.col("source").isin(sources))
-    stats = results.groupBy("source").agg(
-        count_all().alias("events"), F.avg(SCORE).alias("avg_score"),
-        F.stddev_samp(SCORE).alias("std_score"), F.min(SCORE).alias("min_score"),
-        F.max(SCORE).alias("max_score"))
-    labels = results.groupBy("source", LABEL).agg(count_all().alias("n"))
-    top = labels.groupBy("source").agg(
+    mean, deviation = _combined()
+    return _per_source_and_label(results).groupBy("source").agg(
+        F.sum("n").alias("events"), mean.alias("avg_score"), deviation.alias("std_score"),
+        F.min("lo").alias("min_score"), F.max("hi").alias("max_score"),
         F.min_by(LABEL, F.struct(-F.col("n"), F.col(LABEL))).alias("dominant_label"))
-    return stats.join(top, "source")
 
 
 def label_summary(results: DataFrame, digits: int = 3) -> DataFrame:
