@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelex.functions.timefn import micros, time_filter
+from tidelex.functions.timefn import time_filter
 
 
 def unseen(df: DataFrame, seen: DataFrame, key: str = "id") -> DataFrame:
@@ -14,9 +14,12 @@ def unseen(df: DataFrame, seen: DataFrame, key: str = "id") -> DataFrame:
 
 
 def closed_range(df: DataFrame, start_epoch: int, end_epoch: int, ts: str = "occurred_at") -> DataFrame:
-    """Rows between two whole seconds, both ends kept."""
-    whole_second = F.floor(micros(F.col(ts)) / 1_000_000)
-    return df.where(whole_second.between(int(start_epoch), int(end_epoch)))
+    """Rows between two whole seconds, both ends kept; plain bounds, which reach the scan and the dates of a table."""
+    kind = df.schema[ts].dataType
+    low, high = (F.timestamp_seconds(F.lit(int(s))).cast(kind) for s in (start_epoch, end_epoch + 1))
+    if "occurred_date" in df.columns and ts == "occurred_at":
+        df = df.where(F.col("occurred_date").between(F.to_date(low), F.to_date(high)))
+    return df.where((F.col(ts) >= low) & (F.col(ts) < high))
 
 
 def result_filters(df: DataFrame, start=None, end=None, source: str | None = None,

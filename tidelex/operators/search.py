@@ -39,11 +39,16 @@ def in_range(df: DataFrame, start=None, end=None) -> DataFrame:
 
 def term_search(posts: DataFrame, terms: list[str], start=None, end=None,
                 seen: DataFrame | None = None) -> DataFrame:
-    """One row per post and term it holds, within a closed time range, minus seen ids."""
+    """One row per post and term it holds, within a closed time range, minus seen ids.
+
+    Terms are matched before seen ids are taken out, so a caller that does not
+    ask for the texts does not have them shuffled.
+    """
     posts = in_range(posts, start, end)
+    hits = posts.withColumn("_terms", matched_terms(searchable(posts), terms)).where(F.size("_terms") > 0)
     if seen is not None:
-        posts = unseen(posts, seen)
-    return posts.withColumn("term", F.explode(matched_terms(searchable(posts), terms)))
+        hits = unseen(hits, seen)
+    return hits.withColumn("term", F.explode("_terms")).drop("_terms")
 
 
 def date_search(posts: DataFrame, start=None, end=None, group: str | None = None,
