@@ -13,6 +13,7 @@ from tidelex.plans.registry import query
 from tidelex.session import scratch
 from tidelex.sources import readers as RD
 from tidelex.sources import sinks as SK
+from tidelex.sources import sync as SY
 
 S = f"WITH {V.V_STORES} "
 K = f"WITH {V.V_KEYED} "
@@ -58,6 +59,21 @@ on_stores("rec4_merge_conflicts", FILLED, lambda a, b: RC.merge_conflicts(a, b,
 on_stores("rec5_report", f"""SELECT *, a_only AS inserted_b, b_only AS exported_a, CAST(0 AS BIGINT) AS resolved, total_a + total_b - in_both AS unique_records,
   100.0::DOUBLE AS coverage_pct, 0.0::DOUBLE AS resolution_pct, a_only > 0 AS a_to_b, b_only > 0 AS b_to_a, false AS merged FROM (SELECT {DIFF})""",
           lambda a, b: RC.report(RC.presence(a, b, prefix=PREFIX), F.col("a_only"), F.col("b_only")))
+
+
+@query("rec5_reconcile_job", S + f""", f AS ({FILLED}), d AS (SELECT {DIFF})
+  SELECT CAST(1 AS BIGINT) AS run, a_only, b_only, in_both, a_only AS inserted_b, b_only AS exported_a,
+    (SELECT count(*) FROM f WHERE filled <> '') AS resolved FROM d
+  UNION ALL SELECT 2, 0, 0, a_only + b_only + in_both, 0, 0, 0 FROM d""")
+def rec5_job(spark, sf_dir):
+    """The job runs twice over a mirror and an event table; the second run changes nothing."""
+    mirror, events = scratch(spark, "mirror"), scratch(spark, "events")
+    SK.append_csv(V.store_a(spark, sf_dir), mirror)
+    SK.append_events(V.store_b(spark, sf_dir, PREFIX), events)
+    runs = [SY.reconcile(spark, mirror, events, "posts", PREFIX).withColumn("run", F.lit(i)) for i in (1, 2)]
+    return runs[0].unionByName(runs[1]).select("run", "a_only", "b_only", "in_both", "inserted_b", "exported_a", "resolved")
+
+
 on_stores("rec6_dry_run", f"""SELECT *, CAST(0 AS BIGINT) AS inserted_b, CAST(0 AS BIGINT) AS exported_a, CAST(0 AS BIGINT) AS resolved, total_a + total_b - in_both AS unique_records,
   round(in_both * 100.0 / (a_only + b_only + in_both), 6)::DOUBLE AS coverage_pct, 0.0::DOUBLE AS resolution_pct, false AS a_to_b, false AS b_to_a,
   false AS merged FROM (SELECT {DIFF})""", lambda a, b: RC.report(RC.presence(a, b, prefix=PREFIX)))
