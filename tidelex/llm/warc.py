@@ -305,9 +305,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, min_revisit_byte
                 .select(F.col("page_id").alias("_page"), F.col("key").alias("_key"), F.col("head").alias("refers_to")))
     placed = (keyed.join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("key") == F.col("_key")), "left")
               .select("page_id", "url", "html", "refers_to"))
-    n = partitions(pages)
-    return stored(placed.repartition(n, F.xxhash64("page_id", F.sha2(F.coalesce("html", F.lit(b"")), 256), "url"))
-                  .mapInArrow(lambda b: _write(b, folder), "part int, uri string, n_records long"), "packages-list")
+    return stored(placed.mapInArrow(lambda b: _write(b, folder), "part int, uri string, n_records long"), "packages-list")
 
 
 def read_packages(packages: DataFrame, with_payload: bool = True) -> DataFrame:
