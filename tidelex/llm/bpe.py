@@ -22,7 +22,7 @@ from tidelex.llm.common import Texts, binary_column, chunks, id_and_text, ragged
 from tidelex.llm.ship import shipped
 
 #: Distinct fragments whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Symbols up to which a fragment is merged by scanning its ranks; longer ones use a heap.
 SCANNED = 64
 #: Letters below this one are the same in all versions of Unicode and normal as they are.
@@ -272,11 +272,9 @@ def _encoded(batches, path: str):
 
 def _decoded(batches, path: str):
     vocab = vocabulary(path)
-    for batch in batches:
-        raw = batch.column("ids")
-        bounds = np.concatenate(([0], np.cumsum(pc.binary_length(raw).fill_null(0).to_numpy() // 4)))
-        ids = np.frombuffer(b"".join(x or b"" for x in raw.to_pylist()), dtype="<u4")
-        yield batch.append_column("decoded", decode(ids, bounds, vocab).cast(pa.string()))
+    for chunk in chunks(batches, "ids"):
+        ids = chunk.buf.view("<u4") if chunk.buf.flags.aligned else np.frombuffer(chunk.buf.tobytes(), dtype="<u4")
+        yield chunk.rows.append_column("decoded", decode(ids, chunk.off // 4, vocab).cast(pa.string()))
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
