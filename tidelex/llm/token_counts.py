@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelex.llm.bpe import encode, vocabulary
-from tidelex.llm.common import chunks, id_and_text, partitions, unpacked
+from tidelex.llm.common import chunks, id_and_text, partitions
 from tidelex.llm.files import Written, opened, read_at, size_of
 from tidelex.llm.graph import stored
-from tidelex.llm.packing import in_order
 from tidelex.llm.ship import shipped
 from tidelex.session import scratch
 
@@ -31,7 +30,7 @@ def _write(batches, tokenizer: str, folder: str):
     end_id, kind = vocab.size, np.dtype("<u2" if vocab.size < 1 << 16 else "<u4")
     uri = f"{folder}/flat-{part:06d}.bin"
     try:
-        for chunk in chunks(unpacked(batches)):
+        for chunk in chunks(batches):
             ids, bounds = encode(chunk, vocab)
             n = len(chunk)
             full = np.full(len(ids) + n, end_id, dtype=kind)
@@ -41,8 +40,9 @@ def _write(batches, tokenizer: str, folder: str):
             out = out or Written(uri)
             out.write(full.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part), pa.int32()), pa.array([uri] * n), pa.array(np.arange(position, position + n), pa.int64()),
-                 chunk.rows.column("doc_id")], ["part", "uri", "position", "doc_id"])
+                [pa.array(np.full(n, part), pa.int32()), pa.array([None if position or i else uri for i in range(n)], pa.string()),
+                 pa.array(np.arange(position, position + n), pa.int64()), chunk.rows.column("doc_id")],
+                ["part", "uri", "position", "doc_id"])
             position += n
     except BaseException as error:
         if out is not None:
@@ -54,13 +54,14 @@ def _write(batches, tokenizer: str, folder: str):
 
 def write_flat(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id",
                text_col: str = "text") -> tuple[DataFrame, int, int]:
-    """Write all texts as flat files in ascending id order.
+    """Write all texts as flat files, one for each partition of ``docs``, in the order of its rows.
 
-    Returns the list of documents (part, uri, position in the file, doc_id), the
-    end id (the first that the vocabulary does not use) and the bytes of an id.
+    Returns the list of documents (part, position in the file, doc_id, and uri with
+    the first of a file), the end id (the first that the vocabulary does not use)
+    and the bytes of an id. No text is shuffled.
     """
     folder = folder or scratch(docs.sparkSession, "flat")
-    listed = stored(in_order(id_and_text(docs, id_col, text_col)).mapInArrow(
+    listed = stored(id_and_text(docs, id_col, text_col).mapInArrow(
         lambda b: _write(b, tokenizer, folder), "part int, uri string, position long, doc_id long"), "listed")
     end_id = vocabulary(tokenizer).size
     return listed, end_id, 2 if end_id < 1 << 16 else 4
@@ -129,5 +130,7 @@ def document_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     counted too; other columns are ignored; no rows give no rows.
     """
     listed, end_id, width = write_flat(docs, tokenizer, id_col=id_col, text_col=text_col)
-    counted = count_tokens(listed.where("position = 0"), end_id, width)
-    return listed.join(counted, ["part", "uri", "position"]).select("doc_id", "part", "start", "n_tokens", "ended")
+    counted = count_tokens(listed.where("position = 0").select("part", "uri"), end_id, width)
+    # Both sides have a row for each document, so neither is broadcast, however small its file is.
+    return (listed.select("part", "position", "doc_id").join(counted.drop("uri").hint("merge"), ["part", "position"])
+            .select("doc_id", "part", "start", "n_tokens", "ended"))
