@@ -51,6 +51,18 @@ def test_ratio(spark):
         assert got[doc]["kept"] == (score >= quality.THRESHOLD) == (doc < 12)
 
 
+@pytest.mark.parametrize("near", [False, True])
+@pytest.mark.parametrize("copies", [2, 50, 2000])
+def test_copies_without_a_trusted_one_stay(spark, copies, near):
+    """A clean text nobody labelled, many times over, reads no worse than a single one."""
+    text = " ".join(f"c{i}" for i in range(300))
+    rows = [(i, cases.prose(i, 150)) for i in range(60)]
+    rows += [(1000 + i, text + (f" end{i} of{i} it{i}" if near else "")) for i in range(copies)]
+    df = cases.table(spark, rows).repartition(3)
+    got = {r["doc_id"]: r for r in quality.quality_rules(df, df.where("doc_id < 40")).collect()}
+    assert len(got) == len(rows) and all(r["kept"] for r in got.values())
+
+
 def test_quality_without_trust_and_empty(spark):
     df = cases.table(spark)
     none = df.select("doc_id").limit(0)
