@@ -63,6 +63,26 @@ def test_copies_without_a_trusted_one_stay(spark, copies, near):
     assert len(got) == len(rows) and all(r["kept"] for r in got.values())
 
 
+def test_ratios_do_not_depend_on_table_size():
+    rng = np.random.default_rng(5)
+    raw = rng.integers(0, 40, 5000)
+    target = rng.binomial(raw, 0.3)
+    once = quality.log_ratios(target, raw, quality.PRIOR)
+    for k in (10, 100, 1000):
+        assert np.allclose(quality.log_ratios(k * target, k * raw, quality.PRIOR), once, atol=1e-5)
+
+
+def test_repeated_table_gives_the_same_verdicts(spark):
+    junk = [(200 + i, " ".join(f"### {w}" for w in cases.prose(i + 70, 60).split())) for i in range(9)]
+    rows = [(i, cases.prose(i, 120)) for i in range(60)] + junk
+    verdicts = []
+    for k in (1, 10):
+        df = cases.table(spark, [(1000 * j + d, t) for j in range(k) for d, t in rows]).repartition(3)
+        got = quality.quality_rules(df, df.where("doc_id % 1000 < 40")).collect()
+        verdicts.append({(r["doc_id"] % 1000, round(r["score"], 5), r["kept"]) for r in got})
+    assert verdicts[0] == verdicts[1] and {d for d, _, kept in verdicts[0] if not kept} == {d for d, _ in junk}
+
+
 def test_quality_without_trust_and_empty(spark):
     df = cases.table(spark)
     none = df.select("doc_id").limit(0)
