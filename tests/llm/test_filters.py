@@ -1,15 +1,17 @@
 """Quality rules, the classifier and decontamination against plain re-computations."""
 
+import hashlib
 import math
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import cases
-from tidelex.llm import classifier, decontaminate, quality
+from tidelex.llm import classifier, decontaminate, quality, queries
 from tidelex.llm.common import chunks
 
 SF = "/root/testdata/sf0.01"
@@ -125,6 +127,25 @@ def test_decontaminate(spark, block_bytes):
     assert found(got) == cases.brute_benchmark(cases.pairs(df), ITEMS)
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_items_without_an_id(spark, block_bytes, tmp_path):
+    """Their windows are hits as in the SQL of the query: alone, beside a named item with the same one, and short."""
+    items = [(None, cases.prose(40, 20)), (2, cases.prose(40, 20)), (None, cases.prose(41, 30)), (None, "zzz"), (5, cases.prose(42, 15)), (11, "zzz yyy")]
+    texts = [cases.prose(40, 20), cases.prose(41, 30), cases.prose(43, 60) + " " + cases.prose(41, 30), "a zzz b", "zzz yyy", cases.prose(42, 15), cases.prose(44, 90), None]
+    cases.table(spark, list(enumerate(texts))).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, benchmark = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark"))
+    with duckdb.connect() as con:
+        for name in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+        want = {r[0]: r[1:] for r in con.execute(queries.OP6_SQL).fetchall()}
+    found = decontaminate.decontaminate(docs, benchmark, block_bytes=block_bytes).collect()
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), hashlib.sha256(",".join(i for i in r["items"] if i).encode()).hexdigest(),
+                         r["contaminated"]) for r in found}
+    assert got == want and len(found) == len(texts)
+    assert {d for d, r in got.items() if r[1]} == {0, 1, 2, 3, 4, 5} and want[1][-1]
+
+
 def test_decontaminate_empty(spark):
     df, none = cases.table(spark), spark.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] or r["n_hit"] for r in decontaminate.decontaminate(df, none).collect())

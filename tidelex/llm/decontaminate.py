@@ -50,8 +50,8 @@ def normal(buf: np.ndarray, off: np.ndarray):
 class Patterns:
     """Search tables for distinct strings, each with the items it is a window of."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int):
-        found: dict[bytes, list[int]] = {}
+    def __init__(self, items: list[tuple[int | None, str | None]], window: int):
+        found: dict[bytes, list[int | None]] = {}
         for item, text in items:
             raw = (text or "").encode()
             out, _, at, per = normal(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
@@ -165,7 +165,7 @@ def scan(batches, patterns: Patterns, keep: tuple[str, ...] = ()):
         yield pa.RecordBatch.from_arrays(
             [chunk.rows.column("doc_id"), chunk.rows.column("row_key"), pa.array(np.diff(per), pa.int64()),
              pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-             pa.array([sorted(map(str, i)) for i in items], pa.list_(pa.string())), *more],
+             pa.array([[None] * (None in i) + sorted(str(t) for t in i if t is not None) for i in items], pa.list_(pa.string())), *more],
             ["doc_id", "row_key", "n_words", "hits", "items", *names])
 
 
@@ -188,7 +188,7 @@ def merged(batches):
         yield batch.set_column(at, "hits", pa.array(hits, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))))
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, str | None]]]:
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int | None, str | None]]]:
     """The benchmark in parts of at most about ``block_bytes`` of text, one at a time on the driver."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-int(size) // block_bytes) or 1
@@ -212,15 +212,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     part, and the passes are joined by document.
 
     Defined cases: a null or empty text has no words and is clean; an item with
-    fewer words than a window is one window, one without words none; items
-    without an id are left out; items with one id count once; rows without an id
-    are searched like others; other columns are ignored; no rows give no rows.
+    fewer words than a window is one window, one without words none; windows of
+    items without an id are searched like others, and all such items are one null,
+    the first of items; items with one id count once; rows without an id are
+    searched like others; other columns are ignored; no rows give no rows.
     """
     keep = ("row", "text") if carry else ()
     narrow = id_and_text(docs, id_col, text_col, carry).withColumn("row_key", F.xxhash64("text"))
     kinds = schema_of(_FOUND, narrow, *keep)
-    tests = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[text_col].cast("string").alias("text")) \
-        .where("item_id IS NOT NULL")
+    tests = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[text_col].cast("string").alias("text"))
     passes = []
     for items in blocks_of(tests, block_bytes):
         tables = docs.sparkSession.sparkContext.broadcast(Patterns(items, window))
@@ -231,7 +231,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for p in numbered[1:]:
             numbered[0] = numbered[0].unionByName(p)
         grouped = (numbered[0].groupBy("doc_id", "row_key", "n_words", *keep)
-                   .agg(F.collect_list("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+                   .agg(F.collect_list("hits").alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
                         F.count_if(F.col("_pass") == 0).alias("_copies")))
         ordered = grouped.select(*kinds.names, "_copies")
         found = (ordered.mapInArrow(merged, schema_of(_FOUND, ordered, *keep, "_copies"))
