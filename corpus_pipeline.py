@@ -1,4 +1,4 @@
-"""From raw documents to token ids: quality, near duplicates, repeated passages, contamination, encoding.
+"""From raw documents to token ids: quality, near duplicates, repeated passages, contamination, encoding and decoding.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept; all but the last return the columns of documents.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelex.llm.bpe import bpe_encode
+from tidelex.llm.bpe import bpe_decode, bpe_encode
 from tidelex.llm.common import carried_back
 from tidelex.llm.decontaminate import decontaminate
 from tidelex.llm.graph import stored
@@ -44,8 +44,10 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids: doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers) and their SHA-256."""
-    return bpe_encode(docs, tokenizer_path()).withColumn("ids_sha256", F.sha2("ids", 256))
+    """Token ids: doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers), their SHA-256 and that of the text decoded from them."""
+    decoded = bpe_decode(bpe_encode(docs, tokenizer_path()), tokenizer_path())
+    return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [

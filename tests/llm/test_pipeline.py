@@ -1,8 +1,10 @@
 """The corpus pipeline, stage by stage, on a small corpus with planted cases."""
 
+import hashlib
 from pathlib import Path
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm import cases
@@ -47,6 +49,16 @@ def test_stages(spark, corpus):
         assert r["n_tokens"] == len(library.encode(cut[d]["text"], add_special_tokens=False).ids)
 
 
+def test_last_stage_decodes(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").where("doc_id < 10")
+    library, got = Tokenizer.from_file(tokenizer_path()), corpus_pipeline.encoded(spark, docs, corpus).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(got) == 10
+    for r in got:
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_run_and_empty(spark, corpus, tmp_path):
     assert corpus_pipeline.run(spark, corpus).count() == spark.read.parquet(f"{corpus}/documents.parquet").count() - 7
     for name in ("documents", "labels", "benchmark"):
