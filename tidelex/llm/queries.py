@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelex.llm.bpe import bpe_decode, bpe_encode
+from tidelex.llm.byte_bpe import byte_bpe_decode, byte_bpe_encode
 from tidelex.llm.classifier import quality_scores, train
 from tidelex.llm.decontaminate import decontaminate
 from tidelex.llm.minhash import near_duplicates
@@ -183,3 +184,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_scores(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def rank_file() -> tuple[str, str]:
+    """Rank file and splitting pattern of the byte-level vocabulary."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op13_byte_bpe")
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = rank_file()
+    encoded = byte_bpe_encode(table(spark, sf_dir, "documents"), ranks, pattern)
+    return byte_bpe_decode(encoded, ranks).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
