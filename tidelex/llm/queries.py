@@ -14,6 +14,7 @@ from tidelex.llm.decontaminate import decontaminate
 from tidelex.llm.minhash import near_duplicates
 from tidelex.llm.packing import read_tokens, write_tokens
 from tidelex.llm.quality import quality_rules
+from tidelex.llm.resample import resample
 from tidelex.llm.substring import substring_dedup
 from tidelex.llm.suffix import suffix_dedup
 from tidelex.llm.token_counts import document_tokens
@@ -198,3 +199,33 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe_encode(table(spark, sf_dir, "documents"), ranks, pattern)
     return byte_bpe_decode(encoded, ranks).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+OP11_SQL = rf"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(0, 256)) AS i))),
+w AS (SELECT true AS raw, doc_id, {_PLAIN_WORDS} AS ws FROM documents UNION ALL SELECT false, item_id, {_PLAIN_WORDS} FROM benchmark),
+f AS (SELECT raw, doc_id, array_to_string(ws[i:i + k - 1], ' ') AS f
+      FROM (SELECT raw, doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k))),
+n AS (SELECT raw, doc_id, f, count(*) AS n FROM f GROUP BY ALL),
+d AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM n)),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda j: ('0x' || substr(h, 2 * j + 1, 2))::BIGINT)),
+                                lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS b FROM d, crc),
+g AS (SELECT b, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain
+      FROM (SELECT b, sum(n) FILTER (raw)::DOUBLE AS s0, coalesce(sum(n) FILTER (raw), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT raw), 0)::DOUBLE AS t
+            FROM n JOIN b USING (f) GROUP BY b)),
+weights AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM n JOIN b USING (f) JOIN g USING (b) WHERE raw GROUP BY doc_id),
+scored AS (SELECT doc_id, len(ws) AS n_words, (len(ws) + greatest(len(ws) - 1, 0) + greatest(len(ws) - 2, 0))::BIGINT AS n_features,
+                  coalesce(weight, 0)::BIGINT AS weight,
+                  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+           FROM w LEFT JOIN weights USING (doc_id) WHERE raw),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+@query("op11_importance_resampling", OP11_SQL)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
