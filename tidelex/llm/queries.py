@@ -14,6 +14,7 @@ from tidelex.llm.decontaminate import decontaminate
 from tidelex.llm.minhash import near_duplicates
 from tidelex.llm.packing import read_tokens, write_tokens
 from tidelex.llm.quality import quality_rules
+from tidelex.llm.ranked import ranked_search
 from tidelex.llm.resample import resample
 from tidelex.llm.substring import substring_dedup
 from tidelex.llm.suffix import suffix_dedup
@@ -229,3 +230,22 @@ FROM scored LEFT JOIN ranked USING (doc_id)
 @query("op11_importance_resampling", OP11_SQL)
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+q AS (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest(ws) AS t FROM b) GROUP BY ALL),
+all_ AS (SELECT count(*) AS n_docs, sum(len(ws))::BIGINT AS l FROM d WHERE len(ws) > 0),
+tf AS (SELECT doc_id, t, n, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS t FROM d) SEMI JOIN q USING (t) GROUP BY ALL),
+weight AS (SELECT t, floor(1000 * ln((2 * max(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, all_ GROUP BY t),
+impact AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // l))) AS x FROM tf JOIN weight USING (t), all_),
+s AS (SELECT item_id, doc_id, sum(q * x)::BIGINT AS score FROM q JOIN impact USING (t) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0)
+SELECT item_id, r::INTEGER AS rank, doc_id, score FROM r WHERE r <= 20
+"""
+
+
+@query("op12_ranked_search", OP12_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
