@@ -191,10 +191,11 @@ def byte_bpe_decode(encoded: DataFrame, ranks: str) -> DataFrame:
     They need not be valid UTF-8. Null or empty ids give no bytes; an id that no
     token has fails.
     """
-    def of(find: Find) -> Column:
+    def of(find: Find, ids: Column) -> Column:
         def token(i: Column) -> Column:
-            digits = F.lower(F.hex(F.substring(F.col("ids"), 4 * i + 1, F.lit(4))))
+            digits = F.lower(F.hex(F.substring(ids, 4 * i + 1, F.lit(4))))
             return F.coalesce(find(digits), F.raise_error(F.concat(F.lit("no token has the id "), digits)))
-        n = F.coalesce((F.octet_length("ids") / 4).cast("int"), F.lit(0))
+        n = F.coalesce((F.octet_length(ids) / 4).cast("int"), F.lit(0))
         return F.array_join(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), token), "")
-    return encoded.withColumn("decoded", F.unhex(Ranks(ranks).tokens.within(of)))
+    # Bound once: a row copies its bytes each time they are read from it.
+    return encoded.withColumn("decoded", F.unhex(Ranks(ranks).tokens.within(lambda find: let(F.col("ids"), lambda ids: of(find, ids)))))
