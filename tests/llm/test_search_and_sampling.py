@@ -164,7 +164,7 @@ def test_byte_level_awkward_texts(spark, remembered):
              "".join(rng.choices("abcdeéß", k=1500)), "".join(rng.choices("ab \t\n 　1٣é'st.,", k=3000))]
     df = cases.table(spark, cases.pairs(cases.table(spark)) + [(100 + i, t) for i, t in enumerate(texts)]).repartition(3)
     encoded = byte_bpe.byte_bpe_encode(df, path, pattern, remembered=remembered)
-    got = [(r.doc_id, r.n_tokens, np.frombuffer(bytes(r.ids), "<u4").tolist(), bytes(r.decoded))
+    got = [(r.doc_id, r.n_tokens, list(r.ids), bytes(r.decoded))
            for r in byte_bpe.byte_bpe_decode(encoded, path).collect()]
     want = []
     for doc, text in cases.pairs(df):
@@ -176,12 +176,14 @@ def test_byte_level_awkward_texts(spark, remembered):
 def test_byte_level_decodes_any_ids(spark):
     path, pattern, library = byte_level()
     lists = [[], [0], [50255, 3, 3], list(range(300, 50256, 501))]
-    df = spark.createDataFrame([(i, np.array(x, "<u4").tobytes()) for i, x in enumerate(lists)] + [(9, None)], "doc_id long, ids binary")
+    df = spark.createDataFrame(list(enumerate(lists)) + [(9, None)], "doc_id long, ids array<int>")
     got = {r.doc_id: bytes(r.decoded) for r in byte_bpe.byte_bpe_decode(df, path).collect()}
     assert got == {i: library.decode_bytes(x) for i, x in enumerate(lists)} | {9: b""}
-    bad = spark.createDataFrame([(1, np.array([50256], "<u4").tobytes())], "doc_id long, ids binary")
-    with pytest.raises(Exception, match="no token has the id"):
-        byte_bpe.byte_bpe_decode(bad, path).collect()
+    raw = df.where("ids IS NOT NULL").select("doc_id", byte_bpe.ids_bytes(F.col("ids"), path).alias("raw")).collect()
+    assert {r.doc_id: np.frombuffer(bytes(r.raw), "<u4").tolist() for r in raw} == dict(enumerate(lists))
+    for ids in ([50256], [-1], [5, None]):
+        with pytest.raises(Exception, match="no token has the id"):
+            byte_bpe.byte_bpe_decode(spark.createDataFrame([(1, ids)], "doc_id long, ids array<int>"), path).collect()
 
 
 def test_byte_level_plan_has_no_python(spark):

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.functions.binding import let
+from tidelex.llm.common import partitions
 
 #: Words whose ids are looked up; all others are folded where they stand. It bounds the literal map.
 REMEMBERED = 1 << 17
@@ -45,22 +46,47 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Lookup:
-    """A literal map from strings: buckets by XXH64, each a small map, so that a lookup does not scan all keys."""
+    """A literal map from strings as two flat arrays: every key is in one of two places that its XXH64 names.
+
+    A lookup reads two entries at most, where Spark's own map literal is searched from its first key on.
+    """
 
     def __init__(self, entries: dict[str, object], value: str):
         size = 256
-        while size < len(entries):
+        while size * 2 < 5 * len(entries):
+            size *= 2
+        while (placed := _placed(entries, size)) is None:
             size *= 2
-        buckets: list[dict] = [{} for _ in range(size)]
-        for key, found in entries.items():
-            buckets[xxhash.xxh64_intdigest(key.encode(), seed=42) & (size - 1)][key] = found
         self.mask = size - 1
-        told = json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))
-        self.buckets = F.from_json(F.lit(told), f"array<map<string,{value}>>")
+        keys, values = ([None if k is None else pick(k) for k in placed] for pick in (str, entries.__getitem__))
+        self.keys, self.values = (F.from_json(F.lit(json.dumps(x, ensure_ascii=False, separators=(",", ":"))), f"array<{kind}>")
+                                  for x, kind in ((keys, "string"), (values, value)))
 
     def within(self, body: Callable[[Find], Column]) -> Column:
-        """``body`` with a function from keys to values (null if absent); the literal stands in the plan once."""
-        return let(self.buckets, lambda b: body(lambda key: F.get(b, F.xxhash64(key).bitwiseAND(F.lit(self.mask)).cast("int"))[key]))
+        """``body`` with a function from keys to values (null if absent); the literals stand in the plan once."""
+        def find(keys: Column, values: Column, key: Column) -> Column:
+            h = F.xxhash64(key)
+            one, two = (x.bitwiseAND(F.lit(self.mask)).cast("int") for x in (h, F.shiftrightunsigned(h, 32)))
+            return F.when(F.get(keys, one) == key, F.get(values, one)).when(F.get(keys, two) == key, F.get(values, two))
+        return let(self.keys, lambda keys: let(self.values, lambda values: body(lambda key: find(keys, values, key))))
+
+
+def _placed(entries: dict[str, object], size: int) -> list[str | None] | None:
+    """Each key at one of its two places, moving others to their second one; None if that does not end."""
+    at: list[str | None] = [None] * size
+    for key in entries:
+        place = None
+        for _ in range(500):
+            h = xxhash.xxh64_intdigest(key.encode(), seed=42)
+            one, two = h & (size - 1), (h >> 32) & (size - 1)
+            place = two if place == one or (place is None and at[one] is not None and at[two] is None) else one
+            at[place], key = key, at[place]
+            if key is None:
+                break
+            h = xxhash.xxh64_intdigest(key.encode(), seed=42)
+        else:
+            return None
+    return at
 
 
 def hex_of(word: Column) -> Column:
@@ -131,25 +157,33 @@ def _long(digits: Column, find: Find) -> Column:
 
 
 class Ranks:
-    """A rank file as literals: hex bytes of a token to its rank, and ids to hex bytes."""
+    """A rank file as literals: hex bytes of a token to its rank (its id), and by id the hex bytes and the id's own bytes."""
 
     def __init__(self, path: str):
         ranks = read_ranks(path)
-        little = {rank: rank.to_bytes(4, "little").hex() for rank in ranks.values()}
         self.ranks = Lookup({token.hex(): rank for token, rank in ranks.items()}, "int")
-        self.little = F.split(F.lit(" ".join(little.get(i, "") for i in range(max(little) + 1))), " ")
-        self.tokens = Lookup({little[rank]: token.hex() for token, rank in ranks.items()}, "string")
+        tokens: list[str | None] = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token.hex()
+        self.tokens = F.from_json(F.lit(json.dumps(tokens)), "array<string>")
+        self.little = F.from_json(F.lit(json.dumps([i.to_bytes(4, "little").hex() for i in range(len(tokens))])), "array<string>")
 
     def encoder(self, body: Callable[[Find], Column]) -> Column:
-        """``body`` with a function from a word to its ids as hex digits (little-endian, 32 bits each): the word
-        itself if it is a token, else its bytes after all merges."""
-        def ids(word: Column, find: Find, little: Column) -> Column:
+        """``body`` with a function from a word to its ids, as numbers with a space between: the word itself if it is
+        a token, else its bytes after all merges."""
+        def ids(word: Column, find: Find) -> Column:
             def of(digits: Column) -> Column:
                 pieces = F.when(F.length(digits) <= 2 * SHORT, _short(digits, find)).otherwise(_long(digits, find))
-                several = F.array_join(F.transform(pieces, lambda p: F.get(little, find(p))), "")
-                return F.coalesce(F.get(little, find(digits)), several)
+                return F.coalesce(find(digits).cast("string"), F.array_join(F.transform(pieces, find).cast("array<string>"), " "))
             return let(hex_of(word), of)
-        return self.ranks.within(lambda find: let(self.little, lambda little: body(lambda word: ids(word, find, little))))
+        return self.ranks.within(lambda find: body(lambda word: ids(word, find)))
+
+    def joined(self, ids: Column, entries: Column) -> Column:
+        """The bytes that ``entries`` has for each id, one after another."""
+        def of(held: Column) -> Column:
+            return F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(held, i), F.raise_error(
+                F.concat(F.lit("no token has the id "), F.coalesce(i.cast("string"), F.lit("null")))))), "")
+        return F.unhex(F.coalesce(let(entries, of), F.lit("")))
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -159,7 +193,7 @@ def words_of(text: Column, pattern: str) -> Column:
 
 def byte_bpe_encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                     remembered: int = REMEMBERED) -> DataFrame:
-    """Token ids of whole texts: doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers).
+    """Token ids of whole texts: doc_id, n_tokens, ids (array of int).
 
     Two passes over the texts: words are counted (an aggregate with a map-side
     part, so a frequent word is one row a task) and the ``remembered`` most
@@ -176,26 +210,26 @@ def byte_bpe_encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "do
     vocabulary = Ranks(ranks)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     counted = texts.select(F.explode(words_of(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    frequent = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(remembered)
+    frequent = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(remembered).select("word").repartition(partitions(docs))
     encoded = frequent.select("word", vocabulary.encoder(lambda ids: ids(F.col("word"))).alias("ids"))
     known = Lookup({r.word: r.ids for r in encoded.toLocalIterator()}, "string")
     ids = known.within(lambda find: vocabulary.encoder(lambda fold: F.array_join(
-        F.transform(words_of(F.col("text"), pattern), lambda word: F.coalesce(find(word), fold(word))), "")))
-    return texts.select("doc_id", F.unhex(ids).alias("ids")).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+        F.transform(words_of(F.col("text"), pattern), lambda word: F.coalesce(find(word), fold(word))), " ")))
+    numbers = let(ids, lambda told: F.when(told != "", F.split(told, " ").cast("array<int>")).otherwise(F.array().cast("array<int>")))
+    return texts.select("doc_id", numbers.alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+def ids_bytes(ids: Column, ranks: str) -> Column:
+    """Ids as little-endian unsigned 32-bit integers."""
+    vocabulary = Ranks(ranks)
+    return vocabulary.joined(ids, vocabulary.little)
 
 
 def byte_bpe_decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """Adds ``decoded``, the bytes of the ids of column ``ids`` one after another.
 
-    They need not be valid UTF-8. Null or empty ids give no bytes; an id that no
-    token has fails.
+    They need not be valid UTF-8. Null or no ids give no bytes; an id that no
+    token has, and a null among the ids, fails.
     """
-    def of(find: Find, ids: Column) -> Column:
-        def token(i: Column) -> Column:
-            digits = F.lower(F.hex(F.substring(ids, 4 * i + 1, F.lit(4))))
-            return F.coalesce(find(digits), F.raise_error(F.concat(F.lit("no token has the id "), digits)))
-        n = F.coalesce((F.octet_length(ids) / 4).cast("int"), F.lit(0))
-        return F.array_join(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), token), "")
-    # Bound once: a row copies its bytes each time they are read from it.
-    return encoded.withColumn("decoded", F.unhex(Ranks(ranks).tokens.within(lambda find: let(F.col("ids"), lambda ids: of(find, ids)))))
+    vocabulary = Ranks(ranks)
+    return encoded.withColumn("decoded", vocabulary.joined(F.col("ids"), vocabulary.tokens))

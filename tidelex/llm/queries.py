@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelex.llm.bpe import bpe_decode, bpe_encode
-from tidelex.llm.byte_bpe import byte_bpe_decode, byte_bpe_encode
+from tidelex.llm.byte_bpe import byte_bpe_decode, byte_bpe_encode, ids_bytes
 from tidelex.llm.classifier import quality_scores, train
 from tidelex.llm.decontaminate import decontaminate
 from tidelex.llm.minhash import near_duplicates
@@ -199,7 +199,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = rank_file()
     encoded = byte_bpe_encode(table(spark, sf_dir, "documents"), ranks, pattern)
     return byte_bpe_decode(encoded, ranks).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+        "doc_id", "n_tokens", F.sha2(ids_bytes(F.col("ids"), ranks), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 OP11_SQL = rf"""
