@@ -18,11 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tidelex.llm.common import Texts, binary_column, chunks, id_and_text, ragged
+from tidelex.llm.common import CHUNK, Texts, binary_column, chunks, give_back, id_and_text, ragged
 from tidelex.llm.ship import shipped
 
 #: Distinct fragments whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1 << 17
 #: Symbols up to which a fragment is merged by scanning its ranks; longer ones use a heap.
 SCANNED = 64
 #: Letters below this one are the same in all versions of Unicode and normal as they are.
@@ -214,6 +214,12 @@ class Remembered:
 _remembered: dict[tuple[str, bool], Remembered] = {}
 
 
+def forget() -> None:
+    """Drop the remembered fragments at the end of a task."""
+    _remembered.clear()
+    give_back()
+
+
 def encode(chunk: Texts, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a chunk, one after another, and the bounds of each text."""
     buf, off = chunk.buf, chunk.off
@@ -263,11 +269,13 @@ def decode(ids: np.ndarray, bounds: np.ndarray, vocab: Vocabulary) -> pa.Array:
 
 def _encoded(batches, path: str):
     vocab = vocabulary(path)
-    for chunk in chunks(batches):
+    for chunk in chunks(batches, size=CHUNK // 2):
         ids, bounds = encode(chunk, vocab)
         yield pa.RecordBatch.from_arrays(
             [chunk.rows.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), binary_column(ids.astype("<u4"), bounds * 4).cast(pa.binary())],
             ["doc_id", "n_tokens", "ids"])
+    chunk = ids = bounds = None
+    forget()
 
 
 def _decoded(batches, path: str):
@@ -275,6 +283,8 @@ def _decoded(batches, path: str):
     for chunk in chunks(batches, "ids"):
         ids = chunk.buf.view("<u4") if chunk.buf.flags.aligned else np.frombuffer(chunk.buf.tobytes(), dtype="<u4")
         yield chunk.rows.append_column("decoded", decode(ids, chunk.off // 4, vocab).cast(pa.string()))
+    chunk = ids = None
+    give_back()
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ does not depend on the number of rows in a batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -154,6 +155,14 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             lo = hi
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: the worker waits for the next one beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 @dataclass
 class Words:
     """Words of a chunk: byte bounds, and the first word of every text in ``per``."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelex.llm.bpe import encode, vocabulary
+from tidelex.llm.bpe import encode, forget, vocabulary
 from tidelex.llm.common import binary_column, chunks, id_and_text, packed_texts, partitions, unpacked
 from tidelex.llm.files import Written, opened, read_at, size_of
 from tidelex.llm.graph import stored
@@ -151,6 +151,7 @@ def _write(batches, tokenizer: str, folder: str, end_id: int):
         full[inner] = ids
         writer = writer or TokenWriter(uri, max(vocab.size - 1, end_id).bit_length())
         writer.add(chunk.rows.column("doc_id").to_pylist(), np.diff(bounds) + 1, full)
+    forget()
     if writer is not None:
         writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri]), pa.array([writer.n], pa.int64())],
