@@ -114,3 +114,41 @@ def range_join(rows: DataFrame, ranges: DataFrame, keys: list[str], ts: str,
     return (left.join(right, [*keys, "_bin", "_salt"])
             .where((F.col(ts) >= F.col(lo)) & (F.col(ts) <= F.col(hi)))
             .drop("_bin", "_salt"))
+
+
+def interval_join(rows: DataFrame, ranges: DataFrame, keys: list[str], ts: str,
+                  lo: str, hi: str, chunk_seconds: int = 21_600) -> DataFrame:
+    """Rows whose time lies in ``[lo, hi]`` of a range with the same keys, for ranges that do not overlap.
+
+    Ranges of one key may touch: a row at a shared end is in both. Range starts
+    and rows are put in time order and the last start at or before a row is
+    carried forward, so a range of any length is one row. Keys are cut into
+    chunks of time, whose last starts are carried on apart: a hot key is spread
+    over its chunks, and no task holds a whole key. Give it narrow rows: all
+    their columns are shuffled. Null keys, times and bounds match nothing.
+    """
+    width = chunk_seconds * 1_000_000
+    others = [c for c in ranges.columns if c not in keys]
+    there = F.lit(True)
+    for k in keys:
+        there = there & F.col(k).isNotNull()
+    left = rows.where(there & F.col(ts).isNotNull()).select(
+        *keys, micros(F.col(ts)).alias("_us"), F.struct(*[F.col(c) for c in rows.columns if c not in keys]).alias("_row"))
+    right = ranges.where(there & F.col(lo).isNotNull() & F.col(hi).isNotNull()).select(*keys, micros(F.col(lo)).alias("_us"), F.struct(
+        micros(F.col(lo)).alias("_lo"), micros(F.col(hi)).alias("_hi"), *others).alias("_range"))
+    empty = lambda df, name: F.lit(None).cast(df.schema[name].dataType).alias(name)
+    both = (left.select(*keys, "_us", "_row", empty(right, "_range"))
+            .unionByName(right.select(*keys, "_us", empty(left, "_row"), "_range"))
+            .withColumn("_chunk", F.floor(F.col("_us") / width)))
+    # The last start at or before a row, and the one before that where two ranges touch at the row.
+    order = Window.partitionBy(*keys, "_chunk").orderBy("_us")
+    carried = both.select(
+        *keys, "_chunk", "_us", "_row",
+        F.last("_range", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)).alias("_at"),
+        F.last("_range", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, -1)).alias("_before")).where(F.col("_row").isNotNull())
+    edges = both.groupBy(*keys, "_chunk").agg(F.max_by("_range", F.when(F.col("_range").isNotNull(), F.col("_us"))).alias("_last"))
+    past = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(*keys, "_chunk", F.last("_last", ignorenulls=True).over(past).alias("_earlier"))
+    found = carried.join(edges, [*keys, "_chunk"]).withColumn("_range", F.explode(F.array_distinct(F.array(
+        F.coalesce("_at", "_earlier"), F.coalesce("_before", "_earlier"))))).where(F.col("_us") <= F.col("_range._hi"))
+    return found.select(*keys, "_row.*", *[F.col(f"_range.`{c}`").alias(c) for c in others])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelex.functions.ordering import first_per_key, range_join, time_gaps, with_row_index
+from tidelex.functions.ordering import first_per_key, interval_join, time_gaps, with_row_index
 from tidelex.functions.timefn import as_column, micros
 from tidelex.operators.filters import unseen
 from tidelex.operators.search import first_matched_term, searchable
@@ -73,15 +73,16 @@ def fill_plan(gaps: DataFrame, group: str | None = None) -> DataFrame:
 def fill_from_archive(known: DataFrame, archive: DataFrame, gaps: DataFrame, group: str,
                       ts: str = "occurred_at", key: str = "id",
                       terms: list[str] | None = None) -> DataFrame:
-    """Archive rows inside the gaps that are not known yet, each once.
+    """Archive rows inside the gaps that are not known yet, each once; ``sources.fill`` appends them.
 
-    The time search comes first. ``terms`` adds the term that would find the row
-    in the second search of the same gap (null when none does).
+    ``terms`` keeps only rows that hold one, named in ``term``; their texts are
+    dropped before the join.
     """
-    found = unseen(range_join(archive, gaps.select(group, "gap_start", "gap_end"), [group],
-                              ts, "gap_start", "gap_end"), known, key)
     if terms:
-        found = found.withColumn("term", first_matched_term(searchable(found), terms))
+        archive = archive.withColumn("term", first_matched_term(searchable(archive), terms)).where("term IS NOT NULL")
+        archive = archive.drop("title", "selftext")
+    found = unseen(interval_join(archive, gaps.select(group, "gap_start", "gap_end"), [group],
+                                 ts, "gap_start", "gap_end"), known, key)
     return first_per_key(found, [key], [F.col("gap_start")])
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelex.functions.binding import let
 from tidelex.functions.stats import exact_percentiles, sample_kurtosis, sample_skewness
 from tidelex.functions.timefn import as_column, bucket, seconds_between
 from tidelex.operators.filters import result_filters
@@ -148,11 +149,17 @@ def _per_source_and_label(results: DataFrame) -> DataFrame:
 
 
 def _combined() -> tuple[Column, Column]:
-    """Mean and sample deviation of the parts of a group."""
+    """Mean and sample deviation of the parts of a group.
+
+    The parts' means are compared with the group's own mean, so values that are
+    large beside their deviation lose nothing.
+    """
     total = F.sum("k")
     mean = F.try_divide(F.sum(F.col("k") * F.col("mean")), total)
-    squares = F.sum(F.col("k") * (F.col("var") + F.col("mean") * F.col("mean"))) - total * mean * mean
-    return mean, F.when(total > 1, F.sqrt(F.greatest(squares, F.lit(0.0)) / (total - 1)))
+    parts = F.sort_array(F.collect_list(F.when(F.col("k") > 0, F.struct("k", "mean", "var"))))
+    squares = let(mean, lambda m: F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["k"] * (
+        p["var"] + (p["mean"] - m) * (p["mean"] - m))))
+    return mean, F.when(total > 1, F.sqrt(squares / (total - 1)))
 
 
 def label_map_per_source(results: DataFrame, digits: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.functions.binding import let
-from tidelex.functions.ordering import first_per_key, range_join
+from tidelex.functions.ordering import first_per_key, interval_join
 from tidelex.functions.timefn import as_column
 from tidelex.operators.filters import unseen
 
@@ -93,12 +93,14 @@ def term_sweep(posts: DataFrame, terms: list[str], first_year: int, last_year: i
     return first_per_key(_without_text(found), ["id"], [F.col(POST_TIME), F.col("found_by")])
 
 
-def window_search(posts: DataFrame, windows: DataFrame, keys: list[str], terms: list[str],
-                  bin_seconds: int = 30 * 86_400) -> DataFrame:
-    """Posts inside each window with the terms they hold; the earliest window keeps the id."""
+def window_search(posts: DataFrame, windows: DataFrame, keys: list[str], terms: list[str]) -> DataFrame:
+    """Posts inside each window with the terms they hold; the earliest window keeps the id.
+
+    The windows of one key may touch but not overlap.
+    """
     # Terms are looked for before the join, so that only ids and terms are shuffled.
     found = _without_text(posts.withColumn("terms", matched_terms(searchable(posts), terms)))
-    hits = range_join(found, windows, keys, POST_TIME, "window_start", "window_end", bin_seconds)
+    hits = interval_join(found, windows, keys, POST_TIME, "window_start", "window_end")
     return first_per_key(hits, ["id"], [F.col("window_start"), F.col("window_end")])
 
 
@@ -111,18 +113,20 @@ def window_sweep_with_fallback(primary: DataFrame, archive: DataFrame, windows:
     term that finds anything in a window ends its fallback search.
     """
     keys = [group]
-    direct = range_join(primary, windows, keys, POST_TIME, "window_start", "window_end")
+    # Terms are looked for before the joins, so that no text is shuffled.
+    ranks = let(searchable(archive), lambda text: F.array_compact(F.array(*[
+        F.when(text.contains(t.lower()), F.lit(i)) for i, t in enumerate(terms)])))
+    searched = _without_text(archive.withColumn("_ranks", ranks))
+    direct = interval_join(_without_text(primary), windows, keys, POST_TIME, "window_start", "window_end")
     filled = direct.select(group, "window_no").distinct()
     wide = F.col("window_end") >= F.col("window_start") + F.make_dt_interval(F.lit(min_fallback_days))
     empty = windows.where(wide).join(filled, [group, "window_no"], "left_anti")
-    candidates = range_join(archive, empty, keys, POST_TIME, "window_start", "window_end")
-    ranks = let(searchable(candidates), lambda text: F.array_compact(F.array(*[
-        F.when(text.contains(t.lower()), F.lit(i)) for i, t in enumerate(terms)])))
-    hits = _without_text(candidates.withColumn("_rank", F.explode(ranks)))
+    candidates = interval_join(searched.where(F.size("_ranks") > 0), empty, keys, POST_TIME, "window_start", "window_end")
+    hits = candidates.withColumn("_rank", F.explode("_ranks")).drop("_ranks")
     best = hits.groupBy(group, "window_no").agg(F.min("_rank").alias("_rank"))
     fallback = hits.join(best, [group, "window_no", "_rank"])
     term_names = F.array(*[F.lit(t) for t in terms])
-    direct = _without_text(direct).withColumn("found_by", F.lit("time"))
+    direct = direct.withColumn("found_by", F.lit("time"))
     fallback = fallback.withColumn("found_by", F.concat(
         F.lit("term "), F.get(term_names, F.col("_rank")))).drop("_rank")
     both = direct.unionByName(fallback.select(*direct.columns))

@@ -10,6 +10,9 @@ from tidelex.operators import windows as W
 from tidelex.plans import views as V
 from tidelex.plans.q_metrics import on_raw, on_results
 from tidelex.plans.registry import query
+from tidelex.session import scratch
+from tidelex.sources.fill import fill_gaps
+from tidelex.sources.sinks import append_events
 
 AS_OF = "2024-01-30 12:00:00"
 TERMS = ["worthless", "pathetic", "moron", "nicht", "avec", "para"]
@@ -45,7 +48,7 @@ on_results("gap6_staleness", f"""SELECT source_id, max(occurred_at) AS last_at,
 on_results("gap7_fill_plan", f"""SELECT *, row_number() OVER (ORDER BY gap_duration_seconds DESC, gap_start, source_id) AS fill_rank,
   greatest(1, CAST(floor(gap_duration_seconds / 86400) AS BIGINT)) AS window_days FROM ({gap_sql('v_results', 'source_id', 3600)})""",
            lambda df: G.fill_plan(G.group_gaps(df, "source_id", min_gap=3600), "source_id"))
-GAP8 = f"""WITH {V.V_RESULTS}, known AS (SELECT * FROM v_results WHERE source <> 'error'),
+GAP8 = f"""WITH {V.V_RESULTS}, known AS (SELECT * FROM v_results WHERE NOT {V.left_out_sql('id', 4, 1)}),
   gaps AS ({gap_sql('known', 'source_id', DAY)})
   SELECT r.id, r.source_id, r.occurred_at, g.gap_start, g.gap_end FROM v_results r JOIN gaps g
     ON r.source_id = g.source_id AND r.occurred_at BETWEEN g.gap_start AND g.gap_end
@@ -54,14 +57,49 @@ GAP8 = f"""WITH {V.V_RESULTS}, known AS (SELECT * FROM v_results WHERE source <>
 
 @query("gap8_fill_from_archive", GAP8)
 def gap_fill(spark, sf_dir):
-    """The store misses the error events; the gaps this leaves are filled from the whole table."""
+    """The store misses a quarter of the events; the gaps this leaves are filled from the whole table."""
     archive = V.results(spark, sf_dir).select("id", "source", "source_id", "occurred_at")
-    known = archive.where(F.col("source") != "error")
+    known = archive.where(~V.left_out("id", 4, 1))
     gaps = G.group_gaps(known, "source_id", min_gap=DAY)
     return G.fill_from_archive(known, archive, gaps, "source_id").select(
         "id", "source_id", "occurred_at", "gap_start", "gap_end")
 
 
+MISSING = f"""missing AS (SELECT r.id, r.source_id, r.occurred_at, g.gap_start, NOT {V.left_out_sql('id', 8, 1)} AS by_time,
+    contains(lower(raw_text), 'click') OR contains(lower(raw_text), 'page') AS by_term
+  FROM v_results r JOIN gaps g ON r.source_id = g.source_id AND r.occurred_at BETWEEN g.gap_start AND g.gap_end WHERE r.id NOT IN (SELECT id FROM known)),
+  found AS (SELECT * FROM missing WHERE by_time OR by_term)"""
+
+
+@query("gap8_fill_job", f"""WITH {V.V_RESULTS}, known AS (SELECT * FROM v_results WHERE NOT {V.left_out_sql('id', 4, 1)}),
+  gaps AS ({gap_sql('known', 'source_id', DAY)}), {MISSING},
+  after AS (SELECT source_id, occurred_at FROM known UNION ALL SELECT source_id, occurred_at FROM found),
+  gaps2 AS ({gap_sql('after', 'source_id', DAY)}),
+  n AS (SELECT source_id, count(*) AS gaps, sum(gap_duration_seconds) AS gap_seconds FROM gaps GROUP BY 1),
+  f AS (SELECT source_id, count(*) FILTER (by_time) AS time_rows, count(*) FILTER (NOT by_time) AS term_rows, count(DISTINCT gap_start) AS filled_gaps FROM found GROUP BY 1)
+  SELECT CAST(1 AS BIGINT) AS run, source_id, gaps, gap_seconds, coalesce(time_rows, 0) AS time_rows, coalesce(term_rows, 0) AS term_rows, coalesce(filled_gaps, 0) AS filled_gaps
+  FROM n LEFT JOIN f USING (source_id)
+  UNION ALL SELECT 2, source_id, count(*), sum(gap_duration_seconds), 0, 0, 0 FROM gaps2 GROUP BY source_id""")
+def gap_fill_job(spark, sf_dir):
+    """The job runs twice. The time search misses an eighth of the events, the term search reads all."""
+    events, path = V.results(spark, sf_dir).select("id", "source", "source_id", "occurred_at", "raw_text"), scratch(spark, "events")
+    append_events(events.where(~V.left_out("id", 4, 1)), path)
+    runs = [fill_gaps(spark, path, events.where(~V.left_out("id", 8, 1)), "source_id", ["click", "page"], events, F.col("raw_text"), DAY)
+            .withColumn("run", F.lit(i)) for i in (1, 2)]
+    return runs[0].unionByName(runs[1])
+
+
+@query("gap8_filled_table", f"""WITH {V.V_RESULTS}, known AS (SELECT * FROM v_results WHERE NOT {V.left_out_sql('id', 4, 1)}),
+  gaps AS ({gap_sql('known', 'source_id', DAY)}), {MISSING}
+  SELECT id, source_id, raw_text FROM v_results WHERE id IN (SELECT id FROM known UNION ALL SELECT id FROM found)""")
+def gap_filled(spark, sf_dir):
+    """The event table after the job."""
+    events, path = V.results(spark, sf_dir).select("id", "source", "source_id", "occurred_at", "raw_text"), scratch(spark, "events")
+    append_events(events.where(~V.left_out("id", 4, 1)), path)
+    fill_gaps(spark, path, events.where(~V.left_out("id", 8, 1)), "source_id", ["click", "page"], events, F.col("raw_text"), DAY)
+    return spark.read.parquet(path).select("id", "source_id", "raw_text")
+
+
 on_raw("gap9_collection_counters", f"""SELECT unnest(['rows', 'known_keys', 'fetch_age_seconds', 'data_gap_seconds']) AS metric,
   unnest([n, k, age, gap]) AS value, unnest([false, false, age > 1200, false]) AS alert FROM (
     SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT id) AS DOUBLE) AS k,
@@ -195,7 +233,7 @@ def backward(df, days):
 
 on_posts("win2_backward_windows", WIN2.format(days=3) + " SELECT * FROM windows WHERE window_start < window_end",
          lambda df: backward(df, 3))
-on_posts("sea6_window_sweep_fallback", WIN2.format(days=4) + f""", prim AS (SELECT * FROM v_posts WHERE lang = 'de'),
+on_posts("sea6_window_sweep_fallback", WIN2.format(days=4) + f""", prim AS (SELECT * FROM v_posts WHERE {V.left_out_sql('id', 5, 2)}),
   direct AS (SELECT p.id, w.subreddit, w.window_no, 'time' AS found_by FROM prim p JOIN windows w ON p.subreddit = w.subreddit
     AND p.posted_at BETWEEN w.window_start AND w.window_end WHERE w.window_start < w.window_end),
   hits AS (SELECT p.id, w.subreddit, w.window_no, unnest(list_filter(range(1, {len(TERMS) + 1}), lambda i: contains({HAY}, {TERM_LIST}[i]))) AS r
@@ -206,7 +244,7 @@ on_posts("sea6_window_sweep_fallback", WIN2.format(days=4) + f""", prim AS (SELE
   found AS (SELECT * FROM direct UNION ALL SELECT h.id, h.subreddit, h.window_no, 'term ' || {TERM_LIST}[h.r] FROM hits h JOIN best b
     USING (subreddit, window_no, r))
   SELECT id, window_no, found_by FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY window_no) AS rn FROM found) WHERE rn = 1""",
-         lambda df: SE.window_sweep_with_fallback(df.where(F.col("lang") == "de"), df, backward(df, 4), TERMS)
+         lambda df: SE.window_sweep_with_fallback(df.where(V.left_out("id", 5, 2)), df, backward(df, 4), TERMS)
          .select("id", "window_no", "found_by"))
 on_posts("win3_forward_chunks", f""", sp AS (SELECT subreddit, date_trunc('day', min(posted_at)) AS lo, max(posted_at) AS hi FROM v_posts GROUP BY 1)
   SELECT subreddit, lo + to_months(CAST(m AS INTEGER)) AS chunk_start, least(lo + to_months(CAST(m + 3 AS INTEGER)), hi) AS chunk_end

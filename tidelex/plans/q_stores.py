@@ -19,7 +19,7 @@ S = f"WITH {V.V_STORES} "
 K = f"WITH {V.V_KEYED} "
 P = f"WITH {V.V_POSTS} "
 PREFIX = "collector-"
-FIELDS = ["title", "selftext", "author", "score", "upvote_ratio", "num_comments", "url", "flair_text"]
+FIELDS = RC.MERGE_FIELDS
 
 
 def on_stores(name, sql, fn):
@@ -50,8 +50,8 @@ on_stores("rec3_missing_in_a", """SELECT id, created_utc, subreddit, title, md5(
     "id", "created_utc", "subreddit", "title", F.md5("selftext").alias("body"), "author", "score", "flair_text", "over_18"))
 FILLED = """SELECT a.id, md5(CASE WHEN b.selftext = '' THEN a.selftext ELSE b.selftext END) AS body,
   coalesce(b.author, a.author) AS author, b.score AS score,
-  array_to_string(list_sort(list_filter([CASE WHEN b.author IS NULL THEN 'author' END, CASE WHEN b.selftext = '' THEN 'selftext' END],
-    lambda x: x IS NOT NULL)), ',') AS filled FROM store_a a JOIN store_b b USING (id)"""
+  array_to_string(list_sort(list_filter([CASE WHEN b.author IS NULL AND a.author IS NOT NULL THEN 'author' END,
+    CASE WHEN b.selftext = '' AND a.selftext <> '' THEN 'selftext' END], lambda x: x IS NOT NULL)), ',') AS filled FROM store_a a JOIN store_b b USING (id)"""
 on_stores("rec4_merge_conflicts", FILLED, lambda a, b: RC.merge_conflicts(a, b, PREFIX).select(
     "id", F.md5(F.get_json_object("payload", "$.selftext")).alias("body"),
     F.get_json_object("payload", "$.author").alias("author"),
@@ -267,9 +267,9 @@ def snk5(spark, sf_dir):
 
 on_raw("snk6_day_partitions", "SELECT CAST(CAST(occurred_at AS DATE) AS TIMESTAMP) AS day, count(*) AS rows, CAST(CAST(occurred_at AS DATE) + 1 AS TIMESTAMP) AS next_day FROM v_raw GROUP BY CAST(occurred_at AS DATE)",
        SK.day_partitions)
-query("snk6_missing_days", """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice > 450000)
+query("snk6_missing_days", f"""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE NOT {V.left_out_sql('CAST(o_orderdate AS DATE)', 20, 5)})
   SELECT CAST(g AS TIMESTAMP) AS day FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS g FROM d) WHERE CAST(g AS DATE) NOT IN (SELECT day FROM d)""")(
-    lambda s, d: SK.missing_days(V.table(s, d, "orders").where(F.col("o_totalprice") > 450000), "o_orderdate"))
+    lambda s, d: SK.missing_days(V.table(s, d, "orders").withColumn("day", F.to_date("o_orderdate")).where(~V.left_out("day", 20, 5)), "o_orderdate"))
 
 
 @query("snk7_json_report", f"WITH {V.V_RESULTS} SELECT source, count(*) AS events FROM v_results GROUP BY 1")

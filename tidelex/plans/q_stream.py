@@ -123,7 +123,7 @@ def clm1_record(spark, sf_dir):
     return first.unionByName(second)
 
 
-@query("str7_gap_triggered_backfill", R + """, known AS (SELECT * FROM v_results WHERE source <> 'error'),
+@query("str7_gap_triggered_backfill", R + f""", known AS (SELECT * FROM v_results WHERE NOT {V.left_out_sql('id', 4, 1)}),
   last AS (SELECT source_id, max(occurred_at) AS seen FROM known GROUP BY 1)
   SELECT r.id, r.source_id, r.occurred_at FROM v_results r JOIN last l USING (source_id)
   WHERE r.occurred_at >= l.seen AND r.id NOT IN (SELECT id FROM known)
@@ -131,13 +131,13 @@ def clm1_record(spark, sf_dir):
 def str7(spark, sf_dir):
     """The idle alarms of the known events start a backfill from the last known time."""
     out = scratch(spark, "idle")
-    known_stream = V.results_of(stream(spark, sf_dir, "events")).where(F.col("source") != "error")
+    known_stream = V.results_of(stream(spark, sf_dir, "events")).where(~V.left_out("id", 4, 1))
     finish(J.idle_sources(known_stream, "source_id", out, scratch(spark, "check")))
     # An idle source alarms in every cycle; the last alarm of each says where it stopped.
     alarms = spark.read.parquet(f"{out}/alarms").groupBy("source_id").agg(F.max("gap_start").alias("gap_start"))
     archive = V.results(spark, sf_dir).select("id", "source", "source_id", "occurred_at")
     found = archive.join(alarms, "source_id").where(F.col("occurred_at") >= F.col("gap_start"))
-    return unseen(found, archive.where(F.col("source") != "error")).select("id", "source_id", "occurred_at")
+    return unseen(found, archive.where(~V.left_out("id", 4, 1))).select("id", "source_id", "occurred_at")
 
 
 @query("str8_dead_letter_stream", ROUTED + f""" SELECT CAST(id AS VARCHAR) AS event_id, source_id, occurred_at, '{RE.STAGE_INPUT}' AS processing_component

@@ -125,28 +125,37 @@ V_DOC_EVENTS = V_POSTS + """, v_doc_events AS (
   FROM v_posts)""".format(ws="' ' || chr(9) || chr(10) || chr(13)")
 
 
+def left_out(key: str, parts: int, part: int):
+    """Rows of one of ``parts`` hash parts of a text key: those that a store or a source lacks."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 7), 16, 10).cast("long") % parts == part
+
+
+def left_out_sql(key: str, parts: int, part: int) -> str:
+    return f"(('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 7))::BIGINT % {parts} = {part})"
+
+
 def store_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File store: the English posts."""
-    return posts(spark, sf_dir).where(F.col("lang") == "en").select(*SUBMISSION_COLUMNS)
+    """File store: all posts but one hash part in ten."""
+    return posts(spark, sf_dir).where(~left_out("id", 10, 3)).select(*SUBMISSION_COLUMNS)
 
 
 def store_b(spark: SparkSession, sf_dir: str, prefix: str = "") -> DataFrame:
-    """Event store: the labelled posts; toxic bodies are blank, authors of low quality are unknown."""
-    labelled = posts(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    """Event store: all posts but another part in ten; toxic bodies are blank, authors of low quality are unknown."""
+    labelled = posts(spark, sf_dir).where(~left_out("id", 10, 7)).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     kept = labelled.withColumns({
         "selftext": F.when(F.col("toxic") == 1, F.lit("")).otherwise(F.col("selftext")),
-        "author": F.when(F.col("quality") == 1, F.col("author")),
+        "author": F.when(F.coalesce(F.col("quality"), F.lit(1)) == 1, F.col("author")),
         "score": F.when(F.col("quality") == 0, F.lit(0)).otherwise(F.col("score"))})
     events = to_envelope(kept.select(*SUBMISSION_COLUMNS), "posts")
     return events.withColumn("source_id", F.concat(F.lit(prefix), F.col("source_id")))
 
 
-V_STORES = V_POSTS + """, store_a AS (SELECT * FROM v_posts WHERE lang = 'en'),
+V_STORES = V_POSTS + f""", store_a AS (SELECT * FROM v_posts WHERE NOT {left_out_sql('id', 10, 3)}),
 store_b AS (SELECT p.* REPLACE (
     CASE WHEN l.toxic = 1 THEN '' ELSE p.selftext END AS selftext,
-    CASE WHEN l.quality = 1 THEN p.author END AS author,
+    CASE WHEN coalesce(l.quality, 1) = 1 THEN p.author END AS author,
     CASE WHEN l.quality = 0 THEN 0 ELSE p.score END AS score)
-  FROM v_posts p JOIN labels l USING (doc_id))"""
+  FROM v_posts p LEFT JOIN labels l USING (doc_id) WHERE NOT {left_out_sql('p.id', 10, 7)})"""
 
 
 def keyed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
