@@ -10,7 +10,9 @@ from tidelex.operators import validate as VA
 from tidelex.plans import views as V
 from tidelex.plans.q_metrics import on_raw, on_results
 from tidelex.plans.registry import query
+from tidelex.schemas import EVENT_KEY
 from tidelex.session import scratch
+from tidelex.sources import keyfilter as KF
 from tidelex.sources import readers as RD
 from tidelex.sources import sinks as SK
 from tidelex.sources import sync as SY
@@ -232,6 +234,27 @@ def snk1(spark, sf_dir):
     return RD.read_events(spark, path).select("source", "source_id", "occurred_at", "payload")
 
 
+@query("snk1_append_counts", f"""WITH {V.V_RAW}, k AS (SELECT source, source_id, occurred_at, count(*) AS n, bool_or(NOT {V.left_out_sql('id', 3, 0)}) AS early FROM v_raw GROUP BY 1, 2, 3),
+  c AS (SELECT sum(n)::BIGINT AS rows, count(*) AS keys, count(*) FILTER (early) AS early_keys FROM k),
+  e AS (SELECT count(*) FILTER (NOT {V.left_out_sql('id', 3, 0)}) AS early_rows FROM v_raw)
+  SELECT CAST(1 AS BIGINT) AS run, early_keys AS inserted, early_rows - early_keys AS skipped FROM c, e
+  UNION ALL SELECT 2, keys - early_keys, rows - keys + early_keys FROM c UNION ALL SELECT 3, 0, rows FROM c""")
+def snk1_counts(spark, sf_dir):
+    """Two thirds of the events, then all, then all again: what each append inserts and skips."""
+    events, path = V.raw(spark, sf_dir), scratch(spark, "events")
+    parts = (events.where(~V.left_out("id", 3, 0)), events, events)
+    return spark.createDataFrame([(i + 1, *SK.append_events(part, path)) for i, part in enumerate(parts)], "run long, inserted long, skipped long")
+
+
+@query("flt1_stored_keys", f"WITH {V.V_RAW} SELECT DISTINCT source, source_id, occurred_at FROM v_raw WHERE NOT {V.left_out_sql('id', 3, 0)}")
+def flt1_stored(spark, sf_dir):
+    """Keys of all events that a table of two thirds of them holds, by its key filters and an exact check of what they let through."""
+    events, path = V.raw(spark, sf_dir), scratch(spark, "events")
+    SK.append_events(events.where(~V.left_out("id", 3, 0)), path)
+    asked = SK.with_date(events).select(KF.DATE, *EVENT_KEY).distinct()
+    return KF.stored_keys(asked, path, EVENT_KEY)
+
+
 @query("snk2_bulk_csv_import", ENVELOPE.replace("SELECT", P + "SELECT", 1))
 def snk2(spark, sf_dir):
     src, table, bad = (scratch(spark, n) for n in ("csv", "events", "quarantine"))

@@ -16,6 +16,8 @@ from tidelex.functions.ordering import first_per_key, with_row_index
 from tidelex.operators.mapping import COLUMN_TYPES, PUSH_COLUMNS, csv_to_envelope, push_row, split_bad
 from tidelex.schemas import EVENT_KEY, SUBMISSION_COLUMNS
 from tidelex.session import materialize
+from tidelex.sources import keyfilter
+from tidelex.sources.keyfilter import DATE
 from tidelex.sources.readers import read_submissions
 
 log = logging.getLogger(__name__)
@@ -32,34 +34,43 @@ def with_date(df: DataFrame, ts: str = "occurred_at") -> DataFrame:
     return df.withColumn("occurred_date", F.to_date(ts))
 
 
-def not_yet_stored(df: DataFrame, existing: DataFrame | None, key: list[str] = EVENT_KEY) -> DataFrame:
-    """Each key once, without the keys that are stored already."""
-    fresh = first_per_key(df, key, [F.col(c) for c in df.columns
-                                    if c not in key and dict(df.dtypes)[c] != "variant"
-                                    and not dict(df.dtypes)[c].startswith("map")])
-    return fresh if existing is None else fresh.join(existing.select(*key).distinct(), key, "left_anti")
+def _one_per_key(batch: DataFrame, key: list[str]) -> DataFrame:
+    """(key, date, _row) of one row per key: that with the smallest hash of its other columns.
+
+    Only keys and two numbers are grouped; the rows themselves stay where they are.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in batch.schema.fields}
+    rest = [c for c in batch.columns if c not in [*key, "_row", DATE] and not any(k in kinds[c] for k in ("variant", "map<"))]
+    return (batch.select(*key, DATE, "_row", F.xxhash64(*rest or [F.lit(0)]).alias("_rest")).groupBy(*key)
+            .agg(F.min_by("_row", "_rest").alias("_row"), F.min_by(DATE, "_rest").alias(DATE)))
 
 
 def append_events(df: DataFrame, path: str, key: list[str] = EVENT_KEY) -> tuple[int, int]:
     """Insert-or-ignore on the event key. Returns (inserted, skipped).
 
-    Only the stored dates the batch touches are read for the comparison. The
-    batch is written out once before it is counted, so a lost executor cannot
-    change what was counted.
+    The input is read once and written out before it is counted. Keys alone
+    decide what is new: those that the key filter of their date does not hold are,
+    and only dates where it holds one are read, key columns only. The filter gets
+    the new keys before the table gets their rows, so a run that is lost in between
+    can be repeated. All writers of a table must use this function.
     """
     spark = df.sparkSession
-    existing = None
-    attempted = df.count()
-    if attempted and table_exists(spark, path):
-        dates = df.select(F.to_date("occurred_at").alias("occurred_date")).distinct()
-        existing = spark.read.parquet(path).join(dates, "occurred_date", "left_semi")
-    fresh = materialize(with_date(not_yet_stored(df, existing, key)))
+    batch = materialize(with_date(df).withColumn("_row", F.monotonically_increasing_id()))
+    attempted = batch.count()
+    if not attempted:
+        return 0, 0
+    fresh = materialize(_one_per_key(batch, key))
+    if table_exists(spark, path):
+        stored = keyfilter.stored_keys(fresh, path, key)
+        if stored is not None:
+            fresh = materialize(fresh.join(stored, key, "left_anti"))
     inserted = fresh.count()
     if inserted:
+        keyfilter.add(fresh.where(F.col(DATE).isNotNull()), path, key)
         # Ranges are cut by rows, so a hot date is written by several tasks.
-        order = ["occurred_date", "source", "occurred_at"]
-        (fresh.repartitionByRange(*order).sortWithinPartitions(*order)
-         .write.mode("append").partitionBy("occurred_date").parquet(path))
+        order = [DATE, "source", "occurred_at"]
+        rows = batch.join(fresh.select("_row"), "_row", "left_semi").drop("_row")
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy(DATE).parquet(path)
     return inserted, attempted - inserted
 
 
