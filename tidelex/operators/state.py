@@ -20,6 +20,21 @@ def claim_oldest(events: DataFrame, ledger: DataFrame | None = None, n: int = CL
     return open_events.orderBy("occurred_at", "id").limit(n)
 
 
+def with_claims(events: DataFrame, ledger: DataFrame | None) -> DataFrame:
+    """Events as the claims have left them: a claimed one is processed, from the time of its first claim.
+
+    The event table is not rewritten when events are claimed; every report on
+    processing state reads it through this.
+    """
+    if ledger is None:
+        return events
+    taken = ledger.groupBy("id", "occurred_at").agg(F.min("claimed_at").alias("_claimed"))
+    claimed = F.col("_claimed").isNotNull()
+    return events.join(taken, ["id", "occurred_at"], "left").withColumns({
+        "processed": F.when(claimed, F.lit(True)).otherwise(F.col("processed")),
+        "processed_at": F.coalesce("processed_at", "_claimed")}).select(*events.columns)
+
+
 def state_summary(events: DataFrame) -> DataFrame:
     """Count and time span by processing flag; null is a group of its own."""
     return events.groupBy("processed").agg(

@@ -198,6 +198,38 @@ def export(results: DataFrame, path: str, fmt: str = "csv", **style) -> None:
         raise ValueError("fmt must be csv or json")
 
 
+def export_summary(results: DataFrame, digits: int = 3) -> DataFrame:
+    """What stands beside an export: for every label and for all rows, count, share, mean score and time span."""
+    per = results.groupBy("sentiment_label").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("sentiment_score").alias("_sum"), F.count("sentiment_score").alias("_n"),
+        F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"))
+    both = per.withColumn("label", F.coalesce("sentiment_label", F.lit("none"))).unionByName(
+        per.withColumn("sentiment_label", F.lit(None).cast("string")).withColumn("label", F.lit("all")))
+    parts = both.groupBy("label").agg(F.sum("rows").alias("rows"), F.round(F.try_divide(F.sum("_sum"), F.sum("_n")), digits).alias("avg_score"),
+                                      F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    total = per.agg(F.sum("rows").alias("rows"))
+    return parts.withColumn("share", F.round(F.try_divide(F.col("rows"), total.scalar()), digits))
+
+
+def export_with_summary(results: DataFrame, path: str, fmt: str = "csv", **style) -> None:
+    """Rows below ``path``/rows and the summary, as JSON lines, below ``path``/summary."""
+    export(results, f"{path}/rows", fmt, **style)
+    export_summary(results, style.get("digits", 3)).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
+def record_alerts(alerts: DataFrame, path: str, keys: list[str], at: str) -> int:
+    """Add alerts to the history, each once, with the time it was first raised. Returns how many are new."""
+    spark = alerts.sparkSession
+    new = alerts.dropDuplicates(keys)
+    if table_exists(spark, path):
+        new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+    new = materialize(new.withColumn("raised_at", F.lit(at).cast("timestamp")))
+    raised = new.count()
+    if raised:
+        new.write.mode("append").parquet(path)
+    return raised
+
+
 def push_batches(results: DataFrame, size: int = PUSH_SIZE) -> DataFrame:
     """Push rows in groups of ``size``, in time order, as ``{"rows": [...]}``.
 

@@ -20,7 +20,7 @@ from tidelex.operators.metrics import hourly_metric, merge_metrics
 from tidelex.operators.results import dead_letters, result_rows, route_events, skipped_rows
 from tidelex.operators.state import CLAIM_SIZE, claim_oldest
 from tidelex.session import materialize
-from tidelex.sources.sinks import append_events, push_batches, table_exists
+from tidelex.sources.sinks import append_events, fan_out, push_batches, table_exists
 
 CYCLE = "60 seconds"
 
@@ -32,12 +32,16 @@ def start(stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, i
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=cycle)).start()
 
 
-def ingest(posts: DataFrame, table: str, quarantine: str, source: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Landing records into the event table, unreadable ones into quarantine."""
+def ingest(posts: DataFrame, table: str, quarantine: str, source: str, checkpoint: str, once: bool = True,
+           sinks: list[Callable[[DataFrame], object]] | None = None) -> StreamingQuery:
+    """Landing records into the event table, unreadable ones into quarantine.
+
+    ``sinks`` get the envelopes of each batch too; one that fails does not keep the others from theirs.
+    """
     def batch(df: DataFrame, batch_id: int) -> None:
         good, bad = split_bad(df)
         bad.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
-        append_events(to_envelope(normalize_submission(good), source), table)
+        fan_out(to_envelope(normalize_submission(good), source), [lambda rows: append_events(rows, table), *(sinks or [])])
 
     return start(posts, checkpoint, batch, once)
 
@@ -158,14 +162,31 @@ def idle_sources(events: DataFrame, group: str, out: str, checkpoint: str, thres
     return start(events, checkpoint, batch, once)
 
 
-def claim(spark: SparkSession, events: DataFrame, ledger: str, n: int = CLAIM_SIZE) -> DataFrame:
-    """Take the ``n`` oldest unprocessed events and record them, so that the next claim takes others."""
-    taken = spark.read.parquet(ledger) if table_exists(spark, ledger) else None
-    claimed = materialize(claim_oldest(events, taken, n))
-    claimed.select("id", "occurred_at").write.mode("append").parquet(ledger)
+def claim(spark: SparkSession, events: DataFrame, ledger: str, n: int = CLAIM_SIZE, at: Column | None = None) -> DataFrame:
+    """Take the ``n`` oldest unprocessed events and record them with the time, so that the next claim takes others
+    and reports count them as processed (``state.with_claims``)."""
+    claimed = materialize(claim_oldest(events, claims(spark, ledger), n))
+    now = F.current_timestamp() if at is None else at.cast("timestamp")
+    claimed.select("id", "occurred_at", now.alias("claimed_at")).write.mode("append").parquet(ledger)
     return claimed
 
 
+def claims(spark: SparkSession, ledger: str) -> DataFrame | None:
+    """All claims recorded so far, null if there are none."""
+    return spark.read.parquet(ledger) if table_exists(spark, ledger) else None
+
+
+def without_repeats(stream: DataFrame, key: list[str], remembered: str = "1 day") -> DataFrame:
+    """Rows of a stream whose key did not arrive within the time ``remembered`` before.
+
+    Keys are remembered by the time they arrive, not by the time of the event, so
+    rows of any age pass and the state holds the keys of that time only. Repeats
+    that come later are left to the sink.
+    """
+    return (stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", remembered)
+            .dropDuplicatesWithinWatermark(key).drop("_arrived"))
+
+
 def push(results: DataFrame, outbox: str, checkpoint: str, size: int = 100, once: bool = True) -> StreamingQuery:
     """Push rows in groups, written to an outbox folder."""
     def batch(df: DataFrame, batch_id: int) -> None:
