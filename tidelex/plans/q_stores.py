@@ -311,6 +311,17 @@ def snk8(spark, sf_dir):
                              "sentiment_label string, confidence double").option("header", "true").csv(path)
 
 
+@query("snk8_export_summary", f"""WITH {V.V_RESULTS}, p AS (SELECT sentiment_label AS label, * FROM v_results UNION ALL SELECT 'all', * FROM v_results)
+  SELECT label, count(*) AS rows, round(avg(sentiment_score), 2) AS avg_score, strftime(min(occurred_at), '%Y-%m-%d %H:%M:%S') AS first_at,
+    strftime(max(occurred_at), '%Y-%m-%d %H:%M:%S') AS last_at, round(count(*) / (SELECT count(*) FROM v_results), 2) AS share FROM p GROUP BY 1""")
+def snk8_summary(spark, sf_dir):
+    """The summary file that stands beside an export."""
+    path = scratch(spark, "export")
+    SK.export_with_summary(V.results(spark, sf_dir), path, "json", digits=2)
+    told = spark.read.schema("label string, rows long, avg_score double, first_at timestamp, last_at timestamp, share double").json(f"{path}/summary")
+    return told.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_at", "last_at")})
+
+
 on_results("snk9_push_batches", """SELECT CAST((rn - 1) // 100 AS BIGINT) AS batch_no, count(*) AS rows_in_batch,
   string_agg(event_id, ',' ORDER BY rn) AS event_ids FROM (SELECT *, row_number() OVER (ORDER BY occurred_at, id) AS rn FROM v_results) GROUP BY 1""",
            lambda df: SK.push_batches(df).select("batch_no", "rows_in_batch", F.array_join(F.transform(

@@ -7,6 +7,7 @@ from tidelex.operators import results as RE
 from tidelex.operators import retention as RT
 from tidelex.operators import scoring as SC
 from tidelex.operators import series as S
+from tidelex.operators import state as ST
 from tidelex.operators.filters import unseen
 from tidelex.plans import views as V
 from tidelex.plans.q_metrics import on_results
@@ -14,7 +15,9 @@ from tidelex.plans.q_stores import ENVELOPE, P, opened
 from tidelex.plans.q_text import AT, ROUTE, ROUTED, docs, routed, softmax_sql
 from tidelex.plans.registry import query
 from tidelex.session import scratch
-from tidelex.sources.sinks import append_events, write_partitioned
+from tidelex.sources import dated as DT
+from tidelex.sources.sinks import append_events, record_alerts, with_date, write_partitioned
+from tidelex.streaming import fold as FO
 from tidelex.streaming import jobs as J
 
 R = f"WITH {V.V_RESULTS} "
@@ -63,6 +66,22 @@ def str2(spark, sf_dir):
     return spark.read.parquet(table).select("source", "source_id", "occurred_at")
 
 
+@query("str2_remembered_keys", R + f""", k AS (SELECT DISTINCT source, source_id, occurred_at, {V.left_out_sql("source_id || epoch_us(occurred_at)", 2, 0)} AS early FROM v_results)
+  SELECT CAST(r AS BIGINT) AS run, count(*) FILTER (CASE r WHEN 1 THEN early WHEN 2 THEN NOT early ELSE false END) AS reached FROM k, range(1, 4) t(r) GROUP BY 1""")
+def str2_remembered(spark, sf_dir):
+    """Half of the keys, then all, then all again on one checkpoint: how many rows reach the sink in each run."""
+    landing, check = scratch(spark, "landing"), scratch(spark, "check")
+    key = ["source", "source_id", "occurred_at"]
+    events = V.results(spark, sf_dir).select(*key).withColumn("k", F.concat("source_id", F.unix_micros("occurred_at").cast("string")))
+    reached = []
+    for run, rows in enumerate((events.where(V.left_out("k", 2, 0)), events, events), 1):
+        rows.write.mode("append").parquet(landing)
+        stream = J.without_repeats(spark.readStream.schema(events.schema).parquet(landing), key)
+        finish(J.start(stream, check, lambda df, _, run=run: reached.append((run, df.count()))))
+    told = spark.createDataFrame(reached + [(r, 0) for r in (1, 2, 3)], "run long, reached long")
+    return told.groupBy("run").agg(F.sum("reached").alias("reached"))
+
+
 @query("str3_continuous_ingest", ENVELOPE.replace("SELECT", P + "SELECT", 1).replace("score, author", "score, coalesce(author, '[deleted]') AS author"))
 def str3(spark, sf_dir):
     table, bad = scratch(spark, "events"), scratch(spark, "bad")
@@ -83,6 +102,32 @@ def str4(spark, sf_dir):
     return J.total_per_window(spark, out, keys)
 
 
+@query("str4_folded_metrics", R + """SELECT date_trunc('hour', occurred_at) AS time_bucket, source, sentiment_label,
+  count(*) AS n, round(sum(sentiment_score), 6) AS score_sum FROM v_results GROUP BY 1, 2, 3""")
+def str4_folded(spark, sf_dir):
+    """Three runs on one checkpoint, each folded into the dated table, the second twice; the last batch stays open."""
+    landing, out, check, table = (scratch(spark, n) for n in ("landing", "metrics", "check", "folded"))
+    keys, events = ["source", "sentiment_label"], V.results(spark, sf_dir).select("occurred_at", "source", "sentiment_label", "sentiment_score")
+    for hours, folds in (("hour(occurred_at) >= 16", 1), ("hour(occurred_at) between 7 and 15", 2), ("hour(occurred_at) < 7", 0)):
+        events.where(hours).write.mode("append").parquet(landing)
+        finish(J.hourly_metrics(spark.readStream.schema(events.schema).parquet(landing), keys, "sentiment_score", out, check))
+        for _ in range(folds):
+            FO.fold(spark, out, table)
+    return FO.folded(spark, out, table)
+
+
+@query("str4_fold_days", R + """SELECT CAST(CAST(occurred_at AS DATE) AS VARCHAR) AS day,
+  CASE WHEN bool_or(day(occurred_at) % 3 = 0 AND hour(occurred_at) < 12) THEN 2 ELSE 1 END::BIGINT AS version FROM v_results GROUP BY 1""")
+def str4_days(spark, sf_dir):
+    """The second batch has mornings of every third day: only these days are rewritten."""
+    parts, table = scratch(spark, "parts"), scratch(spark, "folded")
+    late = (F.day("occurred_at") % 3 == 0) & (F.hour("occurred_at") < 12)
+    for batch, rows in enumerate((V.results(spark, sf_dir).where(~late), V.results(spark, sf_dir).where(late))):
+        J.windowed_counts(rows, ["source"], "sentiment_score").write.parquet(f"{parts}/batch_id={batch}")
+        FO.fold(spark, parts, table)
+    return spark.createDataFrame(list(DT.manifest(spark, table).days.items()), "day string, version long")
+
+
 @query("str5_late_rows", R + "SELECT occurred_at < TIMESTAMP '2024-01-16 00:00:00' AS late, count(*) AS rows FROM v_results GROUP BY 1")
 def str5(spark, sf_dir):
     """The second half of the month arrives first; the first half is late."""
@@ -123,6 +168,37 @@ def clm1_record(spark, sf_dir):
     return first.unionByName(second)
 
 
+def claimed(spark, sf_dir):
+    """Raw events after two claims of 100 events at a fixed time."""
+    ledger, events = scratch(spark, "ledger"), V.raw(spark, sf_dir)
+    for _ in range(2):
+        J.claim(spark, events, ledger, at=F.lit(CLAIMED_AT))
+    return ST.with_claims(events, J.claims(spark, ledger))
+
+
+CLAIMED_AT = "2024-02-01 00:30:00"
+CLAIMED = f"""WITH {V.V_RAW}, c AS (SELECT id, occurred_at FROM v_raw WHERE NOT coalesce(processed, false) ORDER BY occurred_at, id LIMIT 200),
+  seen AS (SELECT r.* REPLACE (CASE WHEN c.id IS NOT NULL THEN true ELSE processed END AS processed,
+    CASE WHEN c.id IS NOT NULL THEN TIMESTAMP '{CLAIMED_AT}' ELSE processed_at END AS processed_at) FROM v_raw r LEFT JOIN c USING (id, occurred_at))"""
+
+
+@query("clm2_after_claims", CLAIMED + " SELECT coalesce(CAST(processed AS VARCHAR), 'unknown') AS processed, count(*) AS events, min(occurred_at) AS oldest, max(occurred_at) AS newest FROM seen GROUP BY 1")
+def clm2_after(spark, sf_dir):
+    return ST.state_summary(claimed(spark, sf_dir)).withColumn("processed", F.coalesce(F.col("processed").cast("string"), F.lit("unknown")))
+
+
+@query("clm3_after_claims", CLAIMED + """ SELECT count(*) FILTER (NOT coalesce(processed, false)) AS backlog, min(occurred_at) FILTER (NOT coalesce(processed, false)) AS oldest_open,
+  count(*) FILTER (processed AND processed_at > TIMESTAMP '2024-02-01 00:00:00' AND processed_at <= TIMESTAMP '2024-02-01 01:00:00') AS processed_last_hour FROM seen""")
+def clm3_after(spark, sf_dir):
+    return ST.backlog(claimed(spark, sf_dir), "2024-02-01 01:00:00")
+
+
+@query("clm4_after_claims", CLAIMED + """ SELECT date_trunc('hour', processed_at) AS hour, count(*) AS processed_count FROM seen
+  WHERE processed AND processed_at BETWEEN TIMESTAMP '2024-02-01 01:00:00' - INTERVAL 24 HOUR AND TIMESTAMP '2024-02-01 01:00:00' GROUP BY 1""")
+def clm4_after(spark, sf_dir):
+    return ST.hourly_activity(claimed(spark, sf_dir), "2024-02-01 01:00:00")
+
+
 @query("str7_gap_triggered_backfill", R + f""", known AS (SELECT * FROM v_results WHERE NOT {V.left_out_sql('id', 4, 1)}),
   last AS (SELECT source_id, max(occurred_at) AS seen FROM known GROUP BY 1)
   SELECT r.id, r.source_id, r.occurred_at FROM v_results r JOIN last l USING (source_id)
@@ -187,6 +263,27 @@ def ret2(spark, sf_dir):
     return restored.select("id", "payload", "archived")
 
 
+@query("ret1_compact_swap", R + "SELECT id, source, occurred_at FROM v_results")
+def ret1_swap(spark, sf_dir):
+    """A dated table after its older half was compacted in place, twice."""
+    table, rows = scratch(spark, "hot"), with_date(V.results(spark, sf_dir).select("id", "source", "occurred_at"))
+    DT.replace_days(rows, table, DT.days_of(rows, "occurred_date"))
+    for _ in range(2):
+        RT.compact_table(table, spark, "2024-04-15")
+    return DT.read(spark, table).select("id", "source", "occurred_at")
+
+
+@query("ret2_archive_job", f"WITH {V.V_RAW} SELECT id, CASE WHEN occurred_at >= TIMESTAMP '2024-01-16 00:00:00' THEN payload END AS hot, payload AS restored FROM v_raw")
+def ret2_job(spark, sf_dir):
+    """Payloads of the first half of the month are moved to the cold table and the hot dates rewritten."""
+    table, cold = scratch(spark, "hot"), scratch(spark, "cold")
+    rows = with_date(V.raw(spark, sf_dir))
+    DT.replace_days(rows, table, DT.days_of(rows, "occurred_date"))
+    RT.archive_payloads(table, cold, spark, "2025-01-15")
+    back = RT.restored(spark, table, cold).select("id", F.col("payload").alias("restored"))
+    return DT.read(spark, table).select("id", F.col("payload").alias("hot")).join(back, "id")
+
+
 # Reports
 
 DAILY = ", d AS (SELECT date_trunc('day', occurred_at) AS time_bucket, source, count(*) AS events, avg(sentiment_score) AS score FROM v_results GROUP BY 1, 2)"
@@ -213,6 +310,17 @@ on_results("doc4_threshold_alerts", DAILY + """ SELECT time_bucket, source, even
            lambda df: M.threshold_alerts(daily(df), [("low score", "score < -0.2"), ("busy and negative", "events > 60 AND score < 0")]))
 
 
+@query("doc4_alert_history", R + DAILY + """ SELECT time_bucket, source, 'negative' AS rule,
+  CASE WHEN time_bucket < TIMESTAMP '2024-01-20 00:00:00' THEN TIMESTAMP '2024-01-20 00:00:00' ELSE TIMESTAMP '2024-02-01 00:00:00' END AS raised_at FROM d WHERE score < 0""")
+def doc4_history(spark, sf_dir):
+    """Alerts of the data until the 20th, then of all, then of all again: each is raised once."""
+    path, buckets = scratch(spark, "alerts"), daily(V.results(spark, sf_dir))
+    early = buckets.where("time_bucket < '2024-01-20'")
+    for rows, at in ((early, "2024-01-20"), (buckets, "2024-02-01"), (buckets, "2024-02-02")):
+        record_alerts(M.threshold_alerts(rows, [("negative", "score < 0")]).select("time_bucket", "source", "rule"), path, ["time_bucket", "source", "rule"], at)
+    return spark.read.parquet(path)
+
+
 @query("doc6_model_comparison", f"""WITH {softmax_sql('documents', 'text')},
   b AS (SELECT doc_id, lab AS label_a, CASE WHEN c >= 0.05 THEN 'positive' WHEN c <= -0.05 THEN 'negative' ELSE 'neutral' END AS label_b
     FROM (SELECT doc_id, lab, (p - q) / sqrt((p - q) * (p - q) + 15) AS c FROM (SELECT doc_id, lab, lp * scale / 4 AS p, ln * scale / 4 AS q FROM scored)))
@@ -235,6 +343,22 @@ def doc7(spark, sf_dir):
     return spark.read.parquet(path).drop("bucket_date")
 
 
+@query("doc7_affected_days", R + """SELECT date_trunc('hour', occurred_at) AS time_bucket, source, source_id, sentiment_label AS label, count(*) AS n,
+  round(sum(CASE WHEN source = 'click' AND day(occurred_at) < 6 THEN -sentiment_score ELSE sentiment_score END), 6) AS score_sum,
+  CASE WHEN CAST(occurred_at AS DATE) IN (SELECT CAST(occurred_at AS DATE) FROM v_results WHERE source = 'click' AND day(occurred_at) < 6) THEN 2 ELSE 1 END::BIGINT AS version
+  FROM v_results GROUP BY 1, 2, 3, 4, 7""")
+def doc7_affected(spark, sf_dir):
+    """Clicks of the first days are corrected: the metrics of their days are rebuilt, all others keep their version."""
+    parts, table, rows = scratch(spark, "parts"), scratch(spark, "folded"), V.results(spark, sf_dir)
+    M.hourly_metric(rows, "occurred_at").write.parquet(f"{parts}/batch_id=0")
+    FO.fold(spark, parts, table)
+    wrong = (F.col("source") == "click") & (F.day("occurred_at") < 6)
+    right = rows.withColumn("sentiment_score", F.when(wrong, -F.col("sentiment_score")).otherwise(F.col("sentiment_score")))
+    FO.rebuild(M.hourly_metric(right, "occurred_at"), table, rows.where(wrong))
+    held = spark.createDataFrame(list(DT.manifest(spark, table).days.items()), "day string, version long")
+    return FO.folded(spark, parts, table).withColumn("day", F.to_date("time_bucket").cast("string")).join(held, "day").drop("day")
+
+
 @query("doc8_dead_letter_replay", ROUTED + f""" SELECT id, CAST(2 AS BIGINT) AS attempts, 'dead_letter' AS route FROM scored WHERE {ROUTE} = 'dead_letter'""")
 def doc8(spark, sf_dir):
     letters = RE.dead_letters(routed(spark, sf_dir), AT)
