@@ -11,6 +11,7 @@ from tidelex.plans import views as V
 from tidelex.plans.q_metrics import on_raw, on_results
 from tidelex.plans.registry import query
 from tidelex.session import scratch
+from tidelex.sources import termindex as TI
 from tidelex.sources.fill import fill_gaps
 from tidelex.sources.sinks import append_events
 
@@ -179,6 +180,19 @@ def sea1(spark, sf_dir):
     return SE.term_search(posts, TERMS, "2024-01-02 00:00:00", "2024-01-18 00:00:00", seen).select("id", "term")
 
 
+INDEX_TERMS = ["worthless", "avec les", "para", "xqzv"]
+INDEX_LIST = "[" + ", ".join(f"'{t}'" for t in INDEX_TERMS) + "]"
+
+
+@query("sea1_indexed_search", P + f"SELECT id, term FROM (SELECT *, unnest({INDEX_LIST}) AS term FROM v_posts) WHERE contains({HAY}, term)")
+def sea1_indexed(spark, sf_dir):
+    """The archive is written in blocks with a trigram index, in two runs; the search reads the blocks that can hold a term."""
+    path, df = scratch(spark, "archive"), V.posts(spark, sf_dir)
+    for part in (~V.left_out("id", 2, 0), V.left_out("id", 2, 0)):
+        TI.add_posts(df.where(part), path, 500)
+    return TI.indexed_search(spark, path, INDEX_TERMS).select("id", "term")
+
+
 on_posts("sea2_date_search", """SELECT id, subreddit FROM v_posts WHERE subreddit = 'src3'
   AND posted_at BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-18 00:00:00'""",
          lambda df: SE.date_search(df, "2024-01-02 00:00:00", "2024-01-18 00:00:00", "src3").select("id", "subreddit"))
