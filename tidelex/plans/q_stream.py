@@ -19,6 +19,7 @@ from tidelex.sources import dated as DT
 from tidelex.sources.sinks import append_events, record_alerts, with_date, write_partitioned
 from tidelex.streaming import fold as FO
 from tidelex.streaming import jobs as J
+from tidelex.streaming import timers as TM
 
 R = f"WITH {V.V_RESULTS} "
 
@@ -148,6 +149,16 @@ def str6(spark, sf_dir):
     return spark.read.parquet(f"{out}/alarms").select("source_id", "gap_start", "idle_seconds")
 
 
+@query("str6_idle_timers", R + """SELECT source_id, max(occurred_at) AS gap_start,
+  (epoch_ms((SELECT max(occurred_at) FROM v_results)) * 1000 - epoch_us(max(occurred_at))) / 1e6 AS idle_seconds
+  FROM v_results GROUP BY 1 HAVING epoch_ms((SELECT max(occurred_at) FROM v_results)) >= ceil(epoch_us(max(occurred_at)) / 1000) + 600000""")
+def str6_timers(spark, sf_dir):
+    """The same stops by a timer for each source."""
+    out = scratch(spark, "alarms")
+    finish(TM.watch(TM.idle_alarms(V.results_of(stream(spark, sf_dir, "events")), "source_id"), out, scratch(spark, "check")))
+    return spark.read.schema("source_id string, gap_start timestamp, idle_seconds double").parquet(out)
+
+
 @query("str6_all_silent", R + """SELECT source_id, max(occurred_at) AS gap_start,
   (epoch_us(TIMESTAMP '2024-03-01 00:00:00') - epoch_us(max(occurred_at))) / 1e6 AS idle_seconds FROM v_results GROUP BY 1""")
 def str6_silent(spark, sf_dir):
