@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelex.functions.binding import let
-from tidelex.functions.stats import exact_percentiles, sample_kurtosis, sample_skewness
+from tidelex.functions.stats import exact_percentiles
 from tidelex.functions.timefn import as_column, bucket, seconds_between
 from tidelex.operators.filters import result_filters
 from tidelex.operators.scoring import LABELS
@@ -194,15 +194,8 @@ def label_summary(results: DataFrame, digits: int = 3) -> DataFrame:
 def moments(results: DataFrame, value: str = SCORE, keys: list[str] | None = None) -> DataFrame:
     """Sample skewness, excess kurtosis, variance and interquartile range."""
     keys = keys or []
-    col = F.col(value)
-    shape = results.groupBy(*keys).agg(
-        F.count(col).alias("events"), sample_skewness(col).alias("skewness"),
-        sample_kurtosis(col).alias("kurtosis"), F.var_samp(col).alias("variance"))
-    quart = exact_percentiles(results, keys, value, {"q1": 0.25, "q3": 0.75}).select(
-        *keys, (F.col("q3") - F.col("q1")).alias("iqr"))
-    if keys:
-        return shape.join(quart, keys, "left")
-    return shape.withColumn("iqr", quart.scalar())
+    found = exact_percentiles(results, keys, value, {"q1": 0.25, "q3": 0.75}, also=("count", "skewness", "kurtosis", "variance"))
+    return found.select(*keys, F.col("count").alias("events"), "skewness", "kurtosis", "variance", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 def spread(results: DataFrame, *keys) -> DataFrame:
@@ -267,10 +260,8 @@ def ingest_lag(raw: DataFrame, as_of=None, days: int = 1) -> DataFrame:
     rows = _recent(raw, as_of, days).select(
         bucket(F.col("occurred_at"), "hour").alias("hour"),
         seconds_between(F.col("ingested_at"), F.col("occurred_at")).alias("lag_seconds"))
-    stats = rows.groupBy("hour").agg(
-        count_all().alias("event_count"), F.avg("lag_seconds").alias("avg_lag"),
-        F.max("lag_seconds").alias("max_lag"))
-    return stats.join(exact_percentiles(rows, ["hour"], "lag_seconds", {"p95_lag": 0.95}), "hour", "left")
+    found = exact_percentiles(rows.where("hour IS NOT NULL"), ["hour"], "lag_seconds", {"p95_lag": 0.95}, also=("rows", "mean", "max"))
+    return found.select("hour", F.col("rows").alias("event_count"), F.col("mean").alias("avg_lag"), F.col("max").alias("max_lag"), "p95_lag")
 
 
 def _recent(raw: DataFrame, as_of, days: int) -> DataFrame:
