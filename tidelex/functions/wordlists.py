@@ -31,3 +31,19 @@ LEXICON = {
     "clown": -1.0, "weak": -1.0, "worse": -1.0, "risk": -1.0, "negative": -1.0, "fear": -1.0,
     "debt": -1.0, "drop": -1.0,
 }
+
+#: Base forms of irregular English words.
+LEMMA_EXCEPTIONS = {
+    "was": "be", "were": "be", "is": "be", "are": "be", "am": "be", "been": "be", "has": "have", "had": "have", "having": "have",
+    "does": "do", "did": "do", "done": "do", "went": "go", "gone": "go", "goes": "go", "said": "say", "made": "make", "making": "make",
+    "bought": "buy", "sold": "sell", "lost": "lose", "losing": "lose", "rose": "rise", "risen": "rise", "fell": "fall", "fallen": "fall",
+    "men": "man", "women": "woman", "children": "child", "people": "person", "feet": "foot", "mice": "mouse",
+    "better": "good", "best": "good", "worse": "bad", "worst": "bad", "this": "this", "news": "news", "thing": "thing", "nothing": "nothing",
+    "something": "something", "during": "during", "his": "his", "its": "its", "us": "us", "need": "need", "red": "red",
+}
+#: Suffix, letters cut from the end, letters added; the first that fits counts.
+LEMMA_RULES = [
+    *[(2 * c + "ing", 4, "") for c in "bdgmnprt"], *[(2 * c + "ed", 3, "") for c in "bdgmnprt"],
+    ("ying", 3, ""), ("ating", 3, "e"), ("izing", 3, "e"), ("ing", 3, ""), ("ated", 1, ""), ("ized", 1, ""), ("ied", 3, "y"), ("eed", 0, ""), ("ed", 2, ""),
+    ("sses", 2, ""), ("ches", 2, ""), ("shes", 2, ""), ("xes", 2, ""), ("ies", 3, "y"), ("ss", 0, ""), ("us", 0, ""), ("is", 0, ""), ("s", 1, ""),
+]

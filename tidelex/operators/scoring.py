@@ -134,48 +134,90 @@ class BreakingScorer(KeywordScorer):
         return super().score(texts)
 
 
-SCORED_FIELDS = ", ".join(["label string", "confidence double", "p_positive double",
-                           "p_negative double", "p_neutral double", "model_version string",
-                           "score_error string"])
+SCORED = "p_positive double, p_negative double, p_neutral double, error string, version string"
+
+
+def pieces_of(text: str, cap: int | None) -> list[str]:
+    """A text in pieces of at most ``cap`` characters, cut at the last blank of a piece where there is one."""
+    out = []
+    while cap and len(text) > cap:
+        at = text.rfind(" ", 1, cap + 1)
+        at = at if at > 0 else cap
+        out.append(text[:at])
+        text = text[at:]
+    return [*out, text]
+
+
+def _scored(scorer: Scorer, texts: list[str], cap: int | None, filled: int) -> dict[str, tuple]:
+    """Probabilities or the error of each text. Pieces go to the model in batches of about ``filled`` characters,
+    shorter ones first; those of a text count by their length. A failing batch is tried piece by piece."""
+    parts = sorted(((t, p) for t in texts for p in pieces_of(t, cap) if p.strip()), key=lambda x: (len(x[1]), x[1]))
+    held: dict[str, list] = {t: [np.zeros(len(LABELS)), 0, None] for t in texts}
+
+    def add(batch: list[tuple[str, str]], probs: np.ndarray) -> None:
+        for (text, piece), p in zip(batch, probs, strict=True):
+            held[text][0] += len(piece) * p
+            held[text][1] += len(piece)
+
+    def score(batch: list[tuple[str, str]]) -> np.ndarray:
+        return scorer.score(pd.Series([p for _, p in batch]))[list(LABELS)].to_numpy()
+
+    lo = 0
+    while lo < len(parts):
+        hi, size = lo, 0
+        while hi < len(parts) and (hi == lo or size + len(parts[hi][1]) <= filled):
+            size += len(parts[hi][1])
+            hi += 1
+        batch = parts[lo:hi]
+        try:
+            add(batch, score(batch))
+        except Exception:  # noqa: BLE001 - any model error becomes a retry of each piece
+            for one in batch:
+                try:
+                    add([one], score([one]))
+                except Exception as err:  # noqa: BLE001
+                    held[one[0]][2] = str(err)
+        lo = hi
+    return {t: (*(p / max(n, 1)), error) for t, (p, n, error) in held.items()}
 
 
-def classify_with_model(df: DataFrame, text: str, make_scorer: Callable[[], Scorer]) -> DataFrame:
-    """Score with a plug-in model, in Arrow batches, one model per task.
+def model_scores(text: Column, make_scorer: Callable[[], Scorer], cap: int | None = None, filled: int = 1 << 20) -> Column:
+    """Struct of probabilities, error and model version for a text column; only texts go through Arrow.
 
-    Blank text is neutral with confidence 1 and is not sent to the model. If a
-    batch fails its rows are tried one by one; a failing row is neutral with
-    confidence 0 and its error is kept.
+    Equal texts of a batch are scored once. A text longer than ``cap`` characters is
+    scored in pieces, whose probabilities are joined by their lengths into one
+    score. Blank text is not sent to the model.
     """
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(SCORED)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
-        for batch in batches:
-            texts = batch[text].fillna("")
-            blank = texts.str.strip() == ""
-            probs = pd.DataFrame(0.0, index=batch.index, columns=list(LABELS))
-            errors = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            probs.loc[blank, "neutral"] = 1.0
-            todo = texts[~blank]
-            if len(todo):
-                try:
-                    probs.loc[todo.index] = scorer.score(todo).to_numpy()
-                except Exception:  # noqa: BLE001 - any model error becomes a per-row retry
-                    for i in todo.index:
-                        try:
-                            probs.loc[i] = scorer.score(todo.loc[[i]]).to_numpy()[0]
-                        except Exception as err:  # noqa: BLE001
-                            errors.loc[i] = str(err)
-            failed = errors.notna()
-            out = batch.copy()
-            out["label"] = probs.idxmax(axis=1).where(~failed, "neutral")
-            out["confidence"] = probs.max(axis=1).where(~failed, 0.0)
-            for name in LABELS:
-                out[f"p_{name}"] = probs[name]
-            out["model_version"] = scorer.version
-            out["score_error"] = errors
-            yield out
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(score, f"{fields}, {SCORED_FIELDS}")
+        for texts in batches:
+            texts = texts.fillna("")
+            found = _scored(scorer, [t for t in texts.unique() if t.strip()], cap, filled)
+            rows = [found.get(t, (*(float(x == "neutral") for x in LABELS), None)) for t in texts]
+            out = pd.DataFrame(rows, columns=[*(f"p_{x}" for x in LABELS), "error"])
+            out["version"] = scorer.version
+            yield out[["p_positive", "p_negative", "p_neutral", "error", "version"]]
+    return score(text)
+
+
+def classify_with_model(df: DataFrame, text: str, make_scorer: Callable[[], Scorer], cap: int | None = None) -> DataFrame:
+    """Score with a plug-in model, in Arrow batches, one model per task; every text has one score, whatever its length.
+
+    Blank text is neutral with confidence 1. A text of which a piece fails is
+    neutral with confidence 0 and its error is kept. Other columns stay in the JVM.
+    """
+    scored = df.withColumn("_model", model_scores(F.col(text), make_scorer, cap))
+    failed = F.col("_model.error").isNotNull()
+    probs = {lab: F.when(failed, 0.0).otherwise(F.col(f"_model.p_{lab}")) for lab in LABELS}
+    best = F.greatest(*probs.values())
+    label = F.lit(LABELS[-1])
+    for lab in reversed(LABELS):
+        label = F.when(probs[lab] == best, lab).otherwise(label)
+    return scored.withColumns({
+        "label": F.when(failed, F.lit("neutral")).otherwise(label), "confidence": F.when(failed, 0.0).otherwise(best),
+        **{f"p_{lab}": probs[lab] for lab in ("positive", "negative", "neutral")},
+        "model_version": F.col("_model.version"), "score_error": F.col("_model.error")}).drop("_model")
 
 
 def bulk_analyze(df: DataFrame, text: str, make_scorer: Callable[[], Scorer] = KeywordScorer) -> DataFrame:

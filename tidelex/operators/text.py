@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidelex.functions.binding import let
 from tidelex.functions.jsonfn import is_object, string_only, variant
-from tidelex.functions.wordlists import LANGUAGE_WORDS, STOP_WORDS
+from tidelex.functions.wordlists import LANGUAGE_WORDS, LEMMA_EXCEPTIONS, LEMMA_RULES, STOP_WORDS
 
 # Workers get this module's functions and classes by value, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -234,6 +234,22 @@ def filter_tokens(text: Column) -> Column:
     return F.array_join(keep_words(tokens_of(text)), " ")
 
 
+def lemma(token: Column) -> Column:
+    """The base form of a lower-cased English word: by the list of exceptions, else by the first rule whose suffix it
+    has and whose result has three letters or more; other words stay as they are."""
+    listed = F.create_map(*[F.lit(x) for pair in LEMMA_EXCEPTIONS.items() for x in pair])
+    found = F.lit(None).cast("string")
+    for suffix, cut, added in reversed(LEMMA_RULES):
+        stem = F.concat(F.left(token, F.length(token) - cut), F.lit(added)) if cut or added else token
+        found = F.when(token.endswith(suffix) & (F.length(token) >= 3 + cut - len(added)), stem).otherwise(found)
+    return F.coalesce(listed[token], found, token)
+
+
+def rule_lemmas(text: Column) -> Column:
+    """Base forms of the kept words of a text, joined with spaces; a ``lemmatize`` for ``preprocess``."""
+    return F.array_join(F.transform(keep_words(tokens_of(text)), lemma), " ")
+
+
 def preprocess(df: DataFrame, text: str, target: str = TARGET_LANGUAGE, words_as: str | None = None,
                detect: Callable[[Column], Column] | None = None, lemmatize: Callable[[Column], Column] | None = None) -> DataFrame:
     """Add cleaned_text, detected_language_code, detected_language_confidence, is_target_language.

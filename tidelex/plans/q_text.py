@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tidelex.functions.wordlists import LANGUAGE_WORDS, LEXICON, STOP_WORDS
+from tidelex.functions.wordlists import LANGUAGE_WORDS, LEMMA_EXCEPTIONS, LEMMA_RULES, LEXICON, STOP_WORDS
+from tidelex.operators import langid as LI
 from tidelex.operators import metrics as M
 from tidelex.operators import results as RE
 from tidelex.operators import scoring as SC
@@ -158,6 +159,29 @@ query("txt13_lemmatizer_plugin", f"""SELECT doc_id, md5(array_to_string(list_fil
     lambda w: regexp_full_match(w, '\\p{{L}}+') AND NOT list_contains({sql_list(STOP_WORDS)}, w)), ' ')) AS digest FROM documents""")(
     lambda s, d: docs(s, d).select("doc_id", TX.lemmas_by_model(F.col("text"), TX.WordFilter).alias("t"))
     .select("doc_id", F.md5("t").alias("digest")))
+def lemma_sql(w: str) -> str:
+    """The same exceptions and ordered rules as one CASE."""
+    listed = " ".join(f"WHEN {w} = '{a}' THEN '{b}'" for a, b in LEMMA_EXCEPTIONS.items())
+    rules = " ".join(f"WHEN ends_with({w}, '{end}') AND length({w}) >= {3 + cut - len(added)} THEN left({w}, length({w}) - {cut}) || '{added}'"
+                     for end, cut, added in LEMMA_RULES)
+    return f"CASE {listed} {rules} ELSE {w} END"
+
+
+query("txt13_rule_lemmas", f"""SELECT doc_id, md5(array_to_string(list_transform(list_filter(string_split({squeeze_sql('lower(text)')}, ' '),
+    lambda w: regexp_full_match(w, '\\p{{L}}+') AND NOT list_contains({sql_list(STOP_WORDS)}, w)), lambda w: {lemma_sql('w')}), ' ')) AS digest FROM documents""")(
+    lambda s, d: docs(s, d).select("doc_id", F.md5(TX.rule_lemmas(TX.single_spaces(TX.one_line(F.col("text"))))).alias("digest")))
+
+
+@query("txt10_language_profiles")
+def txt10_profiles(spark, sf_dir):
+    """Languages of all texts by triples fitted on four fifths of the labelled ones; the rest is held out."""
+    rows = docs(spark, sf_dir)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    detect = LI.language_by_profile(LI.fit_profiles(rows.where(~held)))
+    return rows.select("doc_id", "lang", held.alias("held_out"), detect(F.col("text")).alias("l")).select(
+        "doc_id", "lang", "held_out", F.col("l.code").alias("language"), F.col("l.confidence").alias("language_confidence"))
+
+
 query("txt14_preprocess", PREP + """ SELECT doc_id, md5(cleaned) AS digest, code AS detected_language_code,
   round(share, 6) AS detected_language_confidence, code IN ('en', 'unknown') AS is_target_language FROM prep""")(
     lambda s, d: TX.preprocess(docs(s, d), "text").select(
