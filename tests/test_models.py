@@ -59,23 +59,23 @@ def test_lemma_rules(spark):
     assert plain.cleaned_text == "company buy stock fall" and plain.is_target_language
 
 
-class Counting(SC.KeywordScorer):
-    version = "counting"
-    longest = 60
+def counting():
+    class Counting(SC.KeywordScorer):
+        version = "counting"
 
-    def score(self, texts: pd.Series) -> pd.DataFrame:
-        if (texts.str.len() > self.longest).any():
-            raise ValueError("too long")
-        if texts.str.contains("boom").any():
-            raise ValueError("boom")
-        return super().score(texts)
+        def score(self, texts: pd.Series) -> pd.DataFrame:
+            if (texts.str.len() > 60).any() or texts.str.contains("boom").any():
+                raise ValueError("boom")
+            return super().score(texts)
+
+    return Counting
 
 
 def test_pieces_are_joined_by_length(spark):
     """A text of any length has one score: the mean of its pieces, each by its length."""
     texts = ["good " * 50, "good " * 30 + "terrible " * 30, "x" * 1000, "", None, "short", "fine boom " * 20]
     df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)] * 2, "i int, t string, wide string").repartition(2)
-    rows = SC.classify_with_model(df, "t", Counting, cap=60).collect()
+    rows = SC.classify_with_model(df, "t", counting(), cap=60).collect()
     assert len(rows) == 14 and rows[0].asDict().keys() >= {"i", "t", "wide", "label", "confidence", "p_positive", "model_version", "score_error"}
     plain = SC.KeywordScorer()
     for r in rows:
