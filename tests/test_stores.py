@@ -195,3 +195,16 @@ def test_letters_past_the_limit_are_kept_apart(spark):
     from tidelex.operators import results as RE
     letters = spark.createDataFrame([("{}", 1), ("{}", 3)], "event_payload string, attempts int")
     assert RE.replayable(letters, "id long", 3).count() == 1 == RE.exhausted(letters, 3).count()
+
+
+def test_all_checks_equal_the_single_ones(spark):
+    """One pass over both stores counts what the checks count one by one, with repeats, null ids and a null payload."""
+    a = spark.createDataFrame([("x", 1.0), ("x", 2.0), ("y", 5.0), ("z", 9.0), (None, 1.0), (None, 2.0)], "id string, created_utc double")
+    full = '{"id": 1, "created_utc": 1, "subreddit": 1, "title": 1, "author": null}'
+    b = spark.createDataFrame([("p-x", 1, full), ("p-y", 60, full), ("p-w", 1, "{}"), (None, 1, None), ("p-w", 2, full)],
+                              "source_id string, s int, payload string").withColumn("occurred_at", F.timestamp_seconds("s"))
+    want = [VA.unique_ids(a), VA.time_agreement(a, b, "p-"), VA.completeness(a, b, "p-"), VA.payload_keys(b), VA.both_way_sync(a, b, "p-")]
+    got = {r.check: (r.checked, r.failed) for r in VA.all_checks(a, b, "p-").collect()}
+    assert got == {r.check: (r.checked, r.failed) for part in want for r in part.collect()}
+    plan = VA.all_checks(a, b, "p-")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelex.functions.timefn import micros
@@ -42,11 +42,15 @@ def completeness(a: DataFrame, b: DataFrame, prefix: str = "") -> DataFrame:
     return _one("completeness", one, F.col("n"), F.col("bad"))
 
 
+def _lacks(required: list[str]) -> Column:
+    """Does the payload lack a key?"""
+    keys = F.json_object_keys("payload")
+    return F.size(F.array_except(F.array(*[F.lit(k) for k in required]), F.coalesce(keys, F.array()))) > 0
+
+
 def payload_keys(b: DataFrame, required: list[str] = REQUIRED_KEYS) -> DataFrame:
     """Payloads that lack a required key."""
-    keys = F.json_object_keys("payload")
-    missing = F.array_except(F.array(*[F.lit(k) for k in required]), F.coalesce(keys, F.array()))
-    one = b.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size(missing) > 0).alias("bad"))
+    one = b.agg(F.count(F.lit(1)).alias("n"), F.count_if(_lacks(required)).alias("bad"))
     return _one("payload_keys", one, F.col("n"), F.col("bad"))
 
 
@@ -58,13 +62,30 @@ def both_way_sync(a: DataFrame, b: DataFrame, prefix: str = "") -> DataFrame:
     return _one("both_way_sync", one, F.col("n"), F.col("bad"))
 
 
-def all_checks(a: DataFrame, b: DataFrame, prefix: str = "") -> DataFrame:
-    """Every check with its share of good rows, and whether it passed."""
-    parts = [unique_ids(a), time_agreement(a, b, prefix), completeness(a, b, prefix),
-             payload_keys(b), both_way_sync(a, b, prefix)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+def all_checks(a: DataFrame, b: DataFrame, prefix: str = "", tolerance: float = 1.0) -> DataFrame:
+    """Every check with its share of good rows, and whether it passed.
+
+    Each store is read once: its rows become (id, side) with a time and a flag, one
+    aggregate by id holds both sides, and one more counts for all checks. Ids
+    that are null are never the same.
+    """
+    no = F.lit(0)
+    left = a.select(F.col("id").cast("string").alias("id"), F.lit(1).alias("_a"), no.alias("_b"), F.col("created_utc").cast("double").alias("_ta"),
+                    F.lit(None).cast("double").alias("_tb"), no.alias("_bad"))
+    right = b.select(strip_key_prefix(F.col("source_id"), prefix).alias("id"), no.alias("_a"), F.lit(1).alias("_b"), F.lit(None).cast("double").alias("_ta"),
+                     (micros(F.col("occurred_at")) / 1_000_000.0).alias("_tb"), _lacks(REQUIRED_KEYS).cast("int").alias("_bad"))
+    per = left.unionByName(right).groupBy("id", F.when(F.col("id").isNull(), F.col("_a")).alias("_side")).agg(
+        *[F.sum(c).alias(c) for c in ("_a", "_b", "_bad")], F.min("_ta").alias("_ta"), F.min("_tb").alias("_tb"))
+    in_a, in_b = F.col("_a") > 0, F.col("_b") > 0
+    total = lambda c: F.coalesce(F.sum(c), no)
+    one = per.agg(total("_a").alias("rows_a"), total("_b").alias("rows_b"), total("_bad").alias("bad"), F.count(F.when(in_a, F.col("id"))).alias("ids_a"),
+                  F.count_if(in_a).alias("a"), F.count_if(in_a & ~in_b).alias("a_only"), F.count_if(in_b & ~in_a).alias("b_only"),
+                  F.count_if(in_a & in_b).alias("both"), F.count_if(F.abs(F.col("_ta") - F.col("_tb")) > tolerance).alias("apart"), F.count(F.lit(1)).alias("n"))
+    c = F.col
+    found = {"unique_ids": (c("rows_a"), c("rows_a") - c("ids_a")), "time_agreement": (c("both"), c("apart")), "completeness": (c("a"), c("a_only")),
+             "payload_keys": (c("rows_b"), c("bad")), "both_way_sync": (c("n"), c("a_only") + c("b_only"))}
+    out = one.select(F.explode(F.array(*[F.struct(F.lit(name).alias("check"), x.cast("long").alias("checked"), y.cast("long").alias("failed"))
+                                         for name, (x, y) in found.items()])).alias("c")).select("c.*")
     return out.withColumns({
         "good_pct": F.coalesce(F.try_divide((F.col("checked") - F.col("failed")) * 100.0, F.col("checked")), F.lit(100.0)),
         "passed": F.col("failed") == 0})
