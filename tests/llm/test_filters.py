@@ -205,3 +205,20 @@ def test_held_out_accuracy_and_no_leak(spark):
     odd = classifier.quality_scores(cases.table(spark), model).collect()
     assert len(odd) == cases.table(spark).count() and all(0 <= r["score"] <= 1 for r in odd)
     assert {r["held_out"] for r in odd if r["doc_id"] is None} == {False}
+
+
+def test_classifier_does_not_depend_on_the_order(spark):
+    """Equal models whatever the partitions are, with ids three times, contradicting labels and two texts of one id."""
+    rows = [(i, cases.prose(i, 60) if i % 3 else "### " * (i + 20)) for i in range(200)]
+    rows += [(i, t + " more words of another text") for i, t in rows[:40]]
+    labels = [(i, int(i % 3 > 0)) for i in range(200)] + [(i, 1) for i in range(0, 60, 3)]
+
+    def model(docs, told):
+        return classifier.train(docs, spark.createDataFrame(told, "doc_id long, quality int"))
+    df = cases.table(spark, rows)
+    first = model(df.coalesce(1), labels)
+    for docs, told in ((df.repartition(9), labels[::-1]), (df.unionByName(df).unionByName(df).repartition(5), labels + labels)):
+        other = model(docs, told)
+        assert first.base == other.base
+        for name in ("roots", "feature", "limit", "left", "right", "value"):
+            assert np.array_equal(getattr(first, name), getattr(other, name)), name

@@ -139,8 +139,9 @@ def described(batches):
         values = features(chunk)
         flat = pa.array(values.reshape(-1))
         yield pa.RecordBatch.from_arrays(
-            [chunk.rows.column("label"), pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), flat)],
-            ["label", "x"])
+            [chunk.rows.column("doc_id"), chunk.rows.column("label"), chunk.rows.column("text_key"),
+             pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), flat)],
+            ["doc_id", "label", "text_key", "x"])
 
 
 def graded(batches, model: Trees, positive: float):
@@ -160,13 +161,21 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """Fit trees to at most ``sample_rows`` labelled documents outside the held-out rows.
 
     The sample is bounded, so its ids can be broadcast and its statistics (18
-    numbers a row) fit on the driver. Rows without an id or label are left out.
+    numbers a row) fit on the driver. It is chosen and ordered by hashes of id and
+    text, so the model does not depend on how the rows are dealt out. Of
+    contradicting labels of an id the smallest counts; an id with several texts is
+    one row for each, equal rows count once. Rows without an id or label are left
+    out.
     """
     known = (labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("double").alias("label"))
-             .where("doc_id IS NOT NULL AND label IS NOT NULL").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]))
+             .where("doc_id IS NOT NULL AND label IS NOT NULL").where(~held_out(F.col("doc_id")))
+             .groupBy("doc_id").agg(F.min("label").alias("label")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = (id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("label", "text")
-            .mapInArrow(described, "label double, x array<float>").limit(2 * sample_rows).collect())
+    found = (id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+             .select("doc_id", "label", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), "text")
+             .mapInArrow(described, "doc_id long, label double, text_key string, x array<float>"))
+    rows = (found.dropDuplicates(["doc_id", "text_key"]).orderBy(F.xxhash64("doc_id"), "doc_id", "text_key")
+            .limit(sample_rows).select("label", "x").collect())
     x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["label"] for r in rows]))
 

@@ -90,7 +90,7 @@ def _ends(batches, end_id: int, width: int, block_bytes: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["part"]], pa.int32()), pa.array([row["uri"]]), pa.array([row["block"]], pa.int64()),
                  pa.array([hi // width - 1 if hi == row["size"] else None], pa.int64()), pa.array([len(ends)], pa.int64()),
-                 pa.array([last], pa.int64()), pa.array([ends.tolist()], pa.list_(pa.int64()))],
+                 pa.array([last], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), pa.array(ends, pa.int64()))],
                 ["part", "uri", "block", "file_last", "n_ends", "last_end", "ends"])
 
 
@@ -106,15 +106,17 @@ def count_tokens(files: DataFrame, end_id: int, width: int, block_bytes: int = B
     n = partitions(files)
     blocks = (files.select("part", "uri").repartitionById(n, "part")
               .mapInArrow(lambda b: _blocks(b, block_bytes), "part int, uri string, block long, size long"))
-    ends = (blocks.repartition(n, "part", "block").mapInArrow(
+    ends = stored(blocks.repartition(n, "part", "block").mapInArrow(
         lambda b: _ends(b, end_id, width, block_bytes),
-        "part int, uri string, block long, file_last long, n_ends long, last_end long, ends array<long>"))
+        "part int, uri string, block long, file_last long, n_ends long, last_end long, ends array<long>"), "ends")
+    # The prefix scan of a file is over two numbers a block; the ends stay where they are until it is joined to them.
     earlier = Window.partitionBy("part", "uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    scanned = ends.select(
-        "part", "uri", F.coalesce(F.sum("n_ends").over(earlier), F.lit(0)).alias("before"),
-        F.coalesce(F.max("last_end").over(earlier), F.lit(-1)).alias("previous"), "n_ends",
+    scan = ends.select("part", "uri", "block", F.coalesce(F.sum("n_ends").over(earlier), F.lit(0)).alias("before"),
+                       F.coalesce(F.max("last_end").over(earlier), F.lit(-1)).alias("previous"))
+    scanned = ends.join(scan.hint("merge"), ["part", "uri", "block"]).select(
+        "part", "uri", "before", "previous", "n_ends",
         # What follows the last end of a file is a document without an end.
-        F.when(F.coalesce("last_end", F.max("last_end").over(earlier), F.lit(-1)) < F.col("file_last"),
+        F.when(F.coalesce("last_end", "previous") < F.col("file_last"),
                F.concat("ends", F.array(F.col("file_last") + 1))).otherwise(F.col("ends")).alias("ends"))
     return (scanned.select("part", "uri", "before", "previous", "n_ends", "ends", F.posexplode("ends").alias("i", "end"))
             .select("part", "uri", (F.col("before") + F.col("i")).alias("position"),
