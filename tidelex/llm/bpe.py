@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from tidelex.llm.common import CHUNK, Texts, binary_column, chunks, give_back, id_and_text, ragged
 from tidelex.llm.ship import shipped
 
-#: Distinct fragments whose ids a worker remembers.
-REMEMBERED = 1 << 17
+#: Distinct fragments whose ids a worker remembers; more for the library's encoder, whose tasks hold little else.
+REMEMBERED, REMEMBERED_BY_LIBRARY = 1 << 17, 400_000
 #: Symbols up to which a fragment is merged by scanning its ranks; longer ones use a heap.
 SCANNED = 64
 #: Letters below this one are the same in all versions of Unicode and normal as they are.
@@ -185,6 +185,7 @@ class Remembered:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
+        self.most = REMEMBERED_BY_LIBRARY if isinstance(vocab, LibraryVocabulary) else REMEMBERED
         self.clear()
 
     def clear(self) -> None:
@@ -194,7 +195,7 @@ class Remembered:
 
     def places(self, fragments: list[bytes]) -> np.ndarray:
         """Where each fragment is; new ones are encoded."""
-        if len(self.place) > REMEMBERED:
+        if len(self.place) > self.most:
             self.clear()
         new = [f for f in fragments if f not in self.place]
         if new:
