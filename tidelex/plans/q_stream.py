@@ -150,8 +150,8 @@ def str6(spark, sf_dir):
 
 
 @query("str6_idle_timers", R + """SELECT source_id, max(occurred_at) AS gap_start,
-  (epoch_ms((SELECT max(occurred_at) FROM v_results)) * 1000 - epoch_us(max(occurred_at))) / 1e6 AS idle_seconds
-  FROM v_results GROUP BY 1 HAVING epoch_ms((SELECT max(occurred_at) FROM v_results)) >= ceil(epoch_us(max(occurred_at)) / 1000) + 600000""")
+  (epoch_us((SELECT max(occurred_at) FROM v_results)) // 1000 * 1000 - epoch_us(max(occurred_at))) / 1e6 AS idle_seconds
+  FROM v_results GROUP BY 1 HAVING epoch_us((SELECT max(occurred_at) FROM v_results)) // 1000 >= ceil(epoch_us(max(occurred_at)) / 1000) + 600000""")
 def str6_timers(spark, sf_dir):
     """The same stops by a timer for each source."""
     out = scratch(spark, "alarms")
