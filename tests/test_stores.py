@@ -208,3 +208,9 @@ def test_all_checks_equal_the_single_ones(spark):
     assert got == {r.check: (r.checked, r.failed) for part in want for r in part.collect()}
     plan = VA.all_checks(a, b, "p-")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 2
+
+
+def test_archive_defaults_stand_for_missing_values_only(spark):
+    df = spark.createDataFrame([("a", "7", None), ("b", "abc", "x"), ("c", None, "")], "id string, score string, title string")
+    got = {r.id: (r.score, r.title, r.num_comments, r.over_18) for r in MP.normalize_archive(df).collect()}
+    assert got == {"a": (7, "", 0, False), "b": (None, "x", 0, False), "c": (0, "", 0, False)}

@@ -36,14 +36,17 @@ def normalize_submission(df: DataFrame) -> DataFrame:
 
 
 def normalize_archive(df: DataFrame) -> DataFrame:
-    """Archive record to the 12 columns, with a default for each missing value."""
+    """Archive record to the 12 columns, with a default for each missing value.
+
+    A value that cannot be read is null, not the default; ``split_bad`` finds such rows with their reason.
+    """
     if "link_flair_text" in df.columns:
         df = df.withColumnRenamed("link_flair_text", "flair_text")
     out = []
     for name in SUBMISSION_COLUMNS:
         default = F.lit(ARCHIVE_DEFAULTS[name])
-        source = F.col(name).try_cast(COLUMN_TYPES[name]) if name in df.columns else F.lit(None)
-        out.append(F.coalesce(source, default).cast(COLUMN_TYPES[name]).alias(name))
+        told = F.col(name) if name in df.columns else F.lit(None).cast("string")
+        out.append(F.when(told.isNull(), default.cast(COLUMN_TYPES[name])).otherwise(told.try_cast(COLUMN_TYPES[name])).alias(name))
     return df.select(*out)
 
 
