@@ -15,6 +15,7 @@ from tidelex.functions.timefn import as_column, bucket, seconds_between
 from tidelex.operators.filters import result_filters
 from tidelex.operators.scoring import LABELS
 
+# Bucket names.
 BUCKET_SIZES = ("hour", "day", "week", "month")
 SCORE, LABEL = "sentiment_score", "sentiment_label"
 

@@ -14,6 +14,7 @@ from tidelex.functions.ordering import first_per_key
 from tidelex.operators.filters import result_filters
 from tidelex.operators.text import preview
 
+# Page bounds.
 MAX_PAGE = 10_000
 DEFAULT_PAGE = 100
 RECENT_ROWS = 50
