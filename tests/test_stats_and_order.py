@@ -45,7 +45,7 @@ def test_row_index_and_occurrence(spark):
     index = {r.i: r.row_index for r in O.with_row_index(df, [F.col("i")]).collect()}
     assert index == {i: i for i in range(300)}
     seen = {}
-    for row in sorted(O.with_occurrence(df, ["k"], [F.col("i")]).collect(), key=lambda r: r.i):
+    for row in sorted(O.with_occurrence(df, ["k"], ["i"]).collect(), key=lambda r: r.i):
         seen[row.k] = seen.get(row.k, 0) + 1
         assert row.occurrence == seen[row.k]
 

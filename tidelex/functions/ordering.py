@@ -33,15 +33,39 @@ def with_row_index(df: DataFrame, order: list[Column], name: str = "row_index",
             .drop("_part", "_pos", "_offset"))
 
 
-def with_occurrence(df: DataFrame, keys: list[str], order: list[Column],
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, partitions: int | None = None) -> DataFrame:
+    """Number the rows of each key (all rows, without keys) from 1 in ascending ``order``, nulls first.
+
+    Only keys and order columns are put in order and checkpointed: a range
+    shuffle spreads them evenly, each range counts its rows of a key, and a sum
+    over the ranges of a key tells where each of them starts. Whole rows are
+    shuffled once, to meet their number. The order should be total: rows equal in
+    keys and order meet in one task, where a hash of the others decides.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.struct(*[F.col(c) for c in [*keys, *order]])
+    by = [F.col(f"_at.`{c}`") for c in [*keys, *order]]
+    ranged = materialize(df.groupBy(at.alias("_at")).agg(F.count(F.lit(1)).alias("_rows"))
+                         .repartitionByRange(n, *by).withColumn("_part", F.spark_partition_id()))
+    told = ranged.select("_at", "_rows", "_part", F.struct(*(by[:len(keys)] or [F.lit(0)])).alias("_key"))
+    in_range = Window.partitionBy("_part", "_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one row for each key and range.
+    ranges = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (told.groupBy("_key", "_part").agg(F.sum("_rows").alias("_size"))
+              .select("_key", "_part", F.coalesce(F.sum("_size").over(ranges), F.lit(0)).alias("_start")))
+    first = (told.withColumn("_inside", F.coalesce(F.sum("_rows").over(in_range), F.lit(0)))
+             .join(starts, ["_key", "_part"]).select("_at", (F.col("_start") + F.col("_inside")).alias("_before")))
+    rest = [F.col(c) for c in df.columns if c not in keys and c not in order]
+    tied = Window.partitionBy("_at").orderBy(F.xxhash64(*(rest or [F.lit(0)])))
+    return (df.withColumn("_at", at).join(first, "_at")
+            .select(*df.columns, (F.col("_before") + F.row_number().over(tied)).alias(name)))
+
+
+def with_occurrence(df: DataFrame, keys: list[str], order: list[str],
                     name: str = "occurrence") -> DataFrame:
     """Number the rows of each key from 1; a hot key is not brought into one task."""
-    indexed = with_row_index(df, [F.col(k) for k in keys] + order, "_index")
-    first = indexed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-        F.min("_index").alias("_first"))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return indexed.join(first, same).select(
-        *df.columns, (F.col("_index") - F.col("_first") + 1).alias(name))
+    return numbered(df, keys, order, name)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidelex.operators import metrics as M
+from tidelex.operators import sketches as K
 from tidelex.plans import views as V
 from tidelex.plans.registry import query
 
@@ -140,3 +141,15 @@ on_results("agg27_extended_metric", """SELECT date_trunc('day', occurred_at) AS
   round(max(sentiment_score), 6) AS max_score, round(stddev_samp(sentiment_score), 6) AS std_score, '' AS source_id
   FROM v_results GROUP BY 1, 2, 3""",
            lambda df: M.bucket_aggregate(df, "day", extended=True))
+
+PROBS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+SKETCHED = """SELECT date_trunc('{size}', occurred_at) AS time_bucket, source, count(*) AS n, round(sum({v}), 6) AS value_sum,
+  round(min({v}), 6) AS value_min, round(max({v}), 6) AS value_max, CASE WHEN count({v}) > 0 THEN true END AS within_rank_error
+  FROM {table} GROUP BY 1, 2"""
+for size in ("hour", "day", "week"):
+    on_raw(f"agg22_lag_sketch_{size}", SKETCHED.format(size=size, v="lag", table="""(SELECT *,
+      (epoch_us(ingested_at) - epoch_us(occurred_at)) / 1e6 AS lag FROM v_raw)"""),
+           lambda df, size=size: K.audited(K.with_lag(df), "lag_seconds", size, PROBS))
+for size in ("day", "week"):
+    on_results(f"doc13_score_sketch_{size}", SKETCHED.format(size=size, v="sentiment_score", table="v_results"),
+               lambda df, size=size: K.audited(df, M.SCORE, size, PROBS))

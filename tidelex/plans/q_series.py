@@ -63,7 +63,7 @@ on_results("wnd2_rolling_quantiles", HOURLY + f""" SELECT hour, round(v, 6) AS a
   SELECT id, ingested_at, source, source_id, occurrence FROM n""")
 def occurrence_number(spark, sf_dir):
     rows = V.keyed_rows(spark, sf_dir)
-    return with_occurrence(rows, ["id"], [F.col("ingested_at"), F.col("source"), F.col("source_id")])
+    return with_occurrence(rows, ["id"], ["ingested_at", "source", "source_id"])
 
 
 PAGE = "id, occurred_at, source, source_id, round(sentiment_score, 6) AS sentiment_score, sentiment_label"

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelex.functions.ordering import first_per_key, with_row_index
+from tidelex.functions.ordering import first_per_key, numbered
 from tidelex.operators.mapping import COLUMN_TYPES, PUSH_COLUMNS, csv_to_envelope, push_row, split_bad
 from tidelex.schemas import EVENT_KEY, SUBMISSION_COLUMNS
 from tidelex.session import materialize
@@ -236,9 +236,9 @@ def push_batches(results: DataFrame, size: int = PUSH_SIZE) -> DataFrame:
     Batches are cut by a distributed row number, so a batch never holds more
     than ``size`` rows and only the last one holds fewer.
     """
-    numbered = with_row_index(results.select("id", *PUSH_COLUMNS), [F.col("occurred_at"), F.col("id")], "_no")
-    rows = push_row(numbered.drop("id")).columns
-    pushed = numbered.select("_no", F.struct(*[
+    placed = numbered(results.select("id", *PUSH_COLUMNS), [], ["occurred_at", "id"], "_no").withColumn("_no", F.col("_no") - 1)
+    rows = push_row(placed.drop("id")).columns
+    pushed = placed.select("_no", F.struct(*[
         F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) if c in ("occurred_at", "processed_at")
         else F.col(c) for c in rows]).alias("row"))
     groups = pushed.groupBy(F.floor(F.col("_no") / size).cast("long").alias("batch_no")).agg(
