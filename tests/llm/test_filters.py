@@ -1,6 +1,8 @@
 """Quality rules, the classifier and decontamination against plain re-computations."""
 
 import hashlib
+import pickle
+import re
 import math
 from collections import Counter
 from pathlib import Path
@@ -155,12 +157,69 @@ def test_decontaminate_empty(spark):
 def test_shifts_skip(spark):
     """Cursors meet far fewer positions than there are bytes when no block is one of the strings."""
     patterns = decontaminate.Patterns([(1, cases.prose(1, 40))], 13)
-    prefix, block, shift, _, _ = patterns.classes[0]
+    prefix, block, _, shift, _, own = patterns.classes[0]
     assert prefix >= 48 and shift.max() == prefix - block + 1 and (shift == shift.max()).mean() > 0.9
-    data = np.frombuffer(b" " + cases.prose(2, 400).encode() + patterns.strings[3] + b" tail ", dtype=np.uint8)
+    strings = strings_of(patterns)
+    assert len(strings) == len(own) == 28
+    data = np.frombuffer(b" " + cases.prose(2, 400).encode() + strings[own[3]] + b" tail ", dtype=np.uint8)
     where, which = decontaminate.search(patterns, data)
     raw = data.tobytes()
-    assert sorted(zip(where, which)) == sorted((i, k) for k, s in enumerate(patterns.strings) for i in range(len(raw)) if raw.startswith(s, i))
+    assert sorted(zip(where, which)) == sorted((i, k) for k, s in strings.items() for i in range(len(raw)) if raw.startswith(s, i))
+
+
+def strings_of(patterns):
+    """The strings by the number of their first word."""
+    own = np.concatenate([c[-1] for c in patterns.classes]).astype(np.int64)
+    start, size, _ = patterns.spans(own)
+    return {int(k): patterns.bytes[a:a + n].tobytes() for k, a, n in zip(own, start, size)}
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 13])
+def test_strings_and_their_items(window):
+    """Every distinct window once, with all items that have it; repeated, short, empty and null items."""
+    shared = cases.prose(1, 30)
+    items = [(1, shared), (2, "x " + shared), (1, shared), (None, shared), (3, "a b"), (4, "A, b!"), (5, None), (6, " .. "), (None, "a b"),
+             (7, "a a a a a a a a a a a a a a a a"), (8, "é"), (9, " ".join(shared.split()[:13]))]
+    want = {}
+    for item, text in items:
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
+        for i in range(max(len(words) - window + 1, 1) if words else 0):
+            want.setdefault(b" " + b" ".join(words[i:i + window]) + b" ", set()).add(item)
+    patterns = decontaminate.Patterns(items, window)
+    found = strings_of(patterns)
+    assert {s: set(patterns.owners(k)) for k, s in found.items()} == want and len(found) == len(want)
+    assert all(len(patterns.owners(k)) == len(set(patterns.owners(k))) for k in found)
+
+
+def test_tables_are_bounded():
+    """What is broadcast for a full block of benchmark text stays below three times that text."""
+    items, text = [], 0
+    while text < decontaminate.BLOCK_BYTES:
+        items.append((len(items), cases.prose(len(items), 2000)))
+        text += len(items[-1][1].encode())
+    sent = len(pickle.dumps(decontaminate.Patterns(items, 13)))
+    assert sent < 3 * text, sent / text
+
+
+def test_long_items_are_cut_without_losing_a_window(spark):
+    """An item far above the block size, and one row many times, hit what they hit as a whole."""
+    long = cases.prose(70, 400)
+    tests = spark.createDataFrame([(1, long), (None, "q w e"), *[(2, cases.prose(71, 40))] * 300], "item_id long, text string")
+    held = list(decontaminate.blocks_of(tests, 600, 13))
+    assert sum(len(h) for h in held) < 30 and max(len(t) for h in held for _, t in h) < 250
+    docs = cases.table(spark, [(i, f"a {' '.join(long.split()[i:i + 13])} b") for i in range(388)] + [(900, " ".join(long.split()[:12])), (901, cases.prose(71, 40))])
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.decontaminate(docs, tests, block_bytes=600).collect()}
+    assert all(got[i] == (13, ["1"]) for i in range(388)) and got[900] == (0, []) and got[901] == (40, ["2"])
+
+
+def test_several_passes_carry_rows(spark):
+    """Every copy comes back with its own columns."""
+    docs = spark.createDataFrame([(1, cases.prose(1, 40), "u"), (1, cases.prose(1, 40), "v"), (None, cases.prose(12, 13), "w"), (2, None, "x")],
+                                 "doc_id long, text string, hits string")
+    tests = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.decontaminate(docs, tests, block_bytes=60, carry=True).select("doc_id", "n_hit", "text", "row.hits")
+    assert cases.ordered(tuple(r) for r in got.collect()) == cases.ordered(
+        [(1, 40, cases.prose(1, 40), "u"), (1, 40, cases.prose(1, 40), "v"), (None, 13, cases.prose(12, 13), "w"), (2, 0, None, "x")])
 
 
 def test_trees_walk_like_rules():

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelex.llm.common import ALPHANUMERIC, LOWER, carried, chunks, gather, id_and_text, mix64, ragged, schema_of, words_of
+from tidelex.llm.common import ALPHANUMERIC, LOWER, binary_column, carried, chunks, gather, id_and_text, mix64, ragged, schema_of, words_of
 
 WINDOW = 13
 #: Bytes of benchmark text that one search holds; a larger benchmark is searched in several passes.
@@ -47,46 +47,97 @@ def normal(buf: np.ndarray, off: np.ndarray):
     return out, ends[per], ends[:-1], per
 
 
+def equal_runs(codes: np.ndarray, width: int) -> np.ndarray:
+    """A number for every ``width`` consecutive codes, equal where the codes are: lengths are doubled, then two runs overlap."""
+    out, span = codes.astype(np.int64), 1
+    while span < width:
+        step = min(span, width - span)
+        pair = out[:-step] * (int(out.max(initial=0)) + 1) + out[step:] if len(out) > step else out[:0]
+        out = np.unique(pair, return_inverse=True)[1]
+        span += step
+    return out
+
+
 class Patterns:
-    """Search tables for distinct strings, each with the items it is a window of."""
+    """Search tables for distinct strings, each with the items it is a window of.
+
+    Every item's normal bytes are held once, with the first byte of each word. A
+    string is the number of its first word, at the first place where it stands;
+    further items that have it are listed apart. That is some 14 bytes a word
+    (22 if every window is in several items) and the tables of shifts and buckets,
+    which grow with the strings up to 5 MB a class.
+    """
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int):
-        found: dict[bytes, list[int | None]] = {}
-        for item, text in items:
-            raw = (text or "").encode()
-            out, _, at, per = normal(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
-            n = int(per[-1])
-            ends = np.append(at[1:], len(out) - 1) if n else at
-            for i in range(max(n - window + 1, 1) if n else 0):
-                last = min(i + window, n) - 1
-                owners = found.setdefault(out[at[i]:ends[last] + 1].tobytes(), [])
-                if item not in owners:
-                    owners.append(item)
-        self.strings = sorted(found)
-        self.items = [found[s] for s in self.strings]
-        self.words = np.array([s.count(b" ") - 1 for s in self.strings], dtype=np.int64)
-        self.size = np.array([len(s) for s in self.strings], dtype=np.int64)
-        self.bytes = np.frombuffer(b"".join(self.strings), dtype=np.uint8)
-        self.at = np.cumsum(self.size) - self.size
-        self.classes = []
+        raw = [(text or "").encode() for _, text in items]
+        off = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+        out, _, at, per = normal(np.frombuffer(b"".join(raw), dtype=np.uint8), off)
+        self.window, self.items, self.bytes, self.per = window, [i for i, _ in items], out, per
+        self.at = np.append(at, len(out)).astype(np.int32 if len(out) < 1 << 31 else np.int64)
+        texts = np.flatnonzero(np.diff(per))
+        # Words without the space after the last one of a text.
+        size = np.diff(self.at).astype(np.int64)
+        size[per[texts + 1] - 1] -= 1
+        codes = binary_column(gather(out, at, size), np.concatenate(([0], np.cumsum(size)))).dictionary_encode().indices.to_numpy()
+        whole = np.maximum(np.diff(per) - window + 1, 0)
+        words = np.repeat(per[:-1], whole) + ragged(whole)
+        code = equal_runs(codes, window)[words]
+        short = texts[whole[texts] == 0]
+        seen: dict[bytes, int] = {}
+        few = [seen.setdefault(out[at[w]:self.at[e]].tobytes(), len(seen)) for w, e in zip(per[short], per[short + 1], strict=True)]
+        code = np.concatenate((code, np.array(few, dtype=np.int64) + int(code.max(initial=-1)) + 1))
+        words = np.concatenate((words, per[short]))
+        _, first, which = np.unique(code, return_index=True, return_inverse=True)
+        strings = words[first]
+        # Items beside that of the first place, once for each string.
+        alike = {}
+        item = np.array([alike.setdefault(i, len(alike)) for i in self.items], dtype=np.int64)
+        mine, theirs = item[self._text(words)], item[self._text(strings)][which]
+        other = mine != theirs
+        pairs = np.unique(strings[which][other] * len(alike) + mine[other])
+        self.more = np.stack(np.divmod(pairs, max(len(alike), 1))).astype(self.at.dtype)
+        self.items = list(alike)
+        self.item = item.astype(np.int32)
+        size = self.spans(strings)[1]
+        self.longest, self.classes = int(size.max(initial=0)), []
         upper = np.inf
         for least, block in CLASSES:
-            own = np.flatnonzero((self.size >= least) & (self.size < upper))
+            own = (size >= least) & (size < upper)
             upper = least
-            if len(own):
-                self.classes.append(self._tables(own, int(self.size[own].min()), block))
+            if own.any():
+                self.classes.append(self._tables(np.sort(strings[own]), int(size[own].min()), block))
+
+    def _text(self, words: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.per, words, side="right") - 1
+
+    def spans(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First byte, bytes (with the space after the last word) and words of strings."""
+        end = self.per[self._text(strings) + 1]
+        stop = np.minimum(strings + self.window, end)
+        start = self.at[strings].astype(np.int64)
+        return start, self.at[stop] - start + (stop < end), stop - strings
+
+    def owners(self, string: int) -> list[int | None]:
+        """The items that have a string as a window."""
+        lo, hi = np.searchsorted(self.more[0], [string, string + 1])
+        own = self.item[self._text(np.array([string]))[0]]
+        return [self.items[i] for i in (own, *self.more[1][lo:hi])]
 
     def _tables(self, own: np.ndarray, prefix: int, block: int):
         """Shift per block hash over the first ``prefix`` bytes of the strings, and buckets by the last block."""
-        shift = np.full(1 << _TABLE_BITS, prefix - block + 1, dtype=np.int64)
-        mask = np.uint64((1 << _TABLE_BITS) - 1)
-        for j in range(prefix - block + 1):
-            value = _block_hash(self.bytes, self.at[own] + j, block) & mask
-            np.minimum.at(shift, value.astype(np.int64), prefix - block - j)
-        last = (_block_hash(self.bytes, self.at[own] + prefix - block, block) & mask).astype(np.int64)
+        steps = prefix - block + 1
+        bits = min(max(10, int(16 * len(own) * steps).bit_length()), _TABLE_BITS)
+        shift = np.full(1 << bits, steps, dtype=np.min_scalar_type(steps))
+        at = self.at[own].astype(np.int64)
+        mask = np.uint64((1 << bits) - 1)
+        for j in range(steps):
+            value = (_block_hash(self.bytes, at + j, block) & mask).astype(np.int64)
+            # Later places are nearer to the end, so they come last and stay.
+            shift[value] = steps - 1 - j
+        last = (_block_hash(self.bytes, at + steps - 1, block) & mask).astype(np.int64)
         order = np.argsort(last, kind="stable")
-        bucket = np.searchsorted(last[order], np.arange((1 << _TABLE_BITS) + 1))
-        return prefix, block, shift.astype(np.int32), bucket.astype(np.int32), own[order]
+        bucket = np.searchsorted(last[order], np.arange((1 << bits) + 1))
+        return prefix, block, bits, shift, bucket.astype(np.int32), own[order].astype(self.at.dtype)
 
 
 def _block_hash(data: np.ndarray, at: np.ndarray, block: int) -> np.ndarray:
@@ -97,11 +148,11 @@ def _block_hash(data: np.ndarray, at: np.ndarray, block: int) -> np.ndarray:
 
 
 def search(patterns: Patterns, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All occurrences of the strings: (first byte, string)."""
+    """All occurrences of the strings: (first byte, number of the string's first word)."""
     where, which = [], []
-    padded = np.concatenate((data, np.zeros(int(patterns.size.max()) if len(patterns.size) else 0, dtype=np.uint8)))
-    for prefix, block, shift, bucket, own in patterns.classes:
-        mask = np.uint64((1 << _TABLE_BITS) - 1)
+    padded = np.concatenate((data, np.zeros(patterns.longest, dtype=np.uint8)))
+    for prefix, block, bits, shift, bucket, own in patterns.classes:
+        mask = np.uint64((1 << bits) - 1)
         starts = np.arange(0, max(len(data) - prefix + 1, 0), STRETCH)
         cursor, stop = starts.copy(), np.minimum(starts + STRETCH, len(data) - prefix + 1)
         while len(cursor):
@@ -111,7 +162,7 @@ def search(patterns: Patterns, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
             if len(here):
                 times = bucket[value[here] + 1] - bucket[value[here]]
                 at = np.repeat(cursor[here], times)
-                text = own[np.repeat(bucket[value[here]], times) + ragged(times)]
+                text = own[np.repeat(bucket[value[here]], times) + ragged(times)].astype(np.int64)
                 same = _equal(patterns, padded, at, text)
                 where.append(at[same])
                 which.append(text[same])
@@ -127,13 +178,14 @@ def _equal(patterns: Patterns, data: np.ndarray, at: np.ndarray, text: np.ndarra
     """Direct comparison, eight bytes first and the rest only where those agree."""
     same = np.ones(len(at), dtype=bool)
     alive = np.arange(len(at))
+    start, size, _ = patterns.spans(text)
     done = 0
     while len(alive):
-        left = patterns.size[text[alive]] - done
-        alive = alive[left > 0]
+        alive = alive[size[alive] > done]
         for j in range(8):
-            here = np.minimum(done + j, patterns.size[text[alive]] - 1)
-            ok = data[at[alive] + here] == patterns.bytes[patterns.at[text[alive]] + here]
+            here = np.minimum(done + j, size[alive] - 1)
+            # The space after the last word of a window is the one before the next word.
+            ok = data[at[alive] + here] == patterns.bytes[start[alive] + here]
             same[alive[~ok]] = False
             alive = alive[ok]
         done += 8
@@ -148,7 +200,7 @@ def scan(batches, patterns: Patterns, keep: tuple[str, ...] = ()):
         first = np.searchsorted(at, where)
         row = np.searchsorted(bounds, where, side="right") - 1
         n = len(at) + 1
-        delta = np.bincount(first, minlength=n) - np.bincount(first + patterns.words[which], minlength=n)
+        delta = np.bincount(first, minlength=n) - np.bincount(first + patterns.spans(which)[2], minlength=n)
         hit = np.cumsum(delta) > 0
         edge = np.zeros(n, dtype=bool)
         edge[per] = True
@@ -160,7 +212,7 @@ def scan(batches, patterns: Patterns, keep: tuple[str, ...] = ()):
             runs[r].append({"first": int(a), "last": int(b)})
         items = [set() for _ in range(len(chunk))]
         for r, t in set(zip(row.tolist(), which.tolist(), strict=True)):
-            items[r].update(patterns.items[t])
+            items[r].update(patterns.owners(t))
         more, names = carried(chunk.rows, *keep)
         yield pa.RecordBatch.from_arrays(
             [chunk.rows.column("doc_id"), chunk.rows.column("row_key"), pa.array(np.diff(per), pa.int64()),
@@ -188,13 +240,33 @@ def merged(batches):
         yield batch.set_column(at, "hits", pa.array(hits, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))))
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int | None, str | None]]]:
-    """The benchmark in parts of at most about ``block_bytes`` of text, one at a time on the driver."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def cut_items(batches, window: int, most: int):
+    """Items of more than ``most`` bytes as pieces that share all but one word of a window, so that no window is lost."""
+    for chunk in chunks(batches):
+        ids, texts = [], []
+        for i, item in enumerate(chunk.rows.column("item_id").to_pylist()):
+            raw = chunk.text(i)
+            words = words_of(LOWER[np.frombuffer(raw, dtype=np.uint8)], np.array([0, len(raw)]), ALPHANUMERIC)
+            first, n = 0, len(words.start)
+            while n:
+                last = max(int(np.searchsorted(words.end, words.start[first] + most, side="right")), first + window)
+                ids.append(item)
+                texts.append(raw[words.start[first]:words.end[min(last, n) - 1]].decode("utf-8"))
+                if last >= n:
+                    break
+                first = last - window + 1
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["item_id", "text"])
+
+
+def blocks_of(benchmark: DataFrame, block_bytes: int, window: int):
+    """The benchmark in parts of about ``block_bytes`` of text, one at a time on the driver; repeated rows count once."""
+    pieces = (benchmark.where("text IS NOT NULL").distinct()
+              .mapInArrow(lambda b: cut_items(b, window, max(block_bytes // 4, 1)), "item_id long, text string"))
+    size = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-int(size) // block_bytes) or 1
     for i in range(parts):
-        own = benchmark if parts == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i)
-        yield [(r[0], r[1]) for r in own.collect()]
+        own = pieces if parts == 1 else pieces.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i)
+        yield [(r[0], r[1]) for r in own.orderBy("item_id", "text").collect()]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -209,7 +281,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     The search tables are broadcast for at most ``block_bytes`` of benchmark
     text; a larger benchmark is searched in one pass over the documents for each
-    part, and the passes are joined by document.
+    part, and the passes are joined by document. An item larger than a part is cut
+    into pieces that overlap by all but one word of a window.
 
     Defined cases: a null or empty text has no words and is clean; an item with
     fewer words than a window is one window, one without words none; windows of
@@ -221,21 +294,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     narrow = id_and_text(docs, id_col, text_col, carry).withColumn("row_key", F.xxhash64("text"))
     kinds = schema_of(_FOUND, narrow, *keep)
     tests = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[text_col].cast("string").alias("text"))
-    passes = []
-    for items in blocks_of(tests, block_bytes):
-        tables = docs.sparkSession.sparkContext.broadcast(Patterns(items, window))
-        passes.append(narrow.mapInArrow(lambda b, t=tables: scan(b, t.value, keep), kinds))
-    found = passes[0]
-    if len(passes) > 1:
-        numbered = [p.withColumn("_pass", F.lit(i)) for i, p in enumerate(passes)]
-        for p in numbered[1:]:
-            numbered[0] = numbered[0].unionByName(p)
-        grouped = (numbered[0].groupBy("doc_id", "row_key", "n_words", *keep)
-                   .agg(F.collect_list("hits").alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-                        F.count_if(F.col("_pass") == 0).alias("_copies")))
-        ordered = grouped.select(*kinds.names, "_copies")
-        found = (ordered.mapInArrow(merged, schema_of(_FOUND, ordered, *keep, "_copies"))
-                 .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "_copy"))
+    tables = [docs.sparkSession.sparkContext.broadcast(Patterns(items, window)) for items in blocks_of(tests, block_bytes, window)]
+
+    def one(table, *with_: str) -> DataFrame:
+        return narrow.mapInArrow(lambda b: scan(b, table.value, with_), schema_of(_FOUND, narrow, *with_))
+
+    if len(tables) == 1:
+        found = one(tables[0], *keep)
+    else:
+        several = one(tables[0])
+        for table in tables[1:]:
+            several = several.unionByName(one(table))
+        grouped = several.groupBy("doc_id", "row_key", "n_words").agg(
+            F.collect_set("hits").alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        ordered = grouped.select(*[F.col(c).alias({"doc_id": "_id", "row_key": "_key"}.get(c, c)) for c in grouped.columns])
+        verdicts = ordered.mapInArrow(merged, _FOUND.replace("doc_id", "_id").replace("row_key", "_key"))
+        # Verdicts are narrow; whole rows are shuffled once, to meet theirs.
+        found = (narrow.select("doc_id", "row_key", *keep)
+                 .join(verdicts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")))
+                 .select("doc_id", "row_key", "n_words", "hits", "items", *keep))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
     return found.withColumn("n_hit", n_hit).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
