@@ -206,7 +206,7 @@ def test_long_items_are_cut_without_losing_a_window(spark):
     long = cases.prose(70, 400)
     tests = spark.createDataFrame([(1, long), (None, "q w e"), *[(2, cases.prose(71, 40))] * 300], "item_id long, text string")
     held = list(decontaminate.blocks_of(tests, 600, 13))
-    assert sum(len(h) for h in held) < 30 and max(len(t) for h in held for _, t in h) < 250
+    assert sum(len(h) for h in held) < 60 and max(len(t) for h in held for _, t in h) < 250
     docs = cases.table(spark, [(i, f"a {' '.join(long.split()[i:i + 13])} b") for i in range(388)] + [(900, " ".join(long.split()[:12])), (901, cases.prose(71, 40))])
     got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.decontaminate(docs, tests, block_bytes=600).collect()}
     assert all(got[i] == (13, ["1"]) for i in range(388)) and got[900] == (0, []) and got[901] == (40, ["2"])
