@@ -67,6 +67,27 @@ def test_copies_without_a_trusted_one_stay(spark, copies, near):
     assert len(got) == len(rows) and all(r["kept"] for r in got.values())
 
 
+def test_near_copies_are_all_counted(spark):
+    """Words that only one of several near copies has are in the counts, with its share of one text's weight."""
+    base = cases.prose(500, 150)
+    rows = [(i, cases.prose(i, 80)) for i in range(12)] + [(100 + i, f"{base} own{i} tail{i}") for i in range(4)]
+    df = cases.table(spark, rows).repartition(3)
+    trusted = spark.createDataFrame([(i,) for i in [*range(12), 100]], "doc_id long")
+    raw, target = Counter(), Counter()
+    for doc, text in rows:
+        ws = text.split(" ")
+        for g in [*ws, *zip(ws, ws[1:])]:
+            raw[g] += 1 if doc < 100 else 0.25
+            target[g] += doc <= 100
+    share = sum(target.values()) / sum(raw.values())
+    got = {r["doc_id"]: r["score"] for r in quality.quality_rules(df, trusted, bits=22).collect()}
+    for doc, text in rows:
+        ws = text.split(" ")
+        own = [*ws, *zip(ws, ws[1:])]
+        score = sum(math.log((target[g] + quality.PRIOR) / (raw[g] * share + quality.PRIOR)) for g in own) / len(own)
+        assert abs(got[doc] - score) < 1e-5
+
+
 def test_ratios_do_not_depend_on_table_size():
     rng = np.random.default_rng(5)
     raw = rng.integers(0, 40, 5000)

@@ -1,10 +1,11 @@
 """Quality rules: text statistics and an n-gram likelihood ratio.
 
 Word n-grams are hashed into a fixed number of buckets and counted twice: over
-trusted documents (the target) and over all documents (the raw corpus). Texts
-that are equal or nearly so count once together. A document's score is the mean log ratio of its n-grams' probabilities under the two
-multinomials; one below the threshold reads unlike what is trusted. Every
-document is scored, by the same rule.
+trusted documents (the target) and over all documents (the raw corpus). Every
+text is counted; near copies share the weight of one text. A document's score is
+the mean log ratio of its n-grams' probabilities under the two multinomials; one
+below the threshold reads unlike what is trusted. Every document is scored, by
+the same rule.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ PRIOR = 8.0
 THRESHOLD = -0.1
 #: Bands of minima that find near copies.
 BANDS, ROWS = 16, 5
+#: Weight of a text without near copies. Weights are whole numbers, so sums do not depend on their order.
+UNIT = 1 << 20
 _SIGN = -1 << 63
 MIN_WORDS = 50
 #: Trusted ids up to this number are broadcast (about 30 MB as a hash table); more are joined by a shuffle.
@@ -112,31 +115,40 @@ def banded(batches, bands: int, rows: int):
                                           pa.array(band.ravel().view(np.int64))], ["text_key", "trusted", "band"])
 
 
-def one_of_each(marked: DataFrame) -> DataFrame:
-    """(text_key, trusted, packed) of one text among equal ones and among near copies, a trusted one where there is one.
+def weighted(marked: DataFrame) -> DataFrame:
+    """(trusted, packed, near, near_trusted): every distinct text, with how many texts it shares its weight with.
 
-    Equal texts become one row by an aggregate. A text stays if no other comes before it (trusted ones first, then by
-    hash) in any of its bands: of texts that share 0.8 of their word triples that keeps one with a probability of
-    0.998, at 0.2 a pair is taken for near copies once in 200.
+    Equal texts become one row by an aggregate. ``near`` is the number of texts, itself included, in the fullest of a
+    text's bands, ``near_trusted`` that of trusted ones: of texts that share 0.8 of their word triples two meet in a
+    band with a probability of 0.998, at 0.2 once in 200. No text is left out.
     """
-    distinct = (marked.groupBy("text_key").agg(F.max("trusted").alias("trusted"), F.first("packed").alias("packed")))
-    first = (distinct.mapInArrow(lambda b: banded(b, BANDS, ROWS), "text_key long, trusted boolean, band long")
-             .select("band", F.when(F.col("trusted"), F.col("text_key").bitwiseOR(F.lit(_SIGN))).otherwise(F.col("text_key")).alias("place"))
-             .groupBy("band").agg(F.min("place").alias("place")))
-    whole = (first.groupBy(F.col("place").bitwiseAND(F.lit(~_SIGN)).alias("text_key")).agg(F.count("*").alias("n"))
-             .where(F.col("n") >= BANDS).select("text_key"))
-    return distinct.join(whole, "text_key", "left_semi").select("text_key", "trusted", "packed")
+    distinct = marked.groupBy("text_key").agg(F.max("trusted").alias("trusted"), F.first("packed").alias("packed"))
+    # Shuffled once by text, so that the bands are not computed for the count and again for the join.
+    bands = distinct.mapInArrow(lambda b: banded(b, BANDS, ROWS), "text_key long NOT NULL, trusted boolean NOT NULL, band long NOT NULL").repartition("text_key")
+    crowded = (bands.groupBy("band").agg(F.count("*").alias("n"), F.count_if("trusted").alias("t")).where("n > 1")
+               .select(F.col("band").alias("shared"), "n", "t"))
+    near = (bands.join(crowded, F.col("band") == F.col("shared")).groupBy(F.col("text_key").alias("key"))
+            .agg(F.max("n").alias("near"), F.max(F.when(F.col("trusted"), F.col("t"))).alias("near_trusted")))
+    return (distinct.join(near, F.col("text_key") == F.col("key"), "left")
+            .select("trusted", "packed", F.coalesce("near", F.lit(1)).alias("near"),
+                    F.coalesce("near_trusted", F.lit(1)).alias("near_trusted")))
+
+
+def shares(among: pa.Array) -> np.ndarray:
+    """Weight of a text that shares with so many; a text always counts, in a group of more than ``UNIT`` by the least weight."""
+    return np.maximum(UNIT // among.to_numpy(zero_copy_only=False), 1).astype(np.float64)
 
 
 def counted(batches, bits: int):
-    """Per task: n-gram counts of trusted and of all texts, in slices of buckets."""
+    """Per task: weighted n-gram counts of trusted and of all texts, in slices of buckets."""
     raw, target = np.zeros(1 << bits, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64)
     for chunk in chunks(unpacked(batches)):
         words = words_of(chunk.buf, chunk.off)
         found, owner = buckets(words, hash_spans(chunk.buf, words.start, words.end), bits)
-        raw += np.bincount(found, minlength=len(raw))
-        trusted = chunk.rows.column("trusted").to_numpy(zero_copy_only=False)
-        target += np.bincount(found[trusted[owner]], minlength=len(raw))
+        # Sums of a chunk stay far below 2**53, so doubles hold them exactly.
+        raw += np.bincount(found, shares(chunk.rows.column("near"))[owner], len(raw)).astype(np.int64)
+        of = chunk.rows.column("trusted").to_numpy(zero_copy_only=False)[owner]
+        target += np.bincount(found[of], shares(chunk.rows.column("near_trusted"))[owner[of]], len(raw)).astype(np.int64)
     if raw.any():
         yield _slices(target, raw, np.arange(0, len(raw), _SLICE))
 
@@ -222,8 +234,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 
     Defined cases: a null or empty text has no words and fails the base rules; a
     document without an id is scored and is part of the raw corpus, but never
-    trusted; equal texts and near copies count once, as trusted if one of them is;
-    ids that are trusted twice count once; with no trusted document every
+    trusted; equal texts count once, as trusted if one of them is; near copies all
+    count, with shares of one text's weight, the trusted ones with shares of one
+    trusted text's; ids that are trusted twice count once; with no trusted document every
     score is 0; other columns are ignored; no rows give no rows.
     """
     narrow = id_and_text(docs, id_col, text_col, carry)
@@ -233,5 +246,5 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     texts = packed_texts(narrow.where("text <> ''").select("doc_id", F.xxhash64("text").bitwiseAND(F.lit(~_SIGN)).alias("text_key"), "text"))
     marked = (texts.join(F.broadcast(ids) if small else ids.hint("merge"), "doc_id", "left")
               .select("text_key", F.coalesce("trusted", F.lit(False)).alias("trusted"), "packed"))
-    ratio = docs.sparkSession.sparkContext.broadcast(ratios(one_of_each(marked), bits, prior))
+    ratio = docs.sparkSession.sparkContext.broadcast(ratios(weighted(marked), bits, prior))
     return narrow.mapInArrow(lambda b: scored(b, ratio.value, bits, threshold, keep), schema_of(_SCORED, narrow, *keep))
