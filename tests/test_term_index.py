@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidelex.operators.search import term_search
@@ -72,3 +73,21 @@ def test_empty_archive(spark, tmp_path):
     assert TI.add_posts(posts(spark, 5).limit(0), path) == []
     TI.add_posts(posts(spark, 1), path)
     assert TI.indexed_search(spark, path, ["quux", "x y z"]).collect() == []
+
+
+def test_trigrams_of_blocks(monkeypatch):
+    """Every run of three characters of one text, also with rare characters, and none across texts; slices lose nothing."""
+    texts = ["abcab", "ab", None, "", "a\x00\x00\x00", "x😀y😀z", "né à 日本", "q" * 50, "cabd"]
+    block = [0, 0, 0, 1, 1, 1, 2, 2, 0]
+    want = {(b, t[i:i + 3]) for b, t in zip(block, texts) for i in range(len(t or "") - 2)}
+    batch = pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(texts, pa.string())], ["block", "text"])
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(TI, "_SLICE", size)
+        got = [(r["block"], r["gram"]) for out in TI.block_grams(iter([batch])) for r in out.to_pylist()]
+        assert set(got) == want and (size < 1 << 20 or len(got) == len(want))
+
+
+def test_postings_hold_whole_characters(spark, tmp_path):
+    path = str(tmp_path / "a")
+    TI.add_posts(spark.createDataFrame([("p", "g", T0, "A😀b", "c")], SCHEMA), path)
+    assert {r.gram for r in spark.read.parquet(f"{path}/postings").collect()} == set(TI.grams("a😀b c"))

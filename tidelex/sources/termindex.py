@@ -8,6 +8,11 @@ postings were lost with their run, are searched everywhere.
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,18 +20,52 @@ from tidelex.operators.search import POST_TIME, searchable, term_search
 from tidelex.session import materialize
 from tidelex.sources.keyfilter import exists
 
+# Workers get this module's functions by value, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 100_000
 #: Blocks in one posting row: a trigram of every block has many rows and not one long list.
 PIECE = 4096
 GRAM = 3
-#: Every position of a text, with the three characters there.
-_EVERY = r"(?s)(?=(.{3}))"
+#: Characters that are cut into trigrams at once.
+_SLICE = 1 << 20
 
 
 def grams(text: str) -> list[str]:
     return sorted({text[i:i + GRAM] for i in range(len(text) - GRAM + 1)})
 
 
+def block_grams(batches):
+    """(block, gram): the trigrams of all texts, each once for a block and about a million characters."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows + 1, dtype=np.int64)
+        points = [np.frombuffer((t or "").encode("utf-32-le"), dtype="<u4") for t in batch.column("text").to_pylist()]
+        size[1:] = np.cumsum([len(p) for p in points])
+        block = batch.column("block").to_numpy(zero_copy_only=False)
+        lo = 0
+        while lo < len(points):
+            hi = max(lo + 1, int(np.searchsorted(size, size[lo] + _SLICE, side="right")) - 1)
+            found = _distinct(points[lo:hi], block[lo:hi])
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int32()), pa.array(found[1], pa.string())], ["block", "gram"])
+            lo = hi
+
+
+def _distinct(points: list[np.ndarray], block: np.ndarray) -> tuple[list[int], list[str]]:
+    blocks, grams_ = [], []
+    for b in np.unique(block):
+        own = [p for p, of in zip(points, block, strict=True) if of == b and len(p) >= GRAM]
+        # Three code points of 21 bits are one number; none reaches into another text.
+        coded = [np.unique(p[:-2].astype(np.int64) | p[1:-1].astype(np.int64) << 21 | p[2:].astype(np.int64) << 42) for p in own]
+        if not coded:
+            continue
+        found = np.unique(np.concatenate(coded))
+        text = np.stack([found & 0x1FFFFF, found >> 21 & 0x1FFFFF, found >> 42], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+        grams_ += [text[i:i + GRAM] for i in range(0, len(text), GRAM)]
+        blocks += [int(b)] * len(found)
+    return blocks, grams_
+
+
 def blocks_of(spark: SparkSession, path: str) -> list[int]:
     """Numbers of all blocks, from the folder names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data")
@@ -59,12 +98,11 @@ def add_posts(posts: DataFrame, path: str, block_rows: int = BLOCK_ROWS) -> list
 
 
 def index_blocks(spark: SparkSession, path: str, blocks: list[int]) -> None:
-    """Postings of some blocks. Each text's trigrams are made distinct before they are sent, and again per task."""
+    """Postings of some blocks. Trigrams are made distinct before they leave Python, and again per task."""
     if not blocks:
         return
     texts = read_blocks(spark, path, blocks)
-    found = (texts.select("block", F.explode(F.array_distinct(F.regexp_extract_all(searchable(texts), F.lit(_EVERY), F.lit(1)))).alias("gram"))
-             .distinct())
+    found = texts.select("block", searchable(texts).alias("text")).mapInArrow(block_grams, "block int, gram string").distinct()
     pieces = found.groupBy("gram", F.floor(F.col("block") / PIECE).alias("piece")).agg(F.sort_array(F.collect_set("block")).alias("blocks"))
     (pieces.repartitionByRange("gram", "piece").sortWithinPartitions("gram", "piece").select("gram", "blocks")
      .write.mode("append").parquet(f"{path}/postings"))
