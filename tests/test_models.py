@@ -95,3 +95,23 @@ def test_only_texts_go_through_arrow(spark):
     plan = SC.classify_with_model(df, "t", SC.KeywordScorer)._jdf.queryExecution().optimizedPlan().toString()
     line = next(x for x in plan.splitlines() if "ArrowEvalPython" in x)
     assert "wide" not in line.split("]")[0] and plan.count("ArrowEvalPython") == 1 and "MapInPandas" not in plan
+
+
+def test_models_get_a_bounded_number_of_characters(spark):
+    """A batch of many long texts reaches a model in runs of about a million characters, and every text comes back."""
+    class Small(TX.WordFilter):
+        def lemmatize(self, texts):
+            if texts.str.len().sum() > (1 << 20) + 3000:
+                raise MemoryError("too many characters at once")
+            return super().lemmatize(texts)
+
+    df = spark.range(0, 4000, 1, 1).select("id", F.concat(F.repeat(F.lit("word "), 500), F.lit("w"), F.lit("x")).alias("t"))
+    got = df.select("id", TX.lemmas_by_model(F.col("t"), Small).alias("l")).groupBy("l").agg(F.count("*").alias("n")).collect()
+    assert [(len(r.l), r.n) for r in got] == [(2502, 4000)]
+
+
+def test_slices_hold_every_text():
+    texts = pd.Series(["a" * n for n in (0, 5, 3, 90, 1, 1, 1, 40)] + [None])
+    parts = list(TX.text_slices(texts, 10))
+    assert [x for p in parts for x in p] == list(texts.fillna("")) and all(p.str.len().sum() < 10 + p.str.len().max() for p in parts)
+    assert list(TX.text_slices(pd.Series([], dtype=object))) == []

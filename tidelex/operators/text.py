@@ -310,6 +310,14 @@ class WordFilter:
         return texts.map(lambda t: " ".join(w for w in t.lower().split() if w not in self.stop_words and w.isalpha()))
 
 
+def text_slices(texts: pd.Series, chars: int = 1 << 20) -> Iterator[pd.Series]:
+    """A batch of texts (null: empty) in runs of about ``chars`` characters, a longer text on its own."""
+    texts = texts.fillna("")
+    run = texts.str.len().cumsum() // chars
+    for _, part in texts.groupby(run.to_numpy(), sort=False):
+        yield part.reset_index(drop=True)
+
+
 def language_by_model(text: Column, make_detector: Callable[[], LanguageDetector]) -> Column:
     """Struct (code, confidence) from a plug-in detector, in Arrow batches, one detector per task."""
 
@@ -317,7 +325,8 @@ def language_by_model(text: Column, make_detector: Callable[[], LanguageDetector
     def detect(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         detector = make_detector()
         for texts in batches:
-            yield detector.detect(texts.fillna(""))
+            for part in text_slices(texts):
+                yield detector.detect(part)
 
     return detect(text)
 
@@ -329,6 +338,7 @@ def lemmas_by_model(text: Column, make_lemmatizer: Callable[[], Lemmatizer]) ->
     def lemmatize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lemmatizer = make_lemmatizer()
         for texts in batches:
-            yield lemmatizer.lemmatize(texts.fillna(""))
+            for part in text_slices(texts):
+                yield lemmatizer.lemmatize(part)
 
     return lemmatize(text)

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows sent to Python at once: a worker holds a few MB of texts, however large the table is.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
