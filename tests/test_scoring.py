@@ -67,3 +67,18 @@ def test_confusion(spark):
     rows = {r.label: r for r in SC.confusion(df, "p", "y").collect()}
     assert (rows["b"].precision, round(rows["b"].recall, 6)) == (1.0, round(2 / 3, 6))
     assert rows["c"].recall is None and rows["c"].precision == 0.0
+
+
+def test_a_failing_batch_is_tried_in_halves():
+    """One text that cannot be scored costs a few more calls, not one for every other text."""
+    calls = []
+
+    class Counting(SC.BreakingScorer):
+        def score(self, texts):
+            calls.append(len(texts))
+            return super().score(texts)
+
+    texts = [f"good number {i}" for i in range(500)] + [SC.BROKEN]
+    got = SC._scored(Counting(), texts, None, 1 << 20)
+    assert [t for t in texts if got[t][3]] == [SC.BROKEN] and all(abs(sum(got[t][:3]) - 1) < 1e-9 for t in texts[:-1])
+    assert len(calls) < 25

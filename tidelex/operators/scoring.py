@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelex.functions.binding import let
 from tidelex.functions.wordlists import LEXICON
-from tidelex.operators.text import among, is_blank, letter_runs, plain_blanks, preprocess
+from tidelex.operators.text import among, is_blank, letter_runs, plain_blanks, preprocess, text_slices
 
 # Workers get this module's functions and classes by value, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -150,7 +150,7 @@ def pieces_of(text: str, cap: int | None) -> list[str]:
 
 def _scored(scorer: Scorer, texts: list[str], cap: int | None, filled: int) -> dict[str, tuple]:
     """Probabilities or the error of each text. Pieces go to the model in batches of about ``filled`` characters,
-    shorter ones first; those of a text count by their length. A failing batch is tried piece by piece."""
+    shorter ones first; those of a text count by their length. A failing batch is tried in halves, down to single pieces."""
     parts = sorted(((t, p) for t in texts for p in pieces_of(t, cap) if p.strip()), key=lambda x: (len(x[1]), x[1]))
     held: dict[str, list] = {t: [np.zeros(len(LABELS)), 0, None] for t in texts}
 
@@ -168,15 +168,17 @@ def _scored(scorer: Scorer, texts: list[str], cap: int | None, filled: int) -> d
         while hi < len(parts) and (hi == lo or size + len(parts[hi][1]) <= filled):
             size += len(parts[hi][1])
             hi += 1
-        batch = parts[lo:hi]
-        try:
-            add(batch, score(batch))
-        except Exception:  # noqa: BLE001 - any model error becomes a retry of each piece
-            for one in batch:
-                try:
-                    add([one], score([one]))
-                except Exception as err:  # noqa: BLE001
-                    held[one[0]][2] = str(err)
+        waiting = [parts[lo:hi]]
+        while waiting:
+            batch = waiting.pop()
+            try:
+                add(batch, score(batch))
+            except Exception as err:  # noqa: BLE001 - any model error becomes a retry of both halves, down to single pieces
+                if len(batch) == 1:
+                    held[batch[0][0]][2] = str(err)
+                else:
+                    half = len(batch) // 2
+                    waiting += [batch[half:], batch[:half]]
         lo = hi
     return {t: (*(p / max(n, 1)), error) for t, (p, n, error) in held.items()}
 
@@ -184,15 +186,14 @@ def _scored(scorer: Scorer, texts: list[str], cap: int | None, filled: int) -> d
 def model_scores(text: Column, make_scorer: Callable[[], Scorer], cap: int | None = None, filled: int = 1 << 20) -> Column:
     """Struct of probabilities, error and model version for a text column; only texts go through Arrow.
 
-    Equal texts of a batch are scored once. A text longer than ``cap`` characters is
+    Equal texts of a slice of a batch are scored once. A text longer than ``cap`` characters is
     scored in pieces, whose probabilities are joined by their lengths into one
     score. Blank text is not sent to the model.
     """
     @F.pandas_udf(SCORED)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
-        for texts in batches:
-            texts = texts.fillna("")
+        for texts in (part for batch in batches for part in text_slices(batch, 4 * filled)):
             found = _scored(scorer, [t for t in texts.unique() if t.strip()], cap, filled)
             rows = [found.get(t, (*(float(x == "neutral") for x in LABELS), None)) for t in texts]
             out = pd.DataFrame(rows, columns=[*(f"p_{x}" for x in LABELS), "error"])
