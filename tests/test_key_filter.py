@@ -104,3 +104,27 @@ def test_empty_batch(spark, tmp_path):
     table = str(tmp_path / "t")
     assert SK.append_events(batch(spark, []), table) == (0, 0)
     assert not SK.table_exists(spark, table)
+
+
+def many_days(spark, days, per_day=2):
+    at = F.expr("timestamp'2024-01-01 05:00:00'") + F.make_dt_interval(F.expr(f"cast(id div {per_day} as int)"))
+    return spark.range(days * per_day).select("id", F.lit("s").alias("source"), F.concat(F.lit("k"), "id").alias("source_id"),
+                                              at.alias("occurred_at"), F.lit("p").alias("payload"))
+
+
+def test_days_of_a_month_share_filter_files(spark, tmp_path):
+    """120 small days have filter files for four months and the tasks that wrote them, and hold every key."""
+    table = str(tmp_path / "t")
+    rows = many_days(spark, 120)
+    assert SK.append_events(rows.where("id % 2 = 0"), table) == (120, 0)
+    assert len(list(Path(table, "_key_filter").rglob("*.parquet"))) <= 4 + 4
+    assert len(K.stored_dates(spark, table)) == 120
+    assert SK.append_events(rows, table) == (120, 120)
+    assert SK.append_events(rows, table) == (0, 240)
+    assert spark.read.parquet(table).select("id").distinct().count() == 240
+
+
+def test_many_small_days_are_written_by_all_tasks(spark):
+    rows = SK.with_date(many_days(spark, 120)).localCheckpoint()
+    assert SK.in_ranges(rows, ["occurred_date", "occurred_at"], 120).rdd.getNumPartitions() == 4
+    assert SK.in_ranges(rows, ["occurred_date", "occurred_at"], 1).rdd.getNumPartitions() == 1

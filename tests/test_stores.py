@@ -214,3 +214,20 @@ def test_archive_defaults_stand_for_missing_values_only(spark):
     df = spark.createDataFrame([("a", "7", None), ("b", "abc", "x"), ("c", None, "")], "id string, score string, title string")
     got = {r.id: (r.score, r.title, r.num_comments, r.over_18) for r in MP.normalize_archive(df).collect()}
     assert got == {"a": (7, "", 0, False), "b": (None, "x", 0, False), "c": (0, "", 0, False)}
+
+
+def test_reconcile_reads_the_event_table_once(spark, tmp_path, monkeypatch):
+    """The first run copies the table; the second one finds nothing to do."""
+    from tidelex.sources import sync
+    mirror, table = str(tmp_path / "mirror"), str(tmp_path / "events")
+    SK.append_csv(posts(spark, {"id": "a"}, {"id": "b"}, {"id": "c", "created_utc": 1609545600.0}), mirror)
+    SK.append_events(MP.to_envelope(posts(spark, {"id": "b", "author": None}, {"id": "d", "created_utc": 1609632000.0}), "s"), table)
+    read, load = [], type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *paths, **kw: read.append(paths[0]) or load(self, *paths, **kw))
+    row = sync.reconcile(spark, mirror, table, "s").collect()[0]
+    assert (row.a_only, row.b_only, row.in_both, row.inserted_b, row.exported_a, row.resolved) == (2, 1, 1, 2, 1, 1)
+    assert read.count(table) == 1
+    events = RD.read_events(spark, table)
+    assert {(r.source_id, json.loads(r.payload)["author"]) for r in events.collect()} == {(k, "u") for k in "abcd"}
+    row = sync.reconcile(spark, mirror, table, "s").collect()[0]
+    assert (row.a_only, row.b_only, row.in_both, row.inserted_b, row.exported_a, row.resolved) == (0, 0, 4, 0, 0, 0)

@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.parquet.filterPushdown": "true",
+    # A table of many folders is listed by this many tasks, not by one for each folder.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Rows sent to Python at once: a worker holds a few MB of texts, however large the table is.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
@@ -71,6 +73,16 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def copied(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to a scratch folder, in as few files as its size asks for, and read from there.
+
+    For rows that are read more than once and lie in many small files; columns that are not asked for are not read.
+    """
+    folder = scratch(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and cut its lineage.
 

@@ -2,21 +2,27 @@
 
 A filter belongs to a date. It is kept as words of 64 bits, one row per word
 that has a bit, below the table in a folder that readers of the table skip, so
-it is built and tested by joins and aggregates whatever its size is. A key that
-a filter does not hold is certainly not stored; the others are compared with the
-stored keys.
+it is built and tested by joins and aggregates whatever its size is. The filters
+of a month lie in one folder, in the order of their dates, so that a table of
+many small days has few filter files. A key that a filter does not hold is
+certainly not stored; the others are compared with the stored keys.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FOLDER = "_key_filter"
+#: Filters in folders per date, as they were kept before, are not read: such dates get a filter here when they are met.
+FOLDER = "_key_filter/by_month"
 #: Bits of a date's filter. About a tenth of them per key and hash keeps wrong hits below one in a thousand.
 BITS = 1 << 23
 HASHES = 4
 DATE = "occurred_date"
+MONTH = "month"
 
 
 def _files(spark: SparkSession, path: str):
@@ -37,6 +43,23 @@ def bits_of(spark: SparkSession, table: str) -> int | None:
     return found[0] if found else None
 
 
+def stored_dates(spark: SparkSession, table: str) -> set[str]:
+    """Dates that have a folder, as text: one listing and one answer, however many there are."""
+    fs, target = _files(spark, table)
+    jvm = spark._jvm
+    names = jvm.org.apache.commons.lang3.ArrayUtils.toString(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(fs.listStatus(target)))
+    return set(re.findall(rf"/{DATE}=([^,/}}]+)(?=[,}}])", names))
+
+
+def _frame(spark: SparkSession, dates: list) -> DataFrame:
+    return spark.createDataFrame(pa.table({DATE: pa.array(dates, pa.date32())}))
+
+
+def _of_dates(rows: DataFrame, dates: list) -> DataFrame:
+    """Rows of some dates, by a join: a list of thousands of literals would have to be planned."""
+    return rows.join(F.broadcast(_frame(rows.sparkSession, dates)), DATE, "left_semi")
+
+
 def _words(keys: DataFrame, key: list[str], bits: int) -> DataFrame:
     """(columns of ``keys``, word, mask) for every hash of a key."""
     def place(i: int) -> Column:
@@ -47,9 +70,12 @@ def _words(keys: DataFrame, key: list[str], bits: int) -> DataFrame:
 
 
 def stored_filter(spark: SparkSession, table: str, bits: int, dates: list) -> DataFrame:
-    """Words of the filters of some dates; only these dates' files are opened."""
-    words = spark.read.schema(f"word long, bits long, {DATE} date").parquet(f"{table}/{FOLDER}/bits={bits}")
-    return words.where(F.col(DATE).isin(dates)).groupBy(DATE, "word").agg(F.bit_or("bits").alias("bits"))
+    """Words of the filters of some dates; only files of their months are opened."""
+    words = spark.read.schema(f"{DATE} date, word long, bits long, {MONTH} date").parquet(f"{table}/{FOLDER}/bits={bits}")
+    of_months = words.where(F.col(MONTH).isin(sorted({d.replace(day=1) for d in dates})))
+    if dates:
+        of_months = of_months.where(F.col(DATE).between(F.lit(min(dates)), F.lit(max(dates))))
+    return _of_dates(of_months, dates).groupBy(DATE, "word").agg(F.bit_or("bits").alias("bits"))
 
 
 def add(keys: DataFrame, table: str, key: list[str], bits: int = BITS) -> None:
@@ -62,19 +88,29 @@ def add(keys: DataFrame, table: str, key: list[str], bits: int = BITS) -> None:
     spark = keys.sparkSession
     bits = bits_of(spark, table) or bits
     words = _words(keys.select(DATE, *key), key, bits).groupBy(DATE, "word").agg(F.bit_or("mask").alias("bits"))
-    (words.repartitionByRange(DATE, "word").write.mode("append").partitionBy(DATE).parquet(f"{table}/{FOLDER}/bits={bits}"))
+    (words.withColumn(MONTH, F.trunc(DATE, "month")).repartitionByRange(DATE, "word").sortWithinPartitions(MONTH, DATE, "word")
+     .write.mode("append").partitionBy(MONTH).parquet(f"{table}/{FOLDER}/bits={bits}"))
 
 
 def maybe_stored(keys: DataFrame, table: str, key: list[str], dates: list) -> DataFrame:
     """The keys that the filters of their dates may hold: all that are stored, and few others."""
     spark = keys.sparkSession
     bits = bits_of(spark, table)
-    asked = _words(keys.where(F.col(DATE).isin(dates)).select(DATE, *key), key, bits)
+    asked = _words(_of_dates(keys, dates).select(DATE, *key), key, bits)
     told = asked.join(stored_filter(spark, table, bits, dates), [DATE, "word"], "left")
     hit = F.col("bits").isNotNull() & (F.col("bits").bitwiseAND(F.col("mask")) != 0)
     return told.groupBy(DATE, *key).agg(F.bool_and(hit).alias("_all")).where("_all").drop("_all")
 
 
+def _dates(rows: DataFrame) -> list:
+    return [r[0] for r in rows.select(DATE).distinct().collect() if r[0] is not None]
+
+
+def _rows(spark: SparkSession, table: str, dates: list) -> DataFrame:
+    """Rows of some dates; no other folder is listed or opened."""
+    return spark.read.option("basePath", table).parquet(*[f"{table}/{DATE}={d}" for d in dates])
+
+
 def stored_keys(keys: DataFrame, table: str, key: list[str]) -> DataFrame | None:
     """Those of ``keys`` (one row each, with their date) that the table holds; null if none can be.
 
@@ -84,19 +120,18 @@ def stored_keys(keys: DataFrame, table: str, key: list[str]) -> DataFrame | None
     """
     spark = keys.sparkSession
     # As many rows as the batch has days.
-    dates = [r[0] for r in keys.select(DATE).distinct().collect() if r[0] is not None]
-    held = [d for d in dates if exists(spark, f"{table}/{DATE}={d}")]
+    stored = stored_dates(spark, table)
+    held = [d for d in _dates(keys) if str(d) in stored]
     bits = bits_of(spark, table)
-    filtered = [d for d in held if bits and exists(spark, f"{table}/{FOLDER}/bits={bits}/{DATE}={d}")]
+    filtered = set(_dates(stored_filter(spark, table, bits, held))) if bits and held else set()
     bare = [d for d in held if d not in filtered]
-    suspects, open_dates = keys.where(F.col(DATE).isin(bare)).select(DATE, *key), list(bare)
+    suspects, open_dates = _of_dates(keys, bare).select(DATE, *key), list(bare)
     if filtered:
-        maybe = maybe_stored(keys, table, key, filtered).checkpoint()
-        open_dates += [r[0] for r in maybe.select(DATE).distinct().collect()]
+        maybe = maybe_stored(keys, table, key, sorted(filtered)).checkpoint()
+        open_dates += _dates(maybe)
         suspects = suspects.unionByName(maybe)
     if not open_dates:
         return None
-    rows = spark.read.parquet(table).where(F.col(DATE).isin(open_dates))
     if bare:
-        add(rows.where(F.col(DATE).isin(bare)).select(DATE, *key), table, key)
-    return suspects.select(*key).join(rows.select(*key), key, "left_semi")
+        add(_rows(spark, table, bare).select(DATE, *key), table, key)
+    return suspects.select(*key).join(_rows(spark, table, open_dates).select(*key), key, "left_semi")

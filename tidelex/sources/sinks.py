@@ -22,6 +22,8 @@ from tidelex.sources.readers import read_submissions
 
 log = logging.getLogger(__name__)
 PUSH_SIZE = 100
+#: Dates for each range from which on all ranges are written by tasks of their own.
+DATES_OF_RANGE = 4
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -45,6 +47,16 @@ def _one_per_key(batch: DataFrame, key: list[str]) -> DataFrame:
             .agg(F.min_by("_row", "_rest").alias("_row"), F.min_by(DATE, "_rest").alias(DATE)))
 
 
+def in_ranges(rows: DataFrame, order: list[str], dates: int) -> DataFrame:
+    """Rows in ranges of ``order`` to be written by date. Ranges are cut by rows, so a hot date is written by several tasks.
+
+    The time of many small dates goes into making files, not into their bytes: then Spark must not join ranges
+    that are small in bytes, which would leave most cores idle.
+    """
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(*([most] if dates >= DATES_OF_RANGE * most else []), *order)
+
+
 def append_events(df: DataFrame, path: str, key: list[str] = EVENT_KEY) -> tuple[int, int]:
     """Insert-or-ignore on the event key. Returns (inserted, skipped).
 
@@ -64,13 +76,12 @@ def append_events(df: DataFrame, path: str, key: list[str] = EVENT_KEY) -> tuple
         stored = keyfilter.stored_keys(fresh, path, key)
         if stored is not None:
             fresh = materialize(fresh.join(stored, key, "left_anti"))
-    inserted = fresh.count()
+    inserted, dates = fresh.agg(F.count(F.lit(1)), F.count_distinct(DATE)).first()
     if inserted:
         keyfilter.add(fresh.where(F.col(DATE).isNotNull()), path, key)
-        # Ranges are cut by rows, so a hot date is written by several tasks.
         order = [DATE, "source", "occurred_at"]
         rows = batch.join(fresh.select("_row"), "_row", "left_semi").drop("_row")
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy(DATE).parquet(path)
+        in_ranges(rows, order, dates).sortWithinPartitions(*order).write.mode("append").partitionBy(DATE).parquet(path)
     return inserted, attempted - inserted
 
 

@@ -7,25 +7,28 @@ from pyspark.sql import functions as F
 
 from tidelex.operators.mapping import strip_key_prefix
 from tidelex.operators.reconcile import merge_conflicts, missing_in_a, missing_in_b, presence, report
-from tidelex.session import materialize
-from tidelex.sources.sinks import append_csv, append_events, read_mirror
+from tidelex.session import copied, materialize
+from tidelex.sources.sinks import append_csv, append_events, in_ranges, read_mirror
 
 
-def write_back(merged: DataFrame, table: str, prefix: str = "") -> int:
+def write_back(merged: DataFrame, table: str, prefix: str = "", events: DataFrame | None = None) -> int:
     """Replace payloads in the event table; only the dates that hold a changed row are written again.
 
-    ``merged`` has id, source, occurred_at and payload, each event once.
+    ``merged`` has id, source, occurred_at and payload, each event once. ``events`` are the table's rows where
+    they lie elsewhere too; by default they are read and stored first, for they cannot be read while they are replaced.
     """
     spark = merged.sparkSession
     changes = materialize(merged.select("id", "source", "occurred_at", F.col("payload").alias("_new")))
     count = changes.count()
     if count:
-        events = spark.read.parquet(table)
+        stored = events is not None
+        events = events if stored else spark.read.parquet(table)
         dates = changes.select(F.to_date("occurred_at").alias("occurred_date")).distinct()
         touched = events.join(dates, "occurred_date", "left_semi").withColumn("_id", strip_key_prefix(F.col("source_id"), prefix))
         rows = (touched.join(changes.withColumnRenamed("id", "_id"), ["_id", "source", "occurred_at"], "left")
                 .withColumn("payload", F.coalesce("_new", "payload")).select(*events.columns))
-        (materialize(rows).repartitionByRange("occurred_date", "source", "occurred_at").write.mode("overwrite")
+        rows = rows if stored else materialize(rows)
+        (in_ranges(rows, ["occurred_date", "source", "occurred_at"], dates.count()).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("occurred_date").parquet(table))
     return count
 
@@ -35,15 +38,18 @@ def reconcile(spark: SparkSession, mirror: str, table: str, source: str, prefix:
 
     The differences are found and written out before anything changes: posts that
     b lacks are appended to it, events that a lacks make its next version, and empty
-    fields of b are filled from a. A second run finds nothing to do.
+    fields of b are filled from a. A second run finds nothing to do. The event table, which may have a small file
+    for each day, is read once; every step takes it from a copy.
     """
     a, b = read_mirror(spark, mirror), spark.read.parquet(table)
+    if not dry_run:
+        b = copied(b, "events-copy")
     ids = materialize(presence(a, b, prefix=prefix))
     if dry_run:
         return report(ids)
     to_b = materialize(missing_in_b(a, b, source, prefix))
     to_a = materialize(missing_in_a(a, b, prefix))
-    resolved = write_back(merge_conflicts(a, b, prefix).where("filled <> ''"), table, prefix)
+    resolved = write_back(merge_conflicts(a, b, prefix).where("filled <> ''"), table, prefix, b)
     inserted, _ = append_events(to_b, table)
     exported = to_a.count()
     if exported:
