@@ -66,6 +66,23 @@ def test_forgets_and_goes_on(library, monkeypatch):
             assert known.ids[known.start[p]:known.start[p] + known.length[p]].tolist() == ids_of(library, w)
 
 
+def test_words_are_encoded_many_at_a_time(library, monkeypatch):
+    """One text of the library holds many fragments, and each gets its own ids; those that are no certain word stay alone."""
+    rng = random.Random(3)
+    parts = ["Abc", "zu", "É", "ß", "İ", "ª", "ŉ", "ǰ", "1", "12", "'s", "!", "</", "w>", "<|endoftext|>", "\x00", "日", "Σ", "́", "-"]
+    texts = sorted({"".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(2000)})
+    fragments = [t.encode() for t in texts if t.strip()] + ["".join(rng.choices("abcdé", k=300)).encode()]
+    vocab, given = bpe.vocabulary(PATH, library=True), []
+    encode = vocab.encode_fragments
+    monkeypatch.setattr(vocab, "encode_fragments", lambda x: given.append(len(x)) or encode(x))
+    order, ids, length = vocab.encode_flat(fragments)
+    assert sorted(order) == sorted(fragments) and len(given) == 2
+    words = sum(map(bpe.one_word, fragments))
+    assert words > 100 and sum(given) == -(-words // bpe.JOINED) + len(fragments) - words
+    for f, run in zip(order, np.split(ids, np.cumsum(length)[:-1])):
+        assert run.tolist() == ids_of(library, f.decode()), f
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 31])
 def test_pack(bits):
     rng = np.random.default_rng(bits)

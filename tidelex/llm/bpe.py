@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from tidelex.llm.ship import shipped
 
 #: Distinct fragments whose ids a worker remembers; more for the library's encoder, whose tasks hold little else.
 REMEMBERED, REMEMBERED_BY_LIBRARY = 1 << 17, 400_000
+#: Fragments given to the library's encoder as one text.
+JOINED = 64
 #: Symbols up to which a fragment is merged by scanning its ranks; longer ones use a heap.
 SCANNED = 64
 #: Letters below this one are the same in all versions of Unicode and normal as they are.
@@ -164,12 +167,48 @@ class Vocabulary:
     def encode_fragments(self, fragments: list[bytes]) -> list[list[int]]:
         return [self.encode_fragment(f) for f in fragments]
 
+    def encode_flat(self, fragments: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The fragments in some order, their ids one after another, and the number of ids of each."""
+        lists = self.encode_fragments(fragments)
+        length = np.fromiter(map(len, lists), np.int64, len(lists))
+        return fragments, np.fromiter(chain.from_iterable(lists), np.uint32, int(length.sum())), length
+
+
+def one_word(raw: bytes) -> bool:
+    """Whether a fragment is one pre-token for certain, whatever is around it: plain letters, one digit, or marks."""
+    if raw.isalpha() or (len(raw) == 1 and raw.isdigit()) or not raw.strip(MARKS):
+        return True
+    text = raw.decode()
+    return text.isalpha() and max(text) < PLAIN_END and text.lower().isalpha()
+
 
 class LibraryVocabulary(Vocabulary):
-    """The same cuts, with fragments encoded by the tokenizers library."""
+    """The same cuts, with fragments encoded by the tokenizers library.
+
+    Fragments that are one pre-token each are given to it many at a time, with a space between: the last id of a
+    pre-token, and no other, has the suffix of a word's end. That needs such a suffix, and no special token that is
+    one pre-token or holds a space.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.ends = np.array([bool(self.suffix) and name.endswith(self.suffix) for name in self.names])
+        self.joins = bool(self.suffix) and not any(one_word(t.encode()) or any(c.isspace() for c in t) for t in self.special)
 
     def encode_fragments(self, fragments: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch([f.decode() for f in fragments], add_special_tokens=False)]
+        return [e.ids for e in self.library.encode_batch_fast([f.decode() for f in fragments], add_special_tokens=False)]
+
+    def encode_flat(self, fragments: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        words, others = [], []
+        for f in fragments:
+            (words if self.joins and one_word(f) else others).append(f)
+        lists = self.encode_fragments([b" ".join(words[i:i + JOINED]) for i in range(0, len(words), JOINED)])
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists)))
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or len(ids) != (stops[-1] if len(stops) else 0):
+            return super().encode_flat(fragments)
+        _, more, length = super().encode_flat(others)
+        return words + others, np.concatenate((ids, more)), np.concatenate((np.diff(stops, prepend=0), length))
 
 
 @lru_cache(maxsize=4)
@@ -199,12 +238,11 @@ class Remembered:
             self.clear()
         new = [f for f in fragments if f not in self.place]
         if new:
-            lists = self.vocab.encode_fragments(new)
-            length = np.fromiter(map(len, lists), np.int64, len(lists))
-            total = int(length.sum())
+            new, ids, length = self.vocab.encode_flat(new)
+            total = len(ids)
             if self.used + total > len(self.ids):
                 self.ids = np.concatenate((self.ids[:self.used], np.empty(max(total, self.used), np.uint32)))
-            self.ids[self.used:self.used + total] = np.fromiter((i for x in lists for i in x), np.uint32, total)
+            self.ids[self.used:self.used + total] = ids
             self.place.update(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
             self.start = np.concatenate((self.start, self.used + np.cumsum(length) - length))
             self.length = np.concatenate((self.length, length))
