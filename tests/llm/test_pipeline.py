@@ -3,11 +3,15 @@
 import hashlib
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm import cases
+from tidelex.llm import bpe, common, decontaminate, minhash, quality, suffix
+from tidelex.llm import exchange as ex
 from tidelex.llm.graph import stored
 from tidelex.llm.queries import tokenizer_path
 
@@ -71,3 +75,26 @@ def test_nothing_else_imports_the_subpackage():
     for path in (root / "tidelex").rglob("*.py"):
         if path.parent.name != "llm":
             assert "llm" not in path.read_text()
+
+
+def test_tasks_leave_no_memory(monkeypatch):
+    """The workers of one stage wait beside those of the next: each task gives back what it freed, and its vocabulary."""
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(30), pa.int64()), "text": [cases.prose(i, 60) for i in range(30)]})
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    lanes = ex.Lanes(1, 24)
+    tasks = [minhash.signatures([rows], 5, 40, 5, 4),
+             quality.scored([rows], np.zeros(1 << 8, np.float32), 8, 0.0, ()),
+             suffix.offers([rows], lanes, 50, 16),
+             decontaminate.scan([rows.append_column("row_key", rows.column("doc_id"))], decontaminate.Patterns([(1, "a b c")], 13)),
+             *(work([]) for work in (minhash.band_rows, quality.summed, decontaminate.merged, suffix.remove)),
+             quality.banded([], 16, 5), quality.counted([], 8), minhash.likely([], 200, 4, 0.6), minhash.linked([], 5, 80),
+             minhash.across([], 200, 4, 0.6, 5, 80), decontaminate.cut_items([], 13, 100)]
+    for i, task in enumerate(tasks):
+        assert len(given) == i
+        list(task)
+    assert len(given) == len(tasks)
+    (ids,) = bpe._encoded([rows], tokenizer_path())
+    assert bpe.vocabulary.cache_info().currsize == 0
+    list(bpe._decoded([ids], tokenizer_path()))
+    assert bpe.vocabulary.cache_info().currsize == 0

@@ -8,8 +8,9 @@ does not depend on the number of rows in a batch.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -163,6 +164,15 @@ def give_back() -> None:
         trim(0)
 
 
+def giving_back(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``work`` over the batches of a task, which gives back what it freed when the last one is done."""
+    @wraps(work)
+    def task(*args, **named):
+        yield from work(*args, **named)
+        give_back()
+    return task
+
+
 @dataclass
 class Words:
     """Words of a chunk: byte bounds, and the first word of every text in ``per``."""
@@ -299,6 +309,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     *others, _ = docs.columns
     kinds = T.StructType([*(docs.schema[c] for c in others), T.StructField("packed", T.BinaryType())])
 
+    @giving_back
     def pack(batches):
         import zstandard
         press = zstandard.ZstdCompressor(level=3)

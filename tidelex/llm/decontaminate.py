@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelex.llm.common import ALPHANUMERIC, LOWER, binary_column, carried, chunks, gather, id_and_text, mix64, ragged, schema_of, words_of
+from tidelex.llm.common import ALPHANUMERIC, LOWER, binary_column, carried, chunks, gather, giving_back, id_and_text, mix64, ragged, schema_of, words_of
 
 WINDOW = 13
 #: Bytes of benchmark text that one search holds; a larger benchmark is searched in several passes.
@@ -192,6 +192,7 @@ def _equal(patterns: Patterns, data: np.ndarray, at: np.ndarray, text: np.ndarra
     return same
 
 
+@giving_back
 def scan(batches, patterns: Patterns, keep: tuple[str, ...] = ()):
     """Per document: words, hit word runs (first, last + 1) and items found."""
     for chunk in chunks(batches):
@@ -224,6 +225,7 @@ def scan(batches, patterns: Patterns, keep: tuple[str, ...] = ()):
 _FOUND = "doc_id long, row_key long, n_words long, hits array<struct<first:long,last:long>>, items array<string>"
 
 
+@giving_back
 def merged(batches):
     """Hit runs of several passes as one set of words."""
     for batch in batches:
@@ -240,6 +242,7 @@ def merged(batches):
         yield batch.set_column(at, "hits", pa.array(hits, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))))
 
 
+@giving_back
 def cut_items(batches, window: int, most: int):
     """Items of more than ``most`` bytes as pieces that share all but one word of a window, so that no window is lost."""
     for chunk in chunks(batches):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelex.llm.common import (LOWER, chunks, hash_spans, id_and_text, mix64, packed_texts, partitions,
+from tidelex.llm.common import (LOWER, chunks, giving_back, hash_spans, id_and_text, mix64, packed_texts, partitions,
                                 random_numbers, rolling, words_of)
 from tidelex.llm.graph import components, stored
 
@@ -62,6 +62,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarr
     return found, np.searchsorted(owner, np.arange(len(counts) + 1))
 
 
+@giving_back
 def signatures(batches, width: int, bands: int, rows: int, bits: int):
     """Per document: set size, a 128-bit hash of the set, band values and packed low bits."""
     scale = random_numbers(bands * rows, 21) | np.uint64(1)
@@ -108,6 +109,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
 
 
+@giving_back
 def likely(batches, count: int, bits: int, least: float):
     """Candidate pairs whose estimated similarity is not clearly too low."""
     for batch in batches:
@@ -116,6 +118,7 @@ def likely(batches, count: int, bits: int, least: float):
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
+@giving_back
 def linked(batches, width: int, threshold: int):
     """Pairs whose full shingle sets are similar enough."""
     import zstandard
@@ -220,6 +223,7 @@ def _grouped(pairs: np.ndarray, stretch: np.ndarray):
         yield int(pairs[0, a]), pairs[1, a:b]
 
 
+@giving_back
 def across(batches, count: int, bits: int, least: float, width: int, threshold: int):
     """Links between components, block pair by block pair. Rows are sorted by (key, g, h)."""
     def out(rows):
@@ -242,6 +246,7 @@ def across(batches, count: int, bits: int, least: float, width: int, threshold:
         yield from out(rest)
 
 
+@giving_back
 def band_rows(batches):
     """One (band value, document) row per band."""
     for batch in batches:

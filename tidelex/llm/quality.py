@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelex.llm.common import (SPACED, Texts, Words, carried, chunks, hash_spans, id_and_text, mix64, packed_texts,
+from tidelex.llm.common import (SPACED, Texts, Words, carried, chunks, giving_back, hash_spans, id_and_text, mix64, packed_texts,
                                 partitions, random_numbers, schema_of, unpacked, words_of)
 from tidelex.llm.minhash import shingle_sets
 
@@ -94,6 +94,7 @@ def buckets(words: Words, hashed: np.ndarray, bits: int) -> tuple[np.ndarray, np
     return np.concatenate(found), np.concatenate(owner)
 
 
+@giving_back
 def banded(batches, bands: int, rows: int):
     """Band values of every text: hashes of ``rows`` minima each over its word triples."""
     scale = random_numbers(bands * rows, 31) | np.uint64(1)
@@ -139,6 +140,7 @@ def shares(among: pa.Array) -> np.ndarray:
     return np.maximum(UNIT // among.to_numpy(zero_copy_only=False), 1).astype(np.float64)
 
 
+@giving_back
 def counted(batches, bits: int):
     """Per task: weighted n-gram counts of trusted and of all texts, in slices of buckets."""
     raw, target = np.zeros(1 << bits, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64)
@@ -160,6 +162,7 @@ def _slices(target: np.ndarray, raw: np.ndarray, at) -> pa.RecordBatch:
                                        pa.array([r[1] for r in rows], pa.binary())], ["slice", "target", "raw"])
 
 
+@giving_back
 def summed(batches):
     """Counts of the slices of a partition, added up."""
     total: dict[int, list[np.ndarray]] = {}
@@ -206,6 +209,7 @@ _SCORED = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_li
            "base_failed boolean, score double, kept boolean")
 
 
+@giving_back
 def scored(batches, ratio: np.ndarray, bits: int, threshold: float, keep: tuple[str, ...]):
     for chunk in chunks(batches):
         words = words_of(chunk.buf, chunk.off)
