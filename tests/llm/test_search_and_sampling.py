@@ -193,6 +193,36 @@ def test_byte_level_plan_has_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_byte_level_ranks_not_made_by_merges(spark, tmp_path):
+    import base64
+
+    import tiktoken
+    tokens = [bytes([b]) for b in range(256)] + [b"aba", b"ab", b"xyz", b"bb"]
+    path = tmp_path / "odd.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    _, pattern, _ = byte_level()
+    library = tiktoken.Encoding("odd", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(str(path)), special_tokens={})
+    texts = ["ab" * 30, "ab" * 600, "xyz xyz axyz", "xyz", "abbab abaab", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for remembered in (0, 10):
+        got = {r.doc_id: list(r.ids) for r in byte_bpe.byte_bpe_encode(df, str(path), pattern, remembered=remembered).collect()}
+        assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_byte_level_remembers_words_in_one_job(spark):
+    path, pattern, _ = byte_level()
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('a b c d ', id % 90, ' x', id % 90) AS text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.sparkContext.setJobGroup("remembered words", "")
+    try:
+        byte_bpe.byte_bpe_encode(docs, path, pattern)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("remembered words")) < 10
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_byte_level_empty(spark):
     path, pattern, _ = byte_level()
     assert byte_bpe.byte_bpe_encode(cases.table(spark).limit(0), path, pattern).where(F.lit(True)).collect() == []

@@ -1,13 +1,14 @@
 """Byte-level byte-pair encoding and decoding as Spark expressions.
 
 Texts are split by the vocabulary's pattern. Distinct frequent words are encoded
-once: their bytes, as an array of one-byte pieces, are folded by merges in the
-order of their ranks, which come from a literal map. Every text then looks its
-words up; the others are folded in the text, once each. Decoding joins the bytes
-of the pieces.
-
-A piece is written as the hex digits of its bytes: Spark joins, replaces and
-splits strings, and has no such functions for binary values.
+once: their bytes, as one-byte pieces, are folded by merges in the order of their
+ranks, which come from a literal map. Every text then looks its words up; the
+others are folded in the text, once each. Decoding joins the bytes of the pieces.
+
+While a word is folded a piece is one character and the word a string: in lambda
+functions Spark cuts and replaces strings in a tenth of a microsecond, while
+joining or cutting arrays takes more than one. Bytes to decode are hex digits,
+as Spark joins strings and has no such function for binary values.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from tidelex.llm.common import partitions
 
 #: Words whose ids are looked up; all others are folded where they stand. It bounds the literal map.
 REMEMBERED = 1 << 17
-#: Bytes up to which a word is merged pair by pair.
-SHORT = 1024
+#: Pieces up to which pairs are cut from the string one by one, which starts at its first character each time.
+SHORT = 64
 #: Rank of a pair that no token holds.
 NEVER = (1 << 31) - 1
 
@@ -45,6 +46,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
+def _literal(entries: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(entries, ensure_ascii=False, separators=(",", ":"))), f"array<{kind}>")
+
+
 class Lookup:
     """A literal map from strings as two flat arrays: every key is in one of two places that its XXH64 names.
 
@@ -59,8 +64,7 @@ class Lookup:
             size *= 2
         self.mask = size - 1
         keys, values = ([None if k is None else pick(k) for k in placed] for pick in (str, entries.__getitem__))
-        self.keys, self.values = (F.from_json(F.lit(json.dumps(x, ensure_ascii=False, separators=(",", ":"))), f"array<{kind}>")
-                                  for x, kind in ((keys, "string"), (values, value)))
+        self.keys, self.values = _literal(keys, "string"), _literal(values, value)
 
     def within(self, body: Callable[[Find], Column]) -> Column:
         """``body`` with a function from keys to values (null if absent); the literals stand in the plan once."""
@@ -89,94 +93,104 @@ def _placed(entries: dict[str, object], size: int) -> list[str | None] | None:
     return at
 
 
-def hex_of(word: Column) -> Column:
-    return F.lower(F.hex(word.cast("binary")))
-
-
-def _one_byte(digits: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1), lambda i: F.substring(digits, 2 * i + 1, F.lit(2)))
-
-
-def _steps(digits: Column) -> Column:
-    return F.sequence(F.lit(1), (F.length(digits) / 2).cast("int"))
-
-
-def _rank(find: Find, left: Column, right: Column) -> Column:
-    return F.coalesce(find(F.concat(left, right)), F.lit(NEVER))
+def _parts(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The last two pieces that merges in the order of their ranks make of a token, or more where they do not reach it."""
+    pieces = [bytes([x]) for x in token]
+    while len(pieces) > 2:
+        rank, at = min((ranks.get(x + y, NEVER), i) for i, (x, y) in enumerate(zip(pieces, pieces[1:])))
+        if rank == NEVER:
+            break
+        pieces[at:at + 2] = [pieces[at] + pieces[at + 1]]
+    return pieces
 
 
-def _short(digits: Column, find: Find) -> Column:
-    """The pieces of a short word: the leftmost pair of the smallest rank is merged until no pair is a token.
+@lru_cache(maxsize=4)
+def _merges(path: str) -> tuple[dict[tuple[bytes, bytes], int], bool]:
+    """Pairs of tokens that can meet and merge, with their union's rank, and whether the vocabulary was made by merges.
 
-    The state holds the pieces, the ranks of all pairs of neighbours (between two ends that never merge) and the
-    place of the next merge; a merge looks up the two pairs it makes.
+    Then merges reach every token, from one pair only, and a union has a higher rank than its parts: all places of
+    the pair of the smallest rank can be merged at once. Else every cut of a token into two tokens is a pair.
     """
-    def state(pieces: Column, ranks: Column) -> Column:
-        least = F.array_min(ranks)
-        at = F.when(least < NEVER, F.array_position(ranks, least).cast("int") - 1).otherwise(0)
-        return F.struct(pieces.alias("pieces"), ranks.alias("ranks"), at.alias("at"))
-
-    def merge(old: Column, _: Column) -> Column:
-        pieces, ranks, at = old["pieces"], old["ranks"], old["at"]
-
-        def merged(made: Column) -> Column:
-            after = F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(made), F.slice(pieces, at + 2, F.size(pieces)))
-            told = F.concat(F.slice(ranks, F.lit(1), at - 1),
-                            F.array(_rank(find, F.get(pieces, at - 2), made), _rank(find, made, F.get(pieces, at + 1))),
-                            F.slice(ranks, at + 3, F.size(ranks)))
-            return let(told, lambda r: state(after, r))
-        return F.when(at > 0, let(F.concat(F.get(pieces, at - 1), F.get(pieces, at)), merged)).otherwise(old)
-
-    start = let(_one_byte(digits), lambda p: let(
-        F.transform(F.sequence(F.lit(0), F.size(p)), lambda i: _rank(find, F.get(p, i - 1), F.get(p, i))), lambda r: state(p, r)))
-    return F.aggregate(_steps(digits), start, merge, lambda s: s["pieces"])
-
+    ranks = read_ranks(path)
+    made, pairs = True, {}
+    for token, rank in ranks.items():
+        if len(token) > 1:
+            parts = _parts(token, ranks)
+            made = made and len(parts) == 2 and all(len(x) == 1 or ranks.get(x, NEVER) < rank for x in parts)
+            if not made:
+                break
+            pairs[parts[0], parts[1]] = rank
+    if not made:
+        pairs = {(token[:i], token[i:]): rank for token, rank in ranks.items()
+                 for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks}
+    return pairs, made
 
-def _long(digits: Column, find: Find) -> Column:
-    """The pieces of a long word: the pair of the smallest rank is merged wherever it stands, leftmost first where
-    occurrences overlap.
 
-    A vocabulary made by merges gives a union a higher rank than the parts it was made of, so this equals merging
-    one by one; it takes as many steps as there are different merges, not as there are pieces.
-    """
-    def state(pieces: Column) -> Column:
-        n = F.size(pieces) - 1
-        best = F.array_min(F.zip_with(F.slice(pieces, F.lit(1), n), F.slice(pieces, F.lit(2), n), lambda a, b: F.struct(
-            _rank(find, a, b).alias("rank"), a.alias("left"), b.alias("right"))))
-        return F.struct(pieces.alias("pieces"), best.alias("best"))
+def _mark(token: bytes, rank: int) -> str:
+    """The character a token is written as: of one byte the character of that number, so that ISO 8859-1 writes bytes."""
+    return token.decode("latin-1") if len(token) == 1 else chr(rank + 0x100 + (0x800 if rank + 0x100 >= 0xD800 else 0))
 
-    def merge(old: Column, _: Column) -> Column:
-        left, right = old["best"]["left"], old["best"]["right"]
-        joined = F.concat(F.lit(","), F.array_join(old["pieces"], ",,"), F.lit(","))
-        merged = F.replace(joined, F.concat(F.lit(","), left, F.lit(",,"), right, F.lit(",")),
-                           F.concat(F.lit(","), left, right, F.lit(",")))
-        pieces = F.split(F.substring(merged, F.lit(2), F.length(merged) - 2), ",,")
-        return F.when(old["best"]["rank"] < NEVER, let(pieces, state)).otherwise(old)
 
-    return F.aggregate(_steps(digits), let(_one_byte(digits), state), merge, lambda s: s["pieces"])
+def _pairs(marks: Column) -> Column:
+    """All neighbours in a string, two characters each; of a single character that one, which is no pair."""
+    short = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(marks) - 1, F.lit(1))), lambda i: F.substring(marks, i, F.lit(2)))
+    long = let(F.split(marks, ""), lambda c: F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda x, y: F.concat(x, y)))
+    return F.when(F.char_length(marks) <= SHORT, short).otherwise(long)
 
 
 class Ranks:
-    """A rank file as literals: hex bytes of a token to its rank (its id), and by id the hex bytes and the id's own bytes."""
+    """A rank file as literals: pairs of tokens to the rank (the id) of their union, and by id the hex bytes and the id's own bytes."""
 
     def __init__(self, path: str):
         ranks = read_ranks(path)
-        self.ranks = Lookup({token.hex(): rank for token, rank in ranks.items()}, "int")
-        tokens: list[str | None] = [None] * (max(ranks.values()) + 1)
+        pairs, self.made = _merges(path)
+        marks = {token: _mark(token, rank) for token, rank in ranks.items()}
+        self.pairs = Lookup({marks[left] + marks[right]: rank for (left, right), rank in pairs.items()}, "int")
+        # Whole words that are tokens which merges need not reach.
+        self.whole = None if self.made else Lookup({token.decode("latin-1"): rank for token, rank in ranks.items()}, "int")
+        tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        ids = [None] * (max(map(ord, marks.values())) + 1)
         for token, rank in ranks.items():
-            tokens[rank] = token.hex()
-        self.tokens = F.from_json(F.lit(json.dumps(tokens)), "array<string>")
-        self.little = F.from_json(F.lit(json.dumps([i.to_bytes(4, "little").hex() for i in range(len(tokens))])), "array<string>")
+            ids[ord(marks[token])] = rank
+        self.marks = _literal([t and marks[t] for t in tokens], "string")
+        self.ids = _literal(ids, "int")
+        self.tokens = _literal([t and t.hex() for t in tokens], "string")
+        self.little = _literal([i.to_bytes(4, "little").hex() for i in range(len(tokens))], "string")
+
+    def _folded(self, word: Column, find: Find, marks: Column) -> Column:
+        """A word's bytes, a character each, after all merges: the leftmost pair of the smallest rank is merged until
+        no pair is a token.
+
+        The state holds the pieces as one string, the ranks of all neighbours and the smallest of them, null at the end.
+        """
+        def state(pieces: Column) -> Column:
+            return let(F.transform(_pairs(pieces), find), lambda ranks: F.struct(
+                pieces.alias("pieces"), ranks.alias("ranks"), F.array_min(ranks).alias("least")))
+
+        def merge(old: Column, _: Column) -> Column:
+            pieces, made = old["pieces"], F.get(marks, old["least"])
+            at = F.array_position(old["ranks"], old["least"]).cast("int")
+            if self.made:
+                after = F.replace(pieces, F.substring(pieces, at, F.lit(2)), made)
+            else:
+                after = F.concat(F.substring(pieces, F.lit(1), at - 1), made, F.substring(pieces, at + 2, F.char_length(pieces)))
+            return F.when(old["least"].isNotNull(), let(after, state)).otherwise(old)
+
+        return let(word, lambda w: F.aggregate(F.sequence(F.lit(1), F.char_length(w)), state(w), merge, lambda s: s["pieces"]))
 
     def encoder(self, body: Callable[[Find], Column]) -> Column:
-        """``body`` with a function from a word to its ids, as numbers with a space between: the word itself if it is
-        a token, else its bytes after all merges."""
-        def ids(word: Column, find: Find) -> Column:
-            def of(digits: Column) -> Column:
-                pieces = F.when(F.length(digits) <= 2 * SHORT, _short(digits, find)).otherwise(_long(digits, find))
-                return F.coalesce(find(digits).cast("string"), F.array_join(F.transform(pieces, find).cast("array<string>"), " "))
-            return let(hex_of(word), of)
-        return self.ranks.within(lambda find: body(lambda word: ids(word, find)))
+        """``body`` with a function from a word to its ids, as an array: the word itself if it is a token, else its
+        bytes after all merges."""
+        def numbers(marks: Column, ids: Column, find: Find) -> Find:
+            def of(word: Column) -> Column:
+                folded = F.transform(F.split(self._folded(word, find, marks), ""), lambda mark: F.get(ids, F.ascii(mark)))
+                if self.whole is None:
+                    return folded
+                return self.whole.within(lambda find: let(find(word), lambda id: F.when(id.isNotNull(), F.array(id)).otherwise(folded)))
+            return lambda word: let(F.decode(word.cast("binary"), "ISO-8859-1"), of)
+        return self.pairs.within(lambda find: let(self.marks, lambda marks: let(self.ids, lambda ids: body(numbers(marks, ids, find)))))
 
     def joined(self, ids: Column, entries: Column) -> Column:
         """The bytes that ``entries`` has for each id, one after another."""
@@ -204,7 +218,7 @@ def byte_bpe_encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "do
     repeated rows are encoded too; other columns are ignored; no rows give no
     rows. Special tokens written out in a text are ordinary text. A very long
     text is one array of words; a very long word is one fold, in as many steps
-    over its pieces as it has different merges. Letters and digits are those of
+    over its pieces as it has different merges (with a rank file not made by merges, as many as it has merges). Letters and digits are those of
     the Unicode version of the Java runtime.
     """
     vocabulary = Ranks(ranks)
@@ -212,10 +226,10 @@ def byte_bpe_encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "do
     counted = texts.select(F.explode(words_of(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     frequent = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(remembered).select("word").repartition(partitions(docs))
     encoded = frequent.select("word", vocabulary.encoder(lambda ids: ids(F.col("word"))).alias("ids"))
-    known = Lookup({r.word: r.ids for r in encoded.toLocalIterator()}, "string")
-    ids = known.within(lambda find: vocabulary.encoder(lambda fold: F.array_join(
-        F.transform(words_of(F.col("text"), pattern), lambda word: F.coalesce(find(word), fold(word))), " ")))
-    numbers = let(ids, lambda told: F.when(told != "", F.split(told, " ").cast("array<int>")).otherwise(F.array().cast("array<int>")))
+    # One job: each job of an iterator over partitions would send the literals of the vocabulary again.
+    known = Lookup({r.word: r.ids for r in encoded.collect()}, "array<int>")
+    numbers = known.within(lambda find: vocabulary.encoder(lambda fold: F.flatten(
+        F.transform(words_of(F.col("text"), pattern), lambda word: F.coalesce(find(word), fold(word))))))
     return texts.select("doc_id", numbers.alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
