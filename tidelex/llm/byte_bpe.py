@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -51,7 +51,7 @@ def _literal(entries: list, kind: str) -> Column:
 
 
 class Lookup:
-    """A literal map from strings as two flat arrays: every key is in one of two places that its XXH64 names.
+    """A literal map from strings, none empty, as two flat arrays: every key is in one of two places that its XXH64 names.
 
     A lookup reads two entries at most, where Spark's own map literal is searched from its first key on.
     """
@@ -63,7 +63,9 @@ class Lookup:
         while (placed := _placed(entries, size)) is None:
             size *= 2
         self.mask = size - 1
-        keys, values = ([None if k is None else pick(k) for k in placed] for pick in (str, entries.__getitem__))
+        # A place without a key is short in text, as the driver keeps plans as text, with their literals.
+        empty = [] if value.startswith("array") else None
+        keys, values = [k or "" for k in placed], [empty if k is None else entries[k] for k in placed]
         self.keys, self.values = _literal(keys, "string"), _literal(values, value)
 
     def within(self, body: Callable[[Find], Column]) -> Column:
@@ -139,25 +141,48 @@ def _pairs(marks: Column) -> Column:
 
 
 class Ranks:
-    """A rank file as literals: pairs of tokens to the rank (the id) of their union, and by id the hex bytes and the id's own bytes."""
+    """A rank file as literals, each made when it is first asked for: pairs of tokens to the rank (the id) of their
+    union, and by id the hex bytes and the id's own bytes."""
 
     def __init__(self, path: str):
-        ranks = read_ranks(path)
-        pairs, self.made = _merges(path)
-        marks = {token: _mark(token, rank) for token, rank in ranks.items()}
-        self.pairs = Lookup({marks[left] + marks[right]: rank for (left, right), rank in pairs.items()}, "int")
-        # Whole words that are tokens which merges need not reach.
-        self.whole = None if self.made else Lookup({token.decode("latin-1"): rank for token, rank in ranks.items()}, "int")
-        tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        ids = [None] * (max(map(ord, marks.values())) + 1)
-        for token, rank in ranks.items():
-            ids[ord(marks[token])] = rank
-        self.marks = _literal([t and marks[t] for t in tokens], "string")
-        self.ids = _literal(ids, "int")
-        self.tokens = _literal([t and t.hex() for t in tokens], "string")
-        self.little = _literal([i.to_bytes(4, "little").hex() for i in range(len(tokens))], "string")
+        self.path = path
+        self.ranks = read_ranks(path)
+
+    def _by_id(self, write: Callable[[bytes, int], str]) -> Column:
+        entries: list[str | None] = [None] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            entries[rank] = write(token, rank)
+        return _literal(entries, "string")
+
+    @cached_property
+    def made(self) -> bool:
+        return _merges(self.path)[1]
+
+    @cached_property
+    def pairs(self) -> Lookup:
+        return Lookup({"".join(_mark(x, self.ranks[x]) for x in pair): rank for pair, rank in _merges(self.path)[0].items()}, "int")
+
+    @cached_property
+    def whole(self) -> Lookup | None:
+        """Whole words that are tokens, where merges need not reach them."""
+        return None if self.made else Lookup({token.decode("latin-1"): rank for token, rank in self.ranks.items()}, "int")
+
+    @cached_property
+    def marks(self) -> Column:
+        return self._by_id(_mark)
+
+    @cached_property
+    def ids(self) -> Column:
+        places = {ord(_mark(token, rank)): rank for token, rank in self.ranks.items()}
+        return _literal([places.get(i) for i in range(max(places) + 1)], "int")
+
+    @cached_property
+    def tokens(self) -> Column:
+        return self._by_id(lambda token, _: token.hex())
+
+    @cached_property
+    def little(self) -> Column:
+        return _literal([i.to_bytes(4, "little").hex() for i in range(max(self.ranks.values()) + 1)], "string")
 
     def _folded(self, word: Column, find: Find, marks: Column) -> Column:
         """A word's bytes, a character each, after all merges: the leftmost pair of the smallest rank is merged until
