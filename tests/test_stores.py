@@ -1,7 +1,9 @@
 """Sinks, mapping, reconciliation, paging, retention."""
 
 import json
+import time
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +233,89 @@ def test_reconcile_reads_the_event_table_once(spark, tmp_path, monkeypatch):
     assert {(r.source_id, json.loads(r.payload)["author"]) for r in events.collect()} == {(k, "u") for k in "abcd"}
     row = sync.reconcile(spark, mirror, table, "s").collect()[0]
     assert (row.a_only, row.b_only, row.in_both, row.inserted_b, row.exported_a, row.resolved) == (0, 0, 4, 0, 0, 0)
+
+
+def shuffle_files(spark):
+    told = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in told.split("\n") if "/shuffle_" in f}
+
+
+def test_reconcile_leaves_no_copies_and_no_shuffle_files(spark, tmp_path):
+    """What a step stored or shuffled goes with the step; the stores, narrow checkpoints and the session's settings stay."""
+    from tidelex.session import shared_folder
+    from tidelex.sources import sync
+    mirror, table = str(tmp_path / "mirror"), str(tmp_path / "events")
+    folder, settings = Path(shared_folder(spark)), spark.conf.getAll
+    before, shuffled = {f.name for f in folder.iterdir()}, shuffle_files(spark)
+    SK.append_csv(posts(spark, {"id": "a"}, {"id": "b"}, {"id": "b"}, {"id": "c", "created_utc": 1609545600.0}), mirror)
+    SK.append_events(MP.to_envelope(posts(spark, {"id": "b", "author": None}, {"id": "d"}, {"id": "d"}), "s"), table)
+    row = sync.reconcile(spark, mirror, table, "s").collect()[0]
+    assert (row.a_only, row.b_only, row.in_both, row.inserted_b, row.exported_a, row.resolved) == (2, 1, 1, 2, 1, 1)
+    assert {f.name for f in folder.iterdir()} == before
+    until = time.time() + 20
+    while shuffle_files(spark) - shuffled and time.time() < until:
+        time.sleep(0.2)
+    left = shuffle_files(spark) - shuffled
+    # Those of the report and of jobs that are not queries at most.
+    assert len({f.rsplit("/", 1)[1].split("_")[1] for f in left}) <= 1, left
+    assert spark.conf.getAll == settings
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_reconcile_of_many_days_in_slices(spark, tmp_path, monkeypatch, few):
+    """Repeated ids and an unreadable payload; dates are replaced slice by slice, with ids sent or shuffled."""
+    from tidelex.sources import sync
+    monkeypatch.setattr(SK, "FEW", few)
+    monkeypatch.setattr(sync, "ROWS_OF_SLICE", 3)
+    mirror, table = str(tmp_path / "mirror"), str(tmp_path / "events")
+    day = lambda i: 1609459200.0 + 86400 * i
+    a = [{"id": f"k{i}", "created_utc": day(i), "author": f"u{i}", "title": f"a{i}"} for i in range(20) if i % 5]
+    b = [{"id": f"k{i}", "created_utc": day(i), "author": None if i % 2 else "own", "title": f"b{i}"} for i in range(20) if i % 7]
+    SK.append_csv(posts(spark, *a, *a[:3]), mirror)
+    events = MP.to_envelope(posts(spark, *b, *b[:4]), "s").withColumn("source_id", F.concat(F.lit("pre-"), "source_id"))
+    events = events.withColumn("payload", F.when(F.col("source_id") == "pre-k2", F.lit("no json")).otherwise(F.col("payload")))
+    SK.append_events(events, table)
+    row = sync.reconcile(spark, mirror, table, "s", "pre-").collect()[0]
+    assert (row.a_only, row.b_only, row.in_both, row.inserted_b, row.exported_a) == (2, 3, 14, 2, 3)
+    assert row.resolved == sum(1 for i in range(20) if i % 5 and i % 7 and i % 2) + 1  # and the one that is no JSON
+    got = {r.source_id: json.loads(r.payload) if r.payload != "no json" else None for r in RD.read_events(spark, table, key_prefix="pre-").collect()}
+    assert sorted(got) == sorted(f"k{i}" for i in range(1, 20)) and RD.read_events(spark, table).count() == 19
+    for i in range(20):
+        if i % 7 and i != 2:
+            assert got[f"k{i}"]["title"] == f"b{i}"
+            assert got[f"k{i}"]["author"] == (f"u{i}" if i % 2 and i % 5 else None if i % 2 else "own")
+    kept = {r.id: r.title for r in SK.read_mirror(spark, mirror).collect()}
+    assert kept == {f"k{i}": f"a{i}" if i % 5 else f"b{i}" for i in range(1, 20)}
+    row = sync.reconcile(spark, mirror, table, "s", "pre-").collect()[0]
+    assert (row.a_only, row.b_only, row.in_both, row.inserted_b, row.exported_a, row.resolved) == (0, 0, 19, 0, 0, 1)
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_mirror_merges_repeated_and_null_ids(spark, tmp_path, monkeypatch, few):
+    """Files are compressed; a version of plain files is read as before. An id that is null is an id like others."""
+    monkeypatch.setattr(SK, "FEW", few)
+    root = str(tmp_path / "mirror")
+    first = posts(spark, {"id": "a", "created_utc": 30.0}, {"id": "b", "title": "late", "created_utc": 20.0}, {"id": "b", "title": "early", "created_utc": 10.0})
+    first.write.options(header="true", escape='"', quote='"').csv(f"{root}/version-1")
+    nulls = posts(spark, {"id": "x", "created_utc": 2.0, "title": "second"}, {"id": "x", "created_utc": 1.0, "title": "first"})
+    new = posts(spark, {"id": "a", "title": "new"}, {"id": "c", "created_utc": 15.0}).unionByName(nulls.withColumn("id", F.lit(None).cast("string")))
+    assert SK.append_csv(new, root) == 2
+    rows = RD.read_submissions(spark, f"{root}/version-2").collect()
+    assert [(r.id, r.title, r.selftext) for r in rows] == [
+        (None, "first", POST[4]), ("b", "early", POST[4]), ("c", "T", POST[4]), ("a", "T", POST[4])]
+    assert all(f.name.endswith(".csv.gz") for f in Path(root, "version-2").glob("part-*"))
+
+
+@pytest.mark.parametrize("few", [500_000, 1])
+@pytest.mark.parametrize("copies", [1, 2, 5])
+def test_append_picks_rows_by_number(spark, tmp_path, monkeypatch, few, copies):
+    """None, some or most rows of a batch are repeats."""
+    monkeypatch.setattr(SK, "FEW", few)
+    table = str(tmp_path / "events")
+    once = MP.to_envelope(posts(spark, *[{"id": f"k{i}", "created_utc": 1609459200.0 + 40000 * i} for i in range(6)]), "s").select("source", "source_id", "occurred_at", "payload")
+    batch = once
+    for _ in range(copies - 1):
+        batch = batch.unionByName(once)
+    batch = batch.unionByName(once.limit(1))
+    assert SK.append_events(batch, table) == (6, 6 * copies - 5)
+    assert sorted(r.source_id for r in RD.read_events(spark, table).collect()) == [f"k{i}" for i in range(6)]

@@ -68,6 +68,32 @@ def _empty(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("")) == ""
 
 
+def _bits(told) -> Column:
+    """One bit for each merge field for which ``told`` of its name is true."""
+    bits = F.lit(0)
+    for i, name in enumerate(MERGE_FIELDS):
+        bits = bits + F.when(told(name), F.lit(1 << i)).otherwise(F.lit(0))
+    return bits
+
+
+def fields_held(a: DataFrame) -> DataFrame:
+    """(id, held) of every row of A: the merge fields that have a value, as bits."""
+    return a.select("id", _bits(lambda name: ~_empty(F.col(name))).alias("held"))
+
+
+def fields_lacking(b: DataFrame, prefix: str = "") -> DataFrame:
+    """(id, lacking) of every row of B: the merge fields that are empty, as bits."""
+    told = b.select(strip_key_prefix(F.col("source_id"), prefix).alias("id"), variant(F.col("payload")).alias("_v"))
+    return told.select("id", _bits(lambda name: _empty(text_of(F.col("_v"), name))).alias("lacking"))
+
+
+def fillable_ids(held: DataFrame, lacking: DataFrame) -> DataFrame:
+    """Ids of which some row of A has a value that some row of B lacks: ``merge_conflicts`` fills fields of no others."""
+    of_a = held.groupBy("id").agg(F.bit_or("held").alias("held"))
+    of_b = lacking.groupBy("id").agg(F.bit_or("lacking").alias("lacking"))
+    return of_a.join(of_b, "id").where(F.col("held").bitwiseAND(F.col("lacking")) != 0).select("id")
+
+
 def merge_conflicts(a: DataFrame, b: DataFrame, prefix: str = "", newest_wins: bool = False) -> DataFrame:
     """B's payload with its empty fields filled from A.
 

@@ -8,14 +8,14 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelex.functions.ordering import first_per_key, numbered
 from tidelex.operators.mapping import COLUMN_TYPES, PUSH_COLUMNS, csv_to_envelope, push_row, split_bad
 from tidelex.schemas import EVENT_KEY, SUBMISSION_COLUMNS
-from tidelex.session import materialize
+from tidelex.session import CODEC, Copies, materialize
 from tidelex.sources import keyfilter
 from tidelex.sources.keyfilter import DATE
 from tidelex.sources.readers import read_submissions
@@ -24,6 +24,10 @@ log = logging.getLogger(__name__)
 PUSH_SIZE = 100
 #: Dates for each range from which on all ranges are written by tasks of their own.
 DATES_OF_RANGE = 4
+#: Rows of a range at most, so that a task sorts its rows in memory however few partitions are set.
+ROWS_OF_RANGE = 50_000
+#: Row numbers or ids that are sent to all tasks at most. More are joined by a shuffle of whole rows.
+FEW = 500_000
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -47,14 +51,40 @@ def _one_per_key(batch: DataFrame, key: list[str]) -> DataFrame:
             .agg(F.min_by("_row", "_rest").alias("_row"), F.min_by(DATE, "_rest").alias(DATE)))
 
 
-def in_ranges(rows: DataFrame, order: list[str], dates: int) -> DataFrame:
+def in_ranges(rows: DataFrame, order: list[str], dates: int, count: int = 0) -> DataFrame:
     """Rows in ranges of ``order`` to be written by date. Ranges are cut by rows, so a hot date is written by several tasks.
 
     The time of many small dates goes into making files, not into their bytes: then Spark must not join ranges
-    that are small in bytes, which would leave most cores idle.
+    that are small in bytes, which would leave most cores idle. Of ``count`` rows a range gets ``ROWS_OF_RANGE`` or so at most.
     """
     most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(*([most] if dates >= DATES_OF_RANGE * most else []), *order)
+    needed = -(-count // ROWS_OF_RANGE)
+    fixed = max(most, needed) if dates >= DATES_OF_RANGE * most or needed > most else None
+    return rows.repartitionByRange(*([fixed] if fixed else []), *order)
+
+
+def among(rows: DataFrame, key: Column, ids: DataFrame, count: int, out: bool = False) -> DataFrame:
+    """Rows whose key is one of ``count`` ids (or none of them, with ``out``); null is an id like others.
+
+    Up to ``FEW`` ids are sent to the rows, which are not shuffled then.
+    """
+    if not count:
+        return rows if out else rows.where(F.lit(False))
+    told = ids.select(F.col(ids.columns[0]).alias("_among"))
+    told = F.broadcast(told) if count <= FEW else told
+    keyed = rows.withColumn("_among_key", key)
+    return keyed.join(told, F.col("_among_key").eqNullSafe(F.col("_among")), "left_anti" if out else "left_semi").drop("_among_key")
+
+
+def _picked(batch: DataFrame, picked: DataFrame, attempted: int, chosen: int, kept: Copies) -> DataFrame:
+    """The rows of a batch whose number is picked. Whole rows are shuffled only if both those picked and the others are many."""
+    if chosen == attempted:
+        return batch.drop("_row")
+    if attempted - chosen <= min(FEW, chosen):
+        others = batch.select("_row").join(picked.select("_row"), "_row", "left_anti")
+        return among(batch, F.col("_row"), others, attempted - chosen, out=True).drop("_row")
+    rows = among(batch, F.col("_row"), picked.select("_row"), chosen).drop("_row")
+    return rows if chosen <= FEW else kept.add(rows, "picked")
 
 
 def append_events(df: DataFrame, path: str, key: list[str] = EVENT_KEY) -> tuple[int, int]:
@@ -67,21 +97,23 @@ def append_events(df: DataFrame, path: str, key: list[str] = EVENT_KEY) -> tuple
     can be repeated. All writers of a table must use this function.
     """
     spark = df.sparkSession
-    batch = materialize(with_date(df).withColumn("_row", F.monotonically_increasing_id()))
-    attempted = batch.count()
-    if not attempted:
-        return 0, 0
-    fresh = materialize(_one_per_key(batch, key))
-    if table_exists(spark, path):
-        stored = keyfilter.stored_keys(fresh, path, key)
-        if stored is not None:
-            fresh = materialize(fresh.join(stored, key, "left_anti"))
-    inserted, dates = fresh.agg(F.count(F.lit(1)), F.count_distinct(DATE)).first()
-    if inserted:
-        keyfilter.add(fresh.where(F.col(DATE).isNotNull()), path, key)
-        order = [DATE, "source", "occurred_at"]
-        rows = batch.join(fresh.select("_row"), "_row", "left_semi").drop("_row")
-        in_ranges(rows, order, dates).sortWithinPartitions(*order).write.mode("append").partitionBy(DATE).parquet(path)
+    with Copies(spark) as kept:
+        batch = kept.add(with_date(df).withColumn("_row", F.monotonically_increasing_id()), "batch")
+        attempted = batch.count()
+        if not attempted:
+            return 0, 0
+        fresh = kept.add(_one_per_key(batch, key), "keys")
+        if table_exists(spark, path):
+            stored = keyfilter.stored_keys(fresh, path, key)
+            if stored is not None:
+                fresh = kept.add(fresh.join(stored, key, "left_anti"), "new-keys")
+        inserted, dates = fresh.agg(F.count(F.lit(1)), F.count_distinct(DATE)).first()
+        if inserted:
+            keyfilter.add(fresh.where(F.col(DATE).isNotNull()), path, key)
+            order = [DATE, "source", "occurred_at"]
+            rows = _picked(batch, fresh, attempted, inserted, kept)
+            (in_ranges(rows, order, dates, inserted).sortWithinPartitions(*order).write.mode("append")
+             .option("compression", CODEC).partitionBy(DATE).parquet(path))
     return inserted, attempted - inserted
 
 
@@ -105,13 +137,24 @@ def import_csv(spark: SparkSession, csv_path: str, table: str, quarantine: str,
     return inserted, skipped, rejected
 
 
-def mirrored_rows(existing: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Stored and new submissions, each id once (stored rows win), in time order."""
+def mirrored_rows(existing: DataFrame | None, new: DataFrame, kept: Copies) -> DataFrame:
+    """Stored and new submissions, each id once (stored rows win), in time order.
+
+    Ids alone tell which of them come more than once; the rows of the others are put in order as they are.
+    """
     rows = new.withColumn("_age", F.lit(1))
     if existing is not None:
         rows = existing.withColumn("_age", F.lit(0)).unionByName(rows)
-    once = first_per_key(rows, ["id"], [F.col("_age"), F.col("created_utc")])
-    return once.drop("_age").orderBy("created_utc", "id")
+    counted = rows.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    count, repeats = counted.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count_if(F.col("_n") > 1)).first()
+    if repeats:
+        first = lambda df: first_per_key(df, ["id"], [F.col("_age"), F.col("created_utc")])
+        if repeats <= FEW:
+            ids = kept.add(counted.where("_n > 1").select("id"), "repeated-ids")
+            rows = among(rows, F.col("id"), ids, repeats, out=True).unionByName(first(among(rows, F.col("id"), ids, repeats)))
+        else:
+            rows = kept.add(first(rows), "each-once")
+    return in_ranges(rows.drop("_age"), ["created_utc", "id"], 0, count).sortWithinPartitions("created_utc", "id")
 
 
 def latest_version(spark: SparkSession, root: str) -> int:
@@ -135,15 +178,16 @@ def read_mirror(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def append_csv(new: DataFrame, root: str) -> int:
-    """Merge submissions into the sorted file mirror by writing its next version.
+    """Merge submissions into the sorted file mirror by writing its next version, as gzip files.
 
     Readers keep the finished version they opened; an unfinished one is ignored.
     """
     spark = new.sparkSession
-    merged = mirrored_rows(read_mirror(spark, root), new.select(*SUBMISSION_COLUMNS))
-    version = latest_version(spark, root) + 1
-    (merged.withColumn("created_utc", F.col("created_utc").cast("long")).write.mode("overwrite")
-     .options(header="true", escape='"', quote='"').csv(f"{root}/version-{version}"))
+    with Copies(spark) as kept:
+        merged = mirrored_rows(read_mirror(spark, root), kept.add(new.select(*SUBMISSION_COLUMNS), "submissions"), kept)
+        version = latest_version(spark, root) + 1
+        (merged.withColumn("created_utc", F.col("created_utc").cast("long")).write.mode("overwrite").options(header="true", escape='"', quote='"')
+         .options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).csv(f"{root}/version-{version}"))
     return version
 
 
